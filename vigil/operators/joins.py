@@ -1,0 +1,25 @@
+"""Join helpers with an explicit size bound for broadcasting."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 200_000
+_CONF = "vigil.broadcast.maxRows"
+
+
+def max_broadcast_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(_CONF, str(DEFAULT_MAX_BROADCAST_ROWS)))
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Hint a broadcast only when ``df`` provably has at most ``max_rows`` rows.
+
+    The proof is a bounded scan (``limit(max_rows + 1).count()``), so it stops
+    early on a large side. Above the bound no hint is given and the planner
+    (with AQE's runtime statistics) picks a shuffle join instead.
+    """
+    bound = max_rows if max_rows is not None else max_broadcast_rows(df)
+    n = df.limit(bound + 1).count()
+    return F.broadcast(df) if n <= bound else df
