@@ -125,3 +125,95 @@ def check_count(spark, d):
 def result_rejects_unknown(spark, d):
     _, rejected = R.membership(fx.results(spark, d), registry(spark, d))
     return rejected.select("event_id", "check_name")
+
+
+# -- step 3: registry --------------------------------------------------------
+
+def _resolution(spark, d):
+    reg = registry(spark, d)
+    scr, _ = REG.validate_scripts(fx.scripts(spark, d))
+    chans, _ = REG.validate_channels(fx.channels(spark, d))
+    secrets = fx.secrets(spark, d)
+    tokens = REG.resolve_bot_tokens(chans, secrets)
+    return (reg, REG.resolve_scripts(reg, scr), REG.resolve_channels(reg, tokens),
+            REG.merge_secrets(reg, secrets), tokens)
+
+
+@query("registry_fold")
+def registry_fold(spark, d):
+    return REG.fold_changes(fx.spec_feed(spark, d))
+
+
+@query("check_spec_rejects")
+def check_spec_rejects(spark, d):
+    _, rejects = REG.validate_specs(fx.registry_spec(spark, d))
+    return rejects
+
+
+@query("script_spec_rejects")
+def script_spec_rejects(spark, d):
+    _, rejects = REG.validate_scripts(fx.scripts(spark, d))
+    return rejects
+
+
+@query("resolve_scripts")
+def resolve_scripts(spark, d):
+    return _resolution(spark, d)[1]
+
+
+@query("resolve_channels")
+def resolve_channels(spark, d):
+    return _resolution(spark, d)[2]
+
+
+@query("resolve_bot_tokens")
+def resolve_bot_tokens(spark, d):
+    return _resolution(spark, d)[4].drop("bot_token")
+
+
+@query("merge_secrets")
+def merge_secrets(spark, d):
+    return _resolution(spark, d)[3]
+
+
+@query("unresolved_refs")
+def unresolved_refs(spark, d):
+    _, s, c, m, _ = _resolution(spark, d)
+    return REG.unresolved_refs(s, c, m)
+
+
+def resolved(spark, d):
+    reg, s, c, m, _ = _resolution(spark, d)
+    return REG.resolved_checks(reg, s, c, m)
+
+
+@query("resolved_checks")
+def resolved_checks(spark, d):
+    r = resolved(spark, d)
+    sec = F.col("secrets")
+    return r.select(
+        "check_name", "passive", "check_interval",
+        F.col("script.content").alias("script_content"),
+        F.when(sec.isNotNull(), F.size(F.map_keys(sec)).cast("bigint")).alias("n_secrets"),
+        F.when(sec.isNotNull(), F.array_join(F.array_sort(F.map_keys(sec)), ",")).alias("secret_keys"),
+        F.size("channels").cast("bigint").alias("n_channels"),
+        F.array_join(F.transform("channels", lambda x: x["chat_id"]), ",").alias("chat_ids"),
+        "mute", "mute_until")
+
+
+@query("impact_script")
+def impact_script(spark, d):
+    changed = fx.scripts(spark, d).select(F.col("script_name").alias("name"))
+    return REG.impacted(registry(spark, d), changed, "script")
+
+
+@query("impact_secret")
+def impact_secret(spark, d):
+    changed = fx.secrets(spark, d).select(F.col("secret_name").alias("name"))
+    return REG.impacted(registry(spark, d), changed, "secret")
+
+
+@query("impact_channel")
+def impact_channel(spark, d):
+    changed = fx.channels(spark, d).select(F.col("channel_name").alias("name"))
+    return REG.impacted(registry(spark, d), changed, "channel")

@@ -68,3 +68,55 @@ oracle("check_count", "select count(*) n_checks from registry", "registry")
 oracle("result_rejects_unknown", """
 select event_id, check_name from results where check_name not in (select check_name from registry)""",
        "results", "registry")
+
+oracle("registry_fold", """
+select check_name, seq, changed_at, passive, check_interval from (
+  select *, row_number() over (partition by check_name order by seq desc) rn from spec_feed)
+where rn = 1 and op <> 'Remove'""", "spec_feed")
+
+oracle("check_spec_rejects", """
+select check_name, reason from (
+  select check_name, 'missing_name' reason, check_name is null bad from registry_spec
+  union all select check_name, 'active_without_script_or_interval',
+    not coalesce(passive, false) and (script_ref is null or check_interval is null) from registry_spec
+  union all select check_name, 'negative_interval', coalesce(check_interval < 0, false) from registry_spec)
+where bad""", "registry_spec")
+
+oracle("script_spec_rejects", """
+select script_name, reason from (
+  select script_name, 'missing_language' reason, language is null bad from scripts
+  union all select script_name, 'bad_language', language is not null and language not in ('Python', 'Bash') from scripts
+  union all select script_name, 'missing_content', content is null from scripts)
+where bad""", "scripts")
+
+oracle("resolve_scripts", "select * from res_scripts", "res_scripts")
+oracle("resolve_channels", "select * from res_channels", "res_channels")
+oracle("resolve_bot_tokens", "select * from channel_tokens", "channel_tokens")
+oracle("merge_secrets", "select * from merged_secrets", "merged_secrets")
+oracle("unresolved_refs", "select * from unresolved", "unresolved")
+
+oracle("resolved_checks", """
+select g.check_name, g.passive, g.check_interval, s.script_content,
+  case when g.secret_refs is not null then coalesce(m.n, 0) end n_secrets,
+  case when g.secret_refs is not null then coalesce(m.keys, '') end secret_keys,
+  coalesce(c.n, 0) n_channels, coalesce(c.chat_ids, '') chat_ids, g.mute, g.mute_until
+from registry g
+left join res_scripts s using (check_name)
+left join (select check_name, count(*) n, string_agg(chat_id, ',' order by pos) chat_ids
+           from res_channels group by check_name) c using (check_name)
+left join (select check_name, count(*) n, string_agg(key, ',' order by key) keys
+           from merged_secrets group by check_name) m using (check_name)
+where g.check_name not in (select check_name from unresolved)""", "registry", "res_scripts", "res_channels",
+       "merged_secrets", "unresolved")
+
+oracle("impact_script", """
+select s.script_name name, g.check_name from registry g
+join (select distinct script_name from scripts) s on g.script_ref = s.script_name""", "registry", "scripts")
+
+oracle("impact_secret", """
+select distinct x.name, x.check_name from (select unnest(secret_refs) name, check_name from registry) x
+join (select distinct secret_name from secrets) s on x.name = s.secret_name""", "registry", "secrets")
+
+oracle("impact_channel", """
+select distinct x.name, x.check_name from (select unnest(channel_refs) name, check_name from registry) x
+join (select distinct channel_name from channels) s on x.name = s.channel_name""", "registry", "channels")

@@ -127,6 +127,40 @@ from (select *, trim(split_part(tok, '=', 1)) perf_key,
              trim(substr(tok, strpos(tok, '=') + 1)) vtext from metric_tokens)""", ("metric_tokens",))
 
 
+# Reference resolution (D1-D4) over the valid registry.
+_view("res_scripts", """
+select g.check_name, g.script_ref, s.content script_content, s.language_label,
+  g.script_ref is null or s.content is not null script_found
+from registry g left join valid_scripts s on g.script_ref = s.script_name""", ("registry", "valid_scripts"))
+
+_view("channel_tokens", """
+select c.channel_name, c.chat_id, c.bot_token_ref, t.secret_name is not null token_found
+from channels c left join (select secret_name from secrets where key = 'botToken') t
+  on c.bot_token_ref = t.secret_name""", ("channels", "secrets"))
+
+_view("res_channels", """
+select r.check_name, cast(r.pos as int) pos, r.channel_ref, ct.chat_id, ct.chat_id is not null channel_found,
+  coalesce(ct.token_found, false) token_found
+from (select check_name, unnest(channel_refs) channel_ref, unnest(range(len(channel_refs))) pos from registry) r
+left join channel_tokens ct on r.channel_ref = ct.channel_name""", ("registry", "channel_tokens"))
+
+_view("merged_secrets", """
+select check_name, key, max(case when rn = 1 and value_valid then value end) value, bool_and(value_valid) all_valid
+from (select r.check_name, s.key, s.value, s.value_valid,
+        row_number() over (partition by r.check_name, s.key order by r.pos desc) rn
+      from (select check_name, unnest(secret_refs) secret_name, unnest(range(len(secret_refs))) pos from registry) r
+      join secrets s using (secret_name))
+group by check_name, key""", ("registry", "secrets"))
+
+_view("unresolved", """
+select distinct * from (
+  select check_name, 'script' ref_kind, script_ref ref_name from res_scripts where not script_found
+  union all select check_name, 'channel', channel_ref from res_channels where not channel_found
+  union all select check_name, 'bot_token', channel_ref from res_channels where channel_found and not token_found
+  union all select check_name, 'secret_utf8', key from merged_secrets where not all_valid)""",
+      ("res_scripts", "res_channels", "merged_secrets"))
+
+
 def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the CTEs for ``names`` (and their dependencies)."""
     order: list[str] = []
