@@ -217,3 +217,83 @@ def impact_secret(spark, d):
 def impact_channel(spark, d):
     changed = fx.channels(spark, d).select(F.col("channel_name").alias("name"))
     return REG.impacted(registry(spark, d), changed, "channel")
+
+
+# -- step 4: mute & alerts ------------------------------------------------------
+
+from vigil.operators import alerts as A  # noqa: E402
+from vigil.operators import mute as M  # noqa: E402
+
+
+@query("mute_state")
+def mute_state(spark, d):
+    reg = registry(spark, d)
+    accepted, _ = M.split_commands(reg, fx.mute_commands(spark, d))
+    return M.mute_state(reg, accepted)
+
+
+@query("mute_rejects")
+def mute_rejects(spark, d):
+    _, rejects = M.split_commands(registry(spark, d), fx.mute_commands(spark, d))
+    return rejects
+
+
+def _submissions(spark, d):
+    subs = A.with_status_name(fx.submissions(spark, d), "status")
+    return A.enrich(subs, resolved(spark, d))
+
+
+@query("submission_enriched")
+def submission_enriched(spark, d):
+    from vigil.functions import perf
+    enriched, _ = _submissions(spark, d)
+    return enriched.select("submission_id", "check_name", "received_at", "status_name",
+                           perf.display_text(F.col("output")).alias("text"),
+                           F.size("channels").cast("bigint").alias("n_channels"),
+                           "mute", "mute_until")
+
+
+@query("submission_rejects")
+def submission_rejects(spark, d):
+    _, rejected = _submissions(spark, d)
+    return rejected.select("submission_id", "check_name")
+
+
+@query("alertable")
+def alertable(spark, d):
+    r = A.with_status_name(fx.results(spark, d), "status_code")
+    j = r.join(registry(spark, d).select("check_name", "mute", "mute_until"), "check_name")
+    return (j.filter(A.should_send(F.col("status_name"), F.col("mute"), F.col("mute_until"), F.col("ts")))
+            .select("event_id", "check_name", F.col("ts").alias("timestamp"), "status_name"))
+
+
+@query("alert_routes")
+def alert_routes(spark, d):
+    r = A.with_status_name(fx.results(spark, d), "status_code")
+    enriched, _ = A.enrich(r, resolved(spark, d))
+    sent = enriched.filter(A.should_send(F.col("status_name"), F.col("mute"), F.col("mute_until"), F.col("ts")))
+    return A.routes(sent).select("event_id", "check_name", F.col("ts").alias("timestamp"), "pos",
+                                 F.col("channel.chat_id").alias("chat_id"))
+
+
+@query("alert_outbox")
+def alert_outbox(spark, d):
+    enriched, _ = _submissions(spark, d)
+    sent = enriched.filter(A.should_send(F.col("status_name"), F.col("mute"), F.col("mute_until"),
+                                         F.col("received_at")))
+    out = A.outbox(A.routes(sent), "received_at", "image_jpg_base64")
+    return out.select("submission_id", "check_name", "pos", "chat_id", "kind", "attachment",
+                      "image_size", "image_error", "message")
+
+
+@query("mute_asof")
+def mute_asof(spark, d):
+    r = A.with_status_name(fx.results(spark, d), "status_code").select(
+        "event_id", "check_name", "ts", "status_name")
+    v = fx.versions(spark, d)
+    j = A.asof_join(r, v, "check_name", "ts", "valid_from", "version_seq",
+                    ["version_seq", "mute", "mute_until"])
+    return j.select("event_id", "check_name", F.col("ts").alias("timestamp"), "version_seq",
+                    F.col("mute").alias("muted"), F.col("mute_until").alias("muted_until"),
+                    A.should_send(F.col("status_name"), F.col("mute"), F.col("mute_until"),
+                                  F.col("ts")).alias("send"))

@@ -120,3 +120,81 @@ join (select distinct secret_name from secrets) s on x.name = s.secret_name""",
 oracle("impact_channel", """
 select distinct x.name, x.check_name from (select unnest(channel_refs) name, check_name from registry) x
 join (select distinct channel_name from channels) s on x.name = s.channel_name""", "registry", "channels")
+
+_ACCEPTED_CMDS = """(select * from mute_commands
+  where check_name in (select check_name from registry) and not (op = 'mute' and bad_until))"""
+
+oracle("mute_state", f"""
+with acc as {_ACCEPTED_CMDS},
+rows as (
+  select check_name, seq, case when op = 'unmute' then null else until_ts end u
+  from acc where op = 'unmute' or until_ts is not null
+  union all
+  select check_name, -9223372036854775808, mute_until from registry where mute_until is not null)
+select g.check_name,
+  case when l.op is null then g.mute else l.op = 'mute' end muted,
+  u.u muted_until, coalesce(n.n, 0) n_commands
+from registry g
+left join (select check_name, op from (select *, row_number() over (partition by check_name order by seq desc) rn
+           from acc) where rn = 1) l using (check_name)
+left join (select check_name, u from (select *, row_number() over (partition by check_name order by seq desc) rn
+           from rows) where rn = 1) u using (check_name)
+left join (select check_name, count(*) n from acc group by check_name) n using (check_name)""",
+       "registry", "mute_commands")
+
+oracle("mute_rejects", """
+select seq, check_name, case when check_name not in (select check_name from registry) then 'unknown_check'
+  else 'bad_until' end reason
+from mute_commands
+where check_name not in (select check_name from registry) or (op = 'mute' and bad_until)""",
+       "registry", "mute_commands")
+
+_RESOLVED = "(select * from registry where check_name not in (select check_name from unresolved))"
+
+oracle("submission_enriched", f"""
+select s.submission_id, s.check_name, s.received_at, {STATUS_NAME.format(c='s.status')} status_name,
+  split_part(s.output, '|', 1) text, cast(len(g.channel_refs) as bigint) n_channels, g.mute, g.mute_until
+from submissions s join {_RESOLVED} g using (check_name)""", "submissions", "registry", "unresolved")
+
+oracle("submission_rejects", f"""
+select submission_id, check_name from submissions
+where check_name not in (select check_name from {_RESOLVED})""", "submissions", "registry", "unresolved")
+
+_SEND = "status_code not in (0, 4) and (not coalesce({m}, false) or coalesce({u} <= {t}, false))"
+
+oracle("alertable", f"""
+select r.event_id, r.check_name, r.ts timestamp, {STATUS_NAME.format(c='r.status_code')} status_name
+from results r join registry g using (check_name)
+where {_SEND.format(m='g.mute', u='g.mute_until', t='r.ts')}""", "results", "registry")
+
+oracle("alert_routes", f"""
+select r.event_id, r.check_name, r.ts timestamp, c.pos, c.chat_id
+from results r join {_RESOLVED} g using (check_name) join res_channels c using (check_name)
+where {_SEND.format(m='g.mute', u='g.mute_until', t='r.ts')}""", "results", "registry", "unresolved",
+       "res_channels")
+
+_ESC = ("replace(replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "
+        "'\"', '&quot;'), '''', '&#x27;'), '/', '&#x2F;')")
+_B64 = r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/][AQgw]==|[A-Za-z0-9+/]{2}[AEIMQUYcgkosw048]=)?$"
+
+oracle("alert_outbox", f"""
+select s.submission_id, s.check_name, c.pos, c.chat_id,
+  case when ok then 'photo' else 'text' end kind,
+  case when ok then concat(s.check_name, '.jpg') end attachment,
+  case when ok then cast(octet_length(from_base64(image_jpg_base64)) as bigint) end image_size,
+  image_jpg_base64 is not null and not ok image_error,
+  concat('<b>Date</b>: ', strftime(s.received_at, '%Y-%m-%d %H:%M:%S'), ' +00:00', chr(10),
+         '<b>Check name</b>: ', s.check_name, ' ', chr(10), '<b>Status</b>: ',
+         {STATUS_NAME.format(c='s.status')}, chr(10), '<b>Output</b>', chr(10), '<pre>',
+         {_ESC.format(x="split_part(s.output, '|', 1)")}, '</pre>') message
+from (select *, status status_code, coalesce(regexp_full_match(image_jpg_base64, '{_B64}'), false) ok
+      from submissions) s
+join {_RESOLVED} g using (check_name) join res_channels c using (check_name)
+where {_SEND.format(m='g.mute', u='g.mute_until', t='s.received_at')}""",
+       "submissions", "registry", "unresolved", "res_channels")
+
+oracle("mute_asof", f"""
+select r.event_id, r.check_name, r.ts timestamp, v.version_seq, v.mute muted, v.mute_until muted_until,
+  {_SEND.format(m='v.mute', u='v.mute_until', t='r.ts')} send
+from results r asof left join versions v on r.check_name = v.check_name and r.ts >= v.valid_from""",
+       "results", "versions")

@@ -175,4 +175,7 @@ def with_views(sql: str, *names: str) -> str:
     for n in names:
         visit(n)
     ctes = ",\n".join(f"{n} AS (\n{VIEWS[n][0]}\n)" for n in order)
-    return f"WITH {ctes}\n{sql.strip()}"
+    body = sql.strip()
+    if body[:5].lower() == "with ":   # merge the query's own CTEs after ours
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"
