@@ -18,12 +18,13 @@ def with_parts(results: DataFrame, output: str = "output") -> DataFrame:
         "entries", perf.metric_entries(o))
 
 
-def stored_results(results: DataFrame, ts: str = "ts", code: str = "status_code") -> DataFrame:
+def stored_results(results: DataFrame, ts: str = "ts", code: str = "status_code",
+                   keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the result table: timestamp, check_name, status, output, event_date.
 
     ``output`` is the display text only; the status code is normalised.
     """
-    return results.select(
+    return results.select(*keep,
         F.col(ts).alias("timestamp"), "check_name",
         status.normalize_code(F.col(code)).alias("status"),
         perf.display_text(F.col("output")).alias("output"),

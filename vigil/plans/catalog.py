@@ -297,3 +297,111 @@ def mute_asof(spark, d):
                     F.col("mute").alias("muted"), F.col("mute_until").alias("muted_until"),
                     A.should_send(F.col("status_name"), F.col("mute"), F.col("mute_until"),
                                   F.col("ts")).alias("send"))
+
+
+# -- step 1 (cont.): stream decode ------------------------------------------------
+
+from vigil.operators import decode as DEC  # noqa: E402
+from vigil.operators import dedup as DD  # noqa: E402
+from vigil.operators import schedule as S  # noqa: E402
+from vigil.sinks import tables as TB  # noqa: E402
+
+AS_OF = "2024-01-31 00:00:00"          # processing time of the batch queries
+LOAD_AT = "2024-01-01 00:00:00"        # registry load time of the schedule
+HORIZON = "2024-01-01 01:00:00"        # schedule horizon (one hour)
+DUE_AT = "2024-01-01 00:30:00"
+FEED_HORIZON = "2024-01-02 00:00:00"   # horizon of the change-feed schedule
+NEXT_N = 20
+
+
+@query("decode_results")
+def decode_results(spark, d):
+    good, _ = DEC.decode_results(fx.result_payloads(spark, d), as_of=AS_OF)
+    return good.select("msg_id", "check_name", "output", "status", "timestamp")
+
+
+@query("decode_rejects")
+def decode_rejects(spark, d):
+    _, rejects = DEC.decode_results(fx.result_payloads(spark, d), as_of=AS_OF)
+    return rejects.select("msg_id", "reason")
+
+
+# -- step 5: schedule -------------------------------------------------------------
+
+def _plan(spark, d):
+    return S.plan(resolved(spark, d), LOAD_AT, HORIZON)
+
+
+@query("schedule_plan")
+def schedule_plan(spark, d):
+    return _plan(spark, d)
+
+
+@query("schedule_plan_versioned")
+def schedule_plan_versioned(spark, d):
+    return S.plan_versioned(fx.spec_feed(spark, d), FEED_HORIZON)
+
+
+@query("due_runs")
+def due_runs(spark, d):
+    return S.due(_plan(spark, d), DUE_AT).select("check_name", "run_at")
+
+
+@query("next_due")
+def next_due(spark, d):
+    return S.next_due(_plan(spark, d), NEXT_N).select("check_name", "run_at")
+
+
+@query("task_payloads")
+def task_payloads(spark, d):
+    from vigil.schemas import TASK_MESSAGE
+    res = resolved(spark, d)
+    tasks = S.task_payloads(S.due(_plan(spark, d), DUE_AT).select("check_name", "run_at"), res)
+    t = F.from_json("payload", TASK_MESSAGE.simpleString().replace("bot_token", "channel_name"))
+    p = tasks.select("check_name", "run_at", t.alias("t"))
+    return p.select("check_name", "run_at", F.col("t.passive").alias("passive"),
+                    F.col("t.interval").alias("interval"),
+                    F.col("t.script.content").alias("script_content"),
+                    F.when(F.col("t.secrets").isNotNull(), F.size(F.map_keys("t.secrets")).cast("bigint"))
+                    .alias("n_secrets"),
+                    F.size("t.telegram_channels").cast("bigint").alias("n_channels"),
+                    F.col("t.mute_notifications").alias("mute"))
+
+
+# -- step 6: tables ----------------------------------------------------------------
+
+def _dedup(spark, d):
+    st = R.stored_results(fx.results_with_replays(spark, d), keep=("arrival",))
+    return DD.dedup_results(st)
+
+
+@query("result_dedup")
+def result_dedup(spark, d):
+    kept, _ = _dedup(spark, d)
+    return kept.select("arrival", "check_name", "timestamp", F.col("status").cast("int").alias("status"),
+                       "output")
+
+
+@query("result_duplicates")
+def result_duplicates(spark, d):
+    _, dups = _dedup(spark, d)
+    return dups.select("arrival", "check_name", "timestamp")
+
+
+@query("perf_dedup")
+def perf_dedup(spark, d):
+    r = fx.results_with_replays(spark, d)
+    kept, _ = DD.dedup_results(r.withColumnRenamed("ts", "timestamp"))
+    dups = DD.metric_duplicates(kept, ts="timestamp")
+    return dups.withColumn("perf_value", F.col("perf_value").cast("double"))
+
+
+@query("retention_rows")
+def retention_rows(spark, d):
+    return TB.retention_rows(stored(spark, d), AS_OF).select(
+        "check_name", "timestamp", F.col("status").cast("int").alias("status"), "output")
+
+
+@query("retention_chunks")
+def retention_chunks(spark, d):
+    return TB.retention_chunks(stored(spark, d), AS_OF)

@@ -198,3 +198,76 @@ select r.event_id, r.check_name, r.ts timestamp, v.version_seq, v.mute muted, v.
   {_SEND.format(m='v.mute', u='v.mute_until', t='r.ts')} send
 from results r asof left join versions v on r.check_name = v.check_name and r.ts >= v.valid_from""",
        "results", "versions")
+
+_BROKEN = "(event_id % 23 = 0 or event_id % 29 = 0 or event_id % 31 = 0)"
+
+oracle("decode_results", f"""
+select event_id msg_id, check_name, output, {STATUS_NAME.format(c='status_code')} status, ts timestamp
+from results where not {_BROKEN}""", "results")
+
+oracle("decode_rejects", """
+select event_id msg_id, case when event_id % 23 = 0 then 'invalid_json' when event_id % 29 = 0 then 'bad_output'
+  else 'bad_check_name' end reason
+from results where event_id % 23 = 0 or event_id % 29 = 0 or event_id % 31 = 0""", "results")
+
+_PLAN = f"""(select check_name, k run_index, timestamp '2024-01-01 00:00:00' + to_seconds(k * check_interval) run_at
+  from (select check_name, check_interval,
+               unnest(range(1, cast(floor(3600 / check_interval) as bigint) + 1)) k
+        from {_RESOLVED} where not coalesce(passive, false) and check_interval > 0))"""
+
+oracle("schedule_plan", f"select * from {_PLAN}", "registry", "unresolved")
+oracle("due_runs", f"select check_name, run_at from {_PLAN} where run_at <= timestamp '2024-01-01 00:30:00'",
+       "registry", "unresolved")
+oracle("next_due", f"select check_name, run_at from {_PLAN} order by run_at, check_name limit 20",
+       "registry", "unresolved")
+
+oracle("task_payloads", f"""
+select p.check_name, p.run_at, g.passive, g.check_interval interval, s.script_content,
+  case when g.secret_refs is not null then coalesce(m.n, 0) end n_secrets,
+  cast(len(g.channel_refs) as bigint) n_channels, g.mute
+from {_PLAN} p join {_RESOLVED} g using (check_name)
+left join res_scripts s using (check_name)
+left join (select check_name, count(*) n from merged_secrets group by check_name) m using (check_name)
+where p.run_at <= timestamp '2024-01-01 00:30:00'""", "registry", "unresolved", "res_scripts", "merged_secrets")
+
+_REPLAYED = """(select event_id arrival, ts, check_name, status_code, output from results
+  union all
+  select event_id - 1000000000, ts, check_name, status_code, concat(output, ',k=0') from results
+  where status_code = 1)"""
+
+oracle("result_dedup", f"""
+select arrival, check_name, ts timestamp, case when status_code in (0, 1, 2, 4) then status_code else 3 end status,
+  split_part(output, '|', 1) output
+from (select *, row_number() over (partition by check_name, ts order by arrival) rn from {_REPLAYED})
+where rn = 1""", "results")
+
+oracle("result_duplicates", f"""
+select arrival, check_name, ts timestamp
+from (select *, row_number() over (partition by check_name, ts order by arrival) rn from {_REPLAYED})
+where rn > 1""", "results")
+
+oracle("perf_dedup", f"""
+with kept as (select * from (select *, row_number() over (partition by check_name, ts order by arrival) rn
+                             from {_REPLAYED}) where rn = 1),
+toks as (select *, unnest(toks) tok, unnest(range(len(toks))) pos0
+         from (select *, list_filter(string_split(case when strpos(output, '|') > 0
+                 then substr(output, strpos(output, '|') + 1) else '' end, ','),
+                 lambda x: strpos(x, '=') > 0) toks from kept)),
+m as (select ts, check_name, arrival, cast(pos0 as int) pos, trim(split_part(tok, '=', 1)) perf_key,
+        cast(coalesce(try_cast(trim(substr(tok, strpos(tok, '=') + 1)) as float), 0.0) as double) perf_value
+      from toks)
+select ts timestamp, check_name, pos, perf_key, perf_value from (
+  select *, row_number() over (partition by arrival, perf_key order by pos) r from m) where r > 1""",
+       "results")
+
+oracle("retention_rows", """
+select check_name, timestamp, cast(status as int) status, output from stored
+where timestamp >= timestamp '2024-01-31 00:00:00' - interval 7 day""", "stored")
+
+oracle("retention_chunks", """
+select chunk_id, timestamp '1970-01-01 00:00:00' + to_seconds(chunk_id * 604800) chunk_start,
+  timestamp '1970-01-01 00:00:00' + to_seconds((chunk_id + 1) * 604800) chunk_end, count(*) n_rows,
+  timestamp '1970-01-01 00:00:00' + to_seconds((chunk_id + 1) * 604800)
+    <= timestamp '2024-01-31 00:00:00' - interval 7 day dropped
+from (select cast(floor(epoch(timestamp) / 604800) as bigint) chunk_id from stored)
+group by chunk_id""", "stored")

@@ -173,3 +173,48 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("event_id").alias("submission_id"), F.col("ts").alias("received_at"),
                     "check_name", "output", F.col("status_code").alias("status"),
                     "image_jpg_base64"))
+
+
+REPLAY_OFFSET = 1_000_000_000
+
+
+def results_with_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results plus an earlier-arriving replay of every Warning result.
+
+    A replay has the same (check_name, ts), arrives first and repeats the
+    metric key ``k`` — so it wins result de-duplication and carries a
+    duplicate metric key. Columns: arrival, event_id, ts, check_name,
+    status_code, output.
+    """
+    r = results(spark, sf_dir).withColumn("arrival", F.col("event_id"))
+    replays = (r.filter(F.col("status_code") == 1)
+               .withColumn("arrival", F.col("event_id") - REPLAY_OFFSET)
+               .withColumn("output", F.concat(F.col("output"), F.lit(",k=0"))))
+    return r.unionByName(replays)
+
+
+def result_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result stream: msg_id, payload (JSON). Some records are broken:
+    truncated JSON, a missing ``output``, a numeric ``check_name``."""
+    from vigil.functions.status import code_to_status
+    from vigil.operators.decode import encode_result
+    e = table(spark, sf_dir, "events").select(*_result_columns(), "user_id")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    name = code_to_status(F.col("status_code"))
+    fmt = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+    chans = F.when(uid % 2 == 0, F.array(F.struct(
+        F.concat(F.lit("-100"), _s(uid % 10)).alias("chat_id"), F.lit("tok").alias("bot_token")))
+    ).otherwise(F.array().cast("array<struct<chat_id:string,bot_token:string>>"))
+    good = encode_result(F.col("check_name"), F.col("output"), name, F.col("ts"), chans,
+                         F.lit(None).cast("boolean"), F.lit(None).cast("timestamp_ntz"))
+    no_output = F.to_json(F.struct(F.col("check_name"), name.alias("status"),
+                                   F.date_format("ts", fmt).alias("timestamp"),
+                                   chans.alias("telegram_channels")))
+    numeric_name = F.to_json(F.struct(uid.alias("check_name"), F.col("output"), name.alias("status"),
+                                      F.date_format("ts", fmt).alias("timestamp"),
+                                      chans.alias("telegram_channels")))
+    payload = (F.when(eid % 23 == 0, F.expr("substring(payload_good, 1, length(payload_good) - 5)"))
+               .when(eid % 29 == 0, no_output).when(eid % 31 == 0, numeric_name)
+               .otherwise(F.col("payload_good")))
+    return (e.withColumn("payload_good", good)
+            .select(eid.alias("msg_id"), payload.alias("payload")))
