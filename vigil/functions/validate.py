@@ -16,21 +16,18 @@ def parse_rfc3339(text: Column) -> Column:
     """RFC 3339 text -> TIMESTAMP_NTZ in UTC (µs; finer digits truncate).
 
     Null when the text is not RFC 3339 or names an impossible date/time.
-    Independent of the session time zone.
+    One validating regex, then a cast of the local part and an offset shift;
+    independent of the session time zone.
     """
-    def g(i):
-        return F.regexp_extract(text, RFC3339, i)
-
-    frac = F.substring(F.concat(g(7), F.lit("0000000")), 1, 7)  # '.' + 6 digits
-    seconds = F.concat(g(6), frac).try_cast("decimal(8,6)")
-    local = F.try_make_timestamp_ntz(g(1).try_cast("int"), g(2).try_cast("int"),
-                                     g(3).try_cast("int"), g(4).try_cast("int"),
-                                     g(5).try_cast("int"), seconds)
-    sign = F.when(g(9) == "-", F.lit(-1)).otherwise(F.lit(1))
-    offset_min = F.when(F.upper(g(8)) == "Z", F.lit(0)).otherwise(
-        sign * (g(10).try_cast("int") * 60 + g(11).try_cast("int")))
+    local = F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8),
+                     F.regexp_extract(text, r"^.{19}(\.[0-9]{1,6})?", 1))
+    tail = F.substring(text, -6, 6)
+    zulu = F.upper(F.substring(text, -1, 1)) == "Z"
+    sign = F.when(tail.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    offset_min = F.when(zulu, F.lit(0)).otherwise(
+        sign * (tail.substr(2, 2).try_cast("int") * 60 + tail.substr(5, 2).try_cast("int")))
     return F.when(text.rlike(RFC3339),
-                  F.timestamp_add("MINUTE", -offset_min, local))
+                  F.timestamp_add("MINUTE", -offset_min, local.try_cast("timestamp_ntz")))
 
 
 def rejects_rfc3339(text: Column) -> Column:

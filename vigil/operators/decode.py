@@ -37,27 +37,32 @@ def _type(v: Column, path: str) -> Column:
 
 
 def decode_results(records: DataFrame, payload: str = "payload", as_of: str | None = None):
-    """B1 + C4: (decoded, rejects(msg_id..., reason)).
+    """B1 + C4: (decoded, rejects(<input columns>, reason)).
 
-    ``decoded`` has check_name, output, status, status_code, timestamp
-    (NTZ, UTC; missing -> ``as_of``), telegram_channels, mute_notifications,
-    mute_notifications_until and every other input column.
+    ``decoded`` has the input columns plus check_name, output, status,
+    status_code, timestamp (NTZ, UTC; missing -> ``as_of``),
+    telegram_channels, mute_notifications, mute_notifications_until.
+
+    The payload is parsed once; the typed row is built inside a generator
+    (``inline``) so the optimizer cannot push the good/reject filter below it
+    and re-parse the JSON once per field test.
     """
-    v = F.try_parse_json(F.col(payload))
-    df = records.withColumn("_v", v)
+    cols = records.columns
+    parsed = (records.select(*cols, F.try_parse_json(F.col(payload)).alias("_v"))
+              .select(*cols, "_v",
+                      F.try_variant_get("_v", "$.timestamp", "string").alias("_ts"),
+                      F.try_variant_get("_v", "$.mute_notifications_until", "string").alias("_until"),
+                      F.try_variant_get("_v", "$.status", "string").alias("_st")))
     vv = F.col("_v")
     t = lambda p: _type(vv, p)
     optional = lambda p, ok: t(p).isNull() | (t(p) == "VOID") | ok
     chans = F.try_variant_get(vv, "$.telegram_channels", _CHANNELS_T)
-    ts_text = F.try_variant_get(vv, "$.timestamp", "string")
-    until_text = F.try_variant_get(vv, "$.mute_notifications_until", "string")
+    ts_text, until_text, st = F.col("_ts"), F.col("_until"), F.col("_st")
     checks = [
         ("invalid_json", vv.isNull() | ~F.schema_of_variant(vv).startswith("OBJECT")),
         ("bad_check_name", F.coalesce(t("$.check_name") != "STRING", F.lit(True))),
         ("bad_output", F.coalesce(t("$.output") != "STRING", F.lit(True))),
-        ("bad_status", ~F.coalesce((t("$.status") == "STRING")
-                                   & F.try_variant_get(vv, "$.status", "string").isin(*STATUS_NAMES),
-                                   F.lit(False))),
+        ("bad_status", ~F.coalesce((t("$.status") == "STRING") & st.isin(*STATUS_NAMES), F.lit(False))),
         ("bad_channels", ~F.coalesce(t("$.telegram_channels").startswith("ARRAY") & chans.isNotNull()
                                      & F.forall(chans, lambda c: c["chat_id"].isNotNull()
                                                 & c["bot_token"].isNotNull()), F.lit(False))),
@@ -70,13 +75,9 @@ def decode_results(records: DataFrame, payload: str = "payload", as_of: str | No
     ]
     reason = reduce(lambda acc, c: acc.when(c[1], F.lit(c[0])),
                     checks[1:], F.when(checks[0][1], F.lit(checks[0][0])))
-    tagged = df.withColumn("_reason", reason)
-    rejects = tagged.filter(F.col("_reason").isNotNull()).select(
-        *records.columns, F.col("_reason").alias("reason"))
     stamp = F.lit(as_of).cast("timestamp_ntz") if as_of else F.localtimestamp()
-    st = F.try_variant_get(vv, "$.status", "string")
-    good = tagged.filter(F.col("_reason").isNull()).select(
-        *records.columns,
+    row = F.struct(
+        reason.alias("_reason"),
         F.try_variant_get(vv, "$.check_name", "string").alias("check_name"),
         F.try_variant_get(vv, "$.output", "string").alias("output"),
         st.alias("status"),
@@ -85,6 +86,10 @@ def decode_results(records: DataFrame, payload: str = "payload", as_of: str | No
         chans.alias("telegram_channels"),
         F.try_variant_get(vv, "$.mute_notifications", "boolean").alias("mute_notifications"),
         parse_rfc3339(until_text).alias("mute_notifications_until"))
+    tagged = parsed.select(*cols, F.inline(F.array(row)))
+    rejects = tagged.filter(F.col("_reason").isNotNull()).select(
+        *cols, F.col("_reason").alias("reason"))
+    good = tagged.filter(F.col("_reason").isNull()).drop("_reason")
     return good, rejects
 
 

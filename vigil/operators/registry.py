@@ -1,5 +1,10 @@
 """Check registry: validation, change-feed fold, reference resolution and
-impact analysis (A1-A3, B6-B8, B11, H1, D1-D5, D9-D11)."""
+impact analysis (A1-A3, B6-B8, B11, H1, D1-D5, D9-D11).
+
+Dimension joins carry no broadcast hint: Spark broadcasts a side only when
+its size (file statistics, or AQE's runtime measurement) is under
+``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import status, validate
-from vigil.operators.joins import bounded_broadcast
 from vigil.schemas import BOT_TOKEN_KEY, SCRIPT_LANGUAGES
 
 
@@ -57,24 +61,27 @@ def validate_channels(channels: DataFrame):
     return _split_by_reasons(channels, checks, "channel_name")
 
 
-def fold_changes(feed: DataFrame) -> DataFrame:
+def fold_changes(feed: DataFrame, keep_tombstones: bool = False) -> DataFrame:
     """H1: last event per check wins; a final Remove drops the check.
 
     One partial aggregation (max over a struct led by ``seq``), so a check with
-    a huge share of events never lands whole in one task.
+    a huge share of events never lands whole in one task. With
+    ``keep_tombstones`` the Remove rows stay (column ``op``), so an
+    incremental fold stays correct when older events arrive later.
     """
     cols = [c for c in feed.columns if c not in ("seq", "op", "check_name")]
     last = F.max(F.struct("seq", "op", *cols)).alias("l")
-    return (feed.groupBy("check_name").agg(last)
-            .filter(F.col("l.op") != "Remove")
+    folded = feed.groupBy("check_name").agg(last)
+    if keep_tombstones:
+        return folded.select("check_name", "l.seq", "l.op", *[f"l.{c}" for c in cols])
+    return (folded.filter(F.col("l.op") != "Remove")
             .select("check_name", "l.seq", *[f"l.{c}" for c in cols]))
 
 
 def resolve_scripts(registry: DataFrame, scripts: DataFrame) -> DataFrame:
     """Check -> script. A null ref is fine; a dangling ref is unresolved."""
-    dim = bounded_broadcast(scripts.select(F.col("script_name").alias("script_ref"),
-                                           F.col("content").alias("script_content"),
-                                           "language_label"))
+    dim = scripts.select(F.col("script_name").alias("script_ref"),
+                         F.col("content").alias("script_content"), "language_label")
     return (registry.select("check_name", "script_ref").join(dim, "script_ref", "left")
             .select("check_name", "script_ref", "script_content", "language_label",
                     (F.col("script_ref").isNull() | F.col("script_content").isNotNull())
@@ -83,9 +90,8 @@ def resolve_scripts(registry: DataFrame, scripts: DataFrame) -> DataFrame:
 
 def resolve_bot_tokens(channels: DataFrame, secrets: DataFrame) -> DataFrame:
     """D3: channel -> secret named by bot_token_ref, key botToken (lossy UTF-8)."""
-    tokens = bounded_broadcast(
-        secrets.filter(F.col("key") == BOT_TOKEN_KEY)
-        .select(F.col("secret_name").alias("bot_token_ref"), F.col("value").alias("token")))
+    tokens = (secrets.filter(F.col("key") == BOT_TOKEN_KEY)
+              .select(F.col("secret_name").alias("bot_token_ref"), F.col("value").alias("token")))
     return (channels.join(tokens, "bot_token_ref", "left")
             .select("channel_name", "chat_id", "bot_token_ref",
                     validate.lossy_utf8(F.col("token")).alias("bot_token"),
@@ -95,8 +101,7 @@ def resolve_bot_tokens(channels: DataFrame, secrets: DataFrame) -> DataFrame:
 def resolve_channels(registry: DataFrame, channel_tokens: DataFrame) -> DataFrame:
     """One row per (check, ref position); order kept, duplicates kept."""
     refs = registry.select("check_name", F.posexplode("channel_refs").alias("pos", "channel_ref"))
-    dim = bounded_broadcast(channel_tokens.select(
-        F.col("channel_name").alias("channel_ref"), "chat_id", "token_found"))
+    dim = channel_tokens.select(F.col("channel_name").alias("channel_ref"), "chat_id", "token_found")
     return (refs.join(dim, "channel_ref", "left")
             .select("check_name", "pos", "channel_ref", "chat_id",
                     F.col("chat_id").isNotNull().alias("channel_found"),
@@ -111,7 +116,7 @@ def merge_secrets(registry: DataFrame, secrets: DataFrame) -> DataFrame:
     (that makes the whole check unresolvable, B11).
     """
     refs = registry.select("check_name", F.posexplode("secret_refs").alias("pos", "secret_name"))
-    fetched = refs.join(bounded_broadcast(secrets), "secret_name", "inner").withColumn(
+    fetched = refs.join(secrets, "secret_name", "inner").withColumn(
         "text", validate.strict_utf8(F.col("value")))
     return (fetched.groupBy("check_name", "key")
             .agg(F.max(F.struct("pos", "text")).alias("w"),
@@ -137,18 +142,27 @@ def unresolved_refs(scripts_res: DataFrame, channels_res: DataFrame,
 
 def resolved_checks(registry: DataFrame, scripts_res: DataFrame, channels_res: DataFrame,
                     secrets_merged: DataFrame) -> DataFrame:
-    """One nested record per resolvable check (no bot tokens in rows, S13)."""
-    bad = unresolved_refs(scripts_res, channels_res, secrets_merged).select("check_name")
+    """One nested record per resolvable check (no bot tokens in rows, S13).
+
+    Channel and secret resolutions are each folded to one row per check
+    (carrying an all-resolved flag), so the final assembly is a chain of
+    joins on check_name over co-partitioned inputs — no separate
+    unresolved-refs pass.
+    """
     chans = (channels_res.groupBy("check_name").agg(
         F.array_sort(F.collect_list(F.struct("pos", "chat_id", F.col("channel_ref").alias("channel_name"))))
-        .alias("c"))
-        .select("check_name", F.transform("c", lambda x: F.struct(
+        .alias("c"),
+        F.min(F.col("channel_found") & F.col("token_found")).alias("channels_ok"))
+        .select("check_name", "channels_ok", F.transform("c", lambda x: F.struct(
             x["chat_id"].alias("chat_id"), x["channel_name"].alias("channel_name"))).alias("channels")))
     secs = (secrets_merged.groupBy("check_name")
-            .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("secret_map")))
-    base = registry.join(bad, "check_name", "left_anti")
-    j = (base.join(scripts_res.select("check_name", "script_content"), "check_name", "left")
-         .join(chans, "check_name", "left").join(secs, "check_name", "left"))
+            .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("secret_map"),
+                 F.min("all_valid").alias("secrets_ok")))
+    j = (registry.join(scripts_res.select("check_name", "script_content", "script_found"), "check_name", "left")
+         .join(chans, "check_name", "left").join(secs, "check_name", "left")
+         .filter(F.coalesce(F.col("script_found"), F.lit(True))
+                 & F.coalesce(F.col("channels_ok"), F.lit(True))
+                 & F.coalesce(F.col("secrets_ok"), F.lit(True))))
     empty_chans = F.array().cast("array<struct<chat_id:string,channel_name:string>>")
     # null refs -> null map; empty refs -> empty map
     secrets_col = (F.when(F.col("secret_refs").isNull(), F.lit(None))

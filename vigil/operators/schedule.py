@@ -10,15 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def _epoch():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def _secs(ts: Column) -> Column:
-    return F.timestamp_diff("SECOND", _EPOCH, ts)
+    return F.timestamp_diff("SECOND", _epoch(), ts)
 
 
 def _ts(secs: Column) -> Column:
-    return F.timestamp_add("SECOND", secs, _EPOCH)
+    return F.timestamp_add("SECOND", secs, _epoch())
 
 
 def schedulable(checks: DataFrame) -> DataFrame:

@@ -405,3 +405,50 @@ def retention_rows(spark, d):
 @query("retention_chunks")
 def retention_chunks(spark, d):
     return TB.retention_chunks(stored(spark, d), AS_OF)
+
+
+# -- step 6 (cont.): streaming and layout -------------------------------------------
+
+from vigil.session import scratch_path  # noqa: E402
+from vigil.streaming import ingest as ING  # noqa: E402
+
+STREAM_FILES = 4
+
+
+@query("ingest_stream")
+def ingest_stream(spark, d):
+    """K1: the result stream ingested micro-batch by micro-batch; returns the
+    stored result table read back."""
+    base = scratch_path(spark, "ingest")
+    src = f"{base}/source"
+    fx.result_payloads(spark, d).repartition(STREAM_FILES).write.json(src)
+    q = ING.start_ingest(spark, src, f"{base}/tables", f"{base}/checkpoint", registry(spark, d),
+                         as_of=AS_OF, max_files_per_trigger=2)
+    q.awaitTermination()
+    t = spark.read.parquet(f"{base}/tables/check_result")
+    return t.select("check_name", "timestamp", F.col("status").cast("int").alias("status"), "output")
+
+
+@query("registry_stream")
+def registry_stream(spark, d):
+    """A2 + H1 streaming: the change feed folded batch by batch."""
+    base = scratch_path(spark, "registry")
+    src = f"{base}/source"
+    fx.spec_feed(spark, d).repartition(STREAM_FILES).write.json(src)
+    q = ING.start_registry_stream(spark, src, f"{base}/state", f"{base}/checkpoint",
+                                  max_files_per_trigger=1)
+    q.awaitTermination()
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    return ING.registry_state(spark, f"{base}/state", last).select(
+        "check_name", "seq", "changed_at", "passive", "check_interval")
+
+
+@query("layout_compacted")
+def layout_compacted(spark, d):
+    """Write the result table in its compacted layout and read it back
+    with a pruned per-date summary."""
+    path = scratch_path(spark, "compacted")
+    TB.compact(stored(spark, d), path)
+    t = spark.read.parquet(path)
+    return t.groupBy("event_date").agg(F.count(F.lit(1)).alias("n_rows"),
+                                       F.countDistinct("check_name").alias("n_checks"))

@@ -271,3 +271,17 @@ select chunk_id, timestamp '1970-01-01 00:00:00' + to_seconds(chunk_id * 604800)
     <= timestamp '2024-01-31 00:00:00' - interval 7 day dropped
 from (select cast(floor(epoch(timestamp) / 604800) as bigint) chunk_id from stored)
 group by chunk_id""", "stored")
+
+oracle("ingest_stream", f"""
+select check_name, ts timestamp, case when status_code in (0, 1, 2, 4) then status_code else 3 end status,
+  split_part(output, '|', 1) output
+from results where not {_BROKEN} and check_name in (select check_name from registry)""", "results", "registry")
+
+oracle("registry_stream", """
+select check_name, seq, changed_at, passive, check_interval from (
+  select *, row_number() over (partition by check_name order by seq desc) rn from spec_feed)
+where rn = 1 and op <> 'Remove'""", "spec_feed")
+
+oracle("layout_compacted", """
+select cast(timestamp as date) event_date, count(*) n_rows, count(distinct check_name) n_checks
+from stored group by 1""", "stored")

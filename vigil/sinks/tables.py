@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from vigil import schemas
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def _epoch():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def create_tables(spark: SparkSession, base: str) -> dict[str, str]:
@@ -36,7 +37,7 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def with_chunk(df: DataFrame, ts: str = "timestamp",
                chunk_seconds: int = schemas.CHUNK_SECONDS) -> DataFrame:
     """K8: chunk id = floor(epoch seconds / chunk length) (7 days)."""
-    secs = F.timestamp_diff("SECOND", _EPOCH, F.col(ts))
+    secs = F.timestamp_diff("SECOND", _epoch(), F.col(ts))
     return df.withColumn("chunk_id", F.floor(secs / chunk_seconds).cast("bigint"))
 
 
@@ -55,8 +56,8 @@ def retention_chunks(df: DataFrame, as_of: str, ts: str = "timestamp",
     cutoff = F.timestamp_add("SECOND", F.lit(-keep_seconds), F.lit(as_of).cast("timestamp_ntz"))
     chunks = with_chunk(df, ts, chunk_seconds).groupBy("chunk_id").agg(
         F.count(F.lit(1)).alias("n_rows"))
-    start = F.timestamp_add("SECOND", F.col("chunk_id") * chunk_seconds, _EPOCH)
-    end = F.timestamp_add("SECOND", (F.col("chunk_id") + 1) * chunk_seconds, _EPOCH)
+    start = F.timestamp_add("SECOND", F.col("chunk_id") * chunk_seconds, _epoch())
+    end = F.timestamp_add("SECOND", (F.col("chunk_id") + 1) * chunk_seconds, _epoch())
     return chunks.select("chunk_id", start.alias("chunk_start"), end.alias("chunk_end"), "n_rows",
                          (end <= cutoff).alias("dropped"))
 
