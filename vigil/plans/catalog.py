@@ -452,3 +452,75 @@ def layout_compacted(spark, d):
     t = spark.read.parquet(path)
     return t.groupBy("event_date").agg(F.count(F.lit(1)).alias("n_rows"),
                                        F.countDistinct("check_name").alias("n_checks"))
+
+
+# -- step 7: user checks ----------------------------------------------------------------
+
+from vigil.operators import checks as CK  # noqa: E402
+
+CHECK_PREFIX = "supplier-returns-"
+
+
+def _returns_aggs():
+    return [F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r")]
+
+
+def _returns_python(pdf, params):
+    """The same check written as a user Python function over aggregates."""
+    import numpy as np
+    n, r = pdf["n"].astype("int64"), pdf["r"].astype("int64")
+    code = np.where(r * 100 >= n * params["critical"], 2, np.where(r * 100 >= n * params["warning"], 1, 0))
+    text = "returns " + r.astype(str) + "/" + n.astype(str)
+    return pd_frame(exit_code=code, output=text + "|returned=" + r.astype(str) + ",total=" + n.astype(str))
+
+
+def _returns_python_flaky(pdf, params):
+    if (pdf["r"] % 7 == 0).any():
+        raise ValueError("returned count divisible by 7")
+    return _returns_python(pdf, params)
+
+
+def pd_frame(**cols):
+    import pandas as pd
+    return pd.DataFrame(cols)
+
+
+RETURN_LEVELS = {"warning": 33, "critical": 35}   # percent of returned lines
+
+
+def _check_columns(res):
+    m = perf.metric_map(perf.first_per_key(F.col("entries")))
+    return res.select("check_name", "status_name", "text", "is_error",
+                      m["returned"].cast("double").alias("metric_returned"),
+                      m["total"].cast("double").alias("metric_total"))
+
+
+from vigil.functions import perf  # noqa: E402
+
+
+@query("checks_sql")
+def checks_sql(spark, d):
+    li = fx.table(spark, d, "lineitem")
+    n, r = F.col("n"), F.col("r")
+    code = (F.when(r * 100 >= n * RETURN_LEVELS["critical"], 2)
+            .when(r * 100 >= n * RETURN_LEVELS["warning"], 1).otherwise(0))
+    out = F.concat(F.lit("returns "), r.cast("string"), F.lit("/"), n.cast("string"),
+                   F.lit("|returned="), r.cast("string"), F.lit(",total="), n.cast("string"))
+    ck = CK.sql_checks(li, "l_suppkey", CHECK_PREFIX, _returns_aggs(), code, out)
+    return _check_columns(CK.to_results(ck, AS_OF))
+
+
+@query("checks_python")
+def checks_python(spark, d):
+    li = fx.table(spark, d, "lineitem")
+    ck = CK.python_checks(li, "l_suppkey", CHECK_PREFIX, _returns_aggs(), _returns_python,
+                          params=RETURN_LEVELS)
+    return _check_columns(CK.to_results(ck, AS_OF))
+
+
+@query("checks_errors")
+def checks_errors(spark, d):
+    li = fx.table(spark, d, "lineitem")
+    ck = CK.python_checks(li, "l_suppkey", CHECK_PREFIX, _returns_aggs(), _returns_python_flaky,
+                          params=RETURN_LEVELS, errors="side")
+    return CK.to_results(ck, AS_OF).select("check_name", "status_name", "is_error")

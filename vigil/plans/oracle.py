@@ -285,3 +285,17 @@ where rn = 1 and op <> 'Remove'""", "spec_feed")
 oracle("layout_compacted", """
 select cast(timestamp as date) event_date, count(*) n_rows, count(distinct check_name) n_checks
 from stored group by 1""", "stored")
+
+_RETURNS = """(select l_suppkey, count(*) n, count(*) filter (where l_returnflag = 'R') r from lineitem group by l_suppkey)"""
+_RET_STATUS = "case when r * 100 >= n * 35 then 'Critical' when r * 100 >= n * 33 then 'Warning' else 'Ok' end"
+
+for _name in ("checks_sql", "checks_python"):
+    oracle(_name, f"""
+select concat('supplier-returns-', l_suppkey) check_name, {_RET_STATUS} status_name,
+  concat('returns ', r, '/', n) text, false is_error, cast(r as double) metric_returned, cast(n as double) metric_total
+from {_RETURNS}""")
+
+oracle("checks_errors", f"""
+select concat('supplier-returns-', l_suppkey) check_name,
+  case when r % 7 = 0 then 'CheckError' else {_RET_STATUS} end status_name, r % 7 = 0 is_error
+from {_RETURNS}""")

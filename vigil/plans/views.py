@@ -176,6 +176,8 @@ def with_views(sql: str, *names: str) -> str:
         visit(n)
     ctes = ",\n".join(f"{n} AS (\n{VIEWS[n][0]}\n)" for n in order)
     body = sql.strip()
+    if not order:
+        return body
     if body[:5].lower() == "with ":   # merge the query's own CTEs after ours
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

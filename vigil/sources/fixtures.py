@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.sources.tables import table
+from vigil.sources.tables import table  # noqa: F401 (re-exported)
 
 # Fixed parameters of the derived data.
 EPOCH = "2024-01-01 00:00:00"        # start of the result period
