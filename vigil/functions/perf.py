@@ -18,12 +18,17 @@ FLOAT_GRAMMAR = (r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0
                  r"|(?i:inf|infinity|nan))$")
 SIGNED_NAN = r"^[+-]?(?i:nan)$"
 EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Unicode White_Space characters, the set trimmed from keys and values.
+WHITE_SPACE = ("\u0009\u000a\u000b\u000c\u000d\u0020\u0085\u00a0\u1680"
+               "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
 
 _MAX_LEN = 2 ** 31 - 1
 
 
 def unicode_trim(c: Column) -> Column:
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    """Strip Unicode white space at both ends (no regex: a character-set trim)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def _after_first(c: Column, sep: str) -> Column:
@@ -49,22 +54,31 @@ def parse_f32(text: Column) -> Column:
             .otherwise(text.try_cast("float")))
 
 
+def kept_tokens(output: Column) -> Column:
+    """The ``k=v`` tokens of the metric text, in order."""
+    return F.filter(F.split(metric_text(output), ",", -1), lambda t: F.instr(t, "=") > 0)
+
+
+def token_key(tok: Column) -> Column:
+    return unicode_trim(F.substring_index(tok, "=", 1))
+
+
+def token_value_text(tok: Column) -> Column:
+    return unicode_trim(_after_first(tok, "="))
+
+
 def metric_entries(output: Column) -> Column:
     """array<struct<pos int, perf_key string, perf_value float, parse_ok boolean>>
 
     ``pos`` is the 0-based position among the kept ``k=v`` tokens.
     """
-    tokens = F.split(metric_text(output), ",", -1)
-    kept = F.filter(tokens, lambda t: F.instr(t, "=") > 0)
-    split = F.transform(kept, lambda t, i: F.struct(
-        i.alias("pos"),
-        unicode_trim(F.substring_index(t, "=", 1)).alias("perf_key"),
-        unicode_trim(_after_first(t, "=")).alias("vtext")))
+    split = F.transform(kept_tokens(output), lambda t, i: F.struct(
+        i.alias("pos"), token_key(t).alias("perf_key"), parse_f32(token_value_text(t)).alias("pf")))
     return F.transform(split, lambda e: F.struct(
         e["pos"].alias("pos"),
         e["perf_key"].alias("perf_key"),
-        F.coalesce(parse_f32(e["vtext"]), F.lit(0.0).cast("float")).alias("perf_value"),
-        parse_f32(e["vtext"]).isNotNull().alias("parse_ok")))
+        F.coalesce(e["pf"], F.lit(0.0).cast("float")).alias("perf_value"),
+        e["pf"].isNotNull().alias("parse_ok")))
 
 
 def first_per_key(entries: Column) -> Column:

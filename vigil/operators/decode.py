@@ -43,12 +43,15 @@ def decode_results(records: DataFrame, payload: str = "payload", as_of: str | No
     status_code, timestamp (NTZ, UTC; missing -> ``as_of``),
     telegram_channels, mute_notifications, mute_notifications_until.
 
-    The payload is parsed once; the typed row is built inside a generator
-    (``inline``) so the optimizer cannot push the good/reject filter below it
-    and re-parse the JSON once per field test.
+    The payload is parsed once, inside a one-row generator that predicate
+    pushdown cannot cross; field tests and extraction then run as ordinary
+    (codegen'd) projections over the parsed VARIANT.
     """
     cols = records.columns
-    parsed = (records.select(*cols, F.try_parse_json(F.col(payload)).alias("_v"))
+    # the generator is a barrier: filters on derived columns stop above it,
+    # so the JSON is parsed exactly once per record
+    parsed = (records.select(*cols, F.inline(F.array(F.struct(
+                  F.try_parse_json(F.col(payload)).alias("_v")))))
               .select(*cols, "_v",
                       F.try_variant_get("_v", "$.timestamp", "string").alias("_ts"),
                       F.try_variant_get("_v", "$.mute_notifications_until", "string").alias("_until"),
@@ -86,7 +89,7 @@ def decode_results(records: DataFrame, payload: str = "payload", as_of: str | No
         chans.alias("telegram_channels"),
         F.try_variant_get(vv, "$.mute_notifications", "boolean").alias("mute_notifications"),
         parse_rfc3339(until_text).alias("mute_notifications_until"))
-    tagged = parsed.select(*cols, F.inline(F.array(row)))
+    tagged = parsed.select(*cols, row.alias("_row")).select(*cols, "_row.*")
     rejects = tagged.filter(F.col("_reason").isNotNull()).select(
         *cols, F.col("_reason").alias("reason"))
     good = tagged.filter(F.col("_reason").isNull()).drop("_reason")

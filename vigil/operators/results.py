@@ -33,14 +33,25 @@ def stored_results(results: DataFrame, ts: str = "ts", code: str = "status_code"
 
 def perf_rows(results: DataFrame, ts: str = "ts", keep_first: bool = True) -> DataFrame:
     """Long-form metric rows (row-local explode, no shuffle): timestamp,
-    check_name, pos, perf_key, perf_value, parse_ok, event_date."""
-    entries = perf.metric_entries(F.col("output"))
+    check_name, pos, perf_key, perf_value, parse_ok, event_date.
+
+    Tokens are exploded first and parsed as ordinary columns, so the parse
+    runs inside whole-stage codegen rather than in lambda evaluation. With
+    ``keep_first`` a later repeat of a key within one output is dropped (S6).
+    """
+    toks = perf.kept_tokens(F.col("output"))
+    keys = F.transform(toks, lambda t: perf.token_key(t))
+    exploded = results.select(F.col(ts).alias("timestamp"), "check_name",
+                              keys.alias("_keys"), F.posexplode(toks).alias("pos", "_tok"))
+    parsed = exploded.select("timestamp", "check_name", "pos", "_keys",
+                             perf.token_key(F.col("_tok")).alias("perf_key"),
+                             perf.parse_f32(perf.token_value_text(F.col("_tok"))).alias("_pf"))
     if keep_first:
-        entries = perf.first_per_key(entries)
-    return (results.select(F.col(ts).alias("timestamp"), "check_name",
-                           F.explode(entries).alias("e"))
-            .select("timestamp", "check_name", "e.pos", "e.perf_key", "e.perf_value",
-                    "e.parse_ok", F.to_date("timestamp").alias("event_date")))
+        parsed = parsed.filter(F.array_position("_keys", F.col("perf_key")) == F.col("pos") + 1)
+    return parsed.select("timestamp", "check_name", "pos", "perf_key",
+                         F.coalesce(F.col("_pf"), F.lit(0.0).cast("float")).alias("perf_value"),
+                         F.col("_pf").isNotNull().alias("parse_ok"),
+                         F.to_date("timestamp").alias("event_date"))
 
 
 def parse_warnings(metrics: DataFrame) -> DataFrame:
@@ -100,10 +111,20 @@ def perf_history(metrics: DataFrame, check_name: str | None = None) -> DataFrame
 
 def perf_history_row_local(results: DataFrame, ts: str = "ts") -> DataFrame:
     """The same map straight from raw results, one result per row — no
-    shuffle at all. Results without metrics produce no row."""
-    m = perf.metric_map(perf.first_per_key(perf.metric_entries(F.col("output"))))
-    return (results.select("check_name", F.col(ts).alias("timestamp"), m.alias("perf_data"))
-            .filter(F.size("perf_data") > 0))
+    shuffle at all. Results without metrics produce no row.
+
+    Entries and their key list are materialised as columns before the
+    first-per-key filter, so the parse is not re-run inside the lambda.
+    """
+    # a result has metrics iff it has a k=v token: filter on that cheap test
+    # (a filter on the finished map would be pushed down and parse twice)
+    has = results.filter(F.size(perf.kept_tokens(F.col("output"))) > 0)
+    e = has.select("check_name", F.col(ts).alias("timestamp"),
+                   perf.metric_entries(F.col("output")).alias("_e"))
+    k = e.select("check_name", "timestamp", "_e",
+                 F.transform("_e", lambda x: x["perf_key"]).alias("_k"))
+    first = F.filter("_e", lambda x, i: F.array_position(F.col("_k"), x["perf_key"]) == i + 1)
+    return k.select("check_name", "timestamp", perf.metric_map(first).alias("perf_data"))
 
 
 def history_columns(history: DataFrame, keys: list[str]) -> DataFrame:
