@@ -140,41 +140,69 @@ def unresolved_refs(scripts_res: DataFrame, channels_res: DataFrame,
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def resolved_checks(registry: DataFrame, scripts_res: DataFrame, channels_res: DataFrame,
-                    secrets_merged: DataFrame) -> DataFrame:
+def resolved_checks(registry: DataFrame, scripts: DataFrame, channel_tokens: DataFrame,
+                    secrets: DataFrame) -> DataFrame:
     """One nested record per resolvable check (no bot tokens in rows, S13).
 
-    Channel and secret resolutions are each folded to one row per check
-    (carrying an all-resolved flag), so the final assembly is a chain of
-    joins on check_name over co-partitioned inputs — no separate
-    unresolved-refs pass.
+    One exchange: the registry row (script resolved by a dimension join), its
+    channel-ref rows and its fetched-secret rows are unioned and grouped once
+    by check_name. A group holds one check's declared refs only, and the
+    collects aggregate partially. Everything after the group is row-local:
+    channel order by ref position, later secret ref wins per key (D4),
+    unresolvable checks dropped (D1-D3, B11).
     """
-    chans = (channels_res.groupBy("check_name").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "chat_id", F.col("channel_ref").alias("channel_name"))))
-        .alias("c"),
-        F.min(F.col("channel_found") & F.col("token_found")).alias("channels_ok"))
-        .select("check_name", "channels_ok", F.transform("c", lambda x: F.struct(
-            x["chat_id"].alias("chat_id"), x["channel_name"].alias("channel_name"))).alias("channels")))
-    secs = (secrets_merged.groupBy("check_name")
-            .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("secret_map"),
-                 F.min("all_valid").alias("secrets_ok")))
-    j = (registry.join(scripts_res.select("check_name", "script_content", "script_found"), "check_name", "left")
-         .join(chans, "check_name", "left").join(secs, "check_name", "left")
-         .filter(F.coalesce(F.col("script_found"), F.lit(True))
-                 & F.coalesce(F.col("channels_ok"), F.lit(True))
-                 & F.coalesce(F.col("secrets_ok"), F.lit(True))))
-    empty_chans = F.array().cast("array<struct<chat_id:string,channel_name:string>>")
-    # null refs -> null map; empty refs -> empty map
-    secrets_col = (F.when(F.col("secret_refs").isNull(), F.lit(None))
-                   .otherwise(F.coalesce(F.col("secret_map"),
-                                         F.create_map().cast("map<string,string>"))))
-    return j.select(
-        "check_name", "passive", "check_interval",
-        F.when(F.col("script_content").isNotNull(),
-               F.struct(F.col("script_content").alias("content"))).alias("script"),
-        secrets_col.alias("secrets"),
-        F.coalesce(F.col("channels"), empty_chans).alias("channels"),
-        "mute", "mute_until")
+    sdim = scripts.select(F.col("script_name").alias("script_ref"),
+                          F.col("content").alias("script_content"))
+    base_t = ("struct<passive:boolean,check_interval:bigint,script_content:string,"
+              "script_found:boolean,has_secret_refs:boolean,mute:boolean,mute_until:timestamp_ntz>")
+    ch_t = "struct<pos:int,chat_id:string,channel_name:string,ok:boolean>"
+    sec_t = "struct<key:string,npos:int,value:string,valid:boolean>"
+    none = lambda t: F.lit(None).cast(t)
+    base = (registry.join(sdim, "script_ref", "left").select(
+        "check_name",
+        F.struct("passive", "check_interval", "script_content",
+                 (F.col("script_ref").isNull() | F.col("script_content").isNotNull()).alias("script_found"),
+                 F.col("secret_refs").isNotNull().alias("has_secret_refs"),
+                 "mute", "mute_until").alias("b"),
+        none(ch_t).alias("ch"), none(sec_t).alias("sec")))
+    cdim = channel_tokens.select(F.col("channel_name").alias("channel_ref"), "chat_id", "token_found")
+    chans = (registry.select("check_name", F.posexplode("channel_refs").alias("pos", "channel_ref"))
+             .join(cdim, "channel_ref", "left")
+             .select("check_name", none(base_t).alias("b"),
+                     F.struct("pos", "chat_id", F.col("channel_ref").alias("channel_name"),
+                              (F.col("chat_id").isNotNull() & F.coalesce(F.col("token_found"), F.lit(False)))
+                              .alias("ok")).alias("ch"),
+                     none(sec_t).alias("sec")))
+    secs = (registry.select("check_name", F.posexplode("secret_refs").alias("pos", "secret_name"))
+            .join(secrets, "secret_name", "inner")
+            .withColumn("text", validate.strict_utf8(F.col("value")))
+            .select("check_name", none(base_t).alias("b"), none(ch_t).alias("ch"),
+                    F.struct("key", (-F.col("pos")).alias("npos"), F.col("text").alias("value"),
+                             F.col("text").isNotNull().alias("valid")).alias("sec")))
+    g = (base.unionByName(chans).unionByName(secs).groupBy("check_name")
+         .agg(F.max("b").alias("b"), F.collect_list("ch").alias("chs"),
+              F.collect_list("sec").alias("secs")))
+    # secrets: sort by (key, -pos) and keep the first entry of every key
+    srt = g.select("check_name", "b", "chs", F.array_sort("secs").alias("ss"))
+    first_sec = F.filter("ss", lambda x, i: (i == 0) | (F.element_at("ss", i)["key"] != x["key"]))
+    empty_map = F.create_map().cast("map<string,string>")
+    out = srt.select(
+        "check_name", "b",
+        F.transform(F.array_sort("chs"), lambda x: F.struct(
+            x["chat_id"].alias("chat_id"), x["channel_name"].alias("channel_name"))).alias("channels"),
+        F.when(F.col("b.has_secret_refs"), F.map_from_entries(F.transform(first_sec, lambda x: F.struct(
+            x["key"].alias("k"), x["value"].alias("v"))))).alias("secrets"),
+        F.forall("chs", lambda x: x["ok"]).alias("channels_ok"),
+        F.forall("ss", lambda x: x["valid"]).alias("secrets_ok"))
+    out = out.filter(F.col("b").isNotNull() & F.col("b.script_found") & F.col("channels_ok")
+                     & F.col("secrets_ok"))
+    return out.select(
+        "check_name", F.col("b.passive").alias("passive"),
+        F.col("b.check_interval").alias("check_interval"),
+        F.when(F.col("b.script_content").isNotNull(),
+               F.struct(F.col("b.script_content").alias("content"))).alias("script"),
+        F.when(F.col("b.has_secret_refs"), F.coalesce(F.col("secrets"), empty_map)).alias("secrets"),
+        "channels", F.col("b.mute").alias("mute"), F.col("b.mute_until").alias("mute_until"))
 
 
 def impacted(registry: DataFrame, changed: DataFrame, kind: str) -> DataFrame:

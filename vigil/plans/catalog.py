@@ -183,8 +183,11 @@ def unresolved_refs(spark, d):
 
 
 def resolved(spark, d):
-    reg, s, c, m, _ = _resolution(spark, d)
-    return REG.resolved_checks(reg, s, c, m)
+    reg = registry(spark, d)
+    scr, _ = REG.validate_scripts(fx.scripts(spark, d))
+    chans, _ = REG.validate_channels(fx.channels(spark, d))
+    secrets = fx.secrets(spark, d)
+    return REG.resolved_checks(reg, scr, REG.resolve_bot_tokens(chans, secrets), secrets)
 
 
 @query("resolved_checks")
