@@ -32,10 +32,20 @@ def encode_result(check_name: Column, output: Column, status_name: Column, ts: C
         mute.alias("mute_notifications"), F.date_format(mute_until, fmt).alias("mute_notifications_until")))
 
 
+def _no_null(arr: Column) -> Column:
+    """True when no element is null (sort_array puts nulls first). No lambda,
+    so the surrounding operator stays in whole-stage codegen."""
+    return (F.size(arr) == 0) | F.get(F.sort_array(arr), 0).isNotNull()
+
+
 def _type(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
 
+_FIELDS = ("check_name", "output", "status", "timestamp", "telegram_channels",
+           "mute_notifications", "mute_notifications_until")
+
+
 def decode_results(records: DataFrame, payload: str = "payload", as_of: str | None = None):
     """B1 + C4: (decoded, rejects(<input columns>, reason)).
 
@@ -43,53 +53,57 @@ def decode_results(records: DataFrame, payload: str = "payload", as_of: str | No
     status_code, timestamp (NTZ, UTC; missing -> ``as_of``),
     telegram_channels, mute_notifications, mute_notifications_until.
 
-    The payload is parsed once, inside a one-row generator that predicate
-    pushdown cannot cross; field tests and extraction then run as ordinary
-    (codegen'd) projections over the parsed VARIANT.
+    Three steps, each computed once per record: (1) parse the payload;
+    (2) project every field's JSON type, text and parsed value as columns;
+    (3) build the reject reason and the typed row inside a one-row generator.
+    The generator stops predicate pushdown, so the good/reject filter reads
+    the finished row instead of re-deriving the fields (and re-parsing). No
+    lambda functions are used, so every step stays in whole-stage codegen.
     """
     cols = records.columns
-    # the generator is a barrier: filters on derived columns stop above it,
-    # so the JSON is parsed exactly once per record
-    parsed = (records.select(*cols, F.inline(F.array(F.struct(
-                  F.try_parse_json(F.col(payload)).alias("_v")))))
-              .select(*cols, "_v",
-                      F.try_variant_get("_v", "$.timestamp", "string").alias("_ts"),
-                      F.try_variant_get("_v", "$.mute_notifications_until", "string").alias("_until"),
-                      F.try_variant_get("_v", "$.status", "string").alias("_st")))
+    parsed = records.select(*cols, F.try_parse_json(F.col(payload)).alias("_v"))
     vv = F.col("_v")
-    t = lambda p: _type(vv, p)
-    optional = lambda p, ok: t(p).isNull() | (t(p) == "VOID") | ok
-    chans = F.try_variant_get(vv, "$.telegram_channels", _CHANNELS_T)
-    ts_text, until_text, st = F.col("_ts"), F.col("_until"), F.col("_st")
+    probes = [F.schema_of_variant(vv).alias("_t_")]
+    probes += [_type(vv, f"$.{f}").alias(f"_t_{f}") for f in _FIELDS]
+    probes += [F.try_variant_get(vv, f"$.{f}", "string").alias(f"_s_{f}")
+               for f in ("check_name", "output", "status", "timestamp", "mute_notifications_until")]
+    probes += [F.try_variant_get(vv, "$.telegram_channels", _CHANNELS_T).alias("_chans"),
+               F.try_variant_get(vv, "$.mute_notifications", "boolean").alias("_mute")]
+    typed = parsed.select(*cols, "_v", *probes)
+    typed = typed.select(*[c for c in typed.columns if c != "_v"], vv.isNull().alias("_null"),
+                         parse_rfc3339(F.col("_s_timestamp")).alias("_ts"),
+                         parse_rfc3339(F.col("_s_mute_notifications_until")).alias("_until"))
+    t = lambda f: F.col(f"_t_{f}")
+    absent = lambda f: t(f).isNull() | (t(f) == "VOID")
+    chans = F.col("_chans")
     checks = [
-        ("invalid_json", vv.isNull() | ~F.schema_of_variant(vv).startswith("OBJECT")),
-        ("bad_check_name", F.coalesce(t("$.check_name") != "STRING", F.lit(True))),
-        ("bad_output", F.coalesce(t("$.output") != "STRING", F.lit(True))),
-        ("bad_status", ~F.coalesce((t("$.status") == "STRING") & st.isin(*STATUS_NAMES), F.lit(False))),
-        ("bad_channels", ~F.coalesce(t("$.telegram_channels").startswith("ARRAY") & chans.isNotNull()
-                                     & F.forall(chans, lambda c: c["chat_id"].isNotNull()
-                                                & c["bot_token"].isNotNull()), F.lit(False))),
-        ("bad_timestamp", ~optional("$.timestamp", (t("$.timestamp") == "STRING")
-                                    & parse_rfc3339(ts_text).isNotNull())),
-        ("bad_mute", ~optional("$.mute_notifications", t("$.mute_notifications") == "BOOLEAN")),
-        ("bad_mute_until", ~optional("$.mute_notifications_until",
-                                     (t("$.mute_notifications_until") == "STRING")
-                                     & parse_rfc3339(until_text).isNotNull())),
+        ("invalid_json", F.col("_null") | ~F.coalesce(F.col("_t_").startswith("OBJECT"), F.lit(False))),
+        ("bad_check_name", ~F.coalesce(t("check_name") == "STRING", F.lit(False))),
+        ("bad_output", ~F.coalesce(t("output") == "STRING", F.lit(False))),
+        ("bad_status", ~F.coalesce((t("status") == "STRING") & F.col("_s_status").isin(*STATUS_NAMES),
+                                   F.lit(False))),
+        ("bad_channels", ~F.coalesce(t("telegram_channels").startswith("ARRAY") & chans.isNotNull()
+                                     & _no_null(chans["chat_id"]) & _no_null(chans["bot_token"]),
+                                     F.lit(False))),
+        ("bad_timestamp", ~(absent("timestamp") | F.col("_ts").isNotNull())),
+        ("bad_mute", ~(absent("mute_notifications") | (t("mute_notifications") == "BOOLEAN"))),
+        ("bad_mute_until", ~(absent("mute_notifications_until") | F.col("_until").isNotNull())),
     ]
     reason = reduce(lambda acc, c: acc.when(c[1], F.lit(c[0])),
                     checks[1:], F.when(checks[0][1], F.lit(checks[0][0])))
     stamp = F.lit(as_of).cast("timestamp_ntz") if as_of else F.localtimestamp()
     row = F.struct(
         reason.alias("_reason"),
-        F.try_variant_get(vv, "$.check_name", "string").alias("check_name"),
-        F.try_variant_get(vv, "$.output", "string").alias("output"),
-        st.alias("status"),
-        status.status_to_code(st).alias("status_code"),
-        F.coalesce(parse_rfc3339(ts_text), stamp).alias("timestamp"),
+        F.col("_s_check_name").alias("check_name"),
+        F.col("_s_output").alias("output"),
+        F.col("_s_status").alias("status"),
+        status.status_to_code(F.col("_s_status")).alias("status_code"),
+        F.coalesce(F.col("_ts"), stamp).alias("timestamp"),
         chans.alias("telegram_channels"),
-        F.try_variant_get(vv, "$.mute_notifications", "boolean").alias("mute_notifications"),
-        parse_rfc3339(until_text).alias("mute_notifications_until"))
-    tagged = parsed.select(*cols, row.alias("_row")).select(*cols, "_row.*")
+        F.col("_mute").alias("mute_notifications"),
+        F.col("_until").alias("mute_notifications_until"))
+    # second generator: the reason filter stops here and reads the typed row
+    tagged = typed.select(*cols, F.inline(F.array(row)))
     rejects = tagged.filter(F.col("_reason").isNotNull()).select(
         *cols, F.col("_reason").alias("reason"))
     good = tagged.filter(F.col("_reason").isNull()).drop("_reason")
