@@ -110,3 +110,26 @@ def test_message(spark):
     r = df.select(text.alert_message(F.col("ts"), F.col("n"), F.col("s"), F.col("t")).alias("m")).first()
     assert r.m == ("<b>Date</b>: 2024-01-02 03:04:05 +00:00\n<b>Check name</b>: check-1 \n<b>Status</b>: Critical\n"
                    "<b>Output</b>\n<pre>a&lt;b &amp; &#x27;c&#x27;&#x2F;&quot;d&quot;</pre>")
+
+
+def test_long_form_matches_golden(spark):
+    """The codegen long form (regex extraction + explode) gives the same
+    metrics as the array form, including Unicode trimming and odd tokens."""
+    import datetime as dt
+
+    from vigil.operators import results as R
+    ts = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, ts, f"c{i}", g[0]) for i, g in enumerate(GOLDEN)],
+                               "i int, ts timestamp_ntz, check_name string, output string")
+    rows = R.perf_rows(df, keep_first=False).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.check_name, []).append((r.pos, r.perf_key, r.perf_value, r.parse_ok))
+    for i, (raw, _, want) in enumerate(GOLDEN):
+        g = sorted(got.get(f"c{i}", []))
+        assert [(k, ok) for _, k, _, ok in g] == [(k, ok) for k, _, ok in want], raw
+        for (_, _, gv, _), (_, wv, _) in zip(g, want):
+            assert (math.isnan(gv) if wv is None else gv == wv), raw
+    firsts = R.perf_rows(spark.createDataFrame([(ts, "x", "x|a=1,b=2,a=3")],
+                                               "ts timestamp_ntz, check_name string, output string"))
+    assert [(r.perf_key, r.perf_value) for r in firsts.orderBy("pos").collect()] == [("a", 1.0), ("b", 2.0)]

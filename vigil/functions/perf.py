@@ -18,6 +18,10 @@ FLOAT_GRAMMAR = (r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0
                  r"|(?i:inf|infinity|nan))$")
 SIGNED_NAN = r"^[+-]?(?i:nan)$"
 EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Trimmed key / value text of every k=v token (tokens without '=' match
+# neither pattern, so both arrays align index by index).
+KEY_PATTERN = r"(?U)(?:^|,)\s*([^,=]*?)\s*="
+VALUE_PATTERN = r"(?U)(?:^|,)[^,=]*=\s*([^,]*?)\s*(?=,|$)"
 # Unicode White_Space characters, the set trimmed from keys and values.
 WHITE_SPACE = ("\u0009\u000a\u000b\u000c\u000d\u0020\u0085\u00a0\u1680"
                "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -67,13 +71,24 @@ def token_value_text(tok: Column) -> Column:
     return unicode_trim(_after_first(tok, "="))
 
 
+def metric_keys(output: Column) -> Column:
+    """Trimmed keys of the k=v tokens, in order (no lambda: stays in codegen)."""
+    return F.regexp_extract_all(metric_text(output), F.lit(KEY_PATTERN), 1)
+
+
+def metric_value_texts(output: Column) -> Column:
+    """Trimmed value texts aligned with :func:`metric_keys`."""
+    return F.regexp_extract_all(metric_text(output), F.lit(VALUE_PATTERN), 1)
+
+
 def metric_entries(output: Column) -> Column:
     """array<struct<pos int, perf_key string, perf_value float, parse_ok boolean>>
 
     ``pos`` is the 0-based position among the kept ``k=v`` tokens.
     """
-    split = F.transform(kept_tokens(output), lambda t, i: F.struct(
-        i.alias("pos"), token_key(t).alias("perf_key"), parse_f32(token_value_text(t)).alias("pf")))
+    vals = metric_value_texts(output)
+    split = F.transform(metric_keys(output), lambda k, i: F.struct(
+        i.alias("pos"), k.alias("perf_key"), parse_f32(F.get(vals, i)).alias("pf")))
     return F.transform(split, lambda e: F.struct(
         e["pos"].alias("pos"),
         e["perf_key"].alias("perf_key"),

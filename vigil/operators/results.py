@@ -35,17 +35,19 @@ def perf_rows(results: DataFrame, ts: str = "ts", keep_first: bool = True) -> Da
     """Long-form metric rows (row-local explode, no shuffle): timestamp,
     check_name, pos, perf_key, perf_value, parse_ok, event_date.
 
-    Tokens are exploded first and parsed as ordinary columns, so the parse
-    runs inside whole-stage codegen rather than in lambda evaluation. With
-    ``keep_first`` a later repeat of a key within one output is dropped (S6).
+    Keys and value texts come from two regex extractions and are exploded
+    by position; no lambda function is involved, so scan, explode and parse
+    run in one whole-stage-codegen stage. With ``keep_first`` a later repeat
+    of a key within one output is dropped (S6).
     """
-    toks = perf.kept_tokens(F.col("output"))
-    keys = F.transform(toks, lambda t: perf.token_key(t))
+    o = F.col("output")
     exploded = results.select(F.col(ts).alias("timestamp"), "check_name",
-                              keys.alias("_keys"), F.posexplode(toks).alias("pos", "_tok"))
-    parsed = exploded.select("timestamp", "check_name", "pos", "_keys",
-                             perf.token_key(F.col("_tok")).alias("perf_key"),
-                             perf.parse_f32(perf.token_value_text(F.col("_tok"))).alias("_pf"))
+                              perf.metric_keys(o).alias("_keys"),
+                              perf.metric_value_texts(o).alias("_vals"))
+    exploded = exploded.select("timestamp", "check_name", "_keys", "_vals",
+                               F.posexplode("_keys").alias("pos", "perf_key"))
+    parsed = exploded.select("timestamp", "check_name", "pos", "_keys", "perf_key",
+                             perf.parse_f32(F.get(F.col("_vals"), F.col("pos"))).alias("_pf"))
     if keep_first:
         parsed = parsed.filter(F.array_position("_keys", F.col("perf_key")) == F.col("pos") + 1)
     return parsed.select("timestamp", "check_name", "pos", "perf_key",
@@ -118,7 +120,7 @@ def perf_history_row_local(results: DataFrame, ts: str = "ts") -> DataFrame:
     """
     # a result has metrics iff it has a k=v token: filter on that cheap test
     # (a filter on the finished map would be pushed down and parse twice)
-    has = results.filter(F.size(perf.kept_tokens(F.col("output"))) > 0)
+    has = results.filter(F.size(perf.metric_keys(F.col("output"))) > 0)
     e = has.select("check_name", F.col(ts).alias("timestamp"),
                    perf.metric_entries(F.col("output")).alias("_e"))
     k = e.select("check_name", "timestamp", "_e",
