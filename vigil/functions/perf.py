@@ -20,8 +20,10 @@ SIGNED_NAN = r"^[+-]?(?i:nan)$"
 EDGE_SPACE = r"(?U)^\s+|\s+$"
 # Trimmed key / value text of every k=v token (tokens without '=' match
 # neither pattern, so both arrays align index by index).
-KEY_PATTERN = r"(?U)(?:^|,)\s*([^,=]*?)\s*="
-VALUE_PATTERN = r"(?U)(?:^|,)[^,=]*=\s*([^,]*?)\s*(?=,|$)"
+# WS is the Unicode White_Space set as an explicit class (faster than (?U)).
+WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+KEY_PATTERN = r"(?:^|,)" + WS + r"*([^,=]*?)" + WS + r"*="
+VALUE_PATTERN = r"(?:^|,)[^,=]*=" + WS + r"*([^,]*?)" + WS + r"*(?=,|$)"
 # Unicode White_Space characters, the set trimmed from keys and values.
 WHITE_SPACE = ("\u0009\u000a\u000b\u000c\u000d\u0020\u0085\u00a0\u1680"
                "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"

@@ -44,8 +44,11 @@ def perf_rows(results: DataFrame, ts: str = "ts", keep_first: bool = True) -> Da
     exploded = results.select(F.col(ts).alias("timestamp"), "check_name",
                               perf.metric_keys(o).alias("_keys"),
                               perf.metric_value_texts(o).alias("_vals"))
-    exploded = exploded.select("timestamp", "check_name", "_keys", "_vals",
-                               F.posexplode("_keys").alias("pos", "perf_key"))
+    # outer explode + null filter above it: an inner explode would make Spark
+    # infer size(_keys) > 0 below the projection and run the regex twice
+    exploded = (exploded.select("timestamp", "check_name", "_keys", "_vals",
+                                F.posexplode_outer("_keys").alias("pos", "perf_key"))
+                .filter(F.col("pos").isNotNull()))
     parsed = exploded.select("timestamp", "check_name", "pos", "_keys", "perf_key",
                              perf.parse_f32(F.get(F.col("_vals"), F.col("pos"))).alias("_pf"))
     if keep_first:
