@@ -190,3 +190,30 @@ def test_python_check_errors_dropped_by_default(spark):
     side = CK.python_checks(df, "k", "c-", [F.count(F.lit(1)).alias("n")], fn, errors="side")
     res = {r.check_name: r.status_name for r in CK.to_results(side, "2024-01-01 00:00:00").collect()}
     assert res["c-3"] == "CheckError" and res["c-0"] == "Ok"
+
+
+def test_task_decode_rejects(spark):
+    ok = '{"passive":false,"check_name":"a","interval":60,"telegram_channels":[{"chat_id":"1","channel_name":"c"}]}'
+    rows = [(1, ok), (2, ok.replace('"passive":false,', "")), (3, ok.replace("60", "-1")),
+            (4, ok.replace('"interval":60', '"interval":"60"')), (5, ok.replace('"a"', "1")),
+            (6, ok.replace('"chat_id":"1",', "")), (7, "nope")]
+    good, rej = DEC.decode_tasks(spark.createDataFrame(rows, "msg_id long, payload string"))
+    assert [r.msg_id for r in good.collect()] == [1]
+    assert {r.msg_id: r.reason for r in rej.collect()} == {
+        2: "bad_passive", 3: "bad_interval", 4: "bad_interval", 5: "bad_check_name", 6: "bad_channels",
+        7: "invalid_json"}
+
+
+def test_create_tables_idempotent(spark):
+    from vigil.session import scratch_path
+    from vigil.sinks import tables as TB
+    base = scratch_path(spark, "tables")
+    paths = TB.create_tables(spark, base)
+    TB.create_tables(spark, base)      # second call is a no-op
+    row = spark.createDataFrame([(T0, "c", 2, "x", T0.date())],
+                                "timestamp timestamp_ntz, check_name string, status smallint, output string, "
+                                "event_date date")
+    TB.write_batch(row, paths["check_result"], 0)
+    TB.write_batch(row, paths["check_result"], 0)   # replay of batch 0
+    assert spark.read.parquet(paths["check_result"]).count() == 1
+    assert spark.table("check_result").columns[:4] == ["timestamp", "check_name", "status", "output"]

@@ -87,3 +87,19 @@ def to_results(checks: DataFrame, as_of: str) -> DataFrame:
         perf.display_text(F.col("output")).alias("text"),
         perf.metric_entries(F.col("output")).alias("entries"),
         F.col("error").isNotNull().alias("is_error"))
+
+
+def publish(checks: DataFrame, resolved: DataFrame, as_of: str) -> DataFrame:
+    """K4: check outputs as result-stream messages (msg key, JSON payload).
+
+    The resolved check supplies channels and mute state, as the task would;
+    tokens are not carried (S13), the channel name stands in.
+    """
+    from vigil.operators.decode import encode_result
+    j = checks.join(resolved.select("check_name", "channels", "mute", "mute_until"), "check_name", "left")
+    chans = F.transform(F.coalesce(F.col("channels"), F.array().cast(
+        "array<struct<chat_id:string,channel_name:string>>")),
+        lambda c: F.struct(c["chat_id"].alias("chat_id"), c["channel_name"].alias("bot_token")))
+    payload = encode_result(F.col("check_name"), F.col("output"), status.code_to_status(F.col("exit_code")),
+                            F.lit(as_of).cast("timestamp_ntz"), chans, F.col("mute"), F.col("mute_until"))
+    return j.select("check_name", payload.alias("payload"))

@@ -117,3 +117,59 @@ def error_result(check_name: Column, message: Column, mute: Column, mute_until:
                     F.lit(None).cast("timestamp_ntz").alias("timestamp"),
                     F.array().cast(_CHANNELS_T).alias("telegram_channels"),
                     mute.alias("mute_notifications"), mute_until.alias("mute_notifications_until"))
+
+
+_TASK_CHANNELS_T = "array<struct<chat_id:string,channel_name:string>>"
+
+
+def decode_tasks(records: DataFrame, payload: str = "payload"):
+    """A5 + B1 for the task stream: (decoded, rejects(<input columns>, reason)).
+
+    Required: ``passive`` (boolean), ``check_name`` (string),
+    ``telegram_channels`` (array of channel objects). Optional: ``interval``
+    (non-negative integer), ``script`` (object with string ``content``),
+    ``secrets`` (object of strings), mute flag and RFC 3339 mute-until.
+    """
+    cols = records.columns
+    parsed = records.select(*cols, F.try_parse_json(F.col(payload)).alias("_v"))
+    vv = F.col("_v")
+    fields = ("passive", "check_name", "telegram_channels", "interval", "script", "secrets",
+              "mute_notifications", "mute_notifications_until")
+    typed = parsed.select(
+        *cols, vv.isNull().alias("_null"), F.schema_of_variant(vv).alias("_t_"),
+        *[_type(vv, f"$.{f}").alias(f"_t_{f}") for f in fields],
+        _type(vv, "$.script.content").alias("_t_content"),
+        F.try_variant_get(vv, "$.check_name", "string").alias("_name"),
+        F.try_variant_get(vv, "$.passive", "boolean").alias("_passive"),
+        F.try_variant_get(vv, "$.interval", "bigint").alias("_interval"),
+        F.try_variant_get(vv, "$.script.content", "string").alias("_content"),
+        F.try_variant_get(vv, "$.secrets", "map<string,string>").alias("_secrets"),
+        F.try_variant_get(vv, "$.telegram_channels", _TASK_CHANNELS_T).alias("_chans"),
+        F.try_variant_get(vv, "$.mute_notifications", "boolean").alias("_mute"),
+        parse_rfc3339(F.try_variant_get(vv, "$.mute_notifications_until", "string")).alias("_until"))
+    t = lambda f: F.col(f"_t_{f}")
+    absent = lambda f: t(f).isNull() | (t(f) == "VOID")
+    chans = F.col("_chans")
+    checks = [
+        ("invalid_json", F.col("_null") | ~F.coalesce(F.col("_t_").startswith("OBJECT"), F.lit(False))),
+        ("bad_passive", ~F.coalesce(t("passive") == "BOOLEAN", F.lit(False))),
+        ("bad_check_name", ~F.coalesce(t("check_name") == "STRING", F.lit(False))),
+        ("bad_channels", ~F.coalesce(t("telegram_channels").startswith("ARRAY") & chans.isNotNull()
+                                     & _no_null(chans["chat_id"]), F.lit(False))),
+        ("bad_interval", ~(absent("interval") | F.coalesce((t("interval") == "BIGINT")
+                                                           & (F.col("_interval") >= 0), F.lit(False)))),
+        ("bad_script", ~(absent("script") | F.coalesce(t("content") == "STRING", F.lit(False)))),
+        ("bad_secrets", ~(absent("secrets") | F.col("_secrets").isNotNull())),
+        ("bad_mute", ~(absent("mute_notifications") | (t("mute_notifications") == "BOOLEAN"))),
+        ("bad_mute_until", ~(absent("mute_notifications_until") | F.col("_until").isNotNull())),
+    ]
+    reason = reduce(lambda acc, c: acc.when(c[1], F.lit(c[0])),
+                    checks[1:], F.when(checks[0][1], F.lit(checks[0][0])))
+    row = F.struct(reason.alias("_reason"), F.col("_name").alias("check_name"),
+                   F.col("_passive").alias("passive"), F.col("_interval").alias("interval"),
+                   F.col("_content").alias("script_content"), F.col("_secrets").alias("secrets"),
+                   chans.alias("telegram_channels"), F.col("_mute").alias("mute_notifications"),
+                   F.col("_until").alias("mute_notifications_until"))
+    tagged = typed.select(*cols, F.inline(F.array(row)))
+    rejects = tagged.filter(F.col("_reason").isNotNull()).select(*cols, F.col("_reason").alias("reason"))
+    return tagged.filter(F.col("_reason").isNull()).drop("_reason"), rejects

@@ -527,3 +527,30 @@ def checks_errors(spark, d):
     ck = CK.python_checks(li, "l_suppkey", CHECK_PREFIX, _returns_aggs(), _returns_python_flaky,
                           params=RETURN_LEVELS, errors="side")
     return CK.to_results(ck, AS_OF).select("check_name", "status_name", "is_error")
+
+
+# -- stream codecs: task decode (A5) and result publication (K4) -----------------------
+
+@query("decode_tasks")
+def decode_tasks(spark, d):
+    res = resolved(spark, d)
+    tasks = S.task_payloads(S.due(_plan(spark, d), DUE_AT).select("check_name", "run_at"), res)
+    good, _ = DEC.decode_tasks(tasks.select("run_at", "payload"))
+    return good.select("check_name", "run_at", "passive", "interval", "script_content",
+                       F.when(F.col("secrets").isNotNull(), F.size(F.map_keys("secrets")).cast("bigint"))
+                       .alias("n_secrets"),
+                       F.size("telegram_channels").cast("bigint").alias("n_channels"),
+                       F.col("mute_notifications").alias("mute"))
+
+
+@query("publish_results")
+def publish_results(spark, d):
+    """K4 + B1: user-check results published as result messages, then read
+    back through the strict decoder."""
+    li = fx.table(spark, d, "lineitem")
+    ck = CK.python_checks(li, "l_suppkey", CHECK_PREFIX, _returns_aggs(), _returns_python,
+                          params=RETURN_LEVELS)
+    msgs = CK.publish(ck, resolved(spark, d), AS_OF).withColumnRenamed("check_name", "msg_key")
+    good, _ = DEC.decode_results(msgs)
+    return good.select("check_name", "status", "output", "timestamp",
+                       F.size("telegram_channels").cast("bigint").alias("n_channels"))

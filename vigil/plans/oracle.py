@@ -299,3 +299,11 @@ oracle("checks_errors", f"""
 select concat('supplier-returns-', l_suppkey) check_name,
   case when r % 7 = 0 then 'CheckError' else {_RET_STATUS} end status_name, r % 7 = 0 is_error
 from {_RETURNS}""")
+
+SQL["decode_tasks"] = SQL["task_payloads"]   # decoding the published tasks gives the same rows
+
+oracle("publish_results", f"""
+select concat('supplier-returns-', l_suppkey) check_name, {_RET_STATUS} status,
+  concat('returns ', r, '/', n, '|returned=', r, ',total=', n) output,
+  timestamp '2024-01-31 00:00:00' timestamp, cast(0 as bigint) n_channels
+from {_RETURNS}""")
