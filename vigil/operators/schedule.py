@@ -32,7 +32,9 @@ def plan(checks: DataFrame, load_at: str, horizon: str) -> DataFrame:
     """Run times in (load_at, horizon] for every schedulable check.
 
     Row-local generation (explode of an integer range); no shuffle. The range
-    is empty, not an error, when the first run is past the horizon.
+    is empty, not an error, when the first run is past the horizon. The
+    check's columns are kept, so a plan built from resolved checks can be
+    turned into task messages without joining back.
     """
     load = F.lit(load_at).cast("timestamp_ntz")
     span = F.timestamp_diff("SECOND", load, F.lit(horizon).cast("timestamp_ntz"))
@@ -41,9 +43,8 @@ def plan(checks: DataFrame, load_at: str, horizon: str) -> DataFrame:
     runs = F.when(n >= 1, F.sequence(F.lit(1).cast("bigint"), n)).otherwise(
         F.array().cast("array<bigint>"))
     return (schedulable(checks)
-            .select("check_name", "check_interval", F.explode(runs).alias("run_index"))
-            .select("check_name", "run_index",
-                    F.timestamp_add("SECOND", F.col("run_index") * iv, load).alias("run_at")))
+            .select("*", F.explode(runs).alias("run_index"))
+            .withColumn("run_at", F.timestamp_add("SECOND", F.col("run_index") * iv, load)))
 
 
 def plan_versioned(feed: DataFrame, horizon: str) -> DataFrame:
@@ -102,8 +103,12 @@ def next_due(planned: DataFrame, n: int) -> DataFrame:
     return planned.orderBy("run_at", "check_name").limit(n)
 
 
-def task_payloads(due_runs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """One JSON task (the resolved check) per due run (no bot tokens, S13)."""
+def task_payloads(due_runs: DataFrame) -> DataFrame:
+    """One JSON task (the resolved check) per due run (no bot tokens, S13).
+
+    ``due_runs`` is a plan of resolved checks (their columns kept), so the
+    payload is built row-locally.
+    """
     task = F.struct(
         F.col("passive"),
         F.col("script"),
@@ -113,5 +118,4 @@ def task_payloads(due_runs: DataFrame, resolved: DataFrame) -> DataFrame:
         F.col("channels").alias("telegram_channels"),
         F.col("mute").alias("mute_notifications"),
         F.date_format("mute_until", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mute_notifications_until"))
-    return due_runs.join(resolved, "check_name").select(
-        "check_name", "run_at", F.to_json(task).alias("payload"))
+    return due_runs.select("check_name", "run_at", F.to_json(task).alias("payload"))

@@ -337,7 +337,7 @@ def _plan(spark, d):
 
 @query("schedule_plan")
 def schedule_plan(spark, d):
-    return _plan(spark, d)
+    return _plan(spark, d).select("check_name", "run_index", "run_at")
 
 
 @query("schedule_plan_versioned")
@@ -358,8 +358,7 @@ def next_due(spark, d):
 @query("task_payloads")
 def task_payloads(spark, d):
     from vigil.schemas import TASK_MESSAGE
-    res = resolved(spark, d)
-    tasks = S.task_payloads(S.due(_plan(spark, d), DUE_AT).select("check_name", "run_at"), res)
+    tasks = S.task_payloads(S.due(_plan(spark, d), DUE_AT))
     t = F.from_json("payload", TASK_MESSAGE.simpleString().replace("bot_token", "channel_name"))
     p = tasks.select("check_name", "run_at", t.alias("t"))
     return p.select("check_name", "run_at", F.col("t.passive").alias("passive"),
@@ -533,8 +532,7 @@ def checks_errors(spark, d):
 
 @query("decode_tasks")
 def decode_tasks(spark, d):
-    res = resolved(spark, d)
-    tasks = S.task_payloads(S.due(_plan(spark, d), DUE_AT).select("check_name", "run_at"), res)
+    tasks = S.task_payloads(S.due(_plan(spark, d), DUE_AT))
     good, _ = DEC.decode_tasks(tasks.select("run_at", "payload"))
     return good.select("check_name", "run_at", "passive", "interval", "script_content",
                        F.when(F.col("secrets").isNotNull(), F.size(F.map_keys("secrets")).cast("bigint"))
