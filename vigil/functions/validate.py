@@ -16,18 +16,15 @@ def parse_rfc3339(text: Column) -> Column:
     """RFC 3339 text -> TIMESTAMP_NTZ in UTC (µs; finer digits truncate).
 
     Null when the text is not RFC 3339 or names an impossible date/time.
-    One validating regex, then a cast of the local part and an offset shift;
-    independent of the session time zone.
+    The text is referenced twice only (guard regex, one offset-aware parse),
+    so an expensive input expression is not re-evaluated per field; the
+    instant is turned into UTC wall-clock time independently of the session
+    time zone.
     """
-    local = F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8),
-                     F.regexp_extract(text, r"^.{19}(\.[0-9]{1,6})?", 1))
-    tail = F.substring(text, -6, 6)
-    zulu = F.upper(F.substring(text, -1, 1)) == "Z"
-    sign = F.when(tail.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    offset_min = F.when(zulu, F.lit(0)).otherwise(
-        sign * (tail.substr(2, 2).try_cast("int") * 60 + tail.substr(5, 2).try_cast("int")))
-    return F.when(text.rlike(RFC3339),
-                  F.timestamp_add("MINUTE", -offset_min, local.try_cast("timestamp_ntz")))
+    norm = F.translate(F.upper(text), " ", "T")
+    instant = F.try_to_timestamp(norm, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.when(text.rlike(RFC3339), F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch))
 
 
 def rejects_rfc3339(text: Column) -> Column:

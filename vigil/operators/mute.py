@@ -39,7 +39,7 @@ def split_commands(registry: DataFrame, commands: DataFrame):
 def mute_state(registry: DataFrame, accepted: DataFrame) -> DataFrame:
     """Final (muted, muted_until) of every registered check.
 
-    One partial aggregation per check over (registry state + commands): the
+    One partial hash aggregation per check over (registry state + commands): the
     flag is the last command's op; the until is the value of the last row that
     sets it (a mute with until, an unmute clearing it, or the declared until).
     A check with most of the commands still costs one row per map task.
@@ -53,16 +53,20 @@ def mute_state(registry: DataFrame, accepted: DataFrame) -> DataFrame:
         F.when(F.col("op") == "unmute", F.lit(None)).otherwise(F.col("until_ts")).alias("u"),
         ((F.col("op") == "unmute") | F.col("until_ts").isNotNull()).alias("sets_until"),
         F.lit(None).cast("boolean").alias("declared"))
-    rows = init.unionByName(cmds)
+    rows = init.unionByName(cmds).withColumn(
+        "op_code", F.when(F.col("op") == "init", 0).when(F.col("op") == "mute", 1).otherwise(2))
+    # fixed-width buffers only (max_by over int / timestamp, max, count), so
+    # Spark uses a hash aggregate; max_by keeps a null value at the maximum,
+    # which is how an unmute clears the until time
     agg = rows.groupBy("check_name").agg(
-        F.max(F.struct("seq", "op")).alias("last"),
-        F.max(F.when(F.col("sets_until"), F.struct("seq", "u"))).alias("lu"),
+        F.max_by("op_code", "seq").alias("last_op"),
+        F.max_by("u", F.when(F.col("sets_until"), F.col("seq"))).alias("until"),
         F.max("declared").alias("declared"),
-        F.count_if(F.col("op") != "init").alias("n_commands"),
-        F.max(F.col("op") == "init").alias("registered"))
+        F.count_if(F.col("op_code") != 0).alias("n_commands"),
+        F.max(F.col("op_code") == 0).alias("registered"))
     return agg.filter("registered").select(
         "check_name",
-        F.when(F.col("last.op") == "init", F.col("declared"))
-        .otherwise(F.col("last.op") == "mute").alias("muted"),
-        F.col("lu.u").alias("muted_until"),
+        F.when(F.col("last_op") == 0, F.col("declared"))
+        .otherwise(F.col("last_op") == 1).alias("muted"),
+        F.col("until").alias("muted_until"),
         F.col("n_commands").cast("bigint").alias("n_commands"))

@@ -19,11 +19,15 @@ from vigil.schemas import BOT_TOKEN_KEY, SCRIPT_LANGUAGES
 
 def _split_by_reasons(df: DataFrame, checks: list, key: str):
     """(valid rows, rejects(key, reason)) from (reason, failing predicate) pairs."""
-    reasons = F.filter(F.array(*[F.when(pred, F.lit(name)) for name, pred in checks]),
-                       lambda r: r.isNotNull())
-    tagged = df.withColumn("_reasons", reasons)
-    valid = tagged.filter(F.size("_reasons") == 0).drop("_reasons")
-    rejects = tagged.select(key, F.explode("_reasons").alias("reason"))
+    bad = [F.coalesce(pred, F.lit(False)) for _, pred in checks]
+    any_bad = bad[0]
+    for b in bad[1:]:
+        any_bad = any_bad | b
+    # the valid side is a plain boolean filter (stays in codegen); only the
+    # reject side builds the reason list
+    valid = df.filter(~any_bad)
+    reasons = F.array_compact(F.array(*[F.when(b, F.lit(name)) for (name, _), b in zip(checks, bad)]))
+    rejects = df.filter(any_bad).select(key, F.explode(reasons).alias("reason"))
     return valid, rejects
 
 

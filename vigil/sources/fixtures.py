@@ -125,11 +125,12 @@ def mute_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     pri, st, od = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderdate")
     unmute = pri == "1-URGENT"
+    # RFC 3339 text of a midnight timestamp: "yyyy-MM-dd" + "T00:00:00" + offset
+    day = F.substring(_shifted(od).cast("string"), 1, 10)
     until = (F.when(unmute, F.lit(None))
-             .when(st == "F", F.date_format(_shifted(od), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+             .when(st == "F", F.concat(day, F.lit("T00:00:00Z")))
              .when((st == "P") & (pri == "2-HIGH"), F.lit("not-a-date"))
-             .when((st == "P") & (pri == "3-MEDIUM"),
-                   F.date_format(_shifted(od), "yyyy-MM-dd'T'HH:mm:ss'+02:00'")))
+             .when((st == "P") & (pri == "3-MEDIUM"), F.concat(day, F.lit("T00:00:00+02:00"))))
     return o.select(F.col("o_orderkey").alias("seq"),
                     F.concat(F.lit("check-"), _s("o_custkey")).alias("check_name"),
                     F.when(unmute, F.lit("unmute")).otherwise(F.lit("mute")).alias("op"),
