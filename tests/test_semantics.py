@@ -217,3 +217,48 @@ def test_create_tables_idempotent(spark):
     TB.write_batch(row, paths["check_result"], 0)   # replay of batch 0
     assert spark.read.parquet(paths["check_result"]).count() == 1
     assert spark.table("check_result").columns[:4] == ["timestamp", "check_name", "status", "output"]
+
+
+def test_failed_check_published_as_error_result(spark):
+    from vigil.operators import checks as CK
+    df = spark.createDataFrame([(k,) for k in range(3)], "k long")
+
+    def fn(pdf, params):
+        if (pdf["k"] == 1).any():
+            raise ValueError("nope")
+        import pandas as pd
+        return pd.DataFrame({"exit_code": [2] * len(pdf), "output": ["bad|x=1"] * len(pdf)})
+
+    ck = CK.python_checks(df, "k", "c-", [F.count(F.lit(1)).alias("n")], fn, errors="side")
+    resolved = spark.createDataFrame([], "check_name string, channels array<struct<chat_id:string,"
+                                         "channel_name:string>>, mute boolean, mute_until timestamp_ntz")
+    msgs = CK.publish(ck, resolved, "2024-01-01 00:00:00")
+    good, rej = DEC.decode_results(msgs.withColumnRenamed("check_name", "msg_key"), as_of="2024-02-02 00:00:00")
+    got = {r.check_name: (r.status, r.timestamp) for r in good.collect()}
+    assert rej.count() == 0
+    assert got["c-0"] == ("Critical", T0)
+    assert got["c-1"] == ("CheckError", dt.datetime(2024, 2, 2))   # no timestamp: stamped on receipt
+
+
+def test_check_definitions_round_trip_json(spark):
+    from vigil.session import scratch_path
+    from vigil.sources import fixtures as fx
+    from vigil.sources.tables import read_check_specs
+    spec = fx.registry_spec(spark, SF001)
+    path = scratch_path(spark, "specs")
+    spec.write.json(path)
+    back = read_check_specs(spark, path)
+    assert back.count() == spec.count()
+    assert back.exceptAll(spec.select(*back.columns)).count() == 0
+
+
+def test_partition_retention_prunes_expired_dates(spark):
+    from vigil.plans.catalog import stored
+    from vigil.session import scratch_path
+    from vigil.sinks import tables as TB
+    path = scratch_path(spark, "retention")
+    st = stored(spark, SF001)
+    TB.compact(st, path)
+    kept = TB.drop_expired_partitions(path, spark, "2024-01-31 00:00:00")
+    want = st.filter(F.to_date("timestamp") >= dt.date(2024, 1, 24)).count()
+    assert kept.count() == want > 0

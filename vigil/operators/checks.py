@@ -90,16 +90,23 @@ def to_results(checks: DataFrame, as_of: str) -> DataFrame:
 
 
 def publish(checks: DataFrame, resolved: DataFrame, as_of: str) -> DataFrame:
-    """K4: check outputs as result-stream messages (msg key, JSON payload).
+    """K4: check outputs as result-stream messages (check_name, JSON payload).
 
     The resolved check supplies channels and mute state, as the task would;
-    tokens are not carried (S13), the channel name stands in.
+    tokens are not carried (S13), the channel name stands in. A check whose
+    function failed (``error`` set, side-output mode) is published as the
+    error result of C5: CheckError, no timestamp, no channels.
     """
-    from vigil.operators.decode import encode_result
+    from vigil.operators.decode import encode_result, error_result
     j = checks.join(resolved.select("check_name", "channels", "mute", "mute_until"), "check_name", "left")
     chans = F.transform(F.coalesce(F.col("channels"), F.array().cast(
         "array<struct<chat_id:string,channel_name:string>>")),
         lambda c: F.struct(c["chat_id"].alias("chat_id"), c["channel_name"].alias("bot_token")))
-    payload = encode_result(F.col("check_name"), F.col("output"), status.code_to_status(F.col("exit_code")),
-                            F.lit(as_of).cast("timestamp_ntz"), chans, F.col("mute"), F.col("mute_until"))
+    ok = encode_result(F.col("check_name"), F.col("output"), status.code_to_status(F.col("exit_code")),
+                       F.lit(as_of).cast("timestamp_ntz"), chans, F.col("mute"), F.col("mute_until"))
+    err = error_result(F.col("check_name"), F.col("output"), F.col("mute"), F.col("mute_until"))
+    err_json = encode_result(err["check_name"], err["output"], err["status"], err["timestamp"],
+                             err["telegram_channels"], err["mute_notifications"],
+                             err["mute_notifications_until"])
+    payload = F.when(F.col("error").isNotNull(), err_json).otherwise(ok)
     return j.select("check_name", payload.alias("payload"))
