@@ -47,49 +47,79 @@ def plan(checks: DataFrame, load_at: str, horizon: str) -> DataFrame:
             .withColumn("run_at", F.timestamp_add("SECOND", F.col("run_index") * iv, load)))
 
 
+_SEGMENTS = "check_name string, version_seq bigint, p bigint, iv bigint, end_t bigint"
+
+
+def _fold_segments(batches, horizon_s: int):
+    """Sequential fold over rows sorted by (check_name, seq), batch by batch.
+
+    State is O(1) per check (pending run, interval, previous version), so a
+    check with any number of versions streams through without being
+    collected. Emits one segment per version once the next change time (its
+    end) is known.
+    """
+    import pandas as pd
+
+    cur = None          # check being folded
+    p = iv = None       # pending run and interval after the previous version
+    held = None         # previous version waiting for its end time
+    out = []
+
+    def flush(end_t):
+        if held is not None:
+            out.append((held[0], held[1], held[2], held[3], min(end_t, horizon_s + 1)))
+
+    for pdf in batches:
+        for name, seq, t, sched, interval in zip(pdf["check_name"], pdf["seq"], pdf["t"],
+                                                  pdf["sched"], pdf["iv"]):
+            t = int(t)
+            if name != cur:
+                flush(horizon_s + 1)
+                cur, p, iv, held = name, None, None, None
+            else:
+                flush(t)
+            if p is not None and p < t:              # advance the pending run to t
+                p += -((p - t) // iv) * iv
+            if sched:
+                iv = int(interval)
+                p = p if p is not None else t + iv
+            else:
+                p = iv = None
+            held = (name, int(seq), p, iv)
+        if len(out) >= 10_000:
+            yield pd.DataFrame(out, columns=["check_name", "version_seq", "p", "iv", "end_t"])
+            out = []
+    flush(horizon_s + 1)
+    if out:
+        yield pd.DataFrame(out, columns=["check_name", "version_seq", "p", "iv", "end_t"])
+
+
 def plan_versioned(feed: DataFrame, horizon: str) -> DataFrame:
     """Runs up to ``horizon`` from a registry change feed.
 
-    Per check the versions are folded in ``seq`` order with ``aggregate``:
-    the pending run survives updates; a version that is passive, has no
-    interval or is a Remove drops it. Each version then owns the segment up to
-    the next change and its runs are generated row-locally. The per-check
-    array holds one small struct per *spec change* of that check (the change
-    feed, not the result stream).
+    Versions are applied in ``seq`` order per check: the pending run survives
+    updates; a version that is passive, has no interval or is a Remove drops
+    it. The fold is sequential by nature, so it runs as a streaming pass over
+    rows hash-partitioned by check and sorted by (check, seq) — memory stays
+    O(1) per check however many versions it has (the sort spills). Each
+    version then owns the segment up to the next change and its runs are
+    generated row-locally by Spark.
     """
-    hz = _secs(F.lit(horizon).cast("timestamp_ntz"))
-    v = feed.select(
-        "check_name",
-        F.struct(F.col("seq").cast("bigint").alias("seq"),
-                 _secs(F.col("changed_at")).alias("t"),
-                 ((F.col("op") != "Remove") & ~F.coalesce(F.col("passive"), F.lit(False))
-                  & F.coalesce(F.col("check_interval") > 0, F.lit(False))).alias("sched"),
-                 F.col("check_interval").cast("bigint").alias("iv")).alias("v"))
-    per_check = v.groupBy("check_name").agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    seg_t = "struct<seq:bigint,t:bigint,p:bigint,iv:bigint>"
-    init = F.struct(F.lit(None).cast("bigint").alias("p"), F.lit(None).cast("bigint").alias("iv"),
-                    F.array().cast(f"array<{seg_t}>").alias("segs"))
-
-    def step(acc, x):
-        prev_p, prev_iv = acc["p"], acc["iv"]
-        gap = F.greatest(x["t"] - prev_p, F.lit(0).cast("bigint"))
-        advanced = prev_p + F.ceil(gap / prev_iv).cast("bigint") * prev_iv
-        new_p = F.when(x["sched"], F.coalesce(advanced, x["t"] + x["iv"]))
-        new_iv = F.when(x["sched"], x["iv"])
-        seg = F.struct(x["seq"].alias("seq"), x["t"].alias("t"), new_p.alias("p"), new_iv.alias("iv"))
-        return F.struct(new_p.alias("p"), new_iv.alias("iv"),
-                        F.concat(acc["segs"], F.array(seg)).alias("segs"))
-
-    folded = per_check.select("check_name", F.aggregate("vs", init, step)["segs"].alias("segs"))
-    segs = folded.select("check_name", F.posexplode("segs").alias("i", "s"), "segs")
-    nxt = F.when(F.col("i") + 1 < F.size("segs"), F.element_at("segs", F.col("i") + 2)["t"])
-    end = F.least(F.coalesce(nxt, hz + 1), hz + 1)       # exclusive end of the segment
-    p, iv = F.col("s.p"), F.col("s.iv")
+    import datetime as _dt
+    horizon_s = int((_dt.datetime.fromisoformat(horizon) - _dt.datetime(1970, 1, 1)).total_seconds())
+    ev = feed.select(
+        "check_name", F.col("seq").cast("bigint").alias("seq"),
+        _secs(F.col("changed_at")).alias("t"),
+        ((F.col("op") != "Remove") & ~F.coalesce(F.col("passive"), F.lit(False))
+         & F.coalesce(F.col("check_interval") > 0, F.lit(False))).alias("sched"),
+        F.col("check_interval").cast("bigint").alias("iv"))
+    ordered = ev.repartition("check_name").sortWithinPartitions("check_name", "seq")
+    segs = ordered.mapInPandas(lambda it: _fold_segments(it, horizon_s), _SEGMENTS)
+    p, iv, end = F.col("p"), F.col("iv"), F.col("end_t")
     count = F.when(p.isNotNull() & (p < end), F.floor((end - 1 - p) / iv).cast("bigint") + 1)
     runs = F.when(count >= 1, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(
         F.array().cast("array<bigint>"))
-    return (segs.select("check_name", F.col("s.seq").alias("version_seq"), p.alias("p"), iv.alias("iv"),
-                        F.explode(runs).alias("k"))
+    return (segs.select("check_name", "version_seq", "p", "iv", F.explode(runs).alias("k"))
             .select("check_name", "version_seq", _ts(F.col("p") + F.col("k") * F.col("iv")).alias("run_at")))
 
 
