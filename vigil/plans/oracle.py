@@ -307,3 +307,29 @@ select concat('supplier-returns-', l_suppkey) check_name, {_RET_STATUS} status,
   concat('returns ', r, '/', n, '|returned=', r, ',total=', n) output,
   timestamp '2024-01-31 00:00:00' timestamp, cast(0 as bigint) n_channels
 from {_RETURNS}""")
+
+# J2 as a recursive fold over each check's versions in seq order.
+oracle("schedule_plan_versioned", """
+with recursive v as (
+  select check_name, seq, cast(epoch(changed_at) as bigint) t,
+    op <> 'Remove' and not coalesce(passive, false) and coalesce(check_interval > 0, false) sched,
+    check_interval iv,
+    row_number() over (partition by check_name order by seq) rn,
+    lead(cast(epoch(changed_at) as bigint)) over (partition by check_name order by seq) next_t
+  from spec_feed),
+fold as (
+  select check_name, rn, seq, next_t, case when sched then t + iv end p, case when sched then iv end iv
+  from v where rn = 1
+  union all
+  select v.check_name, v.rn, v.seq, v.next_t,
+    case when v.sched then coalesce(
+      case when f.p is null then null when f.p >= v.t then f.p
+           else f.p + cast(ceil((v.t - f.p) / f.iv) as bigint) * f.iv end, v.t + v.iv) end,
+    case when v.sched then v.iv end
+  from fold f join v on v.check_name = f.check_name and v.rn = f.rn + 1),
+seg as (
+  select check_name, seq, p, iv, least(coalesce(next_t, 1704153601), 1704153601) end_t from fold
+  where p is not null)
+select check_name, seq version_seq, timestamp '1970-01-01 00:00:00' + to_seconds(p + k * iv) run_at
+from (select *, unnest(range(cast(floor((end_t - 1 - p) / iv) as bigint) + 1)) k from seg where p < end_t)""",
+       "spec_feed")

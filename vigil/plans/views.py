@@ -178,6 +178,8 @@ def with_views(sql: str, *names: str) -> str:
     body = sql.strip()
     if not order:
         return body
+    if body[:15].lower() == "with recursive ":   # recursive: the keyword leads the list
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].lower() == "with ":   # merge the query's own CTEs after ours
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
