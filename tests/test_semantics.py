@@ -262,3 +262,24 @@ def test_partition_retention_prunes_expired_dates(spark):
     kept = TB.drop_expired_partitions(path, spark, "2024-01-31 00:00:00")
     want = st.filter(F.to_date("timestamp") >= dt.date(2024, 1, 24)).count()
     assert kept.count() == want > 0
+
+
+def test_ingest_drops_duplicates_across_batches(spark):
+    from vigil.plans.catalog import registry
+    from vigil.session import scratch_path
+    from vigil.sources import fixtures as fx
+    from vigil.streaming import ingest as ING
+    base = scratch_path(spark, "xdup")
+    payloads = fx.result_payloads(spark, SF001)
+    # the same messages arrive twice, in two separate files / micro-batches
+    payloads.coalesce(1).write.json(f"{base}/src/a")
+    payloads.coalesce(1).write.json(f"{base}/src/b")
+    reg = registry(spark, SF001)
+    for i, sub in enumerate(("a", "b")):
+        ING.process_batch(spark.read.schema("msg_id BIGINT, payload STRING").json(f"{base}/src/{sub}"),
+                          i, f"{base}/t", reg, as_of="2024-01-31 00:00:00")
+    stored = spark.read.parquet(f"{base}/t/check_result")
+    assert stored.count() == stored.select("check_name", "timestamp").distinct().count() > 0
+    assert stored.filter("batch_id = 1").count() == 0
+    q = spark.read.parquet(f"{base}/t/quarantine/batch_id=1")
+    assert q.filter("reason = 'duplicate'").count() == stored.count()
