@@ -8,15 +8,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions import status
+from vigil.functions import perf, status
+from vigil.operators import alerts as A
+from vigil.operators import checks as CK
+from vigil.operators import decode as DEC
+from vigil.operators import dedup as DD
+from vigil.operators import mute as M
 from vigil.operators import registry as REG
 from vigil.operators import results as R
+from vigil.operators import schedule as S
+from vigil.session import scratch_path
+from vigil.sinks import tables as TB
 from vigil.sources import fixtures as fx
+from vigil.streaming import ingest as ING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 POINT_CHECK = "check-7"          # the single check of the point queries
 METRIC_KEYS = ["value", "k"]     # metric keys projected from history maps
+AS_OF = "2024-01-31 00:00:00"          # processing time of the batch queries
+LOAD_AT = "2024-01-01 00:00:00"        # registry load time of the schedule
+HORIZON = "2024-01-01 01:00:00"        # schedule horizon (one hour)
+DUE_AT = "2024-01-01 00:30:00"
+FEED_HORIZON = "2024-01-02 00:00:00"   # horizon of the change-feed schedule
+NEXT_N = 20
 
 
 def query(name: str):
@@ -67,7 +82,6 @@ def status_name_to_code(spark, d):
 
 @query("output_text")
 def output_text(spark, d):
-    from vigil.functions import perf
     r = fx.results(spark, d)
     return r.select("event_id", "check_name", perf.display_text(F.col("output")).alias("text"))
 
@@ -224,9 +238,6 @@ def impact_channel(spark, d):
 
 # -- step 4: mute & alerts ------------------------------------------------------
 
-from vigil.operators import alerts as A  # noqa: E402
-from vigil.operators import mute as M  # noqa: E402
-
 
 @query("mute_state")
 def mute_state(spark, d):
@@ -248,7 +259,6 @@ def _submissions(spark, d):
 
 @query("submission_enriched")
 def submission_enriched(spark, d):
-    from vigil.functions import perf
     enriched, _ = _submissions(spark, d)
     return enriched.select("submission_id", "check_name", "received_at", "status_name",
                            perf.display_text(F.col("output")).alias("text"),
@@ -304,18 +314,6 @@ def mute_asof(spark, d):
 
 # -- step 1 (cont.): stream decode ------------------------------------------------
 
-from vigil.operators import decode as DEC  # noqa: E402
-from vigil.operators import dedup as DD  # noqa: E402
-from vigil.operators import schedule as S  # noqa: E402
-from vigil.sinks import tables as TB  # noqa: E402
-
-AS_OF = "2024-01-31 00:00:00"          # processing time of the batch queries
-LOAD_AT = "2024-01-01 00:00:00"        # registry load time of the schedule
-HORIZON = "2024-01-01 01:00:00"        # schedule horizon (one hour)
-DUE_AT = "2024-01-01 00:30:00"
-FEED_HORIZON = "2024-01-02 00:00:00"   # horizon of the change-feed schedule
-NEXT_N = 20
-
 
 @query("decode_results")
 def decode_results(spark, d):
@@ -411,8 +409,6 @@ def retention_chunks(spark, d):
 
 # -- step 6 (cont.): streaming and layout -------------------------------------------
 
-from vigil.session import scratch_path  # noqa: E402
-from vigil.streaming import ingest as ING  # noqa: E402
 
 STREAM_FILES = 4
 
@@ -458,7 +454,6 @@ def layout_compacted(spark, d):
 
 # -- step 7: user checks ----------------------------------------------------------------
 
-from vigil.operators import checks as CK  # noqa: E402
 
 CHECK_PREFIX = "supplier-returns-"
 
@@ -473,7 +468,9 @@ def _returns_python(pdf, params):
     n, r = pdf["n"].astype("int64"), pdf["r"].astype("int64")
     code = np.where(r * 100 >= n * params["critical"], 2, np.where(r * 100 >= n * params["warning"], 1, 0))
     text = "returns " + r.astype(str) + "/" + n.astype(str)
-    return pd_frame(exit_code=code, output=text + "|returned=" + r.astype(str) + ",total=" + n.astype(str))
+    import pandas as pd
+    return pd.DataFrame({"exit_code": code,
+                         "output": text + "|returned=" + r.astype(str) + ",total=" + n.astype(str)})
 
 
 def _returns_python_flaky(pdf, params):
@@ -482,11 +479,6 @@ def _returns_python_flaky(pdf, params):
     return _returns_python(pdf, params)
 
 
-def pd_frame(**cols):
-    import pandas as pd
-    return pd.DataFrame(cols)
-
-
 RETURN_LEVELS = {"warning": 33, "critical": 35}   # percent of returned lines
 
 
@@ -497,9 +489,6 @@ def _check_columns(res):
                       m["total"].cast("double").alias("metric_total"))
 
 
-from vigil.functions import perf  # noqa: E402
-
-
 @query("checks_sql")
 def checks_sql(spark, d):
     li = fx.table(spark, d, "lineitem")
