@@ -133,3 +133,15 @@ def test_long_form_matches_golden(spark):
     firsts = R.perf_rows(spark.createDataFrame([(ts, "x", "x|a=1,b=2,a=3")],
                                                "ts timestamp_ntz, check_name string, output string"))
     assert [(r.perf_key, r.perf_value) for r in firsts.orderBy("pos").collect()] == [("a", 1.0), ("b", 2.0)]
+
+
+def test_row_local_history_first_occurrence_sorted(spark):
+    import datetime as dt
+
+    from vigil.operators import results as R
+    ts = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(ts, "a", "x|b=2,a=1,b=3, c = oops"), (ts, "b", "no metrics"), (ts, "c", "x|k")],
+                               "ts timestamp_ntz, check_name string, output string")
+    rows = {r.check_name: r.perf_data for r in R.perf_history_row_local(df).collect()}
+    assert list(rows) == ["a"]
+    assert list(rows["a"].items()) == [("a", 1.0), ("b", 2.0), ("c", 0.0)]

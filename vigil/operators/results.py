@@ -118,18 +118,20 @@ def perf_history_row_local(results: DataFrame, ts: str = "ts") -> DataFrame:
     """The same map straight from raw results, one result per row — no
     shuffle at all. Results without metrics produce no row.
 
-    Entries and their key list are materialised as columns before the
-    first-per-key filter, so the parse is not re-run inside the lambda.
+    Keys and value texts come from the codegen'd regex extraction; the
+    key-ordered, first-occurrence map needs a single lambda pass
+    (``sort_array(array_distinct(keys))`` keeps first occurrences, each key's
+    value is parsed at its first position).
     """
-    # a result has metrics iff it has a k=v token: filter on that cheap test
-    # (a filter on the finished map would be pushed down and parse twice)
-    has = results.filter(F.size(perf.metric_keys(F.col("output"))) > 0)
-    e = has.select("check_name", F.col(ts).alias("timestamp"),
-                   perf.metric_entries(F.col("output")).alias("_e"))
-    k = e.select("check_name", "timestamp", "_e",
-                 F.transform("_e", lambda x: x["perf_key"]).alias("_k"))
-    first = F.filter("_e", lambda x, i: F.array_position(F.col("_k"), x["perf_key"]) == i + 1)
-    return k.select("check_name", "timestamp", perf.metric_map(first).alias("perf_data"))
+    o = F.col("output")
+    arrs = (results.select("check_name", F.col(ts).alias("timestamp"),
+                           perf.metric_keys(o).alias("_k"), perf.metric_value_texts(o).alias("_v"))
+            .filter(F.size("_k") > 0))
+    keys = F.sort_array(F.array_distinct(F.col("_k")))
+    vals = F.transform(keys, lambda k: F.coalesce(
+        perf.parse_f32(F.get(F.col("_v"), F.array_position(F.col("_k"), k) - 1)),
+        F.lit(0.0).cast("float")))
+    return arrs.select("check_name", "timestamp", F.map_from_arrays(keys, vals).alias("perf_data"))
 
 
 def history_columns(history: DataFrame, keys: list[str]) -> DataFrame:
