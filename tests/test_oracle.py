@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
-from tools.compare import TABLES, digest
+from tools.compare import SPARK_TO_DUCKDB, TABLES, digest
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
@@ -32,9 +32,11 @@ def test_every_query_registered_has_callable():
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF001)
     cols, rows = df.columns, [tuple(r) for r in df.collect()]
-    cur = con.execute(ORACLE[name])
-    ocols, orows = [d[0] for d in cur.description], cur.fetchall()
+    rel = con.sql(ORACLE[name])
+    ocols, orows = rel.columns, rel.fetchall()
     assert sorted(cols) == sorted(ocols)
+    stypes = {f.name: SPARK_TO_DUCKDB.get(f.dataType.simpleString()) for f in df.schema.fields}
+    assert stypes == dict(zip(rel.columns, (str(t) for t in rel.types)))
     assert len(rows) == len(orows)
     assert digest(cols, rows)[0] == digest(ocols, orows)[0]
 
