@@ -3,8 +3,11 @@
 ``output`` is ``<display text>|<k>=<v>,<k>=<v>,...``. Only the first ``|``
 separates; tokens without ``=`` are dropped; key and value are trimmed of
 Unicode white space; a value that is not a 32-bit float in the accepted
-grammar becomes 0.0 and is flagged ``parse_ok = false``. Everything is built
-from JVM-side higher-order functions, so it stays inside whole-stage codegen.
+grammar becomes 0.0 and is flagged ``parse_ok = false``.
+
+Keys and value texts come from two regex extractions (JVM-side, inside
+whole-stage codegen); the long form explodes them by position, and only the
+array form (:func:`metric_entries`) adds one lambda pass for the parse.
 """
 
 from __future__ import annotations
@@ -12,31 +15,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The accepted float grammar (Java regex), the signed-NaN form
-# and the Unicode white-space edges removed by trimming.
+# The accepted float grammar (Java regex), the signed-NaN form,
+# and WS, the Unicode White_Space characters trimmed from keys and values.
 FLOAT_GRAMMAR = (r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?"
                  r"|(?i:inf|infinity|nan))$")
 SIGNED_NAN = r"^[+-]?(?i:nan)$"
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # Trimmed key / value text of every k=v token (tokens without '=' match
 # neither pattern, so both arrays align index by index).
-# WS is the Unicode White_Space set as an explicit class (faster than (?U)).
-WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 KEY_PATTERN = r"(?:^|,)" + WS + r"*([^,=]*?)" + WS + r"*="
 VALUE_PATTERN = r"(?:^|,)[^,=]*=" + WS + r"*([^,]*?)" + WS + r"*(?=,|$)"
-# Unicode White_Space characters, the set trimmed from keys and values.
-WHITE_SPACE = ("\u0009\u000a\u000b\u000c\u000d\u0020\u0085\u00a0\u1680"
-               "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-               "\u2028\u2029\u202f\u205f\u3000")
 
 _MAX_LEN = 2 ** 31 - 1
 
 
-def unicode_trim(c: Column) -> Column:
-    """Strip Unicode white space at both ends (no regex: a character-set trim)."""
-    return F.btrim(c, F.lit(WHITE_SPACE))
-
-
 def _after_first(c: Column, sep: str) -> Column:
     """Text after the first ``sep``; empty string when ``sep`` is absent."""
     at = F.instr(c, sep)
@@ -60,19 +52,6 @@ def parse_f32(text: Column) -> Column:
             .otherwise(text.try_cast("float")))
 
 
-def kept_tokens(output: Column) -> Column:
-    """The ``k=v`` tokens of the metric text, in order."""
-    return F.filter(F.split(metric_text(output), ",", -1), lambda t: F.instr(t, "=") > 0)
-
-
-def token_key(tok: Column) -> Column:
-    return unicode_trim(F.substring_index(tok, "=", 1))
-
-
-def token_value_text(tok: Column) -> Column:
-    return unicode_trim(_after_first(tok, "="))
-
-
 def metric_keys(output: Column) -> Column:
     """Trimmed keys of the k=v tokens, in order (no lambda: stays in codegen)."""
     return F.regexp_extract_all(metric_text(output), F.lit(KEY_PATTERN), 1)

@@ -32,10 +32,6 @@ def normalize_code(code: Column) -> Column:
     return status_to_code(code_to_status(code))
 
 
-def is_status_name(name: Column) -> Column:
-    return name.isin(*STATUS_NAMES)
-
-
 def language_label(language: Column) -> Column:
     """Python -> python, Bash -> bash; null outside the declared enum."""
     expr = None

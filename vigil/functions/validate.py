@@ -27,11 +27,6 @@ def parse_rfc3339(text: Column) -> Column:
     return F.when(text.rlike(RFC3339), F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch))
 
 
-def rejects_rfc3339(text: Column) -> Column:
-    """True when text is present but not a valid RFC 3339 date-time."""
-    return text.isNotNull() & parse_rfc3339(text).isNull()
-
-
 def is_strict_base64(text: Column) -> Column:
     return text.rlike(BASE64)
 

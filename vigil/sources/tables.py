@@ -16,17 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_payloads(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def _reader(spark: SparkSession, stream: bool, max_files_per_trigger: int | None):
+    if not stream:
+        return spark.read
+    reader = spark.readStream
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader
+
+
+def read_payloads(spark: SparkSession, path: str, stream: bool = False,
+                  max_files_per_trigger: int | None = None) -> DataFrame:
     """Raw stream records (msg_id, payload) written as JSON lines (A4, A5)."""
-    schema = "msg_id BIGINT, payload STRING"
-    reader = spark.readStream if stream else spark.read
-    return reader.schema(schema).json(path)
+    return _reader(spark, stream, max_files_per_trigger).schema("msg_id BIGINT, payload STRING").json(path)
 
 
-def read_change_feed(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def read_change_feed(spark: SparkSession, path: str, stream: bool = False,
+                     max_files_per_trigger: int | None = None) -> DataFrame:
     """Registry change events (A2) with a fixed schema (no inference)."""
-    reader = spark.readStream if stream else spark.read
-    return reader.schema(schemas.REGISTRY_CHANGE).json(path)
+    return _reader(spark, stream, max_files_per_trigger).schema(schemas.REGISTRY_CHANGE).json(path)
 
 
 def read_check_specs(spark: SparkSession, path: str) -> DataFrame:
