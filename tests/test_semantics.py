@@ -296,3 +296,12 @@ def test_ingest_drops_duplicates_across_batches(spark):
     assert stored.filter("batch_id = 1").count() == 0
     q = spark.read.parquet(f"{base}/t/quarantine/batch_id=1")
     assert q.filter("reason = 'duplicate'").count() == stored.count()
+
+
+def test_bounded_broadcast_only_under_the_bound(spark):
+    from vigil.operators.joins import bounded_broadcast
+    small = spark.range(5)
+    big = spark.range(50)
+    assert bounded_broadcast(small, max_rows=10) is not small      # hinted copy
+    assert bounded_broadcast(big, max_rows=10) is big              # left to the planner
+    assert spark.range(100).join(bounded_broadcast(small, max_rows=10), "id").count() == 5
