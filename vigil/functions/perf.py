@@ -92,4 +92,4 @@ def metric_map(entries: Column) -> Column:
     """Key-ordered map perf_key -> perf_value (entries must be key-unique)."""
     pairs = F.transform(entries, lambda e: F.struct(e["perf_key"].alias("k"),
                                                     e["perf_value"].alias("v")))
-    return F.map_from_entries(F.array_sort(pairs))
+    return F.map_from_entries(F.sort_array(pairs))

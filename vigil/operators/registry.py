@@ -187,12 +187,12 @@ def resolved_checks(registry: DataFrame, scripts: DataFrame, channel_tokens: Dat
          .agg(F.max("b").alias("b"), F.collect_list("ch").alias("chs"),
               F.collect_list("sec").alias("secs")))
     # secrets: sort by (key, -pos) and keep the first entry of every key
-    srt = g.select("check_name", "b", "chs", F.array_sort("secs").alias("ss"))
+    srt = g.select("check_name", "b", "chs", F.sort_array("secs").alias("ss"))
     first_sec = F.filter("ss", lambda x, i: (i == 0) | (F.element_at("ss", i)["key"] != x["key"]))
     empty_map = F.create_map().cast("map<string,string>")
     out = srt.select(
         "check_name", "b",
-        F.transform(F.array_sort("chs"), lambda x: F.struct(
+        F.transform(F.sort_array("chs"), lambda x: F.struct(
             x["chat_id"].alias("chat_id"), x["channel_name"].alias("channel_name"))).alias("channels"),
         F.when(F.col("b.has_secret_refs"), F.map_from_entries(F.transform(first_sec, lambda x: F.struct(
             x["key"].alias("k"), x["value"].alias("v"))))).alias("secrets"),

@@ -110,7 +110,7 @@ def perf_history(metrics: DataFrame, check_name: str | None = None) -> DataFrame
     if check_name is not None:
         metrics = metrics.filter(F.col("check_name") == check_name)
     return (metrics.groupBy("check_name", "timestamp")
-            .agg(F.map_from_entries(F.array_sort(F.collect_list(
+            .agg(F.map_from_entries(F.sort_array(F.collect_list(
                 F.struct(F.col("perf_key").alias("k"), F.col("perf_value").alias("v"))))).alias("perf_data")))
 
 

@@ -212,7 +212,7 @@ def resolved_checks(spark, d):
         "check_name", "passive", "check_interval",
         F.col("script.content").alias("script_content"),
         F.when(sec.isNotNull(), F.size(F.map_keys(sec)).cast("bigint")).alias("n_secrets"),
-        F.when(sec.isNotNull(), F.array_join(F.array_sort(F.map_keys(sec)), ",")).alias("secret_keys"),
+        F.when(sec.isNotNull(), F.array_join(F.sort_array(F.map_keys(sec)), ",")).alias("secret_keys"),
         F.size("channels").cast("bigint").alias("n_channels"),
         F.array_join(F.transform("channels", lambda x: x["chat_id"]), ",").alias("chat_ids"),
         "mute", "mute_until")
