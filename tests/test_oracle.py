@@ -8,8 +8,10 @@ import __spark_entry__ as E
 from conftest import SF001
 from tools.compare import SPARK_TO_DUCKDB, TABLES, digest
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+from vigil.plans.catalog import QUERIES
+from vigil.plans.oracle import SQL
+
+ORACLE = {k: v for k, v in SQL.items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
