@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigil.llm.bpe import op8_byte_bpe
 from vigil.llm.exact_dedup import exact_groups
 from vigil.llm.sharding import op4_virtual_slot_sharding
 
@@ -19,6 +20,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_virtual_slot_sharding": op4_virtual_slot_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 SQL = {
