@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm.bpe import op8_byte_bpe
 from vigil.llm.exact_dedup import exact_groups
+from vigil.llm.near_dedup import near_groups
 from vigil.llm.sharding import op4_virtual_slot_sharding
 
 
@@ -17,10 +18,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_docs(spark, sf_dir))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_docs(spark, sf_dir), 2).drop("fp")
+
+
 QUERIES = {
     "op4_virtual_slot_sharding": op4_virtual_slot_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 SQL = {
@@ -29,4 +35,33 @@ with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 g as (select norm, min(doc_id) as keep_id, count(*) as group_size from n group by norm)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256
 from n join g using (norm)""",
+    # All pairs that share a shingle, so for small tables only.
+    "op10_minhash_near_dedup": r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), x -> x <> '') as words
+  from documents),
+s as (
+  select distinct doc_id, unnest(case
+      when len(words) = 0 then []
+      when len(words) = 1 then [words[1]]
+      else list_transform(range(1, len(words)), i -> words[i] || ' ' || words[i + 1]) end) as sh
+  from w),
+size as (select doc_id, count(*) as n from s group by doc_id),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n
+  from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+link as (
+  select a, b from shared join size x on x.doc_id = a join size y on y.doc_id = b
+  where 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+edge as (select a, b from link union all select b, a from link),
+reach(doc_id, r) as (
+  select doc_id, doc_id from documents
+  union
+  select reach.doc_id, edge.b from reach join edge on edge.a = reach.r)
+select d.doc_id, coalesce(size.n, 0)::bigint as n_shingles, min(r.r) as component_id,
+       d.doc_id = min(r.r) as kept
+from documents d left join size using (doc_id) join reach r on r.doc_id = d.doc_id
+group by d.doc_id, size.n""",
 }
