@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm.bpe import op8_byte_bpe
 from vigil.llm.exact_dedup import exact_groups
+from vigil.llm.language_id import op1_language_id
 from vigil.llm.near_dedup import near_groups
 from vigil.llm.sharding import op4_virtual_slot_sharding
 
@@ -23,6 +24,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op4_virtual_slot_sharding": op4_virtual_slot_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
@@ -38,15 +40,15 @@ from n join g using (norm)""",
     # All pairs that share a shingle, so for small tables only.
     "op10_minhash_near_dedup": r"""
 with recursive w as (
-  select doc_id, list_filter(regexp_split_to_array(
+  select doc_id, [x for x in regexp_split_to_array(
       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[\x20\x09-\x0D]+'), x -> x <> '') as words
+      '[\x20\x09-\x0D]+') if x <> ''] as words
   from documents),
 s as (
   select distinct doc_id, unnest(case
       when len(words) = 0 then []
       when len(words) = 1 then [words[1]]
-      else list_transform(range(1, len(words)), i -> words[i] || ' ' || words[i + 1]) end) as sh
+      else [words[i] || ' ' || words[i + 1] for i in range(1, len(words))] end) as sh
   from w),
 size as (select doc_id, count(*) as n from s group by doc_id),
 shared as (
