@@ -103,11 +103,14 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sample(train: DataFrame, per_language: int) -> DataFrame:
-    """At most about ``per_language`` rows of each language, by a row hash."""
-    sizes = train.groupBy("lang").agg(F.count("*").alias("n"))
+    """About ``per_language`` rows of each language, by a row hash. A model holds
+    2^16 weights per language, so their counts fit the driver."""
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return train.select("lang", "text", F.lit(0.0).alias("u"))
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, per_language / n)])
     return (train.withColumn("u", unit_hash(F.col("doc_id"), F.col("text")))
-            .join(sizes, "lang").filter(F.col("u") * F.col("n") < per_language)
-            .select("lang", "text", "u"))
+            .filter(F.col("u") < share[F.col("lang")]).select("lang", "text", "u"))
 
 
 def _sample_counts(sample: DataFrame) -> pd.DataFrame:
@@ -166,7 +169,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     matrix = Rows(ptr, idx, val * idf[idx])
     labels = np.searchsorted(langs, rows["lang"].to_numpy())
     weight = np.ones(len(labels))
-    # The row hash decides which rows calibrate: its place in the sample's range.
+    # By the order of the row hash, every fifth row calibrates.
     calibrate = rows["u"].rank(method="first").to_numpy().astype(int) % 5 == 0
     learner = Ftrl(DIMS, len(langs), alpha=0.2, l1=0.5, l2=0.1)
     fitted = np.flatnonzero(~calibrate)
