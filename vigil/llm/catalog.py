@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm.bpe import op8_byte_bpe
+from vigil.llm.decontaminate import op9_decontamination
 from vigil.llm.exact_dedup import exact_groups
 from vigil.llm.language_id import op1_language_id
 from vigil.llm.near_dedup import near_groups
@@ -32,6 +33,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_decontamination": op9_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
@@ -42,6 +44,7 @@ g as (select norm, min(doc_id) as keep_id, count(*) as group_size from n group b
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256
 from n join g using (norm)""",
     # All pairs that share a shingle, so for small tables only.
+    "op9_decontamination": op9_decontamination,
     "op10_minhash_near_dedup": r"""
 with recursive w as (
   select doc_id, [x for x in regexp_split_to_array(
