@@ -4,11 +4,13 @@ Encoding. The merge ranks are compiled into a trie of the tokens' bytes and a
 table of the last merge of each token. A sequence of tokens is the one that the
 merges produce exactly if every two neighbours are (:meth:`Merges.adjacent`), so
 a nondeterministic transducer can read a piece byte by byte and guess where
-tokens end: a hypothesis is a trie node plus the tokens still owed before it.
-:class:`Transducer` determinises it on the fly, as far as the texts need it. A
-state is the list of live hypotheses; tokens that all of them agree on are
-emitted at once. A hypothesis dies within the longest token's length, so the
-lookahead is bounded. States are cached per Python process up to
+tokens start: a hypothesis is a trie node and the token before it. At each place
+one token can end, the last token of the text so far. :class:`Transducer`
+determinises this on the fly, as far as the texts need it: a state is the tuple
+of live hypotheses, a transition says which token can end there. A hypothesis
+dies within the longest token's length, so tokens are certain after that
+lookahead and are emitted by walking back over the ends; a long piece is emitted
+portion by portion. States are cached per Python process up to
 :data:`MAX_STATES` and then dropped together, which costs time and never
 changes a result.
 
@@ -33,9 +35,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_STATES = 150_000
-MAX_PIECES = 300_000
-MAX_PAIRS = 500_000
+from vigil.llm.common import unused
+
+MAX_STATES = 100_000
+MAX_PIECES = 200_000
+MAX_PAIRS = 300_000
+PORTION = 4096   # bytes of a long piece between two emissions
+LOW = (1 << 17) - 1
 DECODE_BATCH = 8192
 
 
@@ -49,13 +55,16 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.bytes_of = {r: t for t, r in ranks.items()}
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
-        # The trie: 256 * node + byte -> node; a node's token or -1.
+        # The trie: node << 8 | byte -> node; a node's token or -1, its depth.
         self.children: dict[int, int] = {}
         self.tokens: list[int] = [-1]
         self.leaf: list[bool] = [False]
+        self.depth: list[int] = [0]
+        self.size = {r: len(t) for t, r in ranks.items()}
+        if max(self.size) >= LOW:
+            raise ValueError("too many tokens")
         for token, rank in ranks.items():
             if len(token) > 1:
                 halves = self._merge(token, rank)
@@ -64,14 +73,15 @@ class Merges:
                 self.parts[rank] = (halves[0], halves[1])
                 self.joined[halves[0], halves[1]] = rank
             self._insert(token, rank)
-        self.near: dict[tuple[int, int], bool] = {}  # what adjacent() has found
+        self.near: dict[int, bool] = {}  # (left + 1) << 17 | right -> what adjacent() has found
 
     def _insert(self, token: bytes, rank: int) -> None:
         node = 0
         for b in token:
-            nxt = self.children.get(256 * node + b)
+            nxt = self.children.get(node << 8 | b)
             if nxt is None:
-                nxt = self.children[256 * node + b] = len(self.tokens)
+                nxt = self.children[node << 8 | b] = len(self.tokens)
+                self.depth.append(self.depth[node] + 1)
                 self.leaf[node] = False
                 self.tokens.append(-1)
                 self.leaf.append(True)
@@ -93,14 +103,15 @@ class Merges:
         return [self.ranks[p] for p in parts]
 
     def adjacent(self, left: int, right: int) -> bool:
-        """Whether the merges of the two tokens' bytes give these two tokens:
-        their merges are undone along the boundary, latest first, and no merge
+        """Whether the merges of the two tokens' bytes give these two tokens (any
+        token may follow the start, -1): their merges are undone along the boundary, latest first, and no merge
         across it may come before the one undone last."""
-        known = self.near.get((left, right))
+        key = left + 1 << 17 | right
+        known = self.near.get(key)
         if known is None:
             if len(self.near) > MAX_PAIRS:
                 self.near.clear()
-            known = self.near[left, right] = self._check(left, right)
+            known = self.near[key] = left < 0 or self._check(left, right)
         return known
 
     def _check(self, left: int, right: int) -> bool:
@@ -122,77 +133,95 @@ class Merges:
 
 
 class Transducer:
-    """States are numbered in steps of 256, so that state + byte is a key."""
+    """Numbers packed into ints: a hypothesis is ``node << 17 | last + 1``, a
+    cached transition ``state << 8 | byte`` -> ``next state << 17 | token``."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.next: dict[int, tuple[int, tuple]] = {}  # state + byte -> state, emitted
-        self.start = self._intern(((0, (-1,)),))
+        self.index: dict[tuple[int, ...], int] = {}
+        self.states: list[tuple[int, ...]] = []
+        self.next: dict[int, int] = {}
+        self.start = self._intern((0,))
 
-    def _intern(self, hyps: tuple) -> int:
+    def _intern(self, hyps: tuple[int, ...]) -> int:
         k = self.index.get(hyps)
         if k is None:
-            k = self.index[hyps] = 256 * len(self.states)
+            k = self.index[hyps] = len(self.states)
             self.states.append(hyps)
         return k
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple]:
-        m, live, done = self.merges, [], None
-        go, tokens, leaf, near = m.children.get, m.tokens, m.leaf, m.near
-        for node, path in self.states[state >> 8]:
-            child = go(256 * node + byte)
+    def _step(self, key: int) -> int:
+        m, byte, live, done = self.merges, key & 255, [], -1
+        go, tokens, leaf, near = m.children.get, m.tokens, m.leaf, m.near.get
+        for code in self.states[key >> 8]:
+            child = go(code >> 17 << 8 | byte)
             if child is None:
                 continue
+            last = code & LOW
             if not leaf[child]:
-                live.append((child, path))
-            if done is None:
-                token = tokens[child]
-                if token >= 0:
-                    last = path[-1]
-                    if last < 0 or (known := near.get((last, token))) or (
-                            known is None and m.adjacent(last, token)):
-                        done = path + (token,)
-        if done is None:
+                live.append(child << 17 | last)
+            if done < 0 and (token := tokens[child]) >= 0:
+                known = near(last << 17 | token)
+                if known or (known is None and m.adjacent(last - 1, token)):
+                    done = token
+        if done < 0:
             raise ValueError("the vocabulary lacks a byte")
-        live.append((0, done))
-        # Every path starts with the token emitted last; emit what all share.
-        shared = 1
-        first = live[0][1]
-        if len(first) > 1:
-            limit = min([len(p) for _, p in live])
-            while shared < limit:
-                token = first[shared]
-                for _, p in live:
-                    if p[shared] != token:
-                        limit = 0
-                        break
-                else:
-                    shared += 1
-            if shared > 1:
-                live = [(n, p[shared - 1:]) for n, p in live]
+        live.append(done + 1)  # a new hypothesis starts at the root
         if len(self.states) > MAX_STATES:
             self._reset()
-            return self._intern(tuple(live)), first[1:shared]
-        result = self.next[state + byte] = (self._intern(tuple(live)), first[1:shared])
-        return result
+            return self._intern(tuple(live)) << 17 | done
+        value = self.next[key] = self._intern(tuple(live)) << 17 | done
+        return value
 
     def encode(self, piece: bytes) -> list[int]:
-        out: list[int] = []
-        state, step = self.start, self._step
+        if len(piece) > PORTION:
+            return [t for part in self.portions(piece) for t in part]
+        ends, state = [], self.start
         for b in piece:
-            # _step may drop the cache, so the table is looked up each time.
-            hit = self.next.get(state + b)
-            state, emitted = hit if hit is not None else step(state, b)
-            if emitted:
-                out += emitted
-        out += self.states[state >> 8][-1][1][1:]  # the hypothesis that ends here
+            key = state << 8 | b
+            value = self.next.get(key)
+            if value is None:
+                value = self._step(key)
+            ends.append(value & LOW)
+            state = value >> 17
+        return self._back(ends, len(ends), 0)
+
+    def _back(self, ends: list[int], at: int, stop: int) -> list[int]:
+        """The tokens between two places, from the token that ends at each."""
+        size, out = self.merges.size, []
+        while at > stop:
+            t = ends[at - 1]
+            out.append(t)
+            at -= size[t]
+        out.reverse()
         return out
 
+    def portions(self, piece: bytes) -> Iterator[list[int]]:
+        """Tokens of a long piece as they become certain: up to the last place
+        through which the tokens before every live hypothesis pass."""
+        ends: list[int] = []
+        state, size = self.start, self.merges.size
+        for k in range(0, len(piece), PORTION):
+            for b in piece[k:k + PORTION]:
+                key = state << 8 | b
+                value = self.next.get(key)
+                if value is None:
+                    value = self._step(key)
+                ends.append(value & LOW)
+                state = value >> 17
+            places = {len(ends) - self.merges.depth[code >> 17] for code in self.states[state]}
+            while len(places) > 1 and min(places) >= 0:
+                last = max(places)  # a hypothesis never starts later than its rivals' tokens
+                places.remove(last)
+                places.add(last - size[ends[last - 1]])
+            sure = places.pop()
+            yield self._back(ends, sure, 0)
+            del ends[:sure]
+        yield self._back(ends, len(ends), 0)
+
 
 class Encoder(dict):
     """piece -> its ids as little-endian int32 bytes, filled on demand. When it
@@ -285,6 +314,12 @@ def _cached(kind, key: tuple, make):
     return _CACHE[kind, key]
 
 
+def _id_lists(parts: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(p) // 4 for p in parts])
+    return pa.ListArray.from_arrays(pa.array(ends.astype("i4")),
+                                    pa.array(np.frombuffer(b"".join(parts), "<i4")))
+
+
 class Tokenizer:
     """A rank file read on the driver and sent to the executors (its size is
     that of the vocabulary, not of the data)."""
@@ -302,14 +337,26 @@ class Tokenizer:
         def encode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             enc = _cached("encoder", key, lambda: Encoder(read_ranks(data.value), pattern))
             for texts in batches:
-                parts = [enc.encode(t.as_py() or "") for t in texts]
-                ends = np.cumsum([0] + [len(p) // 4 for p in parts])
-                yield pa.ListArray.from_arrays(
-                    pa.array(ends.astype("i4")),
-                    pa.array(np.frombuffer(b"".join(parts), "<i4")))
+                yield _id_lists([enc.encode(t.as_py() or "") for t in texts])
 
         return encode_texts
 
+    def round_trip_udf(self):
+        """Encoding and decoding in one Python worker."""
+        data, key, pattern = self.data, self.key, self.pattern
+
+        @F.arrow_udf("ids array<int>, decoded binary")
+        def encode_and_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            enc = _cached("encoder", key, lambda: Encoder(read_ranks(data.value), pattern))
+            dec = _cached("decoder", key, lambda: Decoder(enc.ranks))
+            for texts in batches:
+                parts = [enc.encode(t.as_py() or "") for t in texts]
+                back = [dec.bytes(np.frombuffer(p, "<i4").tolist()) for p in parts]
+                yield pa.StructArray.from_arrays([_id_lists(parts), pa.array(back, pa.binary())],
+                                                 names=["ids", "decoded"])
+
+        return encode_and_decode
+
     def decode_bytes_udf(self):
         data, key = self.data, self.key
 
@@ -345,6 +392,15 @@ def decode(rows: DataFrame, tokenizer: Tokenizer, ids: str = "token_ids", out: s
     return rows.withColumn(out, tokenizer.decode_bytes_udf()(F.col(ids)))
 
 
+def round_trip(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """``docs`` with the ids of ``text`` in ``token_ids`` and the bytes that they
+    decode to in ``decoded``."""
+    (tmp,) = unused(docs, "bpe")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumn(tmp, tokenizer.round_trip_udf()(F.col("text"))).select(
+        *own, F.col(f"{tmp}.ids").alias("token_ids"), F.col(f"{tmp}.decoded").alias("decoded"))
+
+
 def ids_text(ids: str):
     """Decimal ids joined by one space."""
     return F.array_join(F.col(ids).cast("array<string>"), " ")
@@ -358,7 +414,7 @@ def default_tokenizer(spark: SparkSession) -> Tokenizer:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = default_tokenizer(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = decode(encode(docs, tok), tok)
+    rows = round_trip(docs, tok)
     return rows.select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(ids_text("token_ids"), "UTF-8"), 256).alias("ids_sha256"),
