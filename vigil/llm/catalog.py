@@ -10,6 +10,7 @@ from vigil.llm.exact_dedup import exact_groups
 from vigil.llm.language_id import op1_language_id
 from vigil.llm.near_dedup import near_groups
 from vigil.llm.quality import op2_quality
+from vigil.llm.secrets import op3_secret_scan
 from vigil.llm.sharding import op4_virtual_slot_sharding
 from vigil.llm.toxicity import op7_toxicity
 
@@ -29,6 +30,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
+    "op3_secret_scan": op3_secret_scan,
     "op4_virtual_slot_sharding": op4_virtual_slot_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_toxicity": op7_toxicity,
