@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vigil.llm.bpe import op8_byte_bpe
 from vigil.llm.decontaminate import op9_decontamination
 from vigil.llm.exact_dedup import exact_groups
+from vigil.llm.html_text import op6_html_extraction
 from vigil.llm.language_id import op1_language_id
 from vigil.llm.near_dedup import near_groups
 from vigil.llm.quality import op2_quality
@@ -33,6 +34,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_virtual_slot_sharding": op4_virtual_slot_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontamination": op9_decontamination,
