@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm.bpe import op8_byte_bpe
-from vigil.llm.decontaminate import op9_decontamination
+from vigil.llm.decontaminate import ENOUGH, SHARE, SHORTEST, UNITS, WINDOW, op9_decontamination
 from vigil.llm.exact_dedup import exact_groups
 from vigil.llm.html_text import op6_html_extraction
 from vigil.llm.language_id import op1_language_id
@@ -41,14 +41,80 @@ QUERIES = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
+def _template_sql(values: bool) -> str:
+    """The template of ``text`` in an engine without lookaround: a name after a
+    name is found in a second pass over the first one's result."""
+    ws, (name, number, unit) = r"[\x20\x09-\x0D]", (rf"\x{{{c}}}" for c in ("E000", "E001", "E002"))
+    mark = [f"chr({c})" for c in (0xE000, 0xE001, 0xE002)]
+    keep = [f" || '\\{g}'" if values else "" for g in (1, 2)]
+    t = f"regexp_replace(coalesce(text, ''), '[{name}-{unit}]', ' ', 'g')"
+    for _ in range(2):
+        t = (f"regexp_replace({t}, '([\\p{{L}}\\p{{N}},;{name}]{ws})(\\p{{Lu}}[\\p{{L}}\\p{{M}}]*)', "
+             f"'\\1' || {mark[0]}{keep[1]}, 'g')")
+    t = f"lower(regexp_replace({t}, '([0-9][0-9.,:/]*)', {mark[1]}{keep[0]}, 'g'))"
+    units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
+    t = (f"regexp_replace({t}, '({number}[0-9.,:/]*{ws}?)({units})([^\\p{{L}}\\p{{N}}]|$)', "
+         f"'\\1' || {mark[2]}{keep[1]} || '\\3', 'g')")
+    t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{M}}\\p{{N}}{name}-{unit}\\x20\\x09-\\x0D]+', '', 'g')"
+    return f"string_split(trim(regexp_replace({t}, '{ws}+', ' ', 'g')), ' ')"
+
+
+def _decontamination_sql() -> str:
+    name, unit = "\\x{E000}", "\\x{E002}"
+    return rf"""
+with docs as (
+  select distinct doc_id, text, {_template_sql(False)} as words, {_template_sql(True)} as vals from documents),
+items as (
+  select distinct item_id, text, {_template_sql(False)} as words, {_template_sql(True)} as vals from benchmark),
+usable as (
+  select *, least({WINDOW}, len(words)) as width, len(words) - least({WINDOW}, len(words)) + 1 as n_item
+  from items where len(words) >= {SHORTEST} and words[1] <> ''),
+iw as (
+  select item_id, text as itext, width, ipos, words[ipos:ipos + width - 1] as win,
+         least({ENOUGH}, ceil(n_item * {SHARE}::double)) as need
+  from (select *, unnest(range(1, n_item + 1)) as ipos from usable)),
+iw2 as (
+  select * from iw
+  where 2 * len([w for w in win if not regexp_matches(w, '[{name}-{unit}]')]) >= width),
+dw as (
+  select doc_id, text, width, dpos, words[dpos:dpos + width - 1] as win
+  from (select d.*, w.width, unnest(range(1, len(words) - w.width + 2)) as dpos
+        from docs d, (select distinct width from usable) w where len(words) >= w.width)),
+hits as (
+  select distinct doc_id, dw.text, item_id, itext, iw2.width, need, ipos, dpos - ipos as diagonal
+  from dw join iw2 using (win)),
+found as (
+  select doc_id, text, item_id, itext, width, diagonal, count(*) as n_windows, min(ipos) as lo, max(ipos) as hi
+  from hits group by all having count(*) >= any_value(need)),
+slots as (
+  select f.*, [{{'a': p[1], 'b': p[2]}} for p in list_zip(
+             i.vals[lo:hi + f.width - 1], d.vals[lo + diagonal:hi + diagonal + f.width - 1])
+           if regexp_matches(p[1], '[{name}-{unit}]') and regexp_matches(p[2], '[{name}-{unit}]')] as s
+  from found f join docs d on d.doc_id is not distinct from f.doc_id and d.text = f.text
+  join usable i on i.item_id is not distinct from f.item_id and i.text = f.itext),
+kinds as (
+  select *, [x for x in s if regexp_matches(x.a, '[{name}{unit}]')] as named,
+         [x for x in s if not regexp_matches(x.a, '[{name}{unit}]')] as numbers from slots),
+consistent as (
+  select *, len([x for x in s if x.a <> x.b]) as n_changed from kinds
+  where 2 * len(list_distinct(named)) = len(list_distinct([x.a for x in named])) + len(list_distinct([x.b for x in named]))
+    and 2 * (2 * len(list_distinct(numbers)) - len(list_distinct([x.a for x in numbers]))
+             - len(list_distinct([x.b for x in numbers]))) <= len(numbers)),
+best as (
+  select doc_id, text, item_id, itext, max(struct_pack(n := n_windows, d := -diagonal, k := len(s), c := n_changed)) as m
+  from consistent group by all)
+select doc_id, item_id, (-m.d)::bigint as start, m.n::bigint as n_windows, m.k::int as n_slots, m.c::int as n_changed
+from best"""
+
+
 SQL = {
     "op5_exact_dedup": r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents),
 g as (select norm, min(doc_id) as keep_id, count(*) as group_size from n group by norm)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256
 from n join g using (norm)""",
+    "op9_decontamination": _decontamination_sql(),
     # All pairs that share a shingle, so for small tables only.
-    "op9_decontamination": op9_decontamination,
     "op10_minhash_near_dedup": r"""
 with recursive w as (
   select doc_id, [x for x in regexp_split_to_array(
