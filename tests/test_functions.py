@@ -84,6 +84,15 @@ def test_rfc3339(spark):
         ("2024-01-01T00:00:00Z", dt.datetime(2024, 1, 1)),
         ("2024-01-01T00:00:00+01:00", dt.datetime(2023, 12, 31, 23, 0)),
         ("2024-01-01T00:00:00.123456789Z", dt.datetime(2024, 1, 1, 0, 0, 0, 123456)),
+        ("2024-01-01T00:00:00.1234567891Z", dt.datetime(2024, 1, 1, 0, 0, 0, 123456)),
+        ("2024-01-01T00:00:00.5Z", dt.datetime(2024, 1, 1, 0, 0, 0, 500000)),
+        ("2023-12-31T23:59:60Z", dt.datetime(2024, 1, 1)),
+        ("2024-01-01T00:00:00+19:00", dt.datetime(2023, 12, 31, 5)),
+        ("2024-01-01T00:00:00-23:59", dt.datetime(2024, 1, 1, 23, 59)),
+        ("2024-01-01T00:00:00+24:00", None),
+        ("2024-01-01T00:00:61Z", None),
+        ("2024-01-01T24:00:00Z", None),
+        ("2024-01-01T00:00:00Z\n", None),
         ("2024-01-01t10:00:00-02:30", dt.datetime(2024, 1, 1, 12, 30)),
         ("2024-01-01", None),
         ("2024-01-01T00:00:00", None),
@@ -96,9 +105,10 @@ def test_rfc3339(spark):
 
 
 def test_base64_and_utf8(spark):
-    df = spark.createDataFrame([("YWI=",), ("YWI",), ("YW I=",), ("!!!",), ("",), ("YWJj",), ("YWJ=",)], "t string")
+    df = spark.createDataFrame([("YWI=",), ("YWI",), ("YW I=",), ("!!!",), ("",), ("YWJj",), ("YWJ=",), ("YWJj\n",),
+                                ("YWJj" * 50_000,)], "t string")
     got = [r.ok for r in df.select(validate.is_strict_base64(F.col("t")).alias("ok")).collect()]
-    assert got == [True, False, False, False, True, True, False]
+    assert got == [True, False, False, False, True, True, False, False, True]
     b = spark.createDataFrame([(bytearray(b"ok"),), (bytearray(b"\xc3\x28"),)], "b binary")
     assert [r.s for r in b.select(validate.strict_utf8(F.col("b")).alias("s")).collect()] == ["ok", None]
 
@@ -112,6 +122,35 @@ def test_message(spark):
                    "<b>Output</b>\n<pre>a&lt;b &amp; &#x27;c&#x27;&#x2F;&quot;d&quot;</pre>")
 
 
+def test_message_in_another_offset_converts_the_time(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 2, 23, 4, 5),)], "ts timestamp_ntz")
+    r = df.select(text.format_local(F.col("ts"), "+02:00").alias("a"), text.format_local(F.col("ts"), "-01:30").alias("b"))
+    assert tuple(r.first()) == ("2024-01-03 01:04:05 +02:00", "2024-01-02 21:34:05 -01:30")
+
+
+def test_parse_is_linear_in_the_text(spark):
+    """Long runs of spaces, digits and commas, in keys and values."""
+    import time
+    long = ["x|" + " " * 100_000, "x|a=" + " " * 100_000 + "1", "x|" + " " * 100_000 + "a" + " " * 100_000 + "=1",
+            "x|a=" + "1" * 100_000 + "x", "x|" + "," * 100_000 + "a=1", "x|" + ",".join(["k=1"] * 20_000)]
+    df = spark.createDataFrame([(t,) for t in long], "raw string")
+    expr = perf.first_per_key(perf.metric_entries(F.col("raw")))
+    df.limit(1).select(expr).collect()
+    start = time.time()
+    rows = df.select(expr.alias("m")).collect()
+    assert time.time() - start < 20
+    assert [[(e.perf_key, e.perf_value) for e in r.m] for r in rows] == [
+        [], [("a", 1.0)], [("a", 1.0)], [("a", 0.0)], [("a", 1.0)], [("k", 1.0)]]
+
+
+def test_all_unicode_white_space_is_trimmed(spark):
+    around = "".join(map(chr, (9, 32, 0x85, 0xA0, 0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+    row = spark.createDataFrame([("x|" + around + "a" + around + "=" + around + "2" + around,)], "raw string")
+    e = row.select(perf.metric_entries(F.col("raw")).alias("m")).first().m
+    assert [(x.perf_key, x.perf_value) for x in e] == [("a", 2.0)]
+
+
 def test_long_form_matches_golden(spark):
     """The codegen long form (regex extraction + explode) gives the same
     metrics as the array form, including Unicode trimming and odd tokens."""

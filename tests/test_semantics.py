@@ -5,6 +5,8 @@ brute-force Python where SQL cannot express the operator."""
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -75,51 +77,6 @@ def test_schedule_golden(spark):
     runs = S.plan(checks, "2024-01-01 00:00:00", "2024-01-01 00:10:00").orderBy("run_at").collect()
     assert [(r.check_name, r.run_at) for r in runs] == [("a", T0 + dt.timedelta(minutes=5)),
                                                         ("a", T0 + dt.timedelta(minutes=10))]
-    feed = spark.createDataFrame(
-        [(1, "AddOrUpdate", "a", T0, False, 300),
-         (2, "AddOrUpdate", "a", T0 + dt.timedelta(minutes=1), False, 60)],
-        "seq long, op string, check_name string, changed_at timestamp_ntz, passive boolean, check_interval long")
-    got = [r.run_at for r in S.plan_versioned(feed, "2024-01-01 00:07:00").orderBy("run_at").collect()]
-    assert got == [T0 + dt.timedelta(minutes=m) for m in (5, 6, 7)]
-    removed = feed.unionByName(spark.createDataFrame(
-        [(3, "Remove", "a", T0 + dt.timedelta(minutes=6), None, None)], feed.schema))
-    got = [r.run_at for r in S.plan_versioned(removed, "2024-01-01 00:07:00").collect()]
-    assert got == [T0 + dt.timedelta(minutes=5)]
-
-
-def _simulate(events, horizon):
-    """Sequential reference fold of the fixed-rate scheduler."""
-    out = []
-    events = sorted(events, key=lambda e: e[0])
-    p = iv = None
-    for i, (seq, op, t, passive, interval) in enumerate(events):
-        t_next = events[i + 1][2] if i + 1 < len(events) else horizon + 1
-        sched = op != "Remove" and not passive and interval is not None and interval > 0
-        if sched:
-            p = p if p is not None else t + interval
-            iv = interval
-        else:
-            p = iv = None
-        while p is not None and p < t_next and p <= horizon:
-            out.append((seq, p))
-            p += iv
-    return out
-
-
-def test_versioned_schedule_matches_sequential_fold(spark):
-    from vigil.sources import fixtures as fx
-    feed = fx.spec_feed(spark, SF001)
-    horizon = "2024-01-02 00:00:00"
-    got = sorted((r.check_name, r.run_at) for r in S.plan_versioned(feed, horizon).collect())
-    epoch = dt.datetime(1970, 1, 1)
-    secs = lambda x: int((x - epoch).total_seconds())
-    hz = secs(dt.datetime(2024, 1, 2))
-    per = {}
-    for r in feed.collect():
-        per.setdefault(r.check_name, []).append((r.seq, r.op, secs(r.changed_at), r.passive, r.check_interval))
-    want = sorted((c, epoch + dt.timedelta(seconds=p)) for c, ev in per.items() for _, p in _simulate(ev, hz))
-    assert got == want and len(want) > 1000
-
 
 def test_asof_join_matches_brute_force_with_hot_key(spark):
     rnd = random.Random(7)
@@ -157,7 +114,6 @@ def test_ingest_replay_adds_nothing(spark):
     """Stream = batch, and a rerun on the same checkpoint adds 0 rows; a
     replayed batch id rewrites its own folder with the same rows."""
     from vigil.operators.decode import decode_results
-    from vigil.plans.catalog import registry
     from vigil.session import scratch_path
     from vigil.sources import fixtures as fx
     from vigil.streaming import ingest as ING
@@ -165,16 +121,15 @@ def test_ingest_replay_adds_nothing(spark):
     payloads = fx.result_payloads(spark, SF001)
     for k in range(3):       # three files written one after another
         payloads.filter(F.col("msg_id") % 3 == k).coalesce(1).write.mode("append").json(f"{base}/src")
-    reg = registry(spark, SF001)
     counts = []
     for _ in range(2):
-        q = ING.start_ingest(spark, f"{base}/src", f"{base}/t", f"{base}/ckpt", reg,
+        q = ING.start_ingest(spark, f"{base}/src", f"{base}/t", f"{base}/ckpt",
                              as_of="2024-01-31 00:00:00", max_files_per_trigger=1)
         q.awaitTermination()
         counts.append(spark.read.parquet(f"{base}/t/check_result").count())
     good, _ = decode_results(spark.read.schema("msg_id BIGINT, payload STRING").json(f"{base}/src"),
                              as_of="2024-01-31 00:00:00")
-    want = good.join(reg.select("check_name"), "check_name", "left_semi").count()
+    want = good.count()
     assert counts == [want, want] and want > 0
     # replay the first batch by hand with the same file: nothing changes
     import os
@@ -183,11 +138,152 @@ def test_ingest_replay_adds_nothing(spark):
     first = min(files, key=os.path.getmtime)          # the file source reads oldest first
     one = spark.read.schema("msg_id BIGINT, payload STRING").json(first)
     before = spark.read.parquet(f"{base}/t/check_result").filter("batch_id = 0").count()
-    ING.process_batch(one, 0, f"{base}/t", reg, as_of="2024-01-31 00:00:00")
+    ING.process_batch(one, 0, f"{base}/t", as_of="2024-01-31 00:00:00")
     assert spark.read.parquet(f"{base}/t/check_result").count() == want
     assert spark.read.parquet(f"{base}/t/check_result").filter("batch_id = 0").count() == before
 
 
+MESSAGE = '{"check_name":"a","output":"x|k=1,k=2","status":"Warning","telegram_channels":[]%s}'
+
+
+def test_replay_on_another_date_replaces_the_batch(spark):
+    """Messages without a time are stamped on receipt (C5); a replay past
+    midnight must not leave the rows of the day before."""
+    from vigil.session import scratch_path
+    from vigil.streaming import ingest as ING
+    base = scratch_path(spark, "midnight")
+    batch = spark.createDataFrame([(1, MESSAGE % "")], "msg_id long, payload string")
+    for stamp in ("2024-01-31 23:59:59", "2024-02-01 00:00:01"):
+        ING.process_batch(batch, 0, base, as_of=stamp)
+    for output in ("check_result", "check_result_perf_data"):
+        assert [r.event_date for r in spark.read.parquet(f"{base}/{output}").collect()] == [dt.date(2024, 2, 1)]
+
+
+def test_one_message_id_twice_in_a_batch_is_stored_once(spark):
+    from vigil.session import scratch_path
+    from vigil.streaming import ingest as ING
+    base = scratch_path(spark, "twice")
+    row = (7, MESSAGE % ',"timestamp":"2024-01-01T00:00:00Z"')
+    ING.process_batch(spark.createDataFrame([row, row, (9, row[1])], "msg_id long, payload string"), 0, base)
+    assert spark.read.parquet(f"{base}/check_result").count() == 1
+    assert spark.read.parquet(f"{base}/check_result_perf_data").count() == 1
+    rejected = spark.read.parquet(f"{base}/quarantine").collect()
+    assert sorted((r.msg_id, r.reason) for r in rejected) == [(7, "duplicate"), (9, "duplicate")]
+
+
+def test_dedup_breaks_ties_and_keeps_null_keys(spark):
+    from vigil.operators.dedup import dedup_results
+    rows = [(1, "a", T0), (1, "a", T0), (0, None, T0), (2, None, T0), (3, "a", None)]
+    df = spark.createDataFrame(rows, "arrival long, check_name string, timestamp timestamp_ntz")
+    kept, dups = dedup_results(df)
+    key = lambda r: (r[0], str(r[1]), str(r[2]))
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted([rows[0], rows[2], rows[4]], key=key)
+    assert sorted(map(tuple, dups.collect()), key=key) == sorted([rows[1], rows[3]], key=key)
+
+
+def test_repeated_result_does_not_stop_history(spark):
+    from vigil.operators import results as R
+    df = spark.createDataFrame([(T0, "c", "x|a=1,b=2"), (T0, "c", "x|a=1,b=2")],
+                               "ts timestamp_ntz, check_name string, output string")
+    rows = R.perf_history(R.perf_rows(df)).collect()
+    assert [dict(r.perf_data) for r in rows] == [{"a": 1.0, "b": 2.0}]
+
+
+def test_sorted_history_is_in_time_order(spark):
+    from vigil.plans.catalog import QUERIES
+    rows = QUERIES["history_stored"](spark, SF001).collect()
+    assert len(rows) > 10 and [r.timestamp for r in rows] == sorted(r.timestamp for r in rows)
+
+
+def test_stored_reads_push_the_check_and_prune_days(spark):
+    from vigil.plans import catalog as C
+    results, metric = C._stored_tables(spark, SF001)
+    assert results.count() == C.stored(spark, SF001).count() > 0
+    assert metric.count() == C.metrics(spark, SF001).count() > 0
+    plan = C.R.latest_one(results, "check-7")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(check_name,check-7)" in plan.split("PushedFilters:")[1].split("]")[0]
+    plan = C.history_stored(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "event_date" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert "EqualTo(check_name,check-7)" in plan
+
+
+def test_latest_and_fold_do_not_sort_their_input(spark):
+    """The scan side of both is a hash aggregate over fixed-width values."""
+    from vigil.plans import catalog as C
+    for name in ("latest_all", "registry_fold"):
+        plan = C.QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "partial_max(" in plan
+        above_scan = [x for x in plan.splitlines() if "partial_max(struct" in x.replace(" ", "")]
+        assert all("Scan" not in x for x in above_scan)
+
+
+def test_schedule_runs_in_buckets(spark):
+    one = spark.createDataFrame([("c", False, 1)], "check_name string, passive boolean, check_interval long")
+    runs = S.plan(one, "2024-01-01 00:00:00", "2024-01-01 03:00:00")
+    assert runs.count() == 10_800 and runs.select("run_index").distinct().count() == 10_800
+    assert runs.agg(F.max("run_at")).first()[0] == dt.datetime(2024, 1, 1, 3)
+    assert S.plan(one, "2024-01-01 00:00:00", "2024-01-01 00:00:00").count() == 0
+
+
+def test_strict_decode_of_nested_types(spark):
+    ok = '{"check_name":"a","output":"x","status":"Ok","telegram_channels":[%s]}'
+    good = '{"chat_id":"1","bot_token":"t"}'
+    rows = [(1, ok % good), (2, ok % '{"chat_id":5,"bot_token":"t"}'), (3, ok % '{"chat_id":"1","bot_token":true}'),
+            (4, ok % (good + ',{"chat_id":"1","bot_token":7}')), (5, ok % (good + ",null")), (6, ok % "5"),
+            (7, ok % '{"chat_id":5,"bot_token":"t","more":{"chat_id":"x"}}')]
+    kept, rej = DEC.decode_results(spark.createDataFrame(rows, "msg_id long, payload string"))
+    assert [r.msg_id for r in kept.collect()] == [1]
+    assert {r.msg_id: r.reason for r in rej.collect()} == dict.fromkeys(range(2, 8), "bad_channels")
+    task = ('{"passive":false,"check_name":"a","telegram_channels":[],"secret_refs":%s,'
+            '"script":{"content":"c","python_requirements":%s}}')
+    rows = [(1, task % ('["k"]', '["r"]')), (2, task % ('["k",5]', "[]")), (3, task % ('{"k":"v"}', "[]")),
+            (4, task % ("[]", "[1]")), (5, task % ("null", "null"))]
+    kept, rej = DEC.decode_tasks(spark.createDataFrame(rows, "msg_id long, payload string"))
+    assert sorted(r.msg_id for r in kept.collect()) == [1, 5]
+    assert {r.msg_id: r.reason for r in rej.collect()} == {2: "bad_secret_refs", 3: "bad_secret_refs", 4: "bad_script"}
+
+
+def test_missing_time_is_stamped_in_utc(spark):
+    batch = spark.createDataFrame([(1, MESSAGE % "")], "msg_id long, payload string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        stamp = DEC.decode_results(batch)[0].first().timestamp
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    assert abs((now - stamp).total_seconds()) < 120
+
+
+def test_tasks_hold_no_secret_values(spark):
+    from vigil.plans import catalog as C
+    tasks = C._tasks(spark, SF001)
+    assert tasks.filter(F.col("payload").contains("token-") | F.col("payload").contains('"KEY_')).count() == 0
+    assert tasks.filter(F.col("payload").contains("secret_refs")).count() > 0
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
+    from vigil import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session)
+
+
 def test_python_check_errors_dropped_by_default(spark):
     from vigil.operators import checks as CK
     df = spark.createDataFrame([(k, v) for k in range(6) for v in range(3)], "k long, v long")
@@ -205,6 +301,35 @@ def test_python_check_errors_dropped_by_default(spark):
     assert res["c-3"] == "CheckError" and res["c-0"] == "Ok"
 
 
+def test_failing_rows_are_found_by_halving(spark):
+    """One bad row of a batch costs a few calls, not one per row."""
+    from vigil.operators import checks as CK
+    import pandas as pd
+    calls = []
+
+    def fn(pdf):
+        calls.append(len(pdf))
+        if (pdf["k"] == 77).any():
+            raise RuntimeError("boom")
+        return pd.DataFrame({"exit_code": [0] * len(pdf), "output": ["fine"] * len(pdf)})
+
+    pdf = pd.DataFrame({"check_name": [f"c{k}" for k in range(128)], "k": range(128)})
+    out = pd.concat(CK._bisected(pdf, fn, lambda x: x["check_name"]))
+    assert len(out) == 128 and list(out[out["error"].notna()]["check_name"]) == ["c77"]
+    assert len(calls) == 15
+
+
+def test_script_checks_report_every_failure(spark):
+    from vigil.operators import checks as CK
+    from vigil.plans.catalog import _unreliable
+    rows = spark.createDataFrame([(f"c{k}", "s", k, 9) for k in range(5)] + [("lost", "t", 4, 9), ("none", None, 4, 9)],
+                                 "check_name string, script_ref string, r long, n long")
+    good, failed = CK.outcomes(CK.script_checks(rows, {"s": _unreliable}))
+    assert sorted(r.check_name for r in good.collect()) == ["c3", "c4"]
+    assert {r.check_name: r.error for r in failed.collect()} == {
+        "c0": "ValueError", "c1": "no_exit_code", "c2": "not_utf8", "lost": "no_script", "none": "no_script"}
+
+
 def test_task_decode_rejects(spark):
     ok = '{"passive":false,"check_name":"a","interval":60,"telegram_channels":[{"chat_id":"1","channel_name":"c"}]}'
     rows = [(1, ok), (2, ok.replace('"passive":false,', "")), (3, ok.replace("60", "-1")),
@@ -217,19 +342,23 @@ def test_task_decode_rejects(spark):
         7: "invalid_json"}
 
 
-def test_create_tables_idempotent(spark):
+def test_created_tables_see_what_is_written(spark):
     from vigil.session import scratch_path
     from vigil.sinks import tables as TB
-    base = scratch_path(spark, "tables")
-    paths = TB.create_tables(spark, base)
-    TB.create_tables(spark, base)      # second call is a no-op
     row = spark.createDataFrame([(T0, "c", 2, "x", T0.date())],
                                 "timestamp timestamp_ntz, check_name string, status smallint, output string, "
                                 "event_date date")
-    TB.write_batch(row, paths["check_result"], 0)
-    TB.write_batch(row, paths["check_result"], 0)   # replay of batch 0
-    assert spark.read.parquet(paths["check_result"]).count() == 1
-    assert spark.table("check_result").columns[:4] == ["timestamp", "check_name", "status", "output"]
+    for database in ("vigil_one", "vigil_two"):       # one pair of tables per base
+        base = scratch_path(spark, "tables")
+        paths = TB.create_tables(spark, base, database)
+        TB.create_tables(spark, base, database)      # second call is a no-op
+        for _ in range(2):                           # and so is the replay of batch 0
+            TB.write_batch(row, paths["check_result"], 0)
+        TB.write_batch(row, paths["check_result"], 1)
+        TB.refresh_tables(spark, database)
+        table = spark.table(f"{database}.check_result")
+        assert table.count() == spark.read.parquet(paths["check_result"]).count() == 2
+        assert table.columns == ["timestamp", "check_name", "status", "output", "batch_id", "event_date"]
 
 
 def test_failed_check_published_as_error_result(spark):
@@ -265,20 +394,20 @@ def test_check_definitions_round_trip_json(spark):
     assert back.exceptAll(spec.select(*back.columns)).count() == 0
 
 
-def test_partition_retention_prunes_expired_dates(spark):
+def test_retention_removes_expired_days(spark):
     from vigil.plans.catalog import stored
     from vigil.session import scratch_path
     from vigil.sinks import tables as TB
     path = scratch_path(spark, "retention")
     st = stored(spark, SF001)
-    TB.compact(st, path)
-    kept = TB.drop_expired_partitions(path, spark, "2024-01-31 00:00:00")
+    TB.write_batch(st, path, 0)
+    assert TB.drop_expired(path, spark, "2024-01-31 00:00:00") > 0
     want = st.filter(F.to_date("timestamp") >= dt.date(2024, 1, 24)).count()
-    assert kept.count() == want > 0
+    assert spark.read.parquet(path).count() == want > 0
+    assert TB.drop_expired(path, spark, "2024-01-31 00:00:00") == 0
 
 
 def test_ingest_drops_duplicates_across_batches(spark):
-    from vigil.plans.catalog import registry
     from vigil.session import scratch_path
     from vigil.sources import fixtures as fx
     from vigil.streaming import ingest as ING
@@ -287,21 +416,11 @@ def test_ingest_drops_duplicates_across_batches(spark):
     # the same messages arrive twice, in two separate files / micro-batches
     payloads.coalesce(1).write.json(f"{base}/src/a")
     payloads.coalesce(1).write.json(f"{base}/src/b")
-    reg = registry(spark, SF001)
     for i, sub in enumerate(("a", "b")):
         ING.process_batch(spark.read.schema("msg_id BIGINT, payload STRING").json(f"{base}/src/{sub}"),
-                          i, f"{base}/t", reg, as_of="2024-01-31 00:00:00")
+                          i, f"{base}/t", as_of="2024-01-31 00:00:00")
     stored = spark.read.parquet(f"{base}/t/check_result")
     assert stored.count() == stored.select("check_name", "timestamp").distinct().count() > 0
     assert stored.filter("batch_id = 1").count() == 0
     q = spark.read.parquet(f"{base}/t/quarantine/batch_id=1")
     assert q.filter("reason = 'duplicate'").count() == stored.count()
-
-
-def test_bounded_broadcast_only_under_the_bound(spark):
-    from vigil.operators.joins import bounded_broadcast
-    small = spark.range(5)
-    big = spark.range(50)
-    assert bounded_broadcast(small, max_rows=10) is not small      # hinted copy
-    assert bounded_broadcast(big, max_rows=10) is big              # left to the planner
-    assert spark.range(100).join(bounded_broadcast(small, max_rows=10), "id").count() == 5

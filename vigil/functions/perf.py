@@ -5,9 +5,8 @@ separates; tokens without ``=`` are dropped; key and value are trimmed of
 Unicode white space; a value that is not a 32-bit float in the accepted
 grammar becomes 0.0 and is flagged ``parse_ok = false``.
 
-Keys and value texts come from two regex extractions (JVM-side, inside
-whole-stage codegen); the long form explodes them by position, and only the
-array form (:func:`metric_entries`) adds one lambda pass for the parse.
+Every step is linear in the text: split at commas, cut at the first ``=``,
+trim by character set. No regular expression sees untrimmed text.
 """
 
 from __future__ import annotations
@@ -17,14 +16,11 @@ from pyspark.sql import functions as F
 
 # The accepted float grammar (Java regex), the signed-NaN form,
 # and WS, the Unicode White_Space characters trimmed from keys and values.
-FLOAT_GRAMMAR = (r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?"
-                 r"|(?i:inf|infinity|nan))$")
-SIGNED_NAN = r"^[+-]?(?i:nan)$"
-WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-# Trimmed key / value text of every k=v token (tokens without '=' match
-# neither pattern, so both arrays align index by index).
-KEY_PATTERN = r"(?:^|,)" + WS + r"*([^,=]*?)" + WS + r"*="
-VALUE_PATTERN = r"(?:^|,)[^,=]*=" + WS + r"*([^,]*?)" + WS + r"*(?=,|$)"
+FLOAT_GRAMMAR = (r"^[+-]?([0-9]++(\.[0-9]*+)?([eE][+-]?[0-9]+)?|\.[0-9]++([eE][+-]?[0-9]+)?"
+                 r"|(?i:inf|infinity|nan))\z")
+SIGNED_NAN = r"^[+-]?(?i:nan)\z"
+WS = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                       0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 _MAX_LEN = 2 ** 31 - 1
 
@@ -52,14 +48,31 @@ def parse_f32(text: Column) -> Column:
             .otherwise(text.try_cast("float")))
 
 
-def metric_keys(output: Column) -> Column:
-    """Trimmed keys of the k=v tokens, in order (no lambda: stays in codegen)."""
-    return F.regexp_extract_all(metric_text(output), F.lit(KEY_PATTERN), 1)
+def metric_tokens(output: Column) -> Column:
+    """The ``k=v`` tokens as written, in order."""
+    return F.filter(F.split(metric_text(output), ",", -1), lambda t: F.contains(t, F.lit("=")))
 
 
-def metric_value_texts(output: Column) -> Column:
-    """Trimmed value texts aligned with :func:`metric_keys`."""
-    return F.regexp_extract_all(metric_text(output), F.lit(VALUE_PATTERN), 1)
+def token_key(token: Column) -> Column:
+    return F.btrim(F.substring_index(token, "=", 1), F.lit(WS))
+
+
+def token_value(token: Column) -> Column:
+    """Trimmed text after the first ``=`` (not yet parsed)."""
+    return F.btrim(_after_first(token, "="), F.lit(WS))
+
+
+def metric_texts(output: Column) -> Column:
+    """array<struct<perf_key, pos, text>> of the tokens, in order."""
+    return F.transform(metric_tokens(output), lambda t, i: F.struct(
+        token_key(t).alias("perf_key"), i.alias("pos"), token_value(t).alias("text")))
+
+
+def first_texts(texts: Column) -> Column:
+    """The first token of every key, ordered by key: equal keys are neighbours
+    after the sort, so this is linear but for the sort."""
+    return F.transform(F.array(F.sort_array(texts)), lambda s: F.filter(
+        s, lambda x, i: (i == 0) | (F.get(s, i - 1)["perf_key"] != x["perf_key"])))[0]
 
 
 def metric_entries(output: Column) -> Column:
@@ -67,25 +80,31 @@ def metric_entries(output: Column) -> Column:
 
     ``pos`` is the 0-based position among the kept ``k=v`` tokens.
     """
-    vals = metric_value_texts(output)
-    split = F.transform(metric_keys(output), lambda k, i: F.struct(
-        i.alias("pos"), k.alias("perf_key"), parse_f32(F.get(vals, i)).alias("pf")))
-    return F.transform(split, lambda e: F.struct(
+    parsed = F.transform(metric_texts(output), lambda e: F.struct(
+        e["pos"].alias("pos"), e["perf_key"].alias("perf_key"), parse_f32(e["text"]).alias("pf")))
+    return F.transform(parsed, lambda e: F.struct(
         e["pos"].alias("pos"),
         e["perf_key"].alias("perf_key"),
         F.coalesce(e["pf"], F.lit(0.0).cast("float")).alias("perf_value"),
         e["pf"].isNotNull().alias("parse_ok")))
 
 
+def _by_key(entries: Column, first: bool) -> Column:
+    """First (or later) entries of every key, in their order of appearance."""
+    keyed = F.sort_array(F.transform(entries, lambda e: F.struct(e["perf_key"].alias("k"), e["pos"].alias("p"))))
+    positions = F.transform(F.array(keyed), lambda s: F.transform(
+        F.filter(s, lambda x, i: ((i == 0) | (F.get(s, i - 1)["k"] != x["k"])) == F.lit(first)), lambda x: x["p"]))[0]
+    return F.transform(F.array(F.sort_array(positions)), lambda ps: F.transform(
+        ps, lambda p: F.get(entries, p)))[0]
+
+
 def first_per_key(entries: Column) -> Column:
     """Keep the first entry of every key (row-local duplicate removal)."""
-    keys = F.transform(entries, lambda e: e["perf_key"])
-    return F.filter(entries, lambda e, i: F.array_position(keys, e["perf_key"]) == i + 1)
+    return _by_key(entries, True)
 
 
 def later_duplicates(entries: Column) -> Column:
-    keys = F.transform(entries, lambda e: e["perf_key"])
-    return F.filter(entries, lambda e, i: F.array_position(keys, e["perf_key"]) != i + 1)
+    return _by_key(entries, False)
 
 
 def metric_map(entries: Column) -> Column:

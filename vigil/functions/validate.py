@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# RFC 3339 date-time (date, time, optional fraction, offset)
-# and canonical padded base64 with zero trailing bits.
-RFC3339 = (r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[Tt ]([0-9]{2}):([0-9]{2}):([0-9]{2})"
-           r"(\.[0-9]+)?([Zz]|([+-])([0-9]{2}):([0-9]{2}))$")
-BASE64 = (r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/][AQgw]==|[A-Za-z0-9+/]{2}[AEIMQUYcgkosw048]=)?$")
+# RFC 3339 date-time (date, time, optional fraction of any length,
+# offset up to 23:59, second 60) and canonical padded base64 with zero trailing bits.
+RFC3339 = (r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]([0-9]{2}:[0-9]{2}):([0-5][0-9]|60)"
+           r"(?:\.([0-9]++))?(?:[Zz]|([+-])([01][0-9]|2[0-3]):([0-5][0-9]))\z")
+BASE64 = (r"^(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/][AQgw]==|[A-Za-z0-9+/]{2}[AEIMQUYcgkosw048]=)?\z")
 
 
 def parse_rfc3339(text: Column) -> Column:
     """RFC 3339 text -> TIMESTAMP_NTZ in UTC (µs; finer digits truncate).
 
-    Null when the text is not RFC 3339 or names an impossible date/time.
-    The text is referenced twice only (guard regex, one offset-aware parse),
-    so an expensive input expression is not re-evaluated per field; the
-    instant is turned into UTC wall-clock time independently of the session
-    time zone.
+    Null when the text is not RFC 3339 or names an impossible date or time.
+    Second 60 is the instant after second 59. The parts are added to a zone-less
+    time, so the session time zone plays no part.
     """
-    norm = F.translate(F.upper(text), " ", "T")
-    instant = F.try_to_timestamp(norm, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX"))
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.when(text.rlike(RFC3339), F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch))
+    part = lambda g: F.regexp_extract(text, RFC3339, g)
+    leap = part(3) == "60"
+    base = F.concat(part(1), F.lit(" "), part(2), F.lit(":"),
+                    F.when(leap, F.lit("59")).otherwise(part(3))).try_cast("timestamp_ntz")
+    micros = F.rpad(F.substring(part(4), 1, 6), 6, "0").try_cast("bigint")
+    minutes = F.coalesce(part(6).try_cast("bigint") * 60 + part(7).try_cast("bigint"), F.lit(0))
+    shift = F.when(part(5) == "-", minutes).otherwise(-minutes) * 60_000_000
+    leap_micros = F.when(leap, F.lit(1_000_000)).otherwise(F.lit(0))
+    return F.when(text.rlike(RFC3339), F.timestamp_add("MICROSECOND", shift + leap_micros + micros, base))
 
 
 def is_strict_base64(text: Column) -> Column:

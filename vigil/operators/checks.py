@@ -8,10 +8,15 @@ goes through the same split (C1/C2) and status mapping (B3) as any result.
 * Python checks: Spark aggregates first; the user function receives pandas
   batches of *aggregated* rows (one row per key) through ``mapInPandas``, so
   a key holding a third of the table never materialises in one pandas frame.
-  ``params`` (e.g. merged secrets, L2) are passed to the function.
-* Failures (L3): a batch whose function raises is retried row by row; a row
-  that still raises yields no result (``errors="drop"``, as the monitored
-  system does) or a CheckError row (``errors="side"``, C5).
+  ``params`` are passed to the function.
+* Checks by script: rows of registered checks carry the name of their script and
+  their merged secrets (D4); the function is looked up by the script's name and
+  gets the rows' secrets with them (L2).
+* Failures (L3): a batch whose function raises is halved until the failing rows
+  stand alone. A failed row (raised, no function, no exit code, output that is
+  not UTF-8) has ``error`` set and no result; :func:`outcomes` separates results
+  from failures, so that failures can be stored and counted. ``errors="drop"``
+  leaves failures out, as the monitored system does.
 """
 
 from __future__ import annotations
@@ -35,6 +40,42 @@ def sql_checks(df: DataFrame, key: str, prefix: str, aggs: list[Column],
                     F.lit(None).cast("string").alias("error"))
 
 
+def _frame(names, out: pd.DataFrame) -> pd.DataFrame:
+    """Results of one call, with rows lacking an exit code or text as failures."""
+    code = out["exit_code"].astype("Int32").reset_index(drop=True)
+    text, error = [], []
+    for value, missing in zip(out["output"], code.isna()):
+        if isinstance(value, bytes):
+            try:
+                value = value.decode("utf-8")
+            except UnicodeDecodeError:
+                text.append("check failed: output is not UTF-8")
+                error.append("not_utf8")
+                continue
+        text.append("check failed: no exit code" if missing else value)
+        error.append("no_exit_code" if missing else None)
+    bad = pd.Series([e is not None for e in error], dtype=bool)
+    return pd.DataFrame({"check_name": list(names), "exit_code": code.mask(bad),
+                         "output": text, "error": error})
+
+
+def _failure(name, exc: str, message: str) -> pd.DataFrame:
+    return pd.DataFrame({"check_name": [name], "exit_code": pd.array([None], dtype="Int32"),
+                         "output": [f"check failed: {message}"], "error": [exc]})
+
+
+def _bisected(pdf: pd.DataFrame, call, names) -> list[pd.DataFrame]:
+    """``call`` on the rows, halved while it raises: a row that fails costs
+    about twice the logarithm of the batch in calls, not a call per row."""
+    try:
+        return [_frame(names(pdf), call(pdf))]
+    except Exception as exc:  # noqa: BLE001 — user code may raise anything
+        if len(pdf) == 1:
+            return [_failure(names(pdf).iloc[0], type(exc).__name__, f"{type(exc).__name__}: {exc}")]
+        half = len(pdf) // 2
+        return _bisected(pdf.iloc[:half], call, names) + _bisected(pdf.iloc[half:], call, names)
+
+
 def python_checks(df: DataFrame, key: str, prefix: str, aggs: list[Column],
                   fn: Callable[[pd.DataFrame, dict], pd.DataFrame],
                   params: dict | None = None, errors: str = "drop") -> DataFrame:
@@ -43,38 +84,39 @@ def python_checks(df: DataFrame, key: str, prefix: str, aggs: list[Column],
     params = dict(params or {})
     g = df.groupBy(key).agg(*aggs)
 
-    def names(pdf):
-        return prefix + pdf[key].astype(str)
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.concat(_bisected(pdf, lambda x: fn(x, params), lambda x: prefix + x[key].astype(str)),
+                                ignore_index=True)
+
+    out = g.mapInPandas(run, CHECK_OUTPUT)
+    return out.filter(F.col("error").isNull()) if errors == "drop" else out
 
-    def one(pdf):
-        out = fn(pdf, params)
-        return pd.DataFrame({"check_name": names(pdf).values,
-                             "exit_code": out["exit_code"].astype("Int32").values,
-                             "output": out["output"].astype(object).values,
-                             "error": [None] * len(pdf)})
+
+def script_checks(rows: DataFrame, functions: dict[str, Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
+    """``rows`` hold one row per check: check_name, script_ref, secrets (map) and
+    whatever the functions read; the function of a row is the one registered for
+    its script. Failures come out with ``error`` set."""
 
     def run(batches):
         for pdf in batches:
-            try:
-                yield one(pdf)
-                continue
-            except Exception:  # noqa: BLE001 — isolate the failing rows
-                pass
-            rows = []
-            for i in range(len(pdf)):
-                row = pdf.iloc[i:i + 1]
-                try:
-                    rows.append(one(row))
-                except Exception as exc:  # noqa: BLE001
-                    if errors == "side":
-                        rows.append(pd.DataFrame({"check_name": names(row).values,
-                                                  "exit_code": pd.array([None], dtype="Int32"),
-                                                  "output": [f"check failed: {type(exc).__name__}: {exc}"],
-                                                  "error": [type(exc).__name__]}))
-            if rows:
-                yield pd.concat(rows, ignore_index=True)
-
-    return g.mapInPandas(run, CHECK_OUTPUT)
+            for script, part in pdf.groupby("script_ref", dropna=False, sort=False):
+                fn = functions.get(script)
+                if fn is None:
+                    yield pd.concat([_failure(n, "no_script", "no script") for n in part["check_name"]],
+                                    ignore_index=True)
+                else:
+                    yield pd.concat(_bisected(part, fn, lambda x: x["check_name"]), ignore_index=True)
+
+    return rows.mapInPandas(run, CHECK_OUTPUT)
+
+
+def outcomes(checks: DataFrame):
+    """(results, failures) of check outputs; count the second to see a function
+    that always fails."""
+    return (checks.filter(F.col("error").isNull()),
+            checks.filter(F.col("error").isNotNull()).select("check_name", "error", F.col("output").alias("message")))
 
 
 def to_results(checks: DataFrame, as_of: str) -> DataFrame:

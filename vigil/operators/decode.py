@@ -32,10 +32,24 @@ def encode_result(check_name: Column, output: Column, status_name: Column, ts: C
         mute.alias("mute_notifications"), F.date_format(mute_until, fmt).alias("mute_notifications_until")))
 
 
-def _no_null(arr: Column) -> Column:
-    """True when no element is null (sort_array puts nulls first). No lambda,
-    so the surrounding operator stays in whole-stage codegen."""
-    return (F.size(arr) == 0) | F.get(F.sort_array(arr), 0).isNotNull()
+def _strings(items: Column, *fields: str) -> Column:
+    """True when every element of an array of variants has JSON strings in
+    ``fields`` (a number or a boolean is no string; null items fail)."""
+    return F.forall(items, lambda x: reduce(lambda a, b: a & b, [
+        F.coalesce(F.schema_of_variant(F.try_variant_get(x, f"$.{f}", "variant")) == "STRING", F.lit(False))
+        for f in fields]))
+
+
+def _all_strings(v: Column, path: str) -> Column:
+    """True when the value at ``path`` is an array of JSON strings."""
+    return F.forall(F.try_variant_get(v, path, "array<variant>"),
+                    lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))
+
+
+def utc_now() -> Column:
+    """The present UTC wall-clock time, whatever the session time zone is."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(F.current_timestamp()),
+                           F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def _type(v: Column, path: str) -> Column:
@@ -47,7 +61,15 @@ _FIELDS = ("check_name", "output", "status", "timestamp", "telegram_channels",
 
 
 def decode_results(records: DataFrame, payload: str = "payload", as_of: str | None = None):
-    """B1 + C4: (decoded, rejects(<input columns>, reason)).
+    """B1 + C4: (decoded, rejects(<input columns>, reason)); see :func:`tag_results`."""
+    tagged = tag_results(records, payload, as_of)
+    rejects = tagged.filter(F.col("_reason").isNotNull()).select(
+        *records.columns, F.col("_reason").alias("reason"))
+    return tagged.filter(F.col("_reason").isNull()).drop("_reason"), rejects
+
+
+def tag_results(records: DataFrame, payload: str = "payload", as_of: str | None = None) -> DataFrame:
+    """Every record with its decoded fields and ``_reason``, null when it is good.
 
     ``decoded`` has the input columns plus check_name, output, status,
     status_code, timestamp (NTZ, UTC; missing -> ``as_of``),
@@ -57,8 +79,7 @@ def decode_results(records: DataFrame, payload: str = "payload", as_of: str | No
     (2) project every field's JSON type, text and parsed value as columns;
     (3) build the reject reason and the typed row inside a one-row generator.
     The generator stops predicate pushdown, so the good/reject filter reads
-    the finished row instead of re-deriving the fields (and re-parsing). No
-    lambda functions are used, so every step stays in whole-stage codegen.
+    the finished row instead of re-deriving the fields (and re-parsing).
     """
     cols = records.columns
     parsed = records.select(*cols, F.try_parse_json(F.col(payload)).alias("_v"))
@@ -68,6 +89,8 @@ def decode_results(records: DataFrame, payload: str = "payload", as_of: str | No
     probes += [F.try_variant_get(vv, f"$.{f}", "string").alias(f"_s_{f}")
                for f in ("check_name", "output", "status", "timestamp", "mute_notifications_until")]
     probes += [F.try_variant_get(vv, "$.telegram_channels", _CHANNELS_T).alias("_chans"),
+               _strings(F.try_variant_get(vv, "$.telegram_channels", "array<variant>"), "chat_id", "bot_token")
+               .alias("_chans_ok"),
                F.try_variant_get(vv, "$.mute_notifications", "boolean").alias("_mute")]
     typed = parsed.select(*cols, "_v", *probes)
     typed = typed.select(*[c for c in typed.columns if c != "_v"], vv.isNull().alias("_null"),
@@ -83,15 +106,14 @@ def decode_results(records: DataFrame, payload: str = "payload", as_of: str | No
         ("bad_status", ~F.coalesce((t("status") == "STRING") & F.col("_s_status").isin(*STATUS_NAMES),
                                    F.lit(False))),
         ("bad_channels", ~F.coalesce(t("telegram_channels").startswith("ARRAY") & chans.isNotNull()
-                                     & _no_null(chans["chat_id"]) & _no_null(chans["bot_token"]),
-                                     F.lit(False))),
+                                     & F.col("_chans_ok"), F.lit(False))),
         ("bad_timestamp", ~(absent("timestamp") | F.col("_ts").isNotNull())),
         ("bad_mute", ~(absent("mute_notifications") | (t("mute_notifications") == "BOOLEAN"))),
         ("bad_mute_until", ~(absent("mute_notifications_until") | F.col("_until").isNotNull())),
     ]
     reason = reduce(lambda acc, c: acc.when(c[1], F.lit(c[0])),
                     checks[1:], F.when(checks[0][1], F.lit(checks[0][0])))
-    stamp = F.lit(as_of).cast("timestamp_ntz") if as_of else F.localtimestamp()
+    stamp = F.lit(as_of).cast("timestamp_ntz") if as_of else utc_now()
     row = F.struct(
         reason.alias("_reason"),
         F.col("_s_check_name").alias("check_name"),
@@ -103,11 +125,7 @@ def decode_results(records: DataFrame, payload: str = "payload", as_of: str | No
         F.col("_mute").alias("mute_notifications"),
         F.col("_until").alias("mute_notifications_until"))
     # second generator: the reason filter stops here and reads the typed row
-    tagged = typed.select(*cols, F.inline(F.array(row)))
-    rejects = tagged.filter(F.col("_reason").isNotNull()).select(
-        *cols, F.col("_reason").alias("reason"))
-    good = tagged.filter(F.col("_reason").isNull()).drop("_reason")
-    return good, rejects
+    return typed.select(*cols, F.inline(F.array(row)))
 
 
 def error_result(check_name: Column, message: Column, mute: Column, mute_until: Column) -> Column:
@@ -128,12 +146,13 @@ def decode_tasks(records: DataFrame, payload: str = "payload"):
     Required: ``passive`` (boolean), ``check_name`` (string),
     ``telegram_channels`` (array of channel objects). Optional: ``interval``
     (non-negative integer), ``script`` (object with string ``content``),
-    ``secrets`` (object of strings), mute flag and RFC 3339 mute-until.
+    ``secret_refs`` (array of strings: names, never values), mute flag and RFC
+    3339 mute-until.
     """
     cols = records.columns
     parsed = records.select(*cols, F.try_parse_json(F.col(payload)).alias("_v"))
     vv = F.col("_v")
-    fields = ("passive", "check_name", "telegram_channels", "interval", "script", "secrets",
+    fields = ("passive", "check_name", "telegram_channels", "interval", "script", "secret_refs",
               "mute_notifications", "mute_notifications_until")
     typed = parsed.select(
         *cols, vv.isNull().alias("_null"), F.schema_of_variant(vv).alias("_t_"),
@@ -143,8 +162,14 @@ def decode_tasks(records: DataFrame, payload: str = "payload"):
         F.try_variant_get(vv, "$.passive", "boolean").alias("_passive"),
         F.try_variant_get(vv, "$.interval", "bigint").alias("_interval"),
         F.try_variant_get(vv, "$.script.content", "string").alias("_content"),
-        F.try_variant_get(vv, "$.secrets", "map<string,string>").alias("_secrets"),
+        _type(vv, "$.script.python_requirements").alias("_t_reqs"),
+        F.try_variant_get(vv, "$.script.python_requirements", "array<string>").alias("_reqs"),
+        _all_strings(vv, "$.script.python_requirements").alias("_reqs_ok"),
+        F.try_variant_get(vv, "$.secret_refs", "array<string>").alias("_refs"),
+        _all_strings(vv, "$.secret_refs").alias("_refs_ok"),
         F.try_variant_get(vv, "$.telegram_channels", _TASK_CHANNELS_T).alias("_chans"),
+        _strings(F.try_variant_get(vv, "$.telegram_channels", "array<variant>"), "chat_id", "channel_name")
+        .alias("_chans_ok"),
         F.try_variant_get(vv, "$.mute_notifications", "boolean").alias("_mute"),
         parse_rfc3339(F.try_variant_get(vv, "$.mute_notifications_until", "string")).alias("_until"))
     t = lambda f: F.col(f"_t_{f}")
@@ -155,11 +180,12 @@ def decode_tasks(records: DataFrame, payload: str = "payload"):
         ("bad_passive", ~F.coalesce(t("passive") == "BOOLEAN", F.lit(False))),
         ("bad_check_name", ~F.coalesce(t("check_name") == "STRING", F.lit(False))),
         ("bad_channels", ~F.coalesce(t("telegram_channels").startswith("ARRAY") & chans.isNotNull()
-                                     & _no_null(chans["chat_id"]), F.lit(False))),
+                                     & F.col("_chans_ok"), F.lit(False))),
         ("bad_interval", ~(absent("interval") | F.coalesce((t("interval") == "BIGINT")
                                                            & (F.col("_interval") >= 0), F.lit(False)))),
-        ("bad_script", ~(absent("script") | F.coalesce(t("content") == "STRING", F.lit(False)))),
-        ("bad_secrets", ~(absent("secrets") | F.col("_secrets").isNotNull())),
+        ("bad_script", ~(absent("script") | F.coalesce((t("content") == "STRING") & (
+            absent("reqs") | F.col("_reqs_ok")), F.lit(False)))),
+        ("bad_secret_refs", ~(absent("secret_refs") | F.coalesce(F.col("_refs_ok"), F.lit(False)))),
         ("bad_mute", ~(absent("mute_notifications") | (t("mute_notifications") == "BOOLEAN"))),
         ("bad_mute_until", ~(absent("mute_notifications_until") | F.col("_until").isNotNull())),
     ]
@@ -167,7 +193,8 @@ def decode_tasks(records: DataFrame, payload: str = "payload"):
                     checks[1:], F.when(checks[0][1], F.lit(checks[0][0])))
     row = F.struct(reason.alias("_reason"), F.col("_name").alias("check_name"),
                    F.col("_passive").alias("passive"), F.col("_interval").alias("interval"),
-                   F.col("_content").alias("script_content"), F.col("_secrets").alias("secrets"),
+                   F.col("_content").alias("script_content"), F.col("_reqs").alias("python_requirements"),
+                   F.col("_refs").alias("secret_refs"),
                    chans.alias("telegram_channels"), F.col("_mute").alias("mute_notifications"),
                    F.col("_until").alias("mute_notifications_until"))
     tagged = typed.select(*cols, F.inline(F.array(row)))

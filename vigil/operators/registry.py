@@ -66,16 +66,19 @@ def validate_channels(channels: DataFrame):
 
 
 def fold_changes(feed: DataFrame, keep_tombstones: bool = False) -> DataFrame:
-    """H1: last event per check wins; a final Remove drops the check.
-
-    One partial aggregation (max over a struct led by ``seq``), so a check with
-    a huge share of events never lands whole in one task. With
-    ``keep_tombstones`` the Remove rows stay (column ``op``), so an
-    incremental fold stays correct when older events arrive later.
+    """H1: last event per check wins; a final Remove drops the check. Every
+    field of the event stays.
+
+    The last ``seq`` per check is a hash aggregate; only the events that bear it
+    are joined back and reduced (repeats of one event), so a check with a huge
+    share of events never lands whole in one task. With ``keep_tombstones`` the
+    Remove rows stay (column ``op``), so an incremental fold stays correct when
+    older events arrive later.
     """
     cols = [c for c in feed.columns if c not in ("seq", "op", "check_name")]
-    last = F.max(F.struct("seq", "op", *cols)).alias("l")
-    folded = feed.groupBy("check_name").agg(last)
+    newest = feed.groupBy("check_name").agg(F.max("seq").alias("seq"))
+    folded = (feed.join(newest, ["check_name", "seq"], "left_semi")
+              .groupBy("check_name").agg(F.max(F.struct("seq", "op", *cols)).alias("l")))
     if keep_tombstones:
         return folded.select("check_name", "l.seq", "l.op", *[f"l.{c}" for c in cols])
     return (folded.filter(F.col("l.op") != "Remove")
@@ -156,18 +159,23 @@ def resolved_checks(registry: DataFrame, scripts: DataFrame, channel_tokens: Dat
     unresolvable checks dropped (D1-D3, B11).
     """
     sdim = scripts.select(F.col("script_name").alias("script_ref"),
-                          F.col("content").alias("script_content"))
-    base_t = ("struct<passive:boolean,check_interval:bigint,script_content:string,"
-              "script_found:boolean,has_secret_refs:boolean,mute:boolean,mute_until:timestamp_ntz>")
+                          F.col("content").alias("script_content"), "python_requirements")
+    base_t = ("struct<passive:boolean,check_interval:bigint,script_ref:string,script_content:string,"
+              "python_requirements:array<string>,script_found:boolean,secret_refs:array<string>,"
+              "mute:boolean,mute_until:timestamp_ntz>")
     ch_t = "struct<pos:int,chat_id:string,channel_name:string,ok:boolean>"
     sec_t = "struct<key:string,npos:int,value:string,valid:boolean>"
     none = lambda t: F.lit(None).cast(t)
-    base = (registry.join(sdim, "script_ref", "left").select(
+    # Checks without a script stay out of the join: null refs would all meet.
+    lone = registry.filter(F.col("script_ref").isNull()).select(
+        "*", F.lit(None).cast("string").alias("script_content"),
+        F.lit(None).cast("array<string>").alias("python_requirements"))
+    scripted = registry.filter(F.col("script_ref").isNotNull()).join(sdim, "script_ref", "left")
+    base = (lone.unionByName(scripted).select(
         "check_name",
-        F.struct("passive", "check_interval", "script_content",
+        F.struct("passive", "check_interval", "script_ref", "script_content", "python_requirements",
                  (F.col("script_ref").isNull() | F.col("script_content").isNotNull()).alias("script_found"),
-                 F.col("secret_refs").isNotNull().alias("has_secret_refs"),
-                 "mute", "mute_until").alias("b"),
+                 "secret_refs", "mute", "mute_until").alias("b"),
         none(ch_t).alias("ch"), none(sec_t).alias("sec")))
     cdim = channel_tokens.select(F.col("channel_name").alias("channel_ref"), "chat_id", "token_found")
     chans = (registry.select("check_name", F.posexplode("channel_refs").alias("pos", "channel_ref"))
@@ -194,7 +202,7 @@ def resolved_checks(registry: DataFrame, scripts: DataFrame, channel_tokens: Dat
         "check_name", "b",
         F.transform(F.sort_array("chs"), lambda x: F.struct(
             x["chat_id"].alias("chat_id"), x["channel_name"].alias("channel_name"))).alias("channels"),
-        F.when(F.col("b.has_secret_refs"), F.map_from_entries(F.transform(first_sec, lambda x: F.struct(
+        F.when(F.col("b.secret_refs").isNotNull(), F.map_from_entries(F.transform(first_sec, lambda x: F.struct(
             x["key"].alias("k"), x["value"].alias("v"))))).alias("secrets"),
         F.forall("chs", lambda x: x["ok"]).alias("channels_ok"),
         F.forall("ss", lambda x: x["valid"]).alias("secrets_ok"))
@@ -203,9 +211,12 @@ def resolved_checks(registry: DataFrame, scripts: DataFrame, channel_tokens: Dat
     return out.select(
         "check_name", F.col("b.passive").alias("passive"),
         F.col("b.check_interval").alias("check_interval"),
+        F.col("b.script_ref").alias("script_ref"),
         F.when(F.col("b.script_content").isNotNull(),
-               F.struct(F.col("b.script_content").alias("content"))).alias("script"),
-        F.when(F.col("b.has_secret_refs"), F.coalesce(F.col("secrets"), empty_map)).alias("secrets"),
+               F.struct(F.col("b.script_content").alias("content"),
+                        F.col("b.python_requirements").alias("python_requirements"))).alias("script"),
+        F.col("b.secret_refs").alias("secret_refs"),
+        F.when(F.col("b.secret_refs").isNotNull(), F.coalesce(F.col("secrets"), empty_map)).alias("secrets"),
         "channels", F.col("b.mute").alias("mute"), F.col("b.mute_until").alias("mute_until"))
 
 

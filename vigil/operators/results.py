@@ -7,17 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import perf, status
-from vigil.operators.joins import bounded_broadcast
 from vigil.schemas import PENDING_TEXT
 
 
-def with_parts(results: DataFrame, output: str = "output") -> DataFrame:
-    """Add ``text`` (display text) and ``entries`` (parsed metrics)."""
-    o = F.col(output)
-    return results.withColumn("text", perf.display_text(o)).withColumn(
-        "entries", perf.metric_entries(o))
-
-
 def stored_results(results: DataFrame, ts: str = "ts", code: str = "status_code",
                    keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the result table: timestamp, check_name, status, output, event_date.
@@ -35,24 +27,14 @@ def perf_rows(results: DataFrame, ts: str = "ts", keep_first: bool = True) -> Da
     """Long-form metric rows (row-local explode, no shuffle): timestamp,
     check_name, pos, perf_key, perf_value, parse_ok, event_date.
 
-    Keys and value texts come from two regex extractions and are exploded
-    by position; no lambda function is involved, so scan, explode and parse
-    run in one whole-stage-codegen stage. With ``keep_first`` a later repeat
+    Tokens are cut and trimmed once per row and exploded as structs, so an
+    exploded row carries its own token only. With ``keep_first`` a later repeat
     of a key within one output is dropped (S6).
     """
-    o = F.col("output")
-    exploded = results.select(F.col(ts).alias("timestamp"), "check_name",
-                              perf.metric_keys(o).alias("_keys"),
-                              perf.metric_value_texts(o).alias("_vals"))
-    # outer explode + null filter above it: an inner explode would make Spark
-    # infer size(_keys) > 0 below the projection and run the regex twice
-    exploded = (exploded.select("timestamp", "check_name", "_keys", "_vals",
-                                F.posexplode_outer("_keys").alias("pos", "perf_key"))
-                .filter(F.col("pos").isNotNull()))
-    parsed = exploded.select("timestamp", "check_name", "pos", "_keys", "perf_key",
-                             perf.parse_f32(F.get(F.col("_vals"), F.col("pos"))).alias("_pf"))
-    if keep_first:
-        parsed = parsed.filter(F.array_position("_keys", F.col("perf_key")) == F.col("pos") + 1)
+    texts = perf.metric_texts(F.col("output"))
+    rows = results.select(F.col(ts).alias("timestamp"), "check_name",
+                          F.inline(perf.first_texts(texts) if keep_first else texts))
+    parsed = rows.select("timestamp", "check_name", "pos", "perf_key", perf.parse_f32(F.col("text")).alias("_pf"))
     return parsed.select("timestamp", "check_name", "pos", "perf_key",
                          F.coalesce(F.col("_pf"), F.lit(0.0).cast("float")).alias("perf_value"),
                          F.col("_pf").isNotNull().alias("parse_ok"),
@@ -76,12 +58,15 @@ def latest_one(stored: DataFrame, check_name: str) -> DataFrame:
 def latest_all(stored: DataFrame) -> DataFrame:
     """Latest result of every check.
 
-    A max over struct(timestamp, status, output) aggregates partially on the
-    map side, so a check holding most rows costs one row per task in the
-    exchange, not its whole history.
+    The newest time per check is a hash aggregate over fixed-width values (a
+    row per check and task in the exchange); only the rows at that time are
+    joined back and reduced, ties by status and output. No task sorts its input
+    and no output text travels but the winners'.
     """
-    return (stored.groupBy("check_name")
-            .agg(F.max(F.struct("timestamp", "status", "output")).alias("l"))
+    newest = stored.groupBy("check_name").agg(F.max("timestamp").alias("timestamp"))
+    return (stored.select("check_name", "timestamp", "status", "output")
+            .join(newest, ["check_name", "timestamp"], "left_semi")
+            .groupBy("check_name").agg(F.max(F.struct("timestamp", "status", "output")).alias("l"))
             .select("check_name", "l.timestamp", "l.status", "l.output"))
 
 
@@ -102,36 +87,37 @@ def status_all(registry: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def perf_history(metrics: DataFrame, check_name: str | None = None) -> DataFrame:
-    """Metric history (E1, G3): per (check, timestamp) a key-ordered map.
+    """Metric history (E1): per (check, timestamp) a key-ordered map.
 
-    The group key includes the timestamp, so one busy check is spread over
-    many groups; collect_list only ever holds one result's metrics.
+    Rows are dealt by (check, timestamp), so one busy check is spread over many
+    tasks. Repeats of a (check, timestamp, key), as redelivery leaves them, are
+    reduced to the first position by a hash aggregate before the map is built;
+    both steps share the one exchange.
     """
     if check_name is not None:
         metrics = metrics.filter(F.col("check_name") == check_name)
-    return (metrics.groupBy("check_name", "timestamp")
+    one = (metrics.repartition("check_name", "timestamp")
+           .groupBy("check_name", "timestamp", "perf_key")
+           .agg(F.min_by("perf_value", "pos").alias("perf_value")))
+    return (one.groupBy("check_name", "timestamp")
             .agg(F.map_from_entries(F.sort_array(F.collect_list(
                 F.struct(F.col("perf_key").alias("k"), F.col("perf_value").alias("v"))))).alias("perf_data")))
 
 
+def sorted_history(history: DataFrame) -> DataFrame:
+    """A metric history in ascending time, checks in name order."""
+    return history.orderBy("check_name", "timestamp")
+
+
 def perf_history_row_local(results: DataFrame, ts: str = "ts") -> DataFrame:
     """The same map straight from raw results, one result per row — no
-    shuffle at all. Results without metrics produce no row.
-
-    Keys and value texts come from the codegen'd regex extraction; the
-    key-ordered, first-occurrence map needs a single lambda pass
-    (``sort_array(array_distinct(keys))`` keeps first occurrences, each key's
-    value is parsed at its first position).
-    """
-    o = F.col("output")
-    arrs = (results.select("check_name", F.col(ts).alias("timestamp"),
-                           perf.metric_keys(o).alias("_k"), perf.metric_value_texts(o).alias("_v"))
-            .filter(F.size("_k") > 0))
-    keys = F.sort_array(F.array_distinct(F.col("_k")))
-    vals = F.transform(keys, lambda k: F.coalesce(
-        perf.parse_f32(F.get(F.col("_v"), F.array_position(F.col("_k"), k) - 1)),
-        F.lit(0.0).cast("float")))
-    return arrs.select("check_name", "timestamp", F.map_from_arrays(keys, vals).alias("perf_data"))
+    shuffle at all. Results without metrics produce no row."""
+    texts = results.select("check_name", F.col(ts).alias("timestamp"),
+                           perf.first_texts(perf.metric_texts(F.col("output"))).alias("_t"))
+    pairs = F.transform("_t", lambda x: F.struct(
+        x["perf_key"].alias("k"), F.coalesce(perf.parse_f32(x["text"]), F.lit(0.0).cast("float")).alias("v")))
+    return (texts.filter(F.size("_t") > 0)
+            .select("check_name", "timestamp", F.map_from_entries(pairs).alias("perf_data")))
 
 
 def history_columns(history: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,10 +141,8 @@ def check_count(registry: DataFrame) -> DataFrame:
 
 
 def membership(df: DataFrame, registry: DataFrame, key: str = "check_name"):
-    """split rows into (accepted, rejected) by registry membership.
-
-    The registry side is broadcast only when it is provably small; otherwise
-    the planner shuffles (AQE splits a skewed check's partition).
-    """
-    names = bounded_broadcast(registry.select(F.col("check_name").alias(key)))
+    """split rows into (accepted, rejected) by registry membership. No hint:
+    Spark broadcasts the names when they measure small and shuffles otherwise
+    (AQE splits a skewed check's partition)."""
+    names = registry.select(F.col("check_name").alias(key))
     return df.join(names, key, "left_semi"), df.join(names, key, "left_anti")

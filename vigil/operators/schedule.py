@@ -1,26 +1,15 @@
-"""Fixed-rate schedules as data.
+"""Fixed-rate schedules as data.
 
 A check with interval I registered at L runs at L+I, L+2I, ... (anchored to
-the planned time, so there is no drift and missed slots still fire). An update
-keeps the pending run; the new interval applies from the run after it.
+the planned time, so there is no drift and missed slots still fire). A changed
+registry is planned anew from its folded state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-def _epoch():
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-
-def _secs(ts: Column) -> Column:
-    return F.timestamp_diff("SECOND", _epoch(), ts)
-
-
-def _ts(secs: Column) -> Column:
-    return F.timestamp_add("SECOND", secs, _epoch())
-
 
 def schedulable(checks: DataFrame) -> DataFrame:
     """active checks with a positive interval."""
@@ -28,101 +17,32 @@ def schedulable(checks: DataFrame) -> DataFrame:
                          & F.col("check_interval").isNotNull() & (F.col("check_interval") > 0))
 
 
-def plan(checks: DataFrame, load_at: str, horizon: str) -> DataFrame:
-    """Run times in (load_at, horizon] for every schedulable check.
+RUNS_PER_BUCKET = 4096
+
 
-    Row-local generation (explode of an integer range); no shuffle. The range
-    is empty, not an error, when the first run is past the horizon. The
-    check's columns are kept, so a plan built from resolved checks can be
-    turned into task messages without joining back.
+def plan(checks: DataFrame, load_at: str, until: str) -> DataFrame:
+    """Run times in (load_at, until] for every schedulable check.
+
+    Row-local generation, no shuffle: buckets of runs are exploded first and
+    the runs of a bucket then, so no row holds all runs of a check. The range
+    is empty, not an error, when the first run is past ``until``. The check's
+    columns are kept, so a plan built from resolved checks can be turned into
+    task messages without joining back.
     """
     load = F.lit(load_at).cast("timestamp_ntz")
-    span = F.timestamp_diff("SECOND", load, F.lit(horizon).cast("timestamp_ntz"))
-    iv = F.col("check_interval")
+    span = F.timestamp_diff("SECOND", load, F.lit(until).cast("timestamp_ntz"))
+    iv, size = F.col("check_interval"), F.lit(RUNS_PER_BUCKET).cast("bigint")
     n = F.floor(span / iv).cast("bigint")
-    runs = F.when(n >= 1, F.sequence(F.lit(1).cast("bigint"), n)).otherwise(
-        F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    buckets = F.when(n >= 1, F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / size).cast("bigint")))
+    start = F.col("_bucket") * size
     return (schedulable(checks)
-            .select("*", F.explode(runs).alias("run_index"))
+            .select("*", n.alias("_n"), F.explode(F.coalesce(buckets, none)).alias("_bucket"))
+            .select("*", F.explode(F.sequence(start + 1, F.least(F.col("_n"), start + size))).alias("run_index"))
+            .drop("_n", "_bucket")
             .withColumn("run_at", F.timestamp_add("SECOND", F.col("run_index") * iv, load)))
 
 
-_SEGMENTS = "check_name string, version_seq bigint, p bigint, iv bigint, end_t bigint"
-
-
-def _fold_segments(batches, horizon_s: int):
-    """Sequential fold over rows sorted by (check_name, seq), batch by batch.
-
-    State is O(1) per check (pending run, interval, previous version), so a
-    check with any number of versions streams through without being
-    collected. Emits one segment per version once the next change time (its
-    end) is known.
-    """
-    import pandas as pd
-
-    cur = None          # check being folded
-    p = iv = None       # pending run and interval after the previous version
-    held = None         # previous version waiting for its end time
-    out = []
-
-    def flush(end_t):
-        if held is not None:
-            out.append((held[0], held[1], held[2], held[3], min(end_t, horizon_s + 1)))
-
-    for pdf in batches:
-        for name, seq, t, sched, interval in zip(pdf["check_name"], pdf["seq"], pdf["t"],
-                                                  pdf["sched"], pdf["iv"]):
-            t = int(t)
-            if name != cur:
-                flush(horizon_s + 1)
-                cur, p, iv, held = name, None, None, None
-            else:
-                flush(t)
-            if p is not None and p < t:              # advance the pending run to t
-                p += -((p - t) // iv) * iv
-            if sched:
-                iv = int(interval)
-                p = p if p is not None else t + iv
-            else:
-                p = iv = None
-            held = (name, int(seq), p, iv)
-        if len(out) >= 10_000:
-            yield pd.DataFrame(out, columns=["check_name", "version_seq", "p", "iv", "end_t"])
-            out = []
-    flush(horizon_s + 1)
-    if out:
-        yield pd.DataFrame(out, columns=["check_name", "version_seq", "p", "iv", "end_t"])
-
-
-def plan_versioned(feed: DataFrame, horizon: str) -> DataFrame:
-    """Runs up to ``horizon`` from a registry change feed.
-
-    Versions are applied in ``seq`` order per check: the pending run survives
-    updates; a version that is passive, has no interval or is a Remove drops
-    it. The fold is sequential by nature, so it runs as a streaming pass over
-    rows hash-partitioned by check and sorted by (check, seq) — memory stays
-    O(1) per check however many versions it has (the sort spills). Each
-    version then owns the segment up to the next change and its runs are
-    generated row-locally by Spark.
-    """
-    import datetime as _dt
-    horizon_s = int((_dt.datetime.fromisoformat(horizon) - _dt.datetime(1970, 1, 1)).total_seconds())
-    ev = feed.select(
-        "check_name", F.col("seq").cast("bigint").alias("seq"),
-        _secs(F.col("changed_at")).alias("t"),
-        ((F.col("op") != "Remove") & ~F.coalesce(F.col("passive"), F.lit(False))
-         & F.coalesce(F.col("check_interval") > 0, F.lit(False))).alias("sched"),
-        F.col("check_interval").cast("bigint").alias("iv"))
-    ordered = ev.repartition("check_name").sortWithinPartitions("check_name", "seq")
-    segs = ordered.mapInPandas(lambda it: _fold_segments(it, horizon_s), _SEGMENTS)
-    p, iv, end = F.col("p"), F.col("iv"), F.col("end_t")
-    count = F.when(p.isNotNull() & (p < end), F.floor((end - 1 - p) / iv).cast("bigint") + 1)
-    runs = F.when(count >= 1, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(
-        F.array().cast("array<bigint>"))
-    return (segs.select("check_name", "version_seq", "p", "iv", F.explode(runs).alias("k"))
-            .select("check_name", "version_seq", _ts(F.col("p") + F.col("k") * F.col("iv")).alias("run_at")))
-
-
 def due(planned: DataFrame, as_of: str) -> DataFrame:
     """Runs due at ``as_of``."""
     return planned.filter(F.col("run_at") <= F.lit(as_of).cast("timestamp_ntz"))
@@ -134,18 +54,25 @@ def next_due(planned: DataFrame, n: int) -> DataFrame:
 
 
 def task_payloads(due_runs: DataFrame) -> DataFrame:
-    """One JSON task (the resolved check) per due run (no bot tokens, S13).
+    """One JSON task (the resolved check) per due run.
 
     ``due_runs`` is a plan of resolved checks (their columns kept), so the
-    payload is built row-locally.
+    payload is built row-locally. Secrets and bot tokens never travel: a task
+    names its secrets, and whoever runs it resolves them (L2).
     """
     task = F.struct(
         F.col("passive"),
         F.col("script"),
         F.col("check_interval").alias("interval"),
         F.col("check_name"),
-        F.col("secrets"),
+        F.col("secret_refs"),
         F.col("channels").alias("telegram_channels"),
         F.col("mute").alias("mute_notifications"),
-        F.date_format("mute_until", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mute_notifications_until"))
+        F.date_format("mute_until", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("mute_notifications_until"))
     return due_runs.select("check_name", "run_at", F.to_json(task).alias("payload"))
+
+
+def publish(messages: DataFrame, path: str) -> None:
+    """J4/K4 sink: messages (msg_id, payload) as JSON lines, the layout that the
+    stream readers take."""
+    messages.select("msg_id", "payload").write.mode("append").json(path)

@@ -20,6 +20,7 @@ from vigil.operators import schedule as S
 from vigil.session import scratch_path
 from vigil.sinks import tables as TB
 from vigil.sources import fixtures as fx
+from vigil.sources.tables import read_payloads
 from vigil.streaming import ingest as ING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,7 +31,6 @@ AS_OF = "2024-01-31 00:00:00"          # processing time of the batch queries
 LOAD_AT = "2024-01-01 00:00:00"        # registry load time of the schedule
 HORIZON = "2024-01-01 01:00:00"        # schedule horizon (one hour)
 DUE_AT = "2024-01-01 00:30:00"
-FEED_HORIZON = "2024-01-02 00:00:00"   # horizon of the change-feed schedule
 NEXT_N = 20
 
 
@@ -60,7 +60,7 @@ def metrics(spark, d) -> DataFrame:
 
 @query("check_status_all")
 def check_status_all(spark, d):
-    return R.status_all(registry(spark, d), R.latest_all(stored(spark, d)))
+    return R.status_all(resolved(spark, d), R.latest_all(stored(spark, d)))
 
 
 # -- step 1: decode & classify -----------------------------------------------
@@ -127,7 +127,7 @@ def perf_history_row_local(spark, d):
 
 @query("check_list")
 def check_list(spark, d):
-    return R.check_list(registry(spark, d))
+    return R.check_list(resolved(spark, d))
 
 
 @query("check_count")
@@ -137,7 +137,7 @@ def check_count(spark, d):
 
 @query("result_rejects_unknown")
 def result_rejects_unknown(spark, d):
-    _, rejected = R.membership(fx.results(spark, d), registry(spark, d))
+    _, rejected = R.membership(fx.results(spark, d), resolved(spark, d))
     return rejected.select("event_id", "check_name")
 
 
@@ -153,9 +153,15 @@ def _resolution(spark, d):
             REG.merge_secrets(reg, secrets), tokens)
 
 
+def _spec_columns(folded):
+    return folded.select("check_name", "seq", "changed_at", "passive", "check_interval", "script_ref",
+                         F.array_join("channel_refs", ",").alias("channel_refs"),
+                         F.array_join("secret_refs", ",").alias("secret_refs"), "mute", "mute_until")
+
+
 @query("registry_fold")
 def registry_fold(spark, d):
-    return REG.fold_changes(fx.spec_feed(spark, d))
+    return _spec_columns(REG.fold_changes(fx.spec_feed(spark, d)))
 
 
 @query("check_spec_rejects")
@@ -170,6 +176,12 @@ def script_spec_rejects(spark, d):
     return rejects
 
 
+@query("channel_spec_rejects")
+def channel_spec_rejects(spark, d):
+    _, rejects = REG.validate_channels(fx.channels(spark, d))
+    return rejects
+
+
 @query("resolve_scripts")
 def resolve_scripts(spark, d):
     return _resolution(spark, d)[1]
@@ -196,17 +208,32 @@ def unresolved_refs(spark, d):
     return REG.unresolved_refs(s, c, m)
 
 
-def resolved(spark, d):
-    reg = registry(spark, d)
+def resolved(spark, d, reg=None):
+    """The checks that can run (D5): what the API reads go by."""
+    reg = registry(spark, d) if reg is None else reg
     scr, _ = REG.validate_scripts(fx.scripts(spark, d))
     chans, _ = REG.validate_channels(fx.channels(spark, d))
     secrets = fx.secrets(spark, d)
     return REG.resolved_checks(reg, scr, REG.resolve_bot_tokens(chans, secrets), secrets)
 
 
+def from_feed(spark, d):
+    """Resolved checks of the registry that the change feed leaves."""
+    valid, _ = REG.validate_specs(REG.fold_changes(fx.spec_feed(spark, d)).drop("seq", "changed_at"))
+    return resolved(spark, d, valid)
+
+
 @query("resolved_checks")
 def resolved_checks(spark, d):
-    r = resolved(spark, d)
+    return _resolved_columns(resolved(spark, d))
+
+
+@query("resolved_from_feed")
+def resolved_from_feed(spark, d):
+    return _resolved_columns(from_feed(spark, d))
+
+
+def _resolved_columns(r):
     sec = F.col("secrets")
     return r.select(
         "check_name", "passive", "check_interval",
@@ -241,14 +268,14 @@ def impact_channel(spark, d):
 
 @query("mute_state")
 def mute_state(spark, d):
-    reg = registry(spark, d)
+    reg = resolved(spark, d)
     accepted, _ = M.split_commands(reg, fx.mute_commands(spark, d))
     return M.mute_state(reg, accepted)
 
 
 @query("mute_rejects")
 def mute_rejects(spark, d):
-    _, rejects = M.split_commands(registry(spark, d), fx.mute_commands(spark, d))
+    _, rejects = M.split_commands(resolved(spark, d), fx.mute_commands(spark, d))
     return rejects
 
 
@@ -275,7 +302,7 @@ def submission_rejects(spark, d):
 @query("alertable")
 def alertable(spark, d):
     r = A.with_status_name(fx.results(spark, d), "status_code")
-    j = r.join(registry(spark, d).select("check_name", "mute", "mute_until"), "check_name")
+    j = r.join(resolved(spark, d).select("check_name", "mute", "mute_until"), "check_name")
     return (j.filter(A.should_send(F.col("status_name"), F.col("mute"), F.col("mute_until"), F.col("ts")))
             .select("event_id", "check_name", F.col("ts").alias("timestamp"), "status_name"))
 
@@ -329,8 +356,8 @@ def decode_rejects(spark, d):
 
 # -- step 5: schedule -------------------------------------------------------------
 
-def _plan(spark, d):
-    return S.plan(resolved(spark, d), LOAD_AT, HORIZON)
+def _plan(spark, d, until=HORIZON):
+    return S.plan(resolved(spark, d), LOAD_AT, until)
 
 
 @query("schedule_plan")
@@ -338,14 +365,15 @@ def schedule_plan(spark, d):
     return _plan(spark, d).select("check_name", "run_index", "run_at")
 
 
-@query("schedule_plan_versioned")
-def schedule_plan_versioned(spark, d):
-    return S.plan_versioned(fx.spec_feed(spark, d), FEED_HORIZON)
+@query("schedule_plan_feed")
+def schedule_plan_feed(spark, d):
+    """J1 on the registry that the change feed leaves."""
+    return S.plan(from_feed(spark, d), LOAD_AT, HORIZON).select("check_name", "run_index", "run_at")
 
 
 @query("due_runs")
 def due_runs(spark, d):
-    return S.due(_plan(spark, d), DUE_AT).select("check_name", "run_at")
+    return S.due(_plan(spark, d, DUE_AT), DUE_AT).select("check_name", "run_at")
 
 
 @query("next_due")
@@ -353,19 +381,22 @@ def next_due(spark, d):
     return S.next_due(_plan(spark, d), NEXT_N).select("check_name", "run_at")
 
 
+def _tasks(spark, d):
+    return S.task_payloads(S.due(_plan(spark, d, DUE_AT), DUE_AT))
+
+
 @query("task_payloads")
 def task_payloads(spark, d):
     from vigil.schemas import TASK_MESSAGE
-    tasks = S.task_payloads(S.due(_plan(spark, d), DUE_AT))
-    t = F.from_json("payload", TASK_MESSAGE.simpleString().replace("bot_token", "channel_name"))
-    p = tasks.select("check_name", "run_at", t.alias("t"))
+    p = _tasks(spark, d).select("check_name", "run_at", F.from_json("payload", TASK_MESSAGE).alias("t"))
     return p.select("check_name", "run_at", F.col("t.passive").alias("passive"),
                     F.col("t.interval").alias("interval"),
                     F.col("t.script.content").alias("script_content"),
-                    F.when(F.col("t.secrets").isNotNull(), F.size(F.map_keys("t.secrets")).cast("bigint"))
-                    .alias("n_secrets"),
+                    F.array_join("t.script.python_requirements", ",").alias("requirements"),
+                    F.array_join("t.secret_refs", ",").alias("secret_refs"),
                     F.size("t.telegram_channels").cast("bigint").alias("n_channels"),
-                    F.col("t.mute_notifications").alias("mute"))
+                    F.col("t.mute_notifications").alias("mute"),
+                    F.col("t.mute_notifications_until").alias("mute_until"))
 
 
 # -- step 6: tables ----------------------------------------------------------------
@@ -410,41 +441,121 @@ def retention_chunks(spark, d):
 # -- step 6 (cont.): streaming and layout -------------------------------------------
 
 
-STREAM_FILES = 4
+MIN_STREAM_FILES = 4   # so that a small input still makes several micro-batches
 
 
-@query("ingest_stream")
-def ingest_stream(spark, d):
-    """K1: the result stream ingested micro-batch by micro-batch; returns the
-    stored result table read back."""
+def _as_files(df, path):
+    """Write a stream's messages as files, at least a few, more with more input."""
+    n = max(MIN_STREAM_FILES, df.rdd.getNumPartitions())
+    df.repartition(n).write.json(path)
+
+
+def _ingested(spark, d, output):
+    """K1: the result stream, redelivered messages included, ingested
+    micro-batch by micro-batch; one stored output read back."""
     base = scratch_path(spark, "ingest")
-    src = f"{base}/source"
-    fx.result_payloads(spark, d).repartition(STREAM_FILES).write.json(src)
-    q = ING.start_ingest(spark, src, f"{base}/tables", f"{base}/checkpoint", registry(spark, d),
+    _as_files(fx.redelivered_payloads(spark, d), f"{base}/source")
+    q = ING.start_ingest(spark, f"{base}/source", f"{base}/tables", f"{base}/checkpoint",
                          as_of=AS_OF, max_files_per_trigger=2)
     q.awaitTermination()
-    t = spark.read.parquet(f"{base}/tables/check_result")
-    return t.select("check_name", "timestamp", F.col("status").cast("int").alias("status"), "output")
+    return spark.read.parquet(f"{base}/tables/{output}")
+
+
+@query("ingest_stream")
+def ingest_stream(spark, d):
+    return _ingested(spark, d, "check_result").select(
+        "check_name", "timestamp", F.col("status").cast("int").alias("status"), "output")
+
+
+@query("ingest_metrics")
+def ingest_metrics(spark, d):
+    return _ingested(spark, d, "check_result_perf_data").select(
+        "check_name", "timestamp", "perf_key", F.col("perf_value").cast("double").alias("perf_value"))
+
+
+@query("ingest_outbox")
+def ingest_outbox(spark, d):
+    return _ingested(spark, d, "outbox").select("msg_id", "check_name", "timestamp", "pos", "chat_id", "message")
+
+
+@query("ingest_quarantine")
+def ingest_quarantine(spark, d):
+    return _ingested(spark, d, "quarantine").select("msg_id", "reason")
 
 
 @query("registry_stream")
 def registry_stream(spark, d):
     """A2 + H1 streaming: the change feed folded batch by batch."""
     base = scratch_path(spark, "registry")
-    src = f"{base}/source"
-    fx.spec_feed(spark, d).repartition(STREAM_FILES).write.json(src)
-    q = ING.start_registry_stream(spark, src, f"{base}/state", f"{base}/checkpoint",
-                                  max_files_per_trigger=1)
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return ING.registry_state(spark, f"{base}/state", last).select(
-        "check_name", "seq", "changed_at", "passive", "check_interval")
+    _as_files(fx.spec_feed(spark, d), f"{base}/source")
+    ING.start_registry_stream(spark, f"{base}/source", f"{base}/state", f"{base}/checkpoint",
+                              max_files_per_trigger=1).awaitTermination()
+    return _spec_columns(ING.registry_state(spark, f"{base}/state"))
+
+
+@query("submission_stored")
+def submission_stored(spark, d):
+    """A6 + Q6: accepted submissions take the same way to the tables as streamed
+    results; the stored result table read back."""
+    base = scratch_path(spark, "submissions")
+    enriched, _ = _submissions(spark, d)
+    new, _ = DD.dedup_results(enriched.select(
+        F.col("submission_id").alias("msg_id"), "check_name", F.col("received_at").alias("timestamp"),
+        F.to_date("received_at").alias("event_date"), F.col("status_name").alias("status"),
+        status.normalize_code(F.col("status")).alias("status_code"), "output",
+        F.col("channels").alias("telegram_channels"), F.col("mute").alias("mute_notifications"),
+        F.col("mute_until").alias("mute_notifications_until")), arrival="msg_id")
+    ING.store_results(new.persist(), base, 0)
+    new.unpersist()
+    return spark.read.parquet(f"{base}/check_result").select(
+        "check_name", "timestamp", F.col("status").cast("int").alias("status"), "output")
+
+
+def _stored_tables(spark, d):
+    """K7: catalog tables over results and metrics stored by K2/K3."""
+    base = scratch_path(spark, "stored")
+    database = "vigil_" + base.rsplit("-", 1)[1]
+    paths = TB.create_tables(spark, base, database)
+    TB.write_batch(stored(spark, d), paths["check_result"], 0)
+    TB.write_batch(metrics(spark, d).select("timestamp", "check_name", "perf_key", "perf_value", "event_date"),
+                   paths["check_result_perf_data"], 0)
+    TB.refresh_tables(spark, database)
+    return spark.table(f"{database}.check_result"), spark.table(f"{database}.check_result_perf_data")
+
+
+@query("latest_one_stored")
+def latest_one_stored(spark, d):
+    """The point read of a stored table; the check name reaches the scan."""
+    results, _ = _stored_tables(spark, d)
+    return R.latest_one(results, POINT_CHECK).withColumn("status", F.col("status").cast("int"))
+
+
+HISTORY_FROM = "2024-01-10"
+
+
+@query("history_stored")
+def history_stored(spark, d):
+    """A9 + G3: metric history of one check from a stored table, oldest first;
+    days before ``HISTORY_FROM`` are pruned, the check name reaches the scan."""
+    _, metric = _stored_tables(spark, d)
+    recent = metric.filter(F.col("event_date") >= F.lit(HISTORY_FROM).cast("date")).withColumn("pos", F.lit(0))
+    return R.sorted_history(R.history_columns(R.perf_history(recent, POINT_CHECK), METRIC_KEYS))
+
+
+@query("retention_dropped")
+def retention_dropped(spark, d):
+    """K9 on a stored table: expired day folders are removed; rows left per day."""
+    base = scratch_path(spark, "retention")
+    TB.write_batch(stored(spark, d), f"{base}/check_result", 0)
+    TB.drop_expired(f"{base}/check_result", spark, AS_OF)
+    return (spark.read.parquet(f"{base}/check_result").groupBy("event_date")
+            .agg(F.count(F.lit(1)).alias("n_rows")))
 
 
 @query("layout_compacted")
 def layout_compacted(spark, d):
-    """Write the result table in its compacted layout and read it back
-    with a pruned per-date summary."""
+    """Write the result table in its compacted layout and read back a
+    summary per date."""
     path = scratch_path(spark, "compacted")
     TB.compact(stored(spark, d), path)
     t = spark.read.parquet(path)
@@ -519,25 +630,103 @@ def checks_errors(spark, d):
 
 # -- stream codecs: task decode (A5) and result publication (K4) -----------------------
 
-@query("decode_tasks")
-def decode_tasks(spark, d):
-    tasks = S.task_payloads(S.due(_plan(spark, d), DUE_AT))
-    good, _ = DEC.decode_tasks(tasks.select("run_at", "payload"))
+def _task_columns(good):
     return good.select("check_name", "run_at", "passive", "interval", "script_content",
-                       F.when(F.col("secrets").isNotNull(), F.size(F.map_keys("secrets")).cast("bigint"))
-                       .alias("n_secrets"),
+                       F.array_join("python_requirements", ",").alias("requirements"),
+                       F.array_join("secret_refs", ",").alias("secret_refs"),
                        F.size("telegram_channels").cast("bigint").alias("n_channels"),
-                       F.col("mute_notifications").alias("mute"))
+                       F.col("mute_notifications").alias("mute"),
+                       F.date_format("mute_notifications_until", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("mute_until"))
+
+
+@query("decode_tasks")
+def decode_tasks(spark, d):
+    good, _ = DEC.decode_tasks(_tasks(spark, d).select("run_at", "payload"))
+    return _task_columns(good)
+
+
+@query("tasks_stream")
+def tasks_stream(spark, d):
+    """J4 + A5: tasks written to their sink, read as a stream, decoded strictly
+    and stored. The message id is the run time in seconds."""
+    base = scratch_path(spark, "tasks")
+    tasks = _tasks(spark, d).withColumn(
+        "msg_id", F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), "run_at"))
+    S.publish(tasks, f"{base}/source")
+    good, _ = DEC.decode_tasks(read_payloads(spark, f"{base}/source", stream=True))
+    (good.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint")
+     .option("path", f"{base}/decoded").trigger(availableNow=True).start().awaitTermination())
+    back = spark.read.schema(good.schema).parquet(f"{base}/decoded")
+    return _task_columns(back.withColumn("run_at", F.timestamp_add(
+        "SECOND", F.col("msg_id"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))))
 
 
 @query("publish_results")
 def publish_results(spark, d):
-    """K4 + B1: user-check results published as result messages, then read
-    back through the strict decoder."""
+    """K4 + B1: results of user checks published as result messages to their
+    sink, then read back through the strict decoder. The checks bear registered
+    names, so channels and mute state come from the registry."""
     li = fx.table(spark, d, "lineitem")
-    ck = CK.python_checks(li, "l_suppkey", CHECK_PREFIX, _returns_aggs(), _returns_python,
-                          params=RETURN_LEVELS)
-    msgs = CK.publish(ck, resolved(spark, d), AS_OF).withColumnRenamed("check_name", "msg_key")
-    good, _ = DEC.decode_results(msgs)
+    ck = CK.python_checks(li, "l_suppkey", "check-", _returns_aggs(), _returns_python, params=RETURN_LEVELS)
+    base = scratch_path(spark, "published")
+    msgs = CK.publish(ck, resolved(spark, d), AS_OF)
+    S.publish(msgs.withColumn("msg_id", F.xxhash64("check_name")), f"{base}/results")
+    good, _ = DEC.decode_results(read_payloads(spark, f"{base}/results"))
     return good.select("check_name", "status", "output", "timestamp",
-                       F.size("telegram_channels").cast("bigint").alias("n_channels"))
+                       F.size("telegram_channels").cast("bigint").alias("n_channels"),
+                       F.col("mute_notifications").alias("mute"))
+
+
+# -- user checks by script (L1-L3) --------------------------------------------------------
+
+
+def _script_rows(spark, d):
+    """One row per runnable check whose number is a supplier's: its script,
+    merged secrets and the supplier's aggregated lines."""
+    g = fx.table(spark, d, "lineitem").groupBy("l_suppkey").agg(*_returns_aggs())
+    rows = g.withColumn("check_name", F.concat(F.lit("check-"), F.col("l_suppkey").cast("string")))
+    checks = resolved(spark, d).filter(F.col("script_ref").isNotNull())
+    return rows.join(checks.select("check_name", "script_ref", "secrets"), "check_name")
+
+
+def _returned_lines(pdf):
+    """A check written by a user; it sees its secrets (L2), here their number."""
+    out = _returns_python(pdf, RETURN_LEVELS)
+    known = [0 if s is None else len(s) for s in pdf["secrets"]]
+    out["output"] = [f"{o},secrets={k}" for o, k in zip(out["output"], known)]
+    return out
+
+
+def _many_lines(pdf):
+    import pandas as pd
+    return pd.DataFrame({"exit_code": (pdf["n"] >= 600).astype("int64"),
+                         "output": ["lines " + str(n) for n in pdf["n"]]})
+
+
+def _unreliable(pdf):
+    """Fails in every way there is: raises, no exit code, output not UTF-8."""
+    import pandas as pd
+    if (pdf["r"] % 5 == 0).any():
+        raise ValueError("returned count divisible by 5")
+    code = [None if r % 5 == 1 else 0 for r in pdf["r"]]
+    return pd.DataFrame({"exit_code": pd.array(code, dtype="Int64"),
+                         "output": [b"\xff" if r % 5 == 2 else b"fine" for r in pdf["r"]]})
+
+
+# By script name: two checks that work, one that fails, and no function for the rest.
+FUNCTIONS = ({f"script-{k}": _returned_lines for k in range(0, 20, 2)}
+             | {f"script-{k}": _many_lines for k in range(1, 20, 2)}
+             | {f"script-{k}": _unreliable for k in range(20, 24)})
+
+
+@query("checks_by_script")
+def checks_by_script(spark, d):
+    good, _ = CK.outcomes(CK.script_checks(_script_rows(spark, d), FUNCTIONS))
+    return CK.to_results(good, AS_OF).select(
+        "check_name", "status_name", "text", F.size("entries").cast("bigint").alias("n_metrics"))
+
+
+@query("checks_failures")
+def checks_failures(spark, d):
+    _, failed = CK.outcomes(CK.script_checks(_script_rows(spark, d), FUNCTIONS))
+    return failed.select("check_name", "error")

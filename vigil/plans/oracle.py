@@ -19,10 +19,10 @@ select g.check_name, g.passive,
   case when l.status is null then 'Check still needs to be executed' else l.output end output,
   case when l.status is null then 'Pending' else {STATUS_NAME.format(c='l.status')} end status,
   l.timestamp, g.mute notifications_muted, g.mute_until notifications_muted_until
-from registry g left join (
+from resolved g left join (
   select * from (select *, row_number() over (partition by check_name
                  order by timestamp desc, status desc, output desc) rn from stored) where rn = 1
-) l using (check_name)""", "registry", "stored")
+) l using (check_name)""", "resolved", "stored")
 
 oracle("status_code_to_name", f"""
 select event_id, status_code, {STATUS_NAME.format(c='status_code')} status_name from results""", "results")
@@ -61,16 +61,17 @@ oracle("perf_history_all", _HISTORY.format(where=""), "metrics")
 oracle("perf_history_row_local", _HISTORY.format(where=""), "metrics")
 
 oracle("check_list", """
-select check_name, passive, check_interval interval from registry""", "registry")
+select check_name, passive, check_interval interval from resolved""", "resolved")
 
 oracle("check_count", "select count(*) n_checks from registry", "registry")
 
 oracle("result_rejects_unknown", """
-select event_id, check_name from results where check_name not in (select check_name from registry)""",
-       "results", "registry")
+select event_id, check_name from results where check_name not in (select check_name from resolved)""",
+       "results", "resolved")
 
 oracle("registry_fold", """
-select check_name, seq, changed_at, passive, check_interval from (
+select check_name, seq, changed_at, passive, check_interval, script_ref,
+  array_to_string(channel_refs, ',') channel_refs, array_to_string(secret_refs, ',') secret_refs, mute, mute_until from (
   select *, row_number() over (partition by check_name order by seq desc) rn from spec_feed)
 where rn = 1 and op <> 'Remove'""", "spec_feed")
 
@@ -95,19 +96,24 @@ oracle("resolve_bot_tokens", "select * from channel_tokens", "channel_tokens")
 oracle("merge_secrets", "select * from merged_secrets", "merged_secrets")
 oracle("unresolved_refs", "select * from unresolved", "unresolved")
 
-oracle("resolved_checks", """
+for _name, _f in (("resolved_checks", ""), ("resolved_from_feed", "feed_")):
+    oracle(_name, f"""
 select g.check_name, g.passive, g.check_interval, s.script_content,
   case when g.secret_refs is not null then coalesce(m.n, 0) end n_secrets,
   case when g.secret_refs is not null then coalesce(m.keys, '') end secret_keys,
   coalesce(c.n, 0) n_channels, coalesce(c.chat_ids, '') chat_ids, g.mute, g.mute_until
-from registry g
-left join res_scripts s using (check_name)
+from {_f}registry g
+left join {_f}res_scripts s using (check_name)
 left join (select check_name, count(*) n, string_agg(chat_id, ',' order by pos) chat_ids
-           from res_channels group by check_name) c using (check_name)
+           from {_f}res_channels group by check_name) c using (check_name)
 left join (select check_name, count(*) n, string_agg(key, ',' order by key) keys
-           from merged_secrets group by check_name) m using (check_name)
-where g.check_name not in (select check_name from unresolved)""", "registry", "res_scripts", "res_channels",
-       "merged_secrets", "unresolved")
+           from {_f}merged_secrets group by check_name) m using (check_name)
+where g.check_name not in (select check_name from {_f}unresolved)""", f"{_f}registry", f"{_f}res_scripts",
+           f"{_f}res_channels", f"{_f}merged_secrets", f"{_f}unresolved")
+
+oracle("channel_spec_rejects", """
+select channel_name, 'missing_bot_token_ref' reason from channels where bot_token_ref is null
+union all select channel_name, 'missing_chat_id' from channels where chat_id is null""", "channels")
 
 oracle("impact_script", """
 select s.script_name name, g.check_name from registry g
@@ -122,7 +128,7 @@ select distinct x.name, x.check_name from (select unnest(channel_refs) name, che
 join (select distinct channel_name from channels) s on x.name = s.channel_name""", "registry", "channels")
 
 _ACCEPTED_CMDS = """(select * from mute_commands
-  where check_name in (select check_name from registry) and not (op = 'mute' and bad_until))"""
+  where check_name in (select check_name from resolved) and not (op = 'mute' and bad_until))"""
 
 oracle("mute_state", f"""
 with acc as {_ACCEPTED_CMDS},
@@ -130,24 +136,24 @@ rows as (
   select check_name, seq, case when op = 'unmute' then null else until_ts end u
   from acc where op = 'unmute' or until_ts is not null
   union all
-  select check_name, -9223372036854775808, mute_until from registry where mute_until is not null)
+  select check_name, -9223372036854775808, mute_until from resolved where mute_until is not null)
 select g.check_name,
   case when l.op is null then g.mute else l.op = 'mute' end muted,
   u.u muted_until, coalesce(n.n, 0) n_commands
-from registry g
+from resolved g
 left join (select check_name, op from (select *, row_number() over (partition by check_name order by seq desc) rn
            from acc) where rn = 1) l using (check_name)
 left join (select check_name, u from (select *, row_number() over (partition by check_name order by seq desc) rn
            from rows) where rn = 1) u using (check_name)
 left join (select check_name, count(*) n from acc group by check_name) n using (check_name)""",
-       "registry", "mute_commands")
+       "resolved", "mute_commands")
 
 oracle("mute_rejects", """
-select seq, check_name, case when check_name not in (select check_name from registry) then 'unknown_check'
+select seq, check_name, case when check_name not in (select check_name from resolved) then 'unknown_check'
   else 'bad_until' end reason
 from mute_commands
-where check_name not in (select check_name from registry) or (op = 'mute' and bad_until)""",
-       "registry", "mute_commands")
+where check_name not in (select check_name from resolved) or (op = 'mute' and bad_until)""",
+       "resolved", "mute_commands")
 
 _RESOLVED = "(select * from registry where check_name not in (select check_name from unresolved))"
 
@@ -164,8 +170,8 @@ _SEND = "status_code not in (0, 4) and (not coalesce({m}, false) or coalesce({u}
 
 oracle("alertable", f"""
 select r.event_id, r.check_name, r.ts timestamp, {STATUS_NAME.format(c='r.status_code')} status_name
-from results r join registry g using (check_name)
-where {_SEND.format(m='g.mute', u='g.mute_until', t='r.ts')}""", "results", "registry")
+from results r join resolved g using (check_name)
+where {_SEND.format(m='g.mute', u='g.mute_until', t='r.ts')}""", "results", "resolved")
 
 oracle("alert_routes", f"""
 select r.event_id, r.check_name, r.ts timestamp, c.pos, c.chat_id
@@ -199,21 +205,27 @@ select r.event_id, r.check_name, r.ts timestamp, v.version_seq, v.mute muted, v.
 from results r asof left join versions v on r.check_name = v.check_name and r.ts >= v.valid_from""",
        "results", "versions")
 
-_BROKEN = "(event_id % 23 = 0 or event_id % 29 = 0 or event_id % 31 = 0)"
+_BROKEN = ("(event_id % 23 = 0 or event_id % 29 = 0 or event_id % 31 = 0 or event_id % 41 = 0 "
+           "or event_id % 43 = 0)")
+_REASON = ("case when event_id % 23 = 0 then 'invalid_json' when event_id % 29 = 0 then 'bad_output' "
+           "when event_id % 31 = 0 then 'bad_check_name' else 'bad_channels' end")
 
 oracle("decode_results", f"""
 select event_id msg_id, check_name, output, {STATUS_NAME.format(c='status_code')} status, ts timestamp
 from results where not {_BROKEN}""", "results")
 
-oracle("decode_rejects", """
-select event_id msg_id, case when event_id % 23 = 0 then 'invalid_json' when event_id % 29 = 0 then 'bad_output'
-  else 'bad_check_name' end reason
-from results where event_id % 23 = 0 or event_id % 29 = 0 or event_id % 31 = 0""", "results")
+oracle("decode_rejects", f"""
+select event_id msg_id, {_REASON} reason from results where {_BROKEN}""", "results")
 
-_PLAN = f"""(select check_name, k run_index, timestamp '2024-01-01 00:00:00' + to_seconds(k * check_interval) run_at
+_PLAN_OF = """(select check_name, k run_index, timestamp '2024-01-01 00:00:00' + to_seconds(k * check_interval) run_at
   from (select check_name, check_interval,
                unnest(range(1, cast(floor(3600 / check_interval) as bigint) + 1)) k
-        from {_RESOLVED} where not coalesce(passive, false) and check_interval > 0))"""
+        from {checks} where not coalesce(passive, false) and check_interval > 0))"""
+_PLAN = _PLAN_OF.format(checks=_RESOLVED)
+
+oracle("schedule_plan_feed", f"""
+select * from {_PLAN_OF.format(checks="(select * from feed_registry where check_name not in (select check_name from feed_unresolved))")}""",
+       "feed_registry", "feed_unresolved")
 
 oracle("schedule_plan", f"select * from {_PLAN}", "registry", "unresolved")
 oracle("due_runs", f"select check_name, run_at from {_PLAN} where run_at <= timestamp '2024-01-01 00:30:00'",
@@ -223,12 +235,13 @@ oracle("next_due", f"select check_name, run_at from {_PLAN} order by run_at, che
 
 oracle("task_payloads", f"""
 select p.check_name, p.run_at, g.passive, g.check_interval interval, s.script_content,
-  case when g.secret_refs is not null then coalesce(m.n, 0) end n_secrets,
-  cast(len(g.channel_refs) as bigint) n_channels, g.mute
+  array_to_string(v.python_requirements, ',') requirements, array_to_string(g.secret_refs, ',') secret_refs,
+  cast(len(g.channel_refs) as bigint) n_channels, g.mute,
+  strftime(g.mute_until, '%Y-%m-%dT%H:%M:%S.%fZ') mute_until
 from {_PLAN} p join {_RESOLVED} g using (check_name)
 left join res_scripts s using (check_name)
-left join (select check_name, count(*) n from merged_secrets group by check_name) m using (check_name)
-where p.run_at <= timestamp '2024-01-01 00:30:00'""", "registry", "unresolved", "res_scripts", "merged_secrets")
+left join valid_scripts v on v.script_name = g.script_ref
+where p.run_at <= timestamp '2024-01-01 00:30:00'""", "registry", "unresolved", "res_scripts", "valid_scripts")
 
 _REPLAYED = """(select event_id arrival, ts, check_name, status_code, output from results
   union all
@@ -275,10 +288,46 @@ group by chunk_id""", "stored")
 oracle("ingest_stream", f"""
 select check_name, ts timestamp, case when status_code in (0, 1, 2, 4) then status_code else 3 end status,
   split_part(output, '|', 1) output
-from results where not {_BROKEN} and check_name in (select check_name from registry)""", "results", "registry")
+from results where not {_BROKEN}""", "results")
+
+oracle("ingest_metrics", f"""
+select check_name, timestamp, perf_key, perf_value from (
+  select *, row_number() over (partition by check_name, timestamp, perf_key order by pos) rn
+  from metrics join (select check_name, ts timestamp, event_id from results) using (check_name, timestamp)
+  where not {_BROKEN}) where rn = 1""", "metrics")
+
+oracle("ingest_outbox", f"""
+select event_id msg_id, check_name, ts timestamp, cast(0 as int) pos, concat('-100', user_id % 10) chat_id,
+  concat('<b>Date</b>: ', strftime(ts, '%Y-%m-%d %H:%M:%S'), ' +00:00', chr(10),
+         '<b>Check name</b>: ', check_name, ' ', chr(10), '<b>Status</b>: ',
+         {STATUS_NAME.format(c='status_code')}, chr(10), '<b>Output</b>', chr(10), '<pre>',
+         {_ESC.format(x="split_part(output, '|', 1)")}, '</pre>') message
+from results join (select event_id, user_id from events) using (event_id)
+where not {_BROKEN} and status_code not in (0, 4) and user_id % 2 = 0""", "results")
+
+oracle("ingest_quarantine", f"""
+select event_id msg_id, {_REASON} reason from results where {_BROKEN}
+union all select event_id, {_REASON} from results where {_BROKEN} and event_id % 37 = 0
+union all select event_id, 'duplicate' from results where not {_BROKEN} and event_id % 37 = 0""", "results")
+
+oracle("submission_stored", f"""
+select check_name, timestamp, case when status in (0, 1, 2, 4) then status else 3 end status, output from (
+  select s.check_name, s.received_at timestamp, s.status, split_part(s.output, '|', 1) output,
+    row_number() over (partition by s.check_name, s.received_at order by submission_id) rn
+  from submissions s join {_RESOLVED} g using (check_name)) where rn = 1""", "submissions", "registry", "unresolved")
+
+SQL["latest_one_stored"] = SQL["latest_one"]
+oracle("history_stored", _HISTORY.format(
+    where="where check_name = 'check-7' and timestamp >= timestamp '2024-01-10 00:00:00'"), "metrics")
+
+oracle("retention_dropped", """
+select cast(timestamp as date) event_date, count(*) n_rows from stored
+where cast(timestamp as date) + interval 1 day > timestamp '2024-01-31 00:00:00' - interval 7 day
+group by 1""", "stored")
 
 oracle("registry_stream", """
-select check_name, seq, changed_at, passive, check_interval from (
+select check_name, seq, changed_at, passive, check_interval, script_ref,
+  array_to_string(channel_refs, ',') channel_refs, array_to_string(secret_refs, ',') secret_refs, mute, mute_until from (
   select *, row_number() over (partition by check_name order by seq desc) rn from spec_feed)
 where rn = 1 and op <> 'Remove'""", "spec_feed")
 
@@ -300,36 +349,30 @@ select concat('supplier-returns-', l_suppkey) check_name,
   case when r % 7 = 0 then 'CheckError' else {_RET_STATUS} end status_name, r % 7 = 0 is_error
 from {_RETURNS}""")
 
-SQL["decode_tasks"] = SQL["task_payloads"]   # decoding the published tasks gives the same rows
+for _name in ("decode_tasks", "tasks_stream"):   # decoding the published tasks gives the same rows
+    SQL[_name] = SQL["task_payloads"]
 
 oracle("publish_results", f"""
-select concat('supplier-returns-', l_suppkey) check_name, {_RET_STATUS} status,
+select concat('check-', l_suppkey) check_name, {_RET_STATUS} status,
   concat('returns ', r, '/', n, '|returned=', r, ',total=', n) output,
-  timestamp '2024-01-31 00:00:00' timestamp, cast(0 as bigint) n_channels
-from {_RETURNS}""")
-
-# J2 as a recursive fold over each check's versions in seq order.
-oracle("schedule_plan_versioned", """
-with recursive v as (
-  select check_name, seq, cast(epoch(changed_at) as bigint) t,
-    op <> 'Remove' and not coalesce(passive, false) and coalesce(check_interval > 0, false) sched,
-    check_interval iv,
-    row_number() over (partition by check_name order by seq) rn,
-    lead(cast(epoch(changed_at) as bigint)) over (partition by check_name order by seq) next_t
-  from spec_feed),
-fold as (
-  select check_name, rn, seq, next_t, case when sched then t + iv end p, case when sched then iv end iv
-  from v where rn = 1
-  union all
-  select v.check_name, v.rn, v.seq, v.next_t,
-    case when v.sched then coalesce(
-      case when f.p is null then null when f.p >= v.t then f.p
-           else f.p + cast(ceil((v.t - f.p) / f.iv) as bigint) * f.iv end, v.t + v.iv) end,
-    case when v.sched then v.iv end
-  from fold f join v on v.check_name = f.check_name and v.rn = f.rn + 1),
-seg as (
-  select check_name, seq, p, iv, least(coalesce(next_t, 1704153601), 1704153601) end_t from fold
-  where p is not null)
-select check_name, seq version_seq, timestamp '1970-01-01 00:00:00' + to_seconds(p + k * iv) run_at
-from (select *, unnest(range(cast(floor((end_t - 1 - p) / iv) as bigint) + 1)) k from seg where p < end_t)""",
-       "spec_feed")
+  timestamp '2024-01-31 00:00:00' timestamp, cast(coalesce(len(g.channel_refs), 0) as bigint) n_channels, g.mute
+from {_RETURNS} left join resolved g on g.check_name = concat('check-', l_suppkey)""", "resolved")
+
+_SCRIPTED = f"""
+select g.check_name, try_cast(substr(g.script_ref, 8) as int) k, n, r, {_RET_STATUS} ret_status,
+  case when g.secret_refs is null then 0 else coalesce(m.n_secrets, 0) end n_secrets
+from {_RETURNS} join resolved g on g.check_name = concat('check-', l_suppkey)
+left join (select check_name, count(*) n_secrets from merged_secrets group by check_name) m
+  on m.check_name = g.check_name
+where g.script_ref is not null"""
+
+oracle("checks_by_script", f"""
+select check_name, case when k >= 20 then 'Ok' when k % 2 = 0 then ret_status when n >= 600 then 'Warning' else 'Ok' end status_name,
+  case when k >= 20 then 'fine' when k % 2 = 0 then concat('returns ', r, '/', n) else concat('lines ', n) end text,
+  cast(case when k < 20 and k % 2 = 0 then 3 else 0 end as bigint) n_metrics
+from ({_SCRIPTED}) where k < 20 or (k < 24 and r % 5 > 2)""", "resolved", "merged_secrets")
+
+oracle("checks_failures", f"""
+select check_name, case when k is null or k >= 24 then 'no_script' when r % 5 = 0 then 'ValueError' when r % 5 = 1 then 'no_exit_code'
+  else 'not_utf8' end error
+from ({_SCRIPTED}) where k is null or k >= 24 or (k >= 20 and r % 5 <= 2)""", "resolved", "merged_secrets")

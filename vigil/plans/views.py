@@ -6,6 +6,8 @@ CTEs it needs.
 
 from __future__ import annotations
 
+import re
+
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
@@ -48,7 +50,9 @@ where check_name is not null
 _view("scripts", """
 select concat('script-', p_partkey) script_name,
   case when p_size % 10 = 0 then 'Ruby' when p_size % 3 = 0 then 'Bash' else 'Python' end language,
-  p_name content
+  p_name content,
+  case when not (p_size % 10 = 0) and not (p_size % 3 = 0) and p_size % 5 = 0
+       then ['requests', concat('lib-', p_size)] end python_requirements
 from part""")
 
 _view("valid_scripts", """
@@ -57,9 +61,12 @@ select *, lower(language) language_label from scripts where language in ('Python
 
 _view("channels", """
 select concat('channel-', s_suppkey) channel_name, concat('-100', s_suppkey) chat_id,
-  concat('secret-', s_nationkey % 6) bot_token_ref
+  case when s_suppkey % 50 <> 49 then concat('secret-', s_nationkey % 6) end bot_token_ref
 from supplier""")
 
+_view("valid_channels", """
+select * from channels where chat_id is not null and bot_token_ref is not null""", ("channels",))
+
 _view("secrets", """
 select concat('secret-', n_nationkey % 6) secret_name, concat('KEY_', cast(floor(n_nationkey / 6) as int)) key,
   n_name value, n_nationkey <> 23 value_valid
@@ -94,9 +101,21 @@ select o_orderkey seq, case when o_orderstatus = 'P' then 'Remove' else 'AddOrUp
   concat('check-', o_custkey) check_name,
   timestamp '2024-01-01 00:00:00' + to_seconds(o_orderkey * 60) changed_at,
   o_orderpriority = '5-LOW' passive,
-  cast(case when o_orderpriority = '5-LOW' then null else 60 * (1 + o_orderkey % 10) end as bigint) check_interval
+  cast(case when o_orderpriority = '5-LOW' then null else 60 * (1 + o_orderkey % 10) end as bigint) check_interval,
+  case when o_orderpriority <> '5-LOW' then concat('script-', o_orderkey % 30) end script_ref,
+  case when o_orderpriority <> '3-MEDIUM' then [concat('secret-', o_orderkey % 6), concat('secret-', o_custkey % 9)] end secret_refs,
+  case when o_orderkey % 4 <> 0 then [concat('channel-', o_orderkey % 8)] else [] end channel_refs,
+  o_orderpriority = '2-HIGH' mute,
+  case when o_orderstatus = 'F' then o_orderdate + interval 28 year end mute_until
 from orders""")
 
+# The registry as the change feed leaves it, under the rules of declared checks.
+_view("feed_registry", """
+select check_name, passive, check_interval, script_ref, channel_refs, secret_refs, mute, mute_until from (
+  select *, row_number() over (partition by check_name order by seq desc) rn from spec_feed)
+where rn = 1 and op <> 'Remove' and (passive or (script_ref is not null and check_interval is not null))""",
+      ("spec_feed",))
+
 _view("submissions", """
 select event_id submission_id, ts received_at, check_name, output, status_code status,
   case when event_id % 5 = 0 then to_base64(encode(props)) when event_id % 17 = 0 then 'not*base64' end image_jpg_base64
@@ -135,8 +154,8 @@ from registry g left join valid_scripts s on g.script_ref = s.script_name""", ("
 
 _view("channel_tokens", """
 select c.channel_name, c.chat_id, c.bot_token_ref, t.secret_name is not null token_found
-from channels c left join (select secret_name from secrets where key = 'botToken') t
-  on c.bot_token_ref = t.secret_name""", ("channels", "secrets"))
+from valid_channels c left join (select secret_name from secrets where key = 'botToken') t
+  on c.bot_token_ref = t.secret_name""", ("valid_channels", "secrets"))
 
 _view("res_channels", """
 select r.check_name, cast(r.pos as int) pos, r.channel_ref, ct.chat_id, ct.chat_id is not null channel_found,
@@ -161,6 +180,18 @@ select distinct * from (
       ("res_scripts", "res_channels", "merged_secrets"))
 
 
+# The same resolution over the registry that the feed leaves.
+for _name in ("res_scripts", "res_channels", "merged_secrets", "unresolved"):
+    _sql, _deps = VIEWS[_name]
+    for _d in ("registry", "res_scripts", "res_channels", "merged_secrets"):
+        _sql = re.sub(rf"\b{_d}\b", f"feed_{_d}", _sql)
+    _view(f"feed_{_name}", _sql, tuple(f"feed_{d}" if d in (
+        "registry", "res_scripts", "res_channels", "merged_secrets") else d for d in _deps))
+
+_view("resolved", """
+select * from registry where check_name not in (select check_name from unresolved)""", ("registry", "unresolved"))
+
+
 def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the CTEs for ``names`` (and their dependencies)."""
     order: list[str] = []

@@ -20,20 +20,10 @@ RETENTION_SECONDS = 7 * 24 * 3600
 CHUNK_SECONDS = 7 * 24 * 3600
 # ---------------------------------------------------------------------------
 
+# A channel as tasks carry it: its name stands in for the bot token.
 CHANNEL = T.StructType([
     T.StructField("chat_id", T.StringType()),
-    T.StructField("bot_token", T.StringType()),
-])
-
-# Result message as carried on the result stream (timestamps as RFC 3339 text).
-RESULT_MESSAGE = T.StructType([
-    T.StructField("check_name", T.StringType()),
-    T.StructField("output", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("timestamp", T.StringType()),
-    T.StructField("telegram_channels", T.ArrayType(CHANNEL)),
-    T.StructField("mute_notifications", T.BooleanType()),
-    T.StructField("mute_notifications_until", T.StringType()),
+    T.StructField("channel_name", T.StringType()),
 ])
 
 SCRIPT = T.StructType([
@@ -41,13 +31,13 @@ SCRIPT = T.StructType([
     T.StructField("python_requirements", T.ArrayType(T.StringType())),
 ])
 
-# Resolved check as carried on the task stream.
+# Resolved check as carried on the task stream; secrets travel by name only.
 TASK_MESSAGE = T.StructType([
     T.StructField("passive", T.BooleanType()),
     T.StructField("script", SCRIPT),
     T.StructField("interval", T.LongType()),
     T.StructField("check_name", T.StringType()),
-    T.StructField("secrets", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("secret_refs", T.ArrayType(T.StringType())),
     T.StructField("telegram_channels", T.ArrayType(CHANNEL)),
     T.StructField("mute_notifications", T.BooleanType()),
     T.StructField("mute_notifications_until", T.StringType()),
@@ -86,6 +76,22 @@ REGISTRY_CHANGE = T.StructType([
     T.StructField("op", T.StringType()),
     T.StructField("check_name", T.StringType()),
     T.StructField("changed_at", T.TimestampNTZType()),
-    T.StructField("passive", T.BooleanType()),
-    T.StructField("check_interval", T.LongType()),
+    *CHECK_SPEC.fields[1:],
+])
+
+# Submissions of passive results (A6) and mute commands.
+SUBMISSION = T.StructType([
+    T.StructField("submission_id", T.LongType()),
+    T.StructField("received_at", T.TimestampNTZType()),
+    T.StructField("check_name", T.StringType()),
+    T.StructField("output", T.StringType()),
+    T.StructField("status", T.IntegerType()),
+    T.StructField("image_jpg_base64", T.StringType()),
+])
+
+MUTE_COMMAND = T.StructType([
+    T.StructField("seq", T.LongType()),
+    T.StructField("check_name", T.StringType()),
+    T.StructField("op", T.StringType()),
+    T.StructField("until", T.StringType()),
 ])

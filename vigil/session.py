@@ -43,8 +43,9 @@ def build_session(app: str = "vigil", cores: int | str = "*",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a fresh folder
-    under the system temp dir is created and registered.
+    Read from the session. Only a local session (tests) may leave it unset and
+    then gets a fresh folder under the system temp dir; on a cluster executors
+    would not share such a folder, so there an unset one is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="vigil-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -12,26 +12,43 @@ def _epoch():
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
-def create_tables(spark: SparkSession, base: str) -> dict[str, str]:
-    """K7: create both tables if absent (parquet, partitioned by event_date)."""
+def create_tables(spark: SparkSession, base: str, database: str = "default") -> dict[str, str]:
+    """K7: create both tables in ``database`` if absent: parquet in the layout
+    that :func:`write_batch` writes, so what is stored is what the catalog reads."""
     paths = {"check_result": f"{base}/check_result",
              "check_result_perf_data": f"{base}/check_result_perf_data"}
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     for name, schema in (("check_result", schemas.CHECK_RESULT),
                          ("check_result_perf_data", schemas.CHECK_RESULT_PERF)):
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet "
-                  f"PARTITIONED BY (event_date) LOCATION '{paths[name]}'")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(paths[name])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.{name} (batch_id INT, {ddl}) USING parquet "
+                  f"PARTITIONED BY (batch_id, event_date) LOCATION '{paths[name]}'")
     return paths
 
 
+def refresh_tables(spark: SparkSession, database: str = "default") -> None:
+    """Register the folders written since as partitions of the catalog's tables."""
+    for name in ("check_result", "check_result_perf_data"):
+        spark.sql(f"ALTER TABLE `{database}`.{name} RECOVER PARTITIONS")
+
+
+def write_folder(df: DataFrame, path: str) -> None:
+    """Replace a folder as a whole, whatever partitions it held before (the
+    session may be set to replace single partitions only)."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """K2/K3: append one micro-batch idempotently.
 
-    Each batch owns the folder ``batch_id=<n>``; a retried batch overwrites its
-    own folder, so replays never duplicate rows.
+    Each batch owns the folder ``batch_id=<n>``; a retried batch replaces its
+    own folder as a whole, also when its rows fall on other dates, so replays
+    never duplicate rows.
     """
-    (df.write.mode("overwrite").partitionBy("event_date")
-     .parquet(f"{path}/batch_id={batch_id}"))
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy("event_date").parquet(f"{path}/batch_id={batch_id}"))
 
 
 def with_chunk(df: DataFrame, ts: str = "timestamp",
@@ -62,27 +79,42 @@ def retention_chunks(df: DataFrame, as_of: str, ts: str = "timestamp",
                          (end <= cutoff).alias("dropped"))
 
 
-def drop_expired_partitions(path: str, spark: SparkSession, as_of: str,
-                            keep_seconds: int = schemas.RETENTION_SECONDS) -> DataFrame:
-    """K9 on stored tables: rewrite only the partitions inside retention.
+def expired_dates(path: str, spark: SparkSession, as_of: str,
+                  keep_seconds: int = schemas.RETENTION_SECONDS) -> list[tuple[int, object]]:
+    """K9: the stored (batch_id, event_date) partitions that are wholly older
+    than the retention window. Only partition values are read; dates before the
+    window are few, one per day and batch."""
+    rows = spark.read.parquet(path).select("batch_id", "event_date").distinct()
+    cutoff = F.timestamp_add("SECOND", F.lit(-keep_seconds), F.lit(as_of).cast("timestamp_ntz"))
+    end = F.date_add("event_date", 1).cast("timestamp_ntz")
+    return [(r[0], r[1]) for r in rows.filter(end <= cutoff).collect()]
 
-    Partition pruning on ``event_date`` means expired dates are never read.
-    """
-    t = spark.read.parquet(path)
-    cutoff_day = F.to_date(F.timestamp_add("SECOND", F.lit(-keep_seconds),
-                                           F.lit(as_of).cast("timestamp_ntz")))
-    return t.filter(F.col("event_date") >= cutoff_day)
+
+def drop_expired(path: str, spark: SparkSession, as_of: str,
+                 keep_seconds: int = schemas.RETENTION_SECONDS) -> int:
+    """K9 on a stored table: remove the partitions whose day ended before the
+    retention window, by Hadoop's file system (any store Spark can read).
+    Returns how many went; running it again removes nothing more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = expired_dates(path, spark, as_of, keep_seconds)
+    for batch_id, day in gone:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}/event_date={day}")
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(gone)
+
+
+ROWS_PER_FILE = 5_000_000
 
 
-def compact(df: DataFrame, path: str, num_partitions: int | None = None) -> None:
+def compact(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Sorted, zstd-compressed layout: rows clustered by (event_date,
     check_name, timestamp desc) so per-check reads skip row groups.
 
-    Range partitioning on (event_date, check_name, timestamp) splits a busy
-    date — and a busy check inside it — over many tasks and files.
+    Rebalancing by (event_date, check_name) groups a check's rows of a day and
+    lets Spark split what is too large and merge what is small, so the number of
+    files follows the data; a day's file is cut at ``rows_per_file``.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, "event_date", "check_name", "timestamp")
+    (df.hint("rebalance", "event_date", "check_name")
      .sortWithinPartitions("event_date", "check_name", F.col("timestamp").desc())
-     .write.mode("overwrite").option("compression", "zstd")
-     .partitionBy("event_date").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd")
+     .option("maxRecordsPerFile", rows_per_file).partitionBy("event_date").parquet(path))

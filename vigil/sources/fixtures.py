@@ -90,15 +90,17 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     lang = (F.when(size % 10 == 0, F.lit("Ruby")).when(size % 3 == 0, F.lit("Bash"))
             .otherwise(F.lit("Python")))
+    reqs = F.when((lang == "Python") & (size % 5 == 0), F.array(F.lit("requests"), F.concat(F.lit("lib-"), _s(size))))
     return p.select(F.concat(F.lit("script-"), _s("p_partkey")).alias("script_name"),
-                    lang.alias("language"), F.col("p_name").alias("content"))
+                    lang.alias("language"), F.col("p_name").alias("content"), reqs.alias("python_requirements"))
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     return s.select(F.concat(F.lit("channel-"), _s("s_suppkey")).alias("channel_name"),
                     F.concat(F.lit("-100"), _s("s_suppkey")).alias("chat_id"),
-                    F.concat(F.lit("secret-"), _s(F.col("s_nationkey") % 6)).alias("bot_token_ref"))
+                    F.when(F.col("s_suppkey") % 50 != 49,
+                           F.concat(F.lit("secret-"), _s(F.col("s_nationkey") % 6))).alias("bot_token_ref"))
 
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +152,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spec_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry change feed: seq, op, check_name, changed_at, passive, check_interval."""
+    """Registry change feed: seq, op, check_name, changed_at and the whole spec."""
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     passive = F.col("o_orderpriority") == "5-LOW"
@@ -161,7 +163,15 @@ def spec_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.timestamp_add("SECOND", key * CHANGE_STEP_SECONDS, _epoch()).alias("changed_at"),
                     passive.alias("passive"),
                     F.when(passive, F.lit(None)).otherwise(60 * (1 + key % 10))
-                    .cast("bigint").alias("check_interval"))
+                    .cast("bigint").alias("check_interval"),
+                    F.when(~passive, F.concat(F.lit("script-"), _s(key % 30))).alias("script_ref"),
+                    F.when(F.col("o_orderpriority") != "3-MEDIUM", F.array(
+                        F.concat(F.lit("secret-"), _s(key % 6)),
+                        F.concat(F.lit("secret-"), _s(F.col("o_custkey") % 9)))).alias("secret_refs"),
+                    F.when(key % 4 != 0, F.array(F.concat(F.lit("channel-"), _s(key % 8))))
+                    .otherwise(F.array().cast("array<string>")).alias("channel_refs"),
+                    (F.col("o_orderpriority") == "2-HIGH").alias("mute"),
+                    F.when(F.col("o_orderstatus") == "F", _shifted(F.col("o_orderdate"))).alias("mute_until"))
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +206,8 @@ def results_with_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result stream: msg_id, payload (JSON). Some records are broken:
-    truncated JSON, a missing ``output``, a numeric ``check_name``."""
+    truncated JSON, a missing ``output``, a numeric ``check_name``, a numeric
+    ``chat_id`` and a boolean ``bot_token``."""
     from vigil.functions.status import code_to_status
     from vigil.operators.decode import encode_result
     e = table(spark, sf_dir, "events").select(*_result_columns(), "user_id")
@@ -214,8 +225,19 @@ def result_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     numeric_name = F.to_json(F.struct(uid.alias("check_name"), F.col("output"), name.alias("status"),
                                       F.date_format("ts", fmt).alias("timestamp"),
                                       chans.alias("telegram_channels")))
+    loose = [F.to_json(F.struct(F.col("check_name"), F.col("output"), name.alias("status"),
+                                F.array(F.struct(chat.alias("chat_id"), token.alias("bot_token")))
+                                .alias("telegram_channels")))
+             for chat, token in ((F.lit(5), F.lit("tok")), (F.lit("-1"), F.lit(True)))]
     payload = (F.when(eid % 23 == 0, F.expr("substring(payload_good, 1, length(payload_good) - 5)"))
                .when(eid % 29 == 0, no_output).when(eid % 31 == 0, numeric_name)
+               .when(eid % 41 == 0, loose[0]).when(eid % 43 == 0, loose[1])
                .otherwise(F.col("payload_good")))
     return (e.withColumn("payload_good", good)
             .select(eid.alias("msg_id"), payload.alias("payload")))
+
+
+def redelivered_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result stream with some messages delivered twice under one id."""
+    p = result_payloads(spark, sf_dir)
+    return p.unionByName(p.filter(F.col("msg_id") % 37 == 0))

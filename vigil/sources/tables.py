@@ -37,6 +37,18 @@ def read_change_feed(spark: SparkSession, path: str, stream: bool = False,
     return _reader(spark, stream, max_files_per_trigger).schema(schemas.REGISTRY_CHANGE).json(path)
 
 
+def read_submissions(spark: SparkSession, path: str, stream: bool = False,
+                     max_files_per_trigger: int | None = None) -> DataFrame:
+    """Submitted results."""
+    return _reader(spark, stream, max_files_per_trigger).schema(schemas.SUBMISSION).json(path)
+
+
+def read_mute_commands(spark: SparkSession, path: str, stream: bool = False,
+                       max_files_per_trigger: int | None = None) -> DataFrame:
+    """Mute and unmute commands."""
+    return _reader(spark, stream, max_files_per_trigger).schema(schemas.MUTE_COMMAND).json(path)
+
+
 def read_check_specs(spark: SparkSession, path: str) -> DataFrame:
     """Full scan of check definitions (A1)."""
     return spark.read.schema(schemas.CHECK_SPEC).json(path)
