@@ -174,3 +174,15 @@ def test_host_suffix_array_removes_what_pages_share(spark):
         assert got[k, f"http://H.com/{k}?q"] == story.format(k) + f" end{k}"
     assert got[9, None] == "" and got[10, "http://z.org"] == notice and got[11, "http://h.com/art"] == notice
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_secrets_against_sql_on_made_cases(spark):
+    rows = [(k, t) for k, t in enumerate(TEXTS * 3)] + [(None, "see wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY0 here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.scan(docs, secrets.train(docs))
+    got = [(r.doc_id, ",".join(f"{secrets.KINDS[x.kind]}:{x.s}:{x.e}" for x in r.spans)) for r in found.collect()]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    expect = [(r[0], r[5]) for r in con.sql(SQL["op3_secret_scan"]).fetchall()]
+    assert sorted(got, key=str) == sorted(expect, key=str)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigil.llm import secrets as S
 from vigil.llm.bpe import op8_byte_bpe
 from vigil.llm.decontaminate import ENOUGH, SHARE, SHORTEST, UNITS, WINDOW, op9_decontamination
 from vigil.llm.exact_dedup import exact_groups
@@ -107,7 +108,67 @@ select doc_id, item_id, (-m.d)::bigint as start, m.n::bigint as n_windows, m.k::
 from best"""
 
 
+def _secret_sql() -> str:
+    """Base spans, the two models' counts and the tokens that they add; a match's
+    place is the length of what stands before it, split off and matched."""
+    rules = [(S.ASSIGN, 1), (S.ACCESS, 0), (S.HEX, 0), (S.TOKEN, 0)]
+    quote = lambda p: p.replace("'", "''")
+    cut = ", ".join(
+        f"string_split_regex(t, '{quote(p)}') as p{k}, regexp_extract_all(t, '{quote(p)}', 0) as m{k}, "
+        f"regexp_extract_all(t, '{quote(p)}', {g}) as v{k}" for k, (p, g) in enumerate(rules))
+    length = lambda x: f"coalesce(list_sum([length(x) for x in {x}]), 0)"
+    spans = ", ".join(
+        f"[{{'s': {length(f'p{k}[1:i]')} + {length(f'm{k}[1:i - 1]')}, 'kind': {k}, "
+        f"'e': {length(f'p{k}[1:i]')} + {length(f'm{k}[1:i]')}, 'v': v{k}[i]}} for i in range(1, len(m{k}) + 1)] as x{k}"
+        for k in range(4))
+    chars = "".join(chr(c) for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=-")
+    pairs = "[substr({0}, i, 2) for i in range(1, length({0}))]"
+    names = "['assign', 'access', 'hex', 'markov']"
+    text = f"array_to_string([{names}[y.kind + 1] || ':' || y.s || ':' || y.e for y in {{0}}], ',')"
+    odds = f"((coalesce({{0}}c.n, 0) + {S.SMOOTH}::double) / (coalesce({{0}}a.n, 0) + {S.SMOOTH}::double * {S.ALPHABET}))"
+    rule = quote(S.ANY_RULE)
+    return rf"""
+with texts as (
+  select doc_id, coalesce(text, '') as t,
+         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0::double as u
+  from documents),
+cut as (select *, {cut} from texts),
+found as (select *, {spans} from cut),
+base as (
+  select doc_id, t, u, x3, list_sort([y for y in x0 if length(y.v) >= {S.ASSIGN_CHARS}] || x1 || x2) as x from found),
+size as (select count(*) as n, count(*) filter (regexp_matches(t, '{rule}')) as m from texts),
+random as (
+  select unnest({pairs.format('w')}) as pair from (
+    select regexp_extract(y.v, '({S.WORD})', 1) as w
+    from (select unnest(x) as y from base, size where u * m < {S.SAMPLE})) where length(w) > 1),
+plain as (
+  select unnest({pairs.format('w')}) as pair from (
+    select unnest(regexp_extract_all(regexp_replace(t, '{rule}', ' ', 'g'), '({S.WORD})', 1)) as w
+    from texts, size where u * n < {S.SAMPLE} and m > 0)),
+rc as (select pair, count(*) as n from random group by 1),
+pc as (select pair, count(*) as n from plain group by 1),
+ra as (select substr(pair, 1, 1) as c, sum(n) as n from rc group by 1),
+pa as (select substr(pair, 1, 1) as c, sum(n) as n from pc group by 1),
+letter as (select unnest(string_split('{chars}', '')) as c),
+ratio as (
+  select x.c || y.c as pair, floor(1000 * ln({odds.format('r')} / {odds.format('p')}) + 0.5)::int as r
+  from letter x cross join letter y left join rc on rc.pair = x.c || y.c left join pc on pc.pair = x.c || y.c
+  left join ra on ra.c = x.c left join pa on pa.c = x.c),
+model as (
+  select map_from_entries(list((pair, r))) as r from ratio
+  where (select count(*) from rc) > 0 and (select count(*) from pc) > 0),
+added as (
+  select doc_id, x, [y for y in x3 if len([z for z in x if z.s < y.e and y.s < z.e]) = 0
+                     and list_sum([r[q] for q in {pairs.format('y.v')}]) > {S.CUT}] as more
+  from base left join model on true)
+select doc_id, len([y for y in x if y.kind = 0]) as n_assign, len([y for y in x if y.kind = 1]) as n_access,
+  len([y for y in x if y.kind = 2]) as n_hex, sha256({text.format('x')}) as base_sha256,
+  {text.format("list_sort(x || more)")} as spans
+from added"""
+
+
 SQL = {
+    "op3_secret_scan": _secret_sql(),
     "op5_exact_dedup": r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents),
 g as (select norm, min(doc_id) as keep_id, count(*) as group_size from n group by norm)

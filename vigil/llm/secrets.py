@@ -41,19 +41,20 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN_CHARS = 6
+ANY_RULE = f"{ASSIGN.replace('([A-Z', '(?:[A-Z')}|{ACCESS}|{HEX}"
 
 MIN_TOKEN = 20
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
 WORD = r"[A-Za-z0-9+/_=-]{8,}"
-ALPHABET = 66
+ALPHABET = 67
 SMOOTH = 0.5
 CUT = 10_000  # thousandths of a nat: the odds of a random token are taken as 1 to 22,000
 SAMPLE = 2000
 _BLOCK = 256
 
 
-def _matches(text: str, pattern: str, kind: int, group: str = "matches") -> Column:
-    """Array of (s, kind, e) of the matches of ``pattern``. Running sums are
+def _matches(text: str, pattern: str, kind: int) -> Column:
+    """Array of (s, kind, e, v) of the matches of ``pattern``. Running sums are
     made per block of matches, so that a text with very many stays linear."""
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
     step = "struct(acc.pos + y.p + y.m as pos, concat(acc.out, array(struct(acc.pos + y.p as s, "\
@@ -85,7 +86,7 @@ def sample_rank(doc_id: Column) -> Column:
 
 
 def _pairs(tokens: DataFrame) -> dict[str, int]:
-    """Counts of neighbouring characters; at most 66 x 66 rows."""
+    """Counts of neighbouring characters; at most 67 x 67 rows."""
     pairs = tokens.filter(F.length("token") > 1).select(F.explode(F.transform(
         F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substr(F.col("token"), i, F.lit(2)))).alias("pair"))
     return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count("*").alias("n")).collect()}
@@ -123,16 +124,15 @@ class Model:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Models from documents (doc_id, text): at most about ``sample`` documents
     that hold a base span for the random class, as many of all for the other."""
-    any_rule = f"({ASSIGN.replace('(?:', '(?:', 1).replace('([A-Z', '(?:[A-Z')})|({ACCESS})|({HEX})"
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), sample_rank(F.col("doc_id")).alias("u"))
-    total, marked = rows.agg(F.count("*"), F.count_if(F.col("text").rlike(any_rule))).first()
+    total, marked = rows.agg(F.count("*"), F.count_if(F.col("text").rlike(ANY_RULE))).first()
     if not marked:
         return Model({}, {})
-    hit = rows.filter(F.col("text").rlike(any_rule) & (F.col("u") * marked < sample))
+    hit = rows.filter(F.col("text").rlike(ANY_RULE) & (F.col("u") * marked < sample))
     random = hit.select(F.explode(base_spans("text")).alias("x")).select(F.regexp_extract(
         F.col("x.v"), f"({WORD})", 1).alias("token"))
     plain = rows.filter(F.col("u") * total < sample).select(F.explode(F.regexp_extract_all(
-        F.regexp_replace("text", any_rule, " "), F.lit(f"({WORD})"), F.lit(1))).alias("token"))
+        F.regexp_replace("text", ANY_RULE, " "), F.lit(f"({WORD})"), F.lit(1))).alias("token"))
     return Model(_pairs(random), _pairs(plain))
 
 
