@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import unused
+from vigil.llm.common import CACHES, start_task, unused
 
 MAX_STATES = 100_000
 MAX_PIECES = 200_000
@@ -305,10 +305,12 @@ class Decoder:
 
 
 _CACHE: dict[tuple, object] = {}
+CACHES["bpe"] = _CACHE.clear
 
 
 def _cached(kind, key: tuple, make):
     """One encoder or decoder per Python worker, kept across tasks."""
+    start_task("bpe")
     if (kind, key) not in _CACHE:
         _CACHE[kind, key] = make()
     return _CACHE[kind, key]

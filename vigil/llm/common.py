@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.session import scratch_path
@@ -62,5 +62,13 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, list
         yield start, buf
 
 
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+#: What frees the caches that an operator keeps in a Python worker between tasks.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def start_task(owner: str) -> None:
+    """Called where an operator's Python code starts in a worker: Spark gives
+    workers from one stage to the next, so the caches of other operators go."""
+    for name, free in CACHES.items():
+        if name != owner:
+            free()

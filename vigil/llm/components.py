@@ -17,16 +17,15 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the longest shortest path. Both joins are against written
     tables that hold a node once, so Spark can split a node with many links.
     """
-    both = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-                       .unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))),
-                       "cc-edges")
+    links = materialise(links.select("a", "b"), "cc-links")
     # The first round's labels: the smallest neighbour, or the node itself.
-    labels = materialise(both.groupBy("u").agg(F.min("v").alias("m"))
-                         .select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "cc-labels")
+    ends = (links.select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
+            .unionByName(links.select(F.col("b").alias("node"), F.least("a", "b").alias("label"))))
+    labels = materialise(ends.groupBy("node").agg(F.min("label").alias("label")), "cc-labels")
     while True:
-        at_v = labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
-        best = materialise(both.join(at_v, "v").groupBy("u").agg(F.min("lv").alias("m"))
-                           .withColumnRenamed("u", "node"), "cc-best")
+        near_a = links.join(labels, links["a"] == labels["node"]).select(F.col("b").alias("node"), "label")
+        near_b = links.join(labels, links["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
+        best = materialise(near_a.unionByName(near_b).groupBy("node").agg(F.min("label").alias("m")), "cc-best")
         low = materialise(labels.join(best, "node").select(
             "node", F.col("label").alias("old"), F.least("label", "m").alias("low")), "cc-low")
         up = low.select(F.col("node").alias("low"), F.col("low").alias("up"))

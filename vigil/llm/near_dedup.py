@@ -14,19 +14,27 @@ shares no band with probability (1 - 0.8^5)^32, about 3e-6. Documents with one
 and the same set are one class from the start.
 
 Links. A bucket (band, value) may hold a third of all classes, so no bucket is
-expanded into pairs. First each member is compared with the bucket's leader (a
-pseudo-random member) and the components are found. What is still apart inside
-a bucket is then compared in full, but only where the components differ:
-members outside the bucket's largest component against all members of other
-components, in blocks. A pair inside one component changes no component. Sketches that agree in less than ``SIEVE`` of the coordinates
-(over six standard deviations below 0.8) are dropped; all other pairs are
-confirmed on the full shingle sets, streamed past each leader.
+expanded into pairs. Members are compared with their bucket's leader (a
+pseudo-random member), first in ``FIRST`` bands and then, where member and
+leader are not yet in one component, in all of them. What is still apart inside
+a bucket is then compared in full: members outside the bucket's largest
+component against all members of other components, in blocks, each pair in the
+first band that it shares. A block first finds which of its rows are in any
+likely pair, then gets the sets of those rows and reports the links that join
+components it still sees apart. So what is written grows with the rows of the
+blocks, not with their pairs. A pair inside one component changes no component.
+
+Confirming. Members get a second, finer sketch of ``FINE`` one-byte
+coordinates; pairs whose estimate lies almost five standard deviations below
+0.8 are dropped, the others are confirmed on the full shingle sets, streamed
+past each leader.
 
 Defined results: a null, empty or white-space text has the empty set, size 0,
 and is linked with nothing, not even another empty text; fewer than ``n`` words
 make one shingle, the whole sequence; rows that share a ``doc_id`` are one
 document per distinct set; a null ``doc_id`` is larger than any other, and a
-group of null ids only is kept whole. Extra columns are ignored by :func:`near_groups` and kept by :func:`drop_near`.
+group of null ids only is kept whole. Extra columns are ignored by
+:func:`near_groups` and kept by :func:`drop_near`.
 """
 
 from __future__ import annotations
@@ -39,14 +47,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import chunks, materialise, unused
+from vigil.llm.common import chunks, materialise, start_task, unused
 from vigil.llm.components import components
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-SIEVE = 0.6
+FIRST = 4       # bands of the first phase
+FINE = 512      # coordinates of the members' second sketch
 THRESHOLD = 80  # per cent
-BLOCK = 256     # members of a leader, or of a bucket, that one block holds
+# Agreeing coordinates, two of 256 values also by chance, less 4.8 deviations.
+SIEVE = int(FINE * (0.8 + 0.2 / 256) - 4.8 * (FINE * 0.8 * 0.2) ** 0.5)
+BLOCK = 256     # members of a leader, or heads of a bucket, that one block holds
+REST = 1024     # members of a bucket that a block compares with its heads
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -103,7 +115,16 @@ def sketch(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     return (_mix(out) >> np.uint64(32)).astype("<u4")
 
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, fp binary, sketch binary"
+def band_keys(rows: np.ndarray) -> np.ndarray:
+    """One 64-bit key per row and band; keys of different bands differ."""
+    parts = rows.reshape(len(rows), BANDS, ROWS).astype(np.uint64)
+    acc = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2])
+    for k in range(ROWS):
+        acc = _mix(acc * _A + parts[:, :, k])
+    return acc.view(np.int64)
+
+
+SKETCH_SCHEMA = "doc_id long, n_shingles long, fp binary, keys array<long>"
 
 
 def _fingerprint(shingle_set: np.ndarray) -> bytes | None:
@@ -114,37 +135,36 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
     """A row per row of ``docs``; ``fp`` identifies the set (null when empty)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("near")
         words = Words()
         for batch in batches:
             for start, texts in chunks(batch.column(1)):
                 sets = [shingles(t, n, words) for t in texts]
-                rows = sketch(sets)
+                keys = band_keys(sketch(sets))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, len(texts)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_fingerprint(s) for s in sets], pa.binary()),
-                    pa.array([r.tobytes() if len(s) else None for r, s in zip(rows, sets)], pa.binary()),
-                ], names=["doc_id", "n_shingles", "fp", "sketch"])
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()),
+                                             pa.array(keys.ravel())),
+                ], names=["doc_id", "n_shingles", "fp", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(make, SKETCH_SCHEMA)
 
 
 def _classes(sketches: DataFrame) -> DataFrame:
     """One row per distinct set: ``rep`` (its number), ``fp, first_id, size,
-    sketch``. The numbers are fixed by writing them."""
+    keys``. The numbers are fixed by writing them."""
     return materialise(
         sketches.filter(F.col("fp").isNotNull()).groupBy("fp")
         .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").cast("int").alias("size"),
-             F.first("sketch").alias("sketch"))
+             F.first("keys").alias("keys"))
         .withColumn("rep", F.monotonically_increasing_id()), "near-classes")
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """``bucket, rep, leader`` for every bucket that several classes share."""
-    width = 4 * ROWS
-    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sketch", 1 + b * width, width))
-                     for b in range(BANDS)])
-    buckets = materialise(classes.select("rep", F.explode(keys).alias("bucket")), "near-buckets")
+    """``bucket, band, rep, leader`` for every bucket that several classes share."""
+    buckets = materialise(classes.select("rep", F.posexplode("keys").alias("band", "bucket")), "near-buckets")
     leaders = materialise(
         buckets.groupBy("bucket")
         .agg(F.min_by("rep", F.xxhash64("rep")).alias("leader"), F.count("*").alias("n"))
@@ -153,26 +173,29 @@ def _members(classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """``rep, shingles`` (sorted 64-bit hashes) of the classes in ``reps``, made
-    from the texts of their first documents."""
+    """``rep, size, keys, fine, shingles`` (sorted 64-bit hashes) of the classes
+    in ``reps``, made from the texts of their first documents."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("near")
         words = Words()
         for batch in batches:
             for _, texts in chunks(batch.column(0)):
                 sets = [shingles(t, n, words) for t in texts]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([_fingerprint(s) for s in sets], pa.binary()),
+                    pa.array([r.astype(np.uint8).tobytes() for r in sketch(sets, FINE)], pa.binary()),
                     pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()),
-                ], names=["fp", "shingles"])
+                ], names=["fp", "fine", "shingles"])
 
-    wanted = materialise(classes.join(reps, "rep", "left_semi").select("rep", "fp", "first_id"),
-                         "near-wanted")
+    wanted = materialise(classes.join(reps, "rep", "left_semi"), "near-wanted")
+    # A table of its own, so that Spark knows how small the ids are.
+    ids = materialise(wanted.select("first_id"), "near-ids")
     texts = docs.select("doc_id", "text").join(
-        wanted.select("first_id"), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    made = texts.select("text").mapInArrow(make, "fp binary, shingles binary")
+        ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    made = texts.select("text").mapInArrow(make, "fp binary, fine binary, shingles binary")
     # Rows repeated in docs give a set twice; one stays.
-    return materialise(made.join(wanted.select("rep", "fp"), "fp").select("rep", "shingles")
+    return materialise(made.join(wanted.select("rep", "fp", "size", "keys"), "fp").drop("fp")
                        .dropDuplicates(["rep"]), "near-sets")
 
 
@@ -189,15 +212,12 @@ def _by_leader(pairs: DataFrame) -> DataFrame:
     return own.unionByName(rest)
 
 
-def _streamed(rows: DataFrame, payload: DataFrame, compare) -> DataFrame:
+def _streamed(rows: DataFrame, payload: DataFrame, compare, schema: str = "a long, b long") -> DataFrame:
     """Rows (grp, block, role, id, ...) with the payload of their id, each block
     in one task and its role 0 first, through ``compare``."""
     joined = rows.join(payload, rows["id"] == payload["rep"]).drop("rep")
     return (joined.repartition("grp", "block").sortWithinPartitions("grp", "block", "role")
-            .mapInArrow(compare, PAIRS))
-
-
-PAIRS = "a long, b long"
+            .mapInArrow(compare, schema))
 
 
 def _pair_batch(left, right) -> pa.RecordBatch:
@@ -209,8 +229,62 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
 
 
-def _sketch_rows(batch: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, BINS)
+def _fixed(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+BLOCK_ROW = "grp long, block int, role int, id long, label long, band int"
+
+
+class _Blocks:
+    """Walks rows sorted by (grp, block, role): ``heads`` are the rows of role 0
+    of the block at hand, ``done`` is called with them when the block ends."""
+
+    def __init__(self, done=None):
+        self.at, self.heads, self.done = None, [], done
+
+    def move(self, key: tuple) -> None:
+        if key != self.at:
+            self.close()
+            self.at, self.heads = key, []
+
+    def close(self) -> None:
+        if self.at is not None and self.done:
+            self.done(self.at, self.heads)
+
+
+class _Rows:
+    """The columns of a batch that the comparison of sketches needs."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.grp, self.block, self.role, self.id, self.label, self.size, self.band = _columns(
+            batch, "grp", "block", "role", "id", "label", "size", "band")
+        self.fine = _fixed(batch.column("fine"), "u1", FINE)
+        self.keys = np.asarray(batch.column("keys").flatten()).reshape(-1, BANDS)
+        self.size = self.size.astype(np.int64)
+
+    def head(self, k: int) -> tuple:
+        return (self.id[k], self.size[k], self.label[k], self.keys[k].copy(), self.fine[k].copy())
+
+    def likely(self, lo: int, hi: int, head: tuple) -> np.ndarray:
+        """Rows from ``lo`` to ``hi`` that may link with the head: other label,
+        fitting size, sketches that agree enough and, in a bucket (band 0 or
+        more), no earlier band in common."""
+        ident, size, label, keys, fine = head[:5]
+        keep = (self.label[lo:hi] != label) & (self.id[lo:hi] != ident)
+        keep &= 100 * np.minimum(self.size[lo:hi], size) >= THRESHOLD * np.maximum(self.size[lo:hi], size)
+        some = lo + np.flatnonzero(keep)
+        some = some[(self.fine[some] == fine).sum(axis=1) >= SIEVE]
+        if self.band[lo] >= 0:
+            some = some[(self.keys[some] == keys).argmax(axis=1) == self.band[lo]]
+        return some
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    place = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = int((a[place] == b).sum())
+    return 100 * both >= THRESHOLD * (len(a) + len(b) - both)
 
 
 def _runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -224,34 +298,92 @@ def _runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of role 0 and role 1 of a block whose sketches agree enough, whose
-    sizes allow the threshold and, in phase two, whose components differ."""
-    at, heads = None, []  # the block, and (id, size, label, sketch) of its role 0
+    """The likely pairs of a leader (role 0) and its members (role 1)."""
+    blocks = _Blocks()
     for batch in batches:
-        grp, block, role, ident, label, size = _columns(
-            batch, "grp", "block", "role", "id", "label", "size")
-        rows = _sketch_rows(batch)
-        size = size.astype(np.int64)
-        left, right = [], []
-        for lo, hi in _runs(grp, block, role):
-            if (grp[lo], block[lo]) != at:
-                at, heads = (grp[lo], block[lo]), []
-            if role[lo] == 0:
-                heads += zip(ident[lo:hi], size[lo:hi], label[lo:hi], rows[lo:hi].copy())
+        rows, left, right = _Rows(batch), [], []
+        for lo, hi in _runs(rows.grp, rows.block, rows.role):
+            blocks.move((rows.grp[lo], rows.block[lo]))
+            if rows.role[lo] == 0:
+                blocks.heads += [rows.head(k) for k in range(lo, hi)]
                 continue
-            for head, head_size, head_label, head_row in heads:
-                keep = ((rows[lo:hi] == head_row).sum(axis=1) >= SIEVE * BINS)
-                keep &= 100 * np.minimum(size[lo:hi], head_size) >= THRESHOLD * np.maximum(size[lo:hi], head_size)
-                keep &= (label[lo:hi] != head_label) & (ident[lo:hi] != head)
-                found = ident[lo:hi][keep]
-                left.append(np.full(len(found), head))
+            for head in blocks.heads:
+                found = rows.id[rows.likely(lo, hi, head)]
+                left.append(np.full(len(found), head[0]))
                 right.append(found)
         if left:
             yield _pair_batch(np.concatenate(left), np.concatenate(right))
 
 
+def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of bucket blocks that are in a likely pair, once each."""
+    out: list[tuple] = []
+
+    def done(at: tuple, heads: list) -> None:
+        out.extend((*at, 0, h[0], h[2], h[5]) for h in heads if h[0] in used)
+        used.clear()
+
+    used: set = set()
+    blocks = _Blocks(done)
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * 6
+        out.clear()
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                          names=["grp", "block", "role", "id", "label", "band"])
+
+    for batch in batches:
+        rows = _Rows(batch)
+        for lo, hi in _runs(rows.grp, rows.block, rows.role):
+            blocks.move((rows.grp[lo], rows.block[lo]))
+            if rows.role[lo] == 0:
+                blocks.heads += [(*rows.head(k), rows.band[k]) for k in range(lo, hi)]
+                continue
+            hit = np.zeros(hi - lo, bool)
+            for head in blocks.heads:
+                some = rows.likely(lo, hi, head)
+                if len(some):
+                    hit[some - lo] = True
+                    used.add(head[0])
+            out.extend((*blocks.at, 1, rows.id[k], rows.label[k], rows.band[k]) for k in lo + np.flatnonzero(hit))
+        yield flush()
+    blocks.close()
+    yield flush()
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a block's heads and members, confirmed on the full sets, that
+    join components which the block's earlier links have not joined."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    blocks = _Blocks(lambda at, heads: parent.clear())
+    for batch in batches:
+        rows, left, right = _Rows(batch), [], []
+        sets = batch.column("shingles")
+        for lo, hi in _runs(rows.grp, rows.block, rows.role):
+            blocks.move((rows.grp[lo], rows.block[lo]))
+            if rows.role[lo] == 0:
+                blocks.heads += [(*rows.head(k), np.frombuffer(sets[k].as_buffer(), "<u8").copy())
+                                 for k in range(lo, hi)]
+                continue
+            for head in blocks.heads:
+                for k in rows.likely(lo, hi, head):
+                    one, two = find(head[2]), find(rows.label[k])
+                    if one != two and _linked(head[5], np.frombuffer(sets[k].as_buffer(), "<u8")):
+                        parent[one] = two
+                        left.append(head[0])
+                        right.append(rows.id[k])
+        yield _pair_batch(left, right)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets reach the threshold."""
+    """Pairs of a leader and its members whose full sets reach the threshold."""
     lead = np.empty(0, np.uint64)
     for batch in batches:
         grp, role, ident = _columns(batch, "grp", "role", "id")
@@ -260,53 +392,74 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = np.frombuffer(raw.as_buffer(), "<u8")
             if role[k] == 0:
                 lead = mine.copy()
-                continue
-            place = np.minimum(np.searchsorted(lead, mine), len(lead) - 1)
-            both = int((lead[place] == mine).sum())
-            if 100 * both >= THRESHOLD * (len(lead) + len(mine) - both):
+            elif _linked(lead, mine):
                 left.append(grp[k])
                 right.append(ident[k])
         yield _pair_batch(left, right)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return materialise(_streamed(_by_leader(pairs), sets, _confirm), "near-links")
+    return materialise(_streamed(_by_leader(pairs), sets.select("rep", "shingles"), _confirm), "near-links")
+
 
+def _sketch_payload(sets: DataFrame) -> DataFrame:
+    return sets.select("rep", "size", "keys", "fine")
 
-def _leader_links(members: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """Phase one: every member against its bucket's leader."""
-    pairs = materialise(members.filter(F.col("rep") != F.col("leader"))
-                        .select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(),
-                        "near-pairs")
-    rows = _by_leader(pairs).withColumn("label", F.col("id"))
-    near = materialise(_streamed(rows, sketches, _sieve), "near-sieved")
-    return _confirmed(near, sets)
 
+def _leader_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among pairs (leader, member)."""
+    pairs = materialise(pairs.distinct(), "near-pairs")
+    rows = _by_leader(pairs).withColumns({"label": F.col("id"), "band": F.lit(-1)})
+    return _confirmed(materialise(_streamed(rows, _sketch_payload(sets), _sieve), "near-sieved"), sets)
 
-def _other_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """Phase two: in buckets where several components meet, the members outside
-    the largest one, in blocks, against all members of other components."""
-    named = materialise(members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", F.coalesce("label", "rep").alias("label")), "near-named")
+
+def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with the label of their component (their own number if none)."""
+    return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "label", F.coalesce("label", "rep"))
+
+
+def _other_links(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """In buckets where several components meet, the members outside the largest
+    one, in blocks, against all members of other components."""
     per_label = materialise(named.groupBy("bucket", "label").agg(F.count("*").alias("n")), "near-per-label")
+    heads, rest = F.ceil((F.col("n") - F.col("most")) / BLOCK), F.ceil(F.col("n") / REST)
     mixed = materialise(
         per_label.groupBy("bucket")
         .agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels"),
              F.sum("n").alias("n"), F.max("n").alias("most"))
         # Two members: the leader and one that it has been compared with.
         .filter((F.col("labels") > 1) & (F.col("n") > 2))
-        .select("bucket", "top", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("blocks")),
-        "near-mixed")
+        .select("bucket", "top", heads.cast("int").alias("n_heads"), rest.cast("int").alias("n_rest")), "near-mixed")
     apart = named.join(mixed, "bucket")
-    heads = apart.filter(F.col("label") != F.col("top")).select(
-        F.col("bucket").alias("grp"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"),
-        F.lit(0).alias("role"), F.col("rep").alias("id"), "label")
-    rest = apart.select(
-        F.col("bucket").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.lit(1).alias("role"), F.col("rep").alias("id"), "label")
-    near = _streamed(heads.unionByName(rest), sketches, _sieve).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _confirmed(materialise(near, "near-sieved"), sets)
+
+    def block(role: int, own: str, other: str) -> DataFrame:
+        # Heads are repeated for each part of the rest, the rest for each part of the heads.
+        mine = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int")
+        spread = apart.select("bucket", "rep", "label", "band", "top", "n_heads", "n_rest", mine.alias("mine"),
+                              F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"))
+        head, tail = ("mine", "other") if role == 0 else ("other", "mine")
+        return spread.filter((F.col("label") != F.col("top")) | F.lit(role == 1)).select(
+            F.col("bucket").alias("grp"), (F.col(head) * F.col("n_rest") + F.col(tail)).alias("block"),
+            F.lit(role).alias("role"), F.col("rep").alias("id"), "label", "band")
+
+    rows = block(0, "n_heads", "n_rest").unionByName(block(1, "n_rest", "n_heads"))
+    likely = materialise(_streamed(rows, _sketch_payload(sets), _likely_rows, BLOCK_ROW), "near-likely")
+    return materialise(_streamed(likely, sets, _block_links), "near-links")
+
+
+def _all_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between classes that connect whatever all links connect."""
+    pair = [F.col("leader").alias("a"), F.col("rep").alias("b")]
+    links = _leader_links(members.filter((F.col("band") < FIRST) & (F.col("rep") != F.col("leader")))
+                          .select(*pair), sets)
+    labels = components(links)
+    of_leader = labels.select(F.col("node").alias("leader"), F.col("label").alias("lead_label"))
+    apart = (_named(members, labels).join(of_leader, "leader", "left")
+             .filter(F.col("label") != F.coalesce("lead_label", "leader")).select(*pair))
+    links = links.unionByName(_leader_links(apart, sets))
+    named = materialise(_named(members, components(links)), "near-named")
+    return links.unionByName(_other_links(named, sets))
 
 
 def near_groups(docs: DataFrame, n: int = 5) -> DataFrame:
@@ -318,11 +471,7 @@ def near_groups(docs: DataFrame, n: int = 5) -> DataFrame:
     members = _members(classes)
     reps = materialise(members.select("rep").distinct(), "near-reps")
     sets = _sets(docs, classes, reps, n)
-    sketches = materialise(classes.join(reps, "rep", "left_semi").select("rep", "size", "sketch"),
-                           "near-member-sketches")
-    first = _leader_links(members, sketches, sets)
-    links = first.unionByName(_other_links(members, components(first), sketches, sets))
-    labels = components(links).withColumnRenamed("node", "rep")
+    labels = components(_all_links(members, sets)).withColumnRenamed("node", "rep")
     of_class = materialise(classes.join(labels, "rep", "left").select(
         "fp", "first_id", F.coalesce("label", "rep").alias("label")), "near-of-class")
     smallest = materialise(of_class.groupBy("label").agg(F.min("first_id").alias("component_id")),
