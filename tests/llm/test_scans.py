@@ -99,18 +99,20 @@ def test_rebalancing_moves_few_slots(spark):
 
 ITEM = ("Tom has 3 apples and gives Ann 2 kg of sugar before lunch. Later Tom eats all of the 3 apples "
         "with Ann in the garden.")
+BENCH_PLAIN = "the quick brown fox jumps over the lazy dog while nobody at all is looking at it today"
 COPIES = [
     (1, "xx yy. Well then " + ITEM.replace("Tom", "Bob").replace("Ann", "Sue").replace("3", "7") + " zz"),
     (2, ITEM.replace("Later Tom", "Later Jim").replace("with Ann", "with Zed")), (3, None), (4, ""),
-    (None, ITEM), (5, "Tom has 3 apples and that is all there is to say about apples"), (6, ITEM), (6, ITEM)]
-BENCH = [(1, ITEM), (2, None), (3, ""), (4, "only three words"), (5, "five words make one item"), (5, ITEM + " Really.")]
+    (None, ITEM), (7, "XX " + BENCH_PLAIN.upper() + " YY"), (5, "Tom has 3 apples and that is all there is to say about apples"), (6, ITEM), (6, ITEM)]
+BENCH = [(1, ITEM), (2, None), (3, ""), (4, "only three words"), (5, "five words make one item"), (5, ITEM + " Really."),
+         (6, BENCH_PLAIN)]
 
 
 def test_decontamination_finds_new_parameters_and_rejects_mixed_names(spark):
     docs = spark.createDataFrame([(*r, "k") for r in COPIES], "doc_id long, text string, dkey string")
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     got = decontaminate.contaminated(docs, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {(i, j) for i in (1, 6, None) for j in (1, 5)}
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, j) for i in (1, 6, None) for j in (1, 5)} | {(7, 6)}
     assert {r.n_changed for r in got if r.doc_id == 1} == {5} and {r.n_changed for r in got if r.doc_id == 6} == {0}
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5]

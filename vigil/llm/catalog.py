@@ -50,7 +50,7 @@ def _template_sql(values: bool) -> str:
     keep = [f" || '\\{g}'" if values else "" for g in (1, 2)]
     t = f"regexp_replace(coalesce(text, ''), '[{name}-{unit}]', ' ', 'g')"
     for _ in range(2):
-        t = (f"regexp_replace({t}, '([\\p{{L}}\\p{{N}},;{name}]{ws})(\\p{{Lu}}[\\p{{L}}\\p{{M}}]*)', "
+        t = (f"regexp_replace({t}, '([\\p{{L}}\\p{{N}},;{name}]{ws})(\\p{{Lu}}\\p{{Ll}}[\\p{{L}}\\p{{M}}]*)', "
              f"'\\1' || {mark[0]}{keep[1]}, 'g')")
     t = f"lower(regexp_replace({t}, '([0-9][0-9.,:/]*)', {mark[1]}{keep[0]}, 'g'))"
     units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))

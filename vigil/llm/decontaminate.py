@@ -12,7 +12,8 @@ map likewise. So a copied question is found with other names and numbers in it,
 and text that merely has the same shape is left alone.
 
 A name is a capitalised word after a letter, digit or comma, that is, inside a
-sentence. A unit is one of :data:`UNITS` after a number.
+sentence; words in capitals are words like others. A unit is one of
+:data:`UNITS` after a number.
 
 Every window of every document is looked at. The benchmark's windows are joined
 without a hint: Spark broadcasts them when their written size is small and
@@ -50,23 +51,24 @@ UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "y
          "degrees", "meter", "meters", "metre", "metres")
 
 _WS = r"[\x20\x09-\x0D]"
-_NAME, _NUMBER, _UNIT = "", "", ""
+_NAME, _NUMBER, _UNIT = "\ue000", "\ue001", "\ue002"  # private use: cut from the texts first
+_ANY = f"[{_NAME}-{_UNIT}]"
 
 
 def _template(text: Column, values: bool) -> Column:
     """Words of the template; with ``values`` a placeholder is followed by what
     it stands for. Both forms have the same words in the same places."""
     keep = (lambda group: f"${group}") if values else (lambda group: "")
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[-]", " ")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), _ANY, " ")
     # White space first, then what is before it: cheap where no word starts.
-    t = F.regexp_replace(t, rf"({_WS})(?<=[\p{{L}}\p{{N}},;]{_WS})(\p{{Lu}}[\p{{L}}\p{{M}}]*)",
+    t = F.regexp_replace(t, rf"({_WS})(?<=[\p{{L}}\p{{N}},;]{_WS})(\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*)",
                          f"$1{_NAME}{keep(2)}")
     t = F.regexp_replace(t, r"(\d[\d.,:/]*)", f"{_NUMBER}{keep(1)}")
     t = F.lower(t)
     number = rf"({_NUMBER}[\d.,:/]*{_WS}?)"
     t = F.regexp_replace(t, rf"{number}({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{N}}])",
                          f"$1{_UNIT}{keep(2)}")
-    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}-\x20\x09-\x0D]+", "")
+    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{_NAME}-{_UNIT}\x20\x09-\x0D]+", "")
     return F.split(F.btrim(F.regexp_replace(t, f"{_WS}+", " ")), " ")
 
 
@@ -78,7 +80,7 @@ def _windows(words: Column, width: int) -> Column:
 
 
 def _literal(word: Column) -> Column:
-    return ~word.rlike("[-]")
+    return ~word.rlike(_ANY)
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
