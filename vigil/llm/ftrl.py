@@ -9,12 +9,25 @@ and class, whatever the number of rows is.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+
+def unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row ends, numbers) of a binary column of little-endian int32 arrays; the
+    numbers are a view of the column's memory."""
+    array = column.combine_chunks()
+    if isinstance(array, pa.ChunkedArray):  # no chunk at all
+        return np.zeros(1, np.int64), np.zeros(0, np.int32)
+    _, ends, data = array.buffers()
+    ends = np.frombuffer(ends, "<i4")[array.offset:array.offset + len(array) + 1].astype(np.int64) // 4
+    return ends - ends[0], np.frombuffer(data, "<i4")[ends[0]:ends[-1]] if data else np.zeros(0, np.int32)
 
 
 class Rows:
-    """A CSR matrix: row k holds features ``idx[ptr[k]:ptr[k + 1]]``, each once."""
+    """A CSR matrix: row k holds features ``idx[ptr[k]:ptr[k + 1]]``, each once,
+    with the values ``val`` (all 1 if None)."""
 
-    def __init__(self, ptr: np.ndarray, idx: np.ndarray, val: np.ndarray):
+    def __init__(self, ptr: np.ndarray, idx: np.ndarray, val: np.ndarray | None = None):
         self.ptr, self.idx, self.val = ptr, idx, val
 
     def __len__(self) -> int:
@@ -24,11 +37,11 @@ class Rows:
         sizes = (self.ptr[1:] - self.ptr[:-1])[rows]
         ptr = np.concatenate([[0], np.cumsum(sizes)])
         at = np.repeat(self.ptr[:-1][rows] - ptr[:-1], sizes) + np.arange(ptr[-1])
-        return Rows(ptr, self.idx[at], self.val[at])
+        return Rows(ptr, self.idx[at], None if self.val is None else self.val[at])
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         """Rows times a (features, classes) matrix."""
-        parts = self.val[:, None] * weights[self.idx]
+        parts = weights[self.idx] if self.val is None else self.val[:, None] * weights[self.idx]
         total = np.concatenate([np.zeros((1, weights.shape[1])), np.cumsum(parts, axis=0, dtype=np.float64)])
         return total[self.ptr[1:]] - total[self.ptr[:-1]]
 
@@ -61,7 +74,9 @@ class Ftrl:
         w = self._weights(z, n)
         local = Rows(rows.ptr, inverse, rows.val)
         error = (softmax(local.dot(w) + self.bias) - target) * weight[:, None]
-        per = np.repeat(error, rows.ptr[1:] - rows.ptr[:-1], axis=0) * rows.val[:, None]
+        per = np.repeat(error, rows.ptr[1:] - rows.ptr[:-1], axis=0)
+        if rows.val is not None:
+            per *= rows.val[:, None]
         g = np.stack([np.bincount(inverse, per[:, c], len(feats)) for c in range(per.shape[1])], axis=1)
         sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha
         self.z[feats] = z + g - sigma * w
@@ -71,11 +86,12 @@ class Ftrl:
         self.bias -= self.alpha * b / (self.beta + np.sqrt(self._bias_n))
 
     def fit(self, rows: Rows, labels: np.ndarray, weight: np.ndarray, epochs: int = 3,
-            batch: int = 32, seed: int = 7) -> "Ftrl":
+            batch: int = 32, seed: int = 7, subset: np.ndarray | None = None) -> "Ftrl":
         target = np.eye(self.z.shape[1])[labels]
         rng = np.random.default_rng(seed)
+        subset = np.arange(len(rows)) if subset is None else subset
         for _ in range(epochs):
-            order = rng.permutation(len(rows))
+            order = rng.permutation(subset)
             for k in range(0, len(order), batch):
                 part = order[k:k + batch]
                 self.step(rows.take(part), target[part], weight[part])

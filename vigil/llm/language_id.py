@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import chunks, held_out, unit_hash, unused
-from vigil.llm.ftrl import Ftrl, Rows, softmax, temperature
+from vigil.llm.common import chunks, held_out, start_task, unit_hash, unused
+from vigil.llm.ftrl import Ftrl, Rows, softmax, temperature, unpacked
 
 BITS = 16
 DIMS = 1 << BITS
@@ -79,6 +79,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     of ``texts``. A task sends one row per feature, Spark adds them up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("language")
         df, docs, seen = np.zeros(DIMS, np.int64), 0, np.zeros(DIMS, bool)
         for batch in batches:
             for t in batch.column(0):
@@ -113,7 +114,7 @@ def _sample(train: DataFrame, per_language: int) -> DataFrame:
             .filter(F.col("u") < share[F.col("lang")]).select("lang", "text", "u"))
 
 
-def _sample_counts(sample: DataFrame) -> pd.DataFrame:
+def _sample_counts(sample: DataFrame) -> pa.Table:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in chunks(batch.column(1)):
@@ -128,7 +129,7 @@ def _sample_counts(sample: DataFrame) -> pd.DataFrame:
                      pa.array(idx, pa.binary()), pa.array(num, pa.binary())],
                     names=["lang", "u", "idx", "num"])
 
-    return sample.mapInArrow(count, "lang string, u double, idx binary, num binary").toPandas()
+    return sample.mapInArrow(count, "lang string, u double, idx binary, num binary").toArrow()
 
 
 class Model:
@@ -155,27 +156,26 @@ class Model:
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model from rows (doc_id, text, lang) with a non-null lang."""
     df, docs = document_frequencies(train)
-    rows = _sample_counts(_sample(train, per_language)).sort_values(["lang", "u"], kind="stable")
-    rows = rows[rows["idx"].map(len) > 0]
-    langs = sorted(rows["lang"].unique())
+    rows = _sample_counts(_sample(train, per_language).filter(F.length("text") > 0))
+    ptr, idx = unpacked(rows["idx"])
+    size = ptr[1:] - ptr[:-1]
+    lang, u = rows["lang"].to_numpy(zero_copy_only=False), rows["u"].to_numpy()
+    langs = sorted(set(lang[size > 0]))
     if not langs:
         return Model([], np.zeros((DIMS, 0)), np.zeros(0), 1.0)
     idf = np.log((1 + docs) / (1 + df)) + 1
-    idx = [np.frombuffer(b, "<i4") for b in rows["idx"]]
-    num = [np.frombuffer(b, "<i4") for b in rows["num"]]
-    ptr = np.concatenate([[0], np.cumsum([len(i) for i in idx])])
-    val = np.concatenate([n / n.sum() for n in num]) * SCALE
-    idx = np.concatenate(idx).astype(np.int64)
-    matrix = Rows(ptr, idx, val * idf[idx])
-    labels = np.searchsorted(langs, rows["lang"].to_numpy())
+    num = unpacked(rows["num"])[1].astype(np.float32)
+    sums = np.concatenate([[0.0], np.cumsum(num, dtype=np.float64)])
+    num /= np.repeat(np.maximum(sums[ptr[1:]] - sums[ptr[:-1]], 1), size)
+    matrix = Rows(ptr, idx, num * (idf * SCALE).astype(np.float32)[idx])
+    labels = np.searchsorted(langs, lang)
+    order = np.lexsort((u, lang))  # by the hash, so that the order of tasks plays no part
+    order = order[size[order] > 0]
+    held, fitted = order[4::5], np.delete(order, np.s_[4::5])
     weight = np.ones(len(labels))
-    # By the order of the row hash, every fifth row calibrates.
-    calibrate = rows["u"].rank(method="first").to_numpy().astype(int) % 5 == 0
     learner = Ftrl(DIMS, len(langs), alpha=0.2, l1=0.5, l2=0.1)
-    fitted = np.flatnonzero(~calibrate)
-    learner.fit(matrix.take(fitted), labels[fitted], weight[fitted])
+    learner.fit(matrix, labels, weight, subset=fitted)
     w = learner.weights()
-    held = np.flatnonzero(calibrate)
     temp = temperature(matrix.take(held).dot(w) + learner.bias, labels[held], weight[held])
     table = (w * (idf * SCALE)[:, None]).astype(np.float32)
     return Model(langs, table, learner.bias, temp)
@@ -188,6 +188,7 @@ def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        start_task("language")
         m = shared.value
         for texts in batches:
             yield pd.DataFrame([m.predict(t) for t in texts], columns=["lang", "score"])

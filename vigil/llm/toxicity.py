@@ -2,12 +2,13 @@
 n-grams and skip-grams.
 
 A document's features are its distinct words, word pairs and pairs with one
-word between them, hashed to 2^18 places. Rates are per coordinate and the L1
+word between them, hashed to 2^18 places, half of them for the words; a pair
+has half a word's value, as most pairs are chance. Rates are per coordinate and the L1
 penalty leaves few weights, which are broadcast as (place, weight) pairs. The
 learner sees at most ``per_class`` labelled documents of each class (whole
 texts, chosen by a hash of the row), weighted so that the classes count as they
 do among all labelled documents; the scores are therefore probabilities. A
-fifth of them sets a temperature.
+fifth of them sets a temperature, before the weights are fitted on all.
 
 Defined results: an empty or null text has no features and scores the bias
 alone; without rows to learn from, or with one class only, every score is the
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import chunks, held_out, unit_hash
-from vigil.llm.ftrl import Ftrl, Rows, temperature
+from vigil.llm.ftrl import Ftrl, Rows, temperature, unpacked
 
 BITS = 18
 DIMS = 1 << BITS
+HALF = DIMS // 2   # words below, pairs above
+PAIR_VALUE = 0.5
 PER_CLASS = 4000
 CUT = 0.7
 
@@ -56,10 +59,12 @@ def grams(text: str | None, words: Words) -> np.ndarray:
     tokens = (text or "").lower().encode("utf-8", "surrogatepass").translate(_SEPARATE).split()
     h = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
     parts = [h * _K[0], (h[:-1] * _K[1] + h[1:]) * _K[0], (h[:-2] * _K[2] + h[2:]) * _K[3]]
-    return (np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64)
+    places = (np.concatenate(parts) >> np.uint64(65 - BITS)).astype(np.int64)
+    places[len(h):] += HALF
+    return places
 
 
-def _features(sample: DataFrame) -> pd.DataFrame:
+def _features(sample: DataFrame) -> pa.Table:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
@@ -70,7 +75,7 @@ def _features(sample: DataFrame) -> pd.DataFrame:
                     [batch.column(0).slice(start, k), batch.column(1).slice(start, k),
                      pa.array(idx, pa.binary())], names=["label", "u", "idx"])
 
-    return sample.select("label", "u", "text").mapInArrow(make, "label int, u double, idx binary").toPandas()
+    return sample.select("label", "u", "text").mapInArrow(make, "label int, u double, idx binary").toArrow()
 
 
 class Model:
@@ -93,6 +98,10 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
 
+def _learner() -> Ftrl:
+    return Ftrl(DIMS, 2, alpha=3.0, l1=5.0, l2=0.1)
+
+
 def _constant(share: float) -> Model:
     share = min(max(share, 1e-9), 1 - 1e-9)
     return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(share / (1 - share))), 1.0)
@@ -113,22 +122,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     limit = F.when(F.col("label") == 1, per_class / sizes[1]).otherwise(per_class / sizes[0])
     picked = marked.withColumn("u", unit_hash(F.col("doc_id"), F.col("label"))).filter(F.col("u") < limit)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = _features(sample).sort_values(["label", "u"], kind="stable")
-    labels = rows["label"].to_numpy().astype(int)
-    idx = [np.frombuffer(b, "<i4") for b in rows["idx"]]
-    ptr = np.concatenate([[0], np.cumsum([len(i) for i in idx])])
-    matrix = Rows(ptr, np.concatenate(idx).astype(np.int64), np.ones(ptr[-1]))
+    rows = _features(sample)
+    labels, u = rows["label"].to_numpy().astype(int), rows["u"].to_numpy()
+    ptr, idx = unpacked(rows["idx"])
+    matrix = Rows(ptr, idx, np.where(idx < HALF, 1.0, PAIR_VALUE).astype(np.float32))
     taken = np.bincount(labels, minlength=2)
     if taken.min() == 0:
         return _constant(sizes[1] / total)
-    weight = np.array([sizes[c] / total * len(labels) / max(taken[c], 1) for c in (0, 1)])[labels]
-    calibrate = np.arange(len(labels)) % 5 == 4  # the rows are in the order of their hash
-    fitted, held = np.flatnonzero(~calibrate), np.flatnonzero(calibrate)
-    learner = Ftrl(DIMS, 2, alpha=1.0, l1=8.0, l2=0.1)
-    learner.fit(matrix.take(fitted), labels[fitted], weight[fitted], epochs=6)
+    weight = np.array([sizes[c] / total * len(labels) / taken[c] for c in (0, 1)])[labels]
+    order = np.lexsort((u, labels))  # by the hash, so that the order of tasks plays no part
+    held, fitted = order[4::5], np.delete(order, np.s_[4::5])
+    first = _learner().fit(matrix, labels, weight, epochs=6, subset=fitted)
+    temp = temperature(matrix.take(held).dot(first.weights()) + first.bias, labels[held], weight[held])
+    # The temperature is known; the weights are then fitted on all rows.
+    learner = _learner().fit(matrix, labels, weight, epochs=6, subset=order)
     w = learner.weights()
-    temp = temperature(matrix.take(held).dot(w) + learner.bias, labels[held], weight[held])
     diff = w[:, 1] - w[:, 0]
+    diff[HALF:] *= PAIR_VALUE
     place = np.flatnonzero(diff)
     return Model(place, diff[place].astype(np.float32), float(learner.bias[1] - learner.bias[0]), temp)
 
