@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup
-from vigil.llm.common import materialise, unused
+from vigil.llm.common import materialise, small_batches, unused
 
 MIN_LANGUAGE_SCORE = 0.3
 SHINGLE_WORDS = 5
@@ -50,9 +50,12 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether decoding them gives the text back."""
     rows = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), bpe.default_tokenizer(spark))
-    return rows.select(
+    rows = rows.select(
         "doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
         (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("round_trip"))
+    # Written here, so that the batches are small while workers and caches are large.
+    with small_batches(spark):
+        return materialise(rows, "tokens")
 
 
 STAGES = [

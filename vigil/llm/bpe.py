@@ -25,21 +25,22 @@ kept by both functions.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vigil.llm.common import CACHES, start_task, unused
+from vigil.llm.common import CACHES, chunks, in_task, task
 
 MAX_STATES = 100_000
-MAX_PIECES = 200_000
-MAX_PAIRS = 300_000
+MAX_PIECES = 160_000
+MAX_PAIRS = 200_000
 PORTION = 4096   # bytes of a long piece between two emissions
 LOW = (1 << 17) - 1
 DECODE_BATCH = 8192
@@ -56,7 +57,7 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.parts: dict[int, tuple[int, int]] = {}
-        self.joined: dict[tuple[int, int], int] = {}
+        self.joined: dict[int, int] = {}  # left << 17 | right -> the token they make
         # The trie: node << 8 | byte -> node; a node's token or -1, its depth.
         self.children: dict[int, int] = {}
         self.tokens: list[int] = [-1]
@@ -71,7 +72,7 @@ class Merges:
                 if len(halves) != 2:
                     continue  # no sequence of merges makes it
                 self.parts[rank] = (halves[0], halves[1])
-                self.joined[halves[0], halves[1]] = rank
+                self.joined[halves[0] << 17 | halves[1]] = rank
             self._insert(token, rank)
         self.near: dict[int, bool] = {}  # (left + 1) << 17 | right -> what adjacent() has found
 
@@ -104,8 +105,9 @@ class Merges:
 
     def adjacent(self, left: int, right: int) -> bool:
         """Whether the merges of the two tokens' bytes give these two tokens (any
-        token may follow the start, -1): their merges are undone along the boundary, latest first, and no merge
-        across it may come before the one undone last."""
+        token may follow the start, -1): their merges are undone along the
+        boundary, latest first, and no merge across it may come before the one
+        undone last."""
         key = left + 1 << 17 | right
         known = self.near.get(key)
         if known is None:
@@ -120,7 +122,7 @@ class Merges:
         # the one that made ``right`` forbids an equal rank too.
         below = None
         while True:
-            across = self.joined.get((left, right))
+            across = self.joined.get(left << 17 | right)
             if across is not None and (below is None or across < below):
                 return False
             a, b = self.parts.get(left), self.parts.get(right)
@@ -223,6 +225,20 @@ class Transducer:
         yield self._back(ends, len(ends), 0)
 
 
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: Texts of printable ASCII, Latin-1 letters and the white space of both matchers.
+_is_latin = re.compile(f"[\t-\r -~{_LATIN}]*").fullmatch
+
+
+def latin_pattern(pattern: str) -> str | None:
+    """The pattern for such texts only, where letters and numbers are plain
+    ranges and the faster standard matcher will do; None if it has other
+    properties than those two."""
+    plain = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(r"\p{L}", _LATIN).replace(r"\p{N}", "0-9"), pattern)
+    plain = plain.replace(r"\p{L}", f"[{_LATIN}]").replace(r"\p{N}", "[0-9]")
+    return None if r"\p" in plain.lower() else plain
+
+
 class Encoder(dict):
     """piece -> its ids as little-endian int32 bytes, filled on demand. When it
     is full it becomes the old generation, from which pieces still in use are
@@ -234,6 +250,8 @@ class Encoder(dict):
         self.ranks = ranks
         self.machine = Transducer(Merges(ranks))
         self.split = regex.compile(pattern).findall
+        plain = latin_pattern(pattern)
+        self.split_latin = re.compile(plain).findall if plain else self.split
 
     def __missing__(self, piece: str) -> bytes:
         value = self.old.get(piece)
@@ -249,8 +267,13 @@ class Encoder(dict):
             self[piece] = value
         return value
 
+    def shrink(self) -> None:
+        """Between tasks only the newer pieces and the transducer are kept."""
+        self.old = {}
+
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+        split = self.split_latin if _is_latin(text) else self.split
+        return b"".join(map(self.__getitem__, split(text)))
 
 
 class Utf8Stream:
@@ -310,7 +333,6 @@ CACHES["bpe"] = _CACHE.clear
 
 def _cached(kind, key: tuple, make):
     """One encoder or decoder per Python worker, kept across tasks."""
-    start_task("bpe")
     if (kind, key) not in _CACHE:
         _CACHE[kind, key] = make()
     return _CACHE[kind, key]
@@ -337,25 +359,31 @@ class Tokenizer:
 
         @F.arrow_udf("array<int>")
         def encode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            enc = _cached("encoder", key, lambda: Encoder(read_ranks(data.value), pattern))
-            for texts in batches:
-                yield _id_lists([enc.encode(t.as_py() or "") for t in texts])
+            with task("bpe"):
+                enc = _cached("encoder", key, lambda: Encoder(read_ranks(data.value), pattern))
+                for texts in batches:
+                    yield _id_lists([enc.encode(t.as_py() or "") for t in texts])
+                enc.shrink()
 
         return encode_texts
 
-    def round_trip_udf(self):
-        """Encoding and decoding in one Python worker."""
+    def round_trip_batches(self, columns: list[str]):
+        """Encoding and decoding in one Python worker, a few documents at a time
+        whatever Spark's batches are; the columns pass through."""
         data, key, pattern = self.data, self.key, self.pattern
 
-        @F.arrow_udf("ids array<int>, decoded binary")
-        def encode_and_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        @in_task("bpe")
+        def encode_and_decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             enc = _cached("encoder", key, lambda: Encoder(read_ranks(data.value), pattern))
             dec = _cached("decoder", key, lambda: Decoder(enc.ranks))
-            for texts in batches:
-                parts = [enc.encode(t.as_py() or "") for t in texts]
-                back = [dec.bytes(np.frombuffer(p, "<i4").tolist()) for p in parts]
-                yield pa.StructArray.from_arrays([_id_lists(parts), pa.array(back, pa.binary())],
-                                                 names=["ids", "decoded"])
+            for batch in batches:
+                for start, texts in chunks(batch.column("text")):
+                    parts = [enc.encode(t or "") for t in texts]
+                    back = [dec.bytes(np.frombuffer(p, "<i4").tolist()) for p in parts]
+                    own = [c.slice(start, len(texts)) for c in batch.columns]
+                    yield pa.RecordBatch.from_arrays([*own, _id_lists(parts), pa.array(back, pa.binary())],
+                                                     names=[*columns, "token_ids", "decoded"])
+            enc.shrink()
 
         return encode_and_decode
 
@@ -364,22 +392,24 @@ class Tokenizer:
 
         @F.arrow_udf("binary")
         def decode_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            dec = _cached("decoder", key, lambda: Decoder(read_ranks(data.value)))
-            for lists in batches:
-                yield pa.array([dec.bytes(x.values.to_pylist()) if x.is_valid else b"" for x in lists],
-                               pa.binary())
+            with task("bpe"):
+                dec = _cached("decoder", key, lambda: Decoder(read_ranks(data.value)))
+                for lists in batches:
+                    yield pa.array([dec.bytes(x.values.to_pylist()) if x.is_valid else b"" for x in lists],
+                                   pa.binary())
 
         return decode_ids
 
     def decode_text_udf(self):
         data, key = self.data, self.key
 
-        @F.pandas_udf("string")
-        def decode_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            dec = _cached("decoder", key, lambda: Decoder(read_ranks(data.value)))
-            for lists in batches:
-                yield pd.Series(["".join(dec.portions([] if x is None else list(x))) for x in lists],
-                                dtype=object)
+        @F.arrow_udf("string")
+        def decode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            with task("bpe"):
+                dec = _cached("decoder", key, lambda: Decoder(read_ranks(data.value)))
+                for lists in batches:
+                    yield pa.array(["".join(dec.portions(x.values.to_pylist() if x.is_valid else []))
+                                    for x in lists], pa.string())
 
         return decode_texts
 
@@ -396,11 +426,11 @@ def decode(rows: DataFrame, tokenizer: Tokenizer, ids: str = "token_ids", out: s
 
 def round_trip(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """``docs`` with the ids of ``text`` in ``token_ids`` and the bytes that they
-    decode to in ``decoded``."""
-    (tmp,) = unused(docs, "bpe")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.withColumn(tmp, tokenizer.round_trip_udf()(F.col("text"))).select(
-        *own, F.col(f"{tmp}.ids").alias("token_ids"), F.col(f"{tmp}.decoded").alias("decoded"))
+    decode to in ``decoded`` (columns of these names are replaced)."""
+    docs = docs.drop("token_ids", "decoded")
+    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("decoded", T.BinaryType())])
+    return docs.mapInArrow(tokenizer.round_trip_batches(docs.columns), schema)
 
 
 def ids_text(ids: str):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.session import scratch_path
@@ -62,13 +66,48 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, list
         yield start, buf
 
 
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """While eager jobs with wide rows run: no more rows in an Arrow batch than
+    this, as a batch is held by Spark and by the worker, several times over."""
+    was = int(spark.conf.get(BATCH_CONF))
+    spark.conf.set(BATCH_CONF, min(was, rows) if was > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, was)
+
+
 #: What frees the caches that an operator keeps in a Python worker between tasks.
 CACHES: dict[str, Callable[[], None]] = {}
 
 
-def start_task(owner: str) -> None:
-    """Called where an operator's Python code starts in a worker: Spark gives
-    workers from one stage to the next, so the caches of other operators go."""
+@contextlib.contextmanager
+def task(owner: str):
+    """Around an operator's Python code in a worker. Spark hands workers from
+    one stage to the next and keeps idle ones, so the caches of other operators
+    go first, and what the allocators have spare goes back when the task ends."""
     for name, free in CACHES.items():
         if name != owner:
             free()
+    try:
+        yield
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_task(owner: str):
+    """The same for a function from batches to batches."""
+    def wrap(fn):
+        @functools.wraps(fn)
+        def run(batches):
+            with task(owner):
+                yield from fn(batches)
+        return run
+    return wrap

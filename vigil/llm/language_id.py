@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import chunks, held_out, start_task, unit_hash, unused
+from vigil.llm.common import chunks, held_out, in_task, task, unit_hash, unused
 from vigil.llm.ftrl import Ftrl, Rows, softmax, temperature, unpacked
 
 BITS = 16
@@ -78,8 +78,8 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """(documents that have each feature, documents with a letter) over all rows
     of ``texts``. A task sends one row per feature, Spark adds them up."""
 
+    @in_task("language")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task("language")
         df, docs, seen = np.zeros(DIMS, np.int64), 0, np.zeros(DIMS, bool)
         for batch in batches:
             for t in batch.column(0):
@@ -115,6 +115,7 @@ def _sample(train: DataFrame, per_language: int) -> DataFrame:
 
 
 def _sample_counts(sample: DataFrame) -> pa.Table:
+    @in_task("language")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in chunks(batch.column(1)):
@@ -188,10 +189,10 @@ def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        start_task("language")
-        m = shared.value
-        for texts in batches:
-            yield pd.DataFrame([m.predict(t) for t in texts], columns=["lang", "score"])
+        with task("language"):
+            m = shared.value
+            for texts in batches:
+                yield pd.DataFrame([m.predict(t) for t in texts], columns=["lang", "score"])
 
     (tmp,) = unused(docs, "lid")
     own = [F.col(f"`{c}`") for c in docs.columns]

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import chunks, materialise, start_task, unused
+from vigil.llm.common import chunks, in_task, materialise, small_batches, unused
 from vigil.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -76,7 +76,7 @@ class Words(dict):
     """word -> 64-bit hash; emptied when full, as it only saves time."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -134,8 +134,8 @@ def _fingerprint(shingle_set: np.ndarray) -> bytes | None:
 def _sketches(docs: DataFrame, n: int) -> DataFrame:
     """A row per row of ``docs``; ``fp`` identifies the set (null when empty)."""
 
+    @in_task("near")
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task("near")
         words = Words()
         for batch in batches:
             for start, texts in chunks(batch.column(1)):
@@ -176,8 +176,8 @@ def _sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, n: int) -> DataF
     """``rep, size, keys, fine, shingles`` (sorted 64-bit hashes) of the classes
     in ``reps``, made from the texts of their first documents."""
 
+    @in_task("near")
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task("near")
         words = Words()
         for batch in batches:
             for _, texts in chunks(batch.column(0)):
@@ -297,6 +297,7 @@ def _runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(starts, np.append(starts[1:], len(change)))
 
 
+@in_task("near")
 def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The likely pairs of a leader (role 0) and its members (role 1)."""
     blocks = _Blocks()
@@ -315,6 +316,7 @@ def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pair_batch(np.concatenate(left), np.concatenate(right))
 
 
+@in_task("near")
 def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of bucket blocks that are in a likely pair, once each."""
     out: list[tuple] = []
@@ -352,6 +354,7 @@ def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+@in_task("near")
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a block's heads and members, confirmed on the full sets, that
     join components which the block's earlier links have not joined."""
@@ -382,6 +385,7 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pair_batch(left, right)
 
 
+@in_task("near")
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a leader and its members whose full sets reach the threshold."""
     lead = np.empty(0, np.uint64)
@@ -466,12 +470,13 @@ def near_groups(docs: DataFrame, n: int = 5) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id, n_shingles, fp,
     component_id, kept`` for shingles of ``n`` words; ``component_id`` is the
     smallest doc_id reachable by links."""
-    rows = materialise(_sketches(docs, n), "near-sketches")
-    classes = _classes(rows)
-    members = _members(classes)
-    reps = materialise(members.select("rep").distinct(), "near-reps")
-    sets = _sets(docs, classes, reps, n)
-    labels = components(_all_links(members, sets)).withColumnRenamed("node", "rep")
+    with small_batches(docs.sparkSession):
+        rows = materialise(_sketches(docs, n), "near-sketches")
+        classes = _classes(rows)
+        members = _members(classes)
+        reps = materialise(members.select("rep").distinct(), "near-reps")
+        links = _all_links(members, _sets(docs, classes, reps, n))
+    labels = components(links).withColumnRenamed("node", "rep")
     of_class = materialise(classes.join(labels, "rep", "left").select(
         "fp", "first_id", F.coalesce("label", "rep").alias("label")), "near-of-class")
     smallest = materialise(of_class.groupBy("label").agg(F.min("first_id").alias("component_id")),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import chunks, held_out, materialise, unit_hash
+from vigil.llm.common import chunks, held_out, in_task, materialise, unit_hash
 
 FEATURES = (
     "log_chars", "log_words", "log_lines", "word_length", "upper", "digit", "space", "symbol",
@@ -80,6 +80,7 @@ def statistics(text: str | None) -> list[float]:
 def features(docs: DataFrame) -> DataFrame:
     """``doc_id, u, x`` of every row (doc_id, text); ``u`` is a hash in [0, 1)."""
 
+    @in_task("quality")
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in chunks(batch.column(2)):
@@ -101,6 +102,7 @@ def _moments(rows: DataFrame) -> dict[tuple[bool, int], tuple[float, np.ndarray,
     row per task and group. Rows are (label, u, x)."""
     d = len(FEATURES)
 
+    @in_task("quality")
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[bool, int], np.ndarray] = {}
         for batch in batches:
@@ -245,6 +247,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of rows (doc_id, x)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    @in_task("quality")
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

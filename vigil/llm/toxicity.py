@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import chunks, held_out, unit_hash
+from vigil.llm.common import chunks, held_out, in_task, task, unit_hash
 from vigil.llm.ftrl import Ftrl, Rows, temperature, unpacked
 
 BITS = 18
@@ -48,7 +48,7 @@ class Words(dict):
     """word -> 64-bit hash; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -65,6 +65,7 @@ def grams(text: str | None, words: Words) -> np.ndarray:
 
 
 def _features(sample: DataFrame) -> pa.Table:
+    @in_task("toxicity")
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
@@ -149,9 +150,10 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
 
     @F.pandas_udf("double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words, m = Words(), shared.value
-        for texts in batches:
-            yield pd.Series([m.score(t, words) for t in texts], dtype=float)
+        with task("toxicity"):
+            words, m = Words(), shared.value
+            for texts in batches:
+                yield pd.Series([m.score(t, words) for t in texts], dtype=float)
 
     return docs.withColumn(out, predict(F.col("text")))
 
