@@ -133,6 +133,19 @@ def test_decontamination_against_sql_on_made_cases(spark):
     assert digest(got.columns, [tuple(r) for r in got.collect()])[0] == digest(rel.columns, rel.fetchall())[0]
 
 
+NUMBER_RICH = ["Find the sum of 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11 and 12.", "Compute 12 + 7 * 3 - 4 / 2 + 9 and give the sum.",
+               "Which of 12, 18, 24, 30, 36 and 45 is divisible by 9 and 5?"]
+
+
+def test_decontamination_finds_items_of_mostly_numbers(spark):
+    docs = [(k, f"so: {t} well") for k, t in enumerate(NUMBER_RICH)]
+    docs += [(7, NUMBER_RICH[2].replace("12", "13").replace("45", "90")), (8, NUMBER_RICH[0].replace(",", "1,"))]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(
+        list(enumerate(NUMBER_RICH)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 1), (2, 2), (7, 2)}
+    assert {r.doc_id: r.n_changed for r in got} == {0: 0, 1: 0, 2: 0, 7: 1}
+
+
 def article(page):
     """Blocks of the generated pages by plain patterns."""
     m = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)

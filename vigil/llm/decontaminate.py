@@ -11,6 +11,13 @@ unit, the document must have one, and the other way round, and most numbers must
 map likewise. So a copied question is found with other names and numbers in it,
 and text that merely has the same shape is left alone.
 
+Beside the templates the words as they stand (lower-cased, without punctuation)
+are windows too. Where the template windows of a diagonal are not enough, those
+of the words are looked at: they hold all values, so rows of numbers and words
+that are names in one text and literals in the other count like others. An item
+of which most template windows say nothing (see :func:`_item_windows`) is looked
+for by its words alone.
+
 A name is a capitalised word after a letter, digit or comma, that is, inside a
 sentence; words in capitals are words like others. A unit is one of
 :data:`UNITS` after a number.
@@ -42,6 +49,8 @@ SHORTEST = 4
 ENOUGH = 6        # windows on a diagonal, that is 13 words ...
 SHARE = 0.6       # ... or this share of a shorter item's windows
 
+TEMPLATE, PLAIN = 0, 1  # forms of a window
+
 # Fixed value: words that count as units after a number.
 UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards",
          "mi", "mile", "miles", "mg", "g", "gram", "grams", "kg", "t", "ton", "tons", "oz", "lb", "lbs",
@@ -72,11 +81,29 @@ def _template(text: Column, values: bool) -> Column:
     return F.split(F.btrim(F.regexp_replace(t, f"{_WS}+", " ")), " ")
 
 
-def _windows(words: Column, width: int) -> Column:
-    """Hashes of all windows of ``width`` words, in order; none if too short."""
-    return F.when(F.size(words) >= width, F.transform(
-        F.sequence(F.lit(1), F.size(words) - (width - 1)),
-        lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(F.array().cast("array<bigint>"))
+def _plain(text: Column) -> Column:
+    """The words as they stand, in the same places as those of the template."""
+    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _ANY, " "))
+    t = F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+", "")
+    return F.split(F.btrim(F.regexp_replace(t, f"{_WS}+", " ")), " ")
+
+
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+_PLACES = "array<struct<pos:int,hash:bigint,form:int>>"
+
+
+def _windows(words: Column, width: int, form: int, unlike: Column | None = None) -> Column:
+    """(pos, hash, form) of all windows of ``width`` hashed words, none if too
+    short; with ``unlike`` only of those that differ from its windows."""
+    starts = F.sequence(F.lit(1), F.size(words) - (width - 1))
+    if unlike is not None:
+        starts = F.filter(starts, lambda i: F.slice(words, i, width) != F.slice(unlike, i, width))
+    return F.when(F.size(words) >= width, F.transform(starts, lambda i: F.struct(
+        (i - 1).alias("pos"), F.xxhash64(F.slice(words, i, width)).alias("hash"), F.lit(form).alias("form")))
+        ).otherwise(F.array()).cast(_PLACES)
 
 
 def _literal(word: Column) -> Column:
@@ -84,30 +111,60 @@ def _literal(word: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """``item_id, ikey, words, values, width, need`` of every item that can be
-    looked for; ``ikey`` is a hash of its text."""
+    """``item_id, ikey, words, values, width, plain, need, need_plain`` of every item
+    that can be looked for; ``ikey`` is a hash of its text. ``need`` is counted
+    over the template windows kept and null if those are too few."""
     return (benchmark.select("item_id", F.xxhash64("text").alias("ikey"),
                              _template(F.col("text"), False).alias("words"),
-                             _template(F.col("text"), True).alias("values"))
+                             _template(F.col("text"), True).alias("values"),
+                             _plain(F.col("text")).alias("plain"))
             .filter((F.size("words") >= SHORTEST) & (F.col("words")[0] != ""))
             .withColumn("width", F.least(F.lit(WINDOW), F.size("words")))
             .withColumn("n_item", F.size("words") - F.col("width") + 1)
-            .withColumn("need", F.least(F.lit(ENOUGH), F.ceil(F.col("n_item") * SHARE)).cast("int"))
+            .withColumn("kept", F.size(F.filter(F.sequence(F.lit(1), F.col("n_item")), _telling)))
+            .withColumn("need_plain", _share("n_item"))
+            .withColumn("need", F.when((F.col("kept") >= F.col("need_plain")) | (2 * F.col("kept") >= F.col("n_item")),
+                                       _share("kept")))
             .distinct())
 
 
+def _share(windows: str) -> Column:
+    return F.least(F.lit(ENOUGH), F.ceil(F.col(windows) * SHARE)).cast("int")
+
+
+def _telling(start: Column) -> Column:
+    """Whether half of the words of an item's window are literal, as a row of
+    placeholders says nothing."""
+    return 2 * F.size(F.filter(F.slice("words", start, F.col("width")), _literal)) >= F.col("width")
+
+
 def _item_windows(items: DataFrame, widths: list[int]) -> DataFrame:
-    """(hash, item_id, ikey, ipos, need); half of a window's words are literal,
-    as a row of placeholders says nothing."""
+    """(hash, iform, item_id, ikey, ipos, need, need_plain): the windows kept of
+    the template if those are enough to look for, and all windows of the words."""
     parts = []
     for w in widths:
-        part = items.filter(F.col("width") == w).select(
-            "item_id", "ikey", "words", "need", F.posexplode(_windows(F.col("words"), w)).alias("ipos", "hash"))
-        literal = F.size(F.filter(F.slice("words", F.col("ipos") + 1, w), _literal))
-        parts.append(part.filter(2 * literal >= w).select("hash", "item_id", "ikey", "ipos", "need"))
+        parts.append(
+            items.filter(F.col("width") == w)
+            .withColumn("at", F.explode(F.concat(_windows(_hashed(F.col("words")), w, TEMPLATE),
+                                                 _windows(_hashed(F.col("plain")), w, PLAIN))))
+            .filter((F.col("at.form") == PLAIN) | (F.col("need").isNotNull() & _telling(F.col("at.pos") + 1)))
+            .select(F.col("at.hash").alias("hash"), F.col("at.form").alias("iform"), "item_id", "ikey",
+                    F.col("at.pos").alias("ipos"), "need", "need_plain"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _document_windows(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """(doc_id, dkey, dpos, hash, dform): the windows of the template, and those
+    of the words that differ from them."""
+    words = docs.select("doc_id", F.xxhash64("text").alias("dkey"), _hashed(_template(F.col("text"), False)).alias("t"),
+                        _hashed(_plain(F.col("text"))).alias("p"))
+    parts = [c for w in widths for c in (_windows(F.col("t"), w, TEMPLATE),
+                                         _windows(F.col("p"), w, PLAIN, F.col("t")))]
+    return (words.select("doc_id", "dkey", F.explode(F.concat(*parts)).alias("at"))
+            .select("doc_id", "dkey", F.col("at.pos").alias("dpos"), F.col("at.hash").alias("hash"),
+                    F.col("at.form").alias("dform")))
+
+
 def _mapped(pairs: Column) -> Column:
     """How many (item value, document value) pairs exceed a one-to-one map."""
     return (2 * F.size(F.array_distinct(pairs)) - F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"])))
@@ -127,19 +184,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not widths:
         return spark.createDataFrame([], MATCH)
     item_windows = materialise(_item_windows(items, widths), "decon-item-windows")
-    words = docs.select("doc_id", F.xxhash64("text").alias("dkey"),
-                        _template(F.col("text"), False).alias("words"))
-    per_width = [words.select("doc_id", "dkey", F.posexplode(_windows(F.col("words"), w)).alias("dpos", "hash"))
-                 for w in widths]
     hits = materialise(
-        reduce(DataFrame.unionByName, per_width).join(item_windows, "hash")
-        .select("doc_id", "dkey", "item_id", "ikey", "need", "ipos",
+        _document_windows(docs, widths).join(item_windows, "hash")
+        .filter((F.col("iform") == PLAIN) | (F.col("dform") == TEMPLATE))
+        .select("doc_id", "dkey", "item_id", "ikey", "need", "need_plain", "ipos", "iform",
                 (F.col("dpos") - F.col("ipos")).alias("diagonal")).distinct(), "decon-hits")
+    # The words decide only where the templates do not.
+    by_form = [F.struct(F.count_if(own).alias("n_windows"), F.min(F.when(own, F.col("ipos"))).alias("first"),
+                        F.max(F.when(own, F.col("ipos"))).alias("last")).alias(name)
+               for name, own in (("t", F.col("iform") == TEMPLATE), ("p", F.col("iform") == PLAIN))]
     matches = materialise(
         hits.groupBy("doc_id", "dkey", "item_id", "ikey", "diagonal")
-        .agg(F.count("*").alias("n_windows"), F.min("ipos").alias("first"), F.max("ipos").alias("last"),
-             F.first("need").alias("need"))
-        .filter(F.col("n_windows") >= F.col("need")), "decon-matches")
+        .agg(*by_form, F.first("need").alias("need"), F.first("need_plain").alias("need_plain"))
+        .withColumn("by", F.when(F.col("t.n_windows") >= F.col("need"), TEMPLATE)
+                    .when(F.col("p.n_windows") >= F.col("need_plain"), PLAIN))
+        .filter(F.col("by").isNotNull())
+        .withColumn("of", F.when(F.col("by") == TEMPLATE, F.col("t")).otherwise(F.col("p")))
+        .select("doc_id", "dkey", "item_id", "ikey", "diagonal", "by", "of.n_windows", "of.first", "of.last"),
+        "decon-matches")
     return materialise(_consistent(docs, items, matches), "decon-result")
 
 
@@ -167,9 +229,9 @@ def _consistent(docs: DataFrame, items: DataFrame, matches: DataFrame) -> DataFr
             .filter((_mapped(named) == 0) & (2 * _mapped(numbers) <= F.size(numbers)))
             .withColumn("n_changed", F.size(F.filter("slots", lambda p: p["a"] != p["b"])))
             .groupBy("doc_id", "dkey", "item_id", "ikey")
-            .agg(F.max(F.struct("n_windows", -F.col("diagonal"), F.size("slots").alias("n_slots"),
+            .agg(F.max(F.struct(-F.col("by"), "n_windows", -F.col("diagonal"), F.size("slots").alias("n_slots"),
                                 "n_changed")).alias("best"))
-            .select("doc_id", "dkey", "item_id", (-F.col("best.col2")).cast("long").alias("start"),
+            .select("doc_id", "dkey", "item_id", (-F.col("best.col3")).cast("long").alias("start"),
                     "best.n_windows", "best.n_slots", "best.n_changed"))
 
 
