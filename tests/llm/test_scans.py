@@ -146,6 +146,18 @@ def test_decontamination_finds_items_of_mostly_numbers(spark):
     assert {r.doc_id: r.n_changed for r in got} == {0: 0, 1: 0, 2: 0, 7: 1}
 
 
+def test_decontamination_whatever_the_case_and_the_names(spark):
+    capital, letter = "What is the capital of France?", (
+        "Yesterday Mary Smith sold 5 red apples to old Bob Jones near the river and then went home to cook dinner for us all.")
+    short = letter.replace("Mary Smith", "Tom").replace("Bob Jones", "Will")
+    docs = [(1, ITEM.lower()), (2, ITEM.upper()), (3, "Question 1, " + capital), (4, "Question 1, What is the capital of Spain?"),
+            (5, "so, " + short), (6, short.replace("red apples", "red 4 apples")), (7, letter.upper())]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(
+        [(1, ITEM), (2, capital), (3, letter)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 3), (7, 3)}
+    assert {r.doc_id: r.start for r in got}[4] == 2
+
+
 def article(page):
     """Blocks of the generated pages by plain patterns."""
     m = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)

@@ -18,6 +18,12 @@ that are names in one text and literals in the other count like others. An item
 of which most template windows say nothing (see :func:`_item_windows`) is looked
 for by its words alone.
 
+What neither form finds is looked for in a loose form: a run of names is one
+placeholder, the item's first word may be a name or not, and diagonals up to
+:data:`SHIFT` apart count together. There the values of all windows that agree
+must be consistent, a run of names standing for its first; the templates and the
+words come first, so the loose form only adds.
+
 A name is a capitalised word after a letter, digit or comma, that is, inside a
 sentence; words in capitals are words like others. A unit is one of
 :data:`UNITS` after a number.
@@ -49,7 +55,9 @@ SHORTEST = 4
 ENOUGH = 6        # windows on a diagonal, that is 13 words ...
 SHARE = 0.6       # ... or this share of a shorter item's windows
 
-TEMPLATE, PLAIN = 0, 1  # forms of a window
+SHIFT = 2         # diagonals beside the first that count with it in the loose form
+
+TEMPLATE, PLAIN, LOOSE = 0, 1, 2  # forms of a window
 
 # Fixed value: words that count as units after a number.
 UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards",
@@ -111,13 +119,21 @@ def _literal(word: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """``item_id, ikey, words, values, width, plain, need, need_plain`` of every item
-    that can be looked for; ``ikey`` is a hash of its text. ``need`` is counted
+    """``item_id, ikey, variant, words, values, width, plain, need, need_plain`` of
+    every item that can be looked for; variant 0 is the item itself, 1 and 2 are
+    its loose forms with a literal and a name as first word; ``ikey`` is a hash of its text. ``need`` is counted
     over the template windows kept and null if those are too few."""
-    return (benchmark.select("item_id", F.xxhash64("text").alias("ikey"),
-                             _template(F.col("text"), False).alias("words"),
-                             _template(F.col("text"), True).alias("values"),
-                             _plain(F.col("text")).alias("plain"))
+    own = benchmark.select("item_id", F.xxhash64("text").alias("ikey"), "text",
+                           _template(F.col("text"), False).alias("words"), _template(F.col("text"), True).alias("values"))
+    # After a comma a first word that may be a name is one.
+    named = F.concat(F.lit(", "), "text")
+    loose = own.unionByName(own.withColumn("words", _template(named, False)).withColumn("values", _template(named, True)))
+    loose = loose.withColumn("ends", _ends(F.col("words"))).select(
+        "item_id", "ikey", "text", _at(F.col("words"), F.col("ends")).alias("words"),
+        _at(F.col("values"), _starts(F.col("ends"))).alias("values")).distinct()
+    return (own.withColumn("variant", F.lit(0)).unionByName(
+                loose.withColumn("variant", F.when(_literal(F.col("words")[0]), 1).otherwise(2)))
+            .withColumn("plain", _plain(F.col("text"))).drop("text")
             .filter((F.size("words") >= SHORTEST) & (F.col("words")[0] != ""))
             .withColumn("width", F.least(F.lit(WINDOW), F.size("words")))
             .withColumn("n_item", F.size("words") - F.col("width") + 1)
@@ -128,6 +144,21 @@ def items_of(benchmark: DataFrame) -> DataFrame:
             .distinct())
 
 
+def _ends(words: Column) -> Column:
+    """Places of the words without those names that another name follows."""
+    return F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: ~(
+        (F.get(words, k) == _NAME) & F.coalesce(F.get(words, k + 1).startswith(_NAME), F.lit(False))))
+
+
+def _starts(ends: Column) -> Column:
+    """Places of the first words of the runs that end at ``ends``."""
+    return F.transform(ends, lambda e, k: F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1))
+
+
+def _at(words: Column, places: Column) -> Column:
+    return F.transform(places, lambda k: F.get(words, k))
+
+
 def _share(windows: str) -> Column:
     return F.least(F.lit(ENOUGH), F.ceil(F.col(windows) * SHARE)).cast("int")
 
@@ -139,30 +170,39 @@ def _telling(start: Column) -> Column:
 
 
 def _item_windows(items: DataFrame, widths: list[int]) -> DataFrame:
-    """(hash, iform, item_id, ikey, ipos, need, need_plain): the windows kept of
+    """(hash, iform, item_id, ikey, variant, ipos, need, need_plain): the windows kept of
     the template if those are enough to look for, and all windows of the words."""
     parts = []
     for w in widths:
         parts.append(
             items.filter(F.col("width") == w)
-            .withColumn("at", F.explode(F.concat(_windows(_hashed(F.col("words")), w, TEMPLATE),
-                                                 _windows(_hashed(F.col("plain")), w, PLAIN))))
+            .withColumn("at", F.explode(F.concat(
+                _windows(_hashed(F.col("words")), w, TEMPLATE),
+                F.when(F.col("variant") == 0, _windows(_hashed(F.col("plain")), w, PLAIN))
+                .otherwise(F.array().cast(_PLACES)))))
             .filter((F.col("at.form") == PLAIN) | (F.col("need").isNotNull() & _telling(F.col("at.pos") + 1)))
-            .select(F.col("at.hash").alias("hash"), F.col("at.form").alias("iform"), "item_id", "ikey",
-                    F.col("at.pos").alias("ipos"), "need", "need_plain"))
+            .select(F.col("at.hash").alias("hash"),
+                    F.when(F.col("variant") > 0, LOOSE).otherwise(F.col("at.form")).alias("iform"),
+                    "item_id", "ikey", "variant", F.col("at.pos").alias("ipos"), "need", "need_plain"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def _document_windows(docs: DataFrame, widths: list[int]) -> DataFrame:
-    """(doc_id, dkey, dpos, hash, dform): the windows of the template, and those
-    of the words that differ from them."""
-    words = docs.select("doc_id", F.xxhash64("text").alias("dkey"), _hashed(_template(F.col("text"), False)).alias("t"),
-                        _hashed(_plain(F.col("text"))).alias("p"))
+    """(doc_id, dkey, dpos, hash, dform, runs): the windows of the template, those
+    of the words that differ from them, and those of the loose form of a document
+    with runs of names; without runs it is the template."""
+    words = (docs.select("doc_id", F.xxhash64("text").alias("dkey"), _template(F.col("text"), False).alias("words"),
+                         _plain(F.col("text")).alias("plain"))
+             .withColumn("runs", F.array_join("words", " ").contains(f"{_NAME} {_NAME}"))
+             .select("doc_id", "dkey", "runs", _hashed(F.col("words")).alias("t"), _hashed(F.col("plain")).alias("p"),
+                     F.when(F.col("runs"), _hashed(_at(F.col("words"), _ends(F.col("words")))))
+                     .otherwise(F.array().cast("array<bigint>")).alias("l")))
     parts = [c for w in widths for c in (_windows(F.col("t"), w, TEMPLATE),
-                                         _windows(F.col("p"), w, PLAIN, F.col("t")))]
-    return (words.select("doc_id", "dkey", F.explode(F.concat(*parts)).alias("at"))
+                                         _windows(F.col("p"), w, PLAIN, F.col("t")),
+                                         _windows(F.col("l"), w, LOOSE))]
+    return (words.select("doc_id", "dkey", "runs", F.explode(F.concat(*parts)).alias("at"))
             .select("doc_id", "dkey", F.col("at.pos").alias("dpos"), F.col("at.hash").alias("hash"),
-                    F.col("at.form").alias("dform")))
+                    F.col("at.form").alias("dform"), "runs"))
 
 
 def _mapped(pairs: Column) -> Column:
@@ -186,15 +226,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_windows = materialise(_item_windows(items, widths), "decon-item-windows")
     hits = materialise(
         _document_windows(docs, widths).join(item_windows, "hash")
-        .filter((F.col("iform") == PLAIN) | (F.col("dform") == TEMPLATE))
-        .select("doc_id", "dkey", "item_id", "ikey", "need", "need_plain", "ipos", "iform",
+        .filter(F.when(F.col("iform") == PLAIN, F.col("dform") != LOOSE)
+                .when(F.col("iform") == TEMPLATE, F.col("dform") == TEMPLATE)
+                .otherwise((F.col("dform") == LOOSE) | (F.col("dform") == TEMPLATE) & ~F.col("runs")))
+        .select("doc_id", "dkey", "item_id", "ikey", "variant", "need", "need_plain", "ipos", "iform",
                 (F.col("dpos") - F.col("ipos")).alias("diagonal")).distinct(), "decon-hits")
     # The words decide only where the templates do not.
     by_form = [F.struct(F.count_if(own).alias("n_windows"), F.min(F.when(own, F.col("ipos"))).alias("first"),
                         F.max(F.when(own, F.col("ipos"))).alias("last")).alias(name)
                for name, own in (("t", F.col("iform") == TEMPLATE), ("p", F.col("iform") == PLAIN))]
     matches = materialise(
-        hits.groupBy("doc_id", "dkey", "item_id", "ikey", "diagonal")
+        hits.filter(F.col("iform") != LOOSE).groupBy("doc_id", "dkey", "item_id", "ikey", "diagonal")
         .agg(*by_form, F.first("need").alias("need"), F.first("need_plain").alias("need_plain"))
         .withColumn("by", F.when(F.col("t.n_windows") >= F.col("need"), TEMPLATE)
                     .when(F.col("p.n_windows") >= F.col("need_plain"), PLAIN))
@@ -202,16 +244,70 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .withColumn("of", F.when(F.col("by") == TEMPLATE, F.col("t")).otherwise(F.col("p")))
         .select("doc_id", "dkey", "item_id", "ikey", "diagonal", "by", "of.n_windows", "of.first", "of.last"),
         "decon-matches")
-    return materialise(_consistent(docs, items, matches), "decon-result")
+    bands = materialise(
+        hits.filter(F.col("iform") == LOOSE)
+        .withColumn("band", F.explode(F.sequence(F.col("diagonal") - SHIFT, F.col("diagonal"))))
+        .groupBy("doc_id", "dkey", "item_id", "ikey", "variant", "band")
+        .agg(F.collect_set(F.struct("ipos", "diagonal")).alias("at"), F.first("need").alias("need"))
+        .withColumn("n_windows", F.size(F.array_distinct("at.ipos")).cast("long"))
+        .filter(F.col("n_windows") >= F.col("need")), "decon-bands")
+    found = materialise(_consistent(docs, items.filter(F.col("variant") == 0), matches), "decon-found")
+    more = _loose(docs, items, bands).join(found.select(
+        F.col("doc_id").alias("fid"), F.col("dkey").alias("fkey"), F.col("item_id").alias("fitem"),
+        F.col("ikey").alias("fikey")),
+        F.col("doc_id").eqNullSafe(F.col("fid")) & (F.col("dkey") == F.col("fkey"))
+        & F.col("item_id").eqNullSafe(F.col("fitem")) & (F.col("ikey") == F.col("fikey")), "left_anti")
+    return materialise(found.unionByName(more).drop("ikey"), "decon-result")
+
+
+def _texts(docs: DataFrame, matches: DataFrame) -> DataFrame:
+    """``tid, tkey, doc_values, doc_words`` of the documents in ``matches``."""
+    ids = matches.select(F.col("doc_id").alias("mid"), F.col("dkey").alias("mkey")).distinct()
+    return (docs.select("doc_id", F.xxhash64("text").alias("dkey"), "text")
+            .join(ids, F.col("doc_id").eqNullSafe(F.col("mid")) & (F.col("dkey") == F.col("mkey")), "left_semi")
+            .dropDuplicates(["doc_id", "dkey"])
+            .select(F.col("doc_id").alias("tid"), F.col("dkey").alias("tkey"),
+                    _template(F.col("text"), True).alias("doc_values"),
+                    _template(F.col("text"), False).alias("doc_words")))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """The rows whose ``slots`` map consistently, with ``n_changed``."""
+    named = F.filter(F.col("slots"), lambda p: p["a"].rlike(f"[{_NAME}{_UNIT}]"))
+    numbers = F.filter(F.col("slots"), lambda p: ~p["a"].rlike(f"[{_NAME}{_UNIT}]"))
+    return (rows.filter((_mapped(named) == 0) & (2 * _mapped(numbers) <= F.size(numbers)))
+            .withColumn("n_changed", F.size(F.filter("slots", lambda p: p["a"] != p["b"]))))
+
+
+def _loose(docs: DataFrame, items: DataFrame, bands: DataFrame) -> DataFrame:
+    texts = (_texts(docs, bands).withColumn("ends", _ends(F.col("doc_words")))
+             .withColumn("starts", _starts(F.col("ends")))
+             .select("tid", "tkey", "starts", _at(F.col("doc_values"), F.col("starts")).alias("doc_values")))
+    item_values = items.filter(F.col("variant") > 0).select(
+        F.col("item_id").alias("iid"), F.col("ikey").alias("tikey"), F.col("variant").alias("tvariant"),
+        "values", "width")
+    rows = (bands
+            .join(texts, F.col("doc_id").eqNullSafe(F.col("tid")) & (F.col("dkey") == F.col("tkey")))
+            .join(item_values, F.col("item_id").eqNullSafe(F.col("iid")) & (F.col("ikey") == F.col("tikey"))
+                  & (F.col("variant") == F.col("tvariant"))))
+    places = F.array_distinct(F.flatten(F.transform("at", lambda h: F.transform(
+        F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct(
+            (h["ipos"] + k).alias("i"), F.get("values", h["ipos"] + k).alias("a"),
+            F.get("doc_values", (h["ipos"] + h["diagonal"] + k).cast("int")).alias("b"))))))
+    slots = F.transform(F.filter(places, lambda p: ~_literal(p["a"]) & ~_literal(p["b"])),
+                        lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
+    first = F.array_min("at")["diagonal"].cast("int")
+    return (_judged(rows.withColumn("slots", slots))
+            .withColumn("start", F.coalesce(F.when(first >= 0, F.get("starts", first)), first).cast("long"))
+            .groupBy("doc_id", "dkey", "item_id", "ikey")
+            .agg(F.max(F.struct("n_windows", -F.col("start"), F.size("slots").alias("n_slots"),
+                                "n_changed")).alias("best"))
+            .select("doc_id", "dkey", "item_id", "ikey", (-F.col("best.col2")).alias("start"),
+                    "best.n_windows", "best.n_slots", "best.n_changed"))
 
 
 def _consistent(docs: DataFrame, items: DataFrame, matches: DataFrame) -> DataFrame:
-    ids = matches.select(F.col("doc_id").alias("mid"), F.col("dkey").alias("mkey")).distinct()
-    texts = (docs.select("doc_id", F.xxhash64("text").alias("dkey"), "text")
-             .join(ids, F.col("doc_id").eqNullSafe(F.col("mid")) & (F.col("dkey") == F.col("mkey")), "left_semi")
-             .dropDuplicates(["doc_id", "dkey"])
-             .select(F.col("doc_id").alias("tid"), F.col("dkey").alias("tkey"),
-                     _template(F.col("text"), True).alias("doc_values")))
+    texts = _texts(docs, matches)
     item_values = items.select(F.col("item_id").alias("iid"), F.col("ikey").alias("tikey"), "values", "width", "words")
     rows = (matches
             .join(texts, F.col("doc_id").eqNullSafe(F.col("tid")) & (F.col("dkey") == F.col("tkey")))
@@ -223,15 +319,11 @@ def _consistent(docs: DataFrame, items: DataFrame, matches: DataFrame) -> DataFr
     # Inside the matched stretch a window that failed may hold other words;
     # only places where both sides have placeholders are compared.
     slots = F.filter(pairs, lambda p: ~_literal(p["a"]) & ~_literal(p["b"]))
-    named = F.filter(F.col("slots"), lambda p: p["a"].rlike(f"[{_NAME}{_UNIT}]"))
-    numbers = F.filter(F.col("slots"), lambda p: ~p["a"].rlike(f"[{_NAME}{_UNIT}]"))
-    return (rows.withColumn("slots", slots)
-            .filter((_mapped(named) == 0) & (2 * _mapped(numbers) <= F.size(numbers)))
-            .withColumn("n_changed", F.size(F.filter("slots", lambda p: p["a"] != p["b"])))
+    return (_judged(rows.withColumn("slots", slots))
             .groupBy("doc_id", "dkey", "item_id", "ikey")
             .agg(F.max(F.struct(-F.col("by"), "n_windows", -F.col("diagonal"), F.size("slots").alias("n_slots"),
                                 "n_changed")).alias("best"))
-            .select("doc_id", "dkey", "item_id", (-F.col("best.col3")).cast("long").alias("start"),
+            .select("doc_id", "dkey", "item_id", "ikey", (-F.col("best.col3")).cast("long").alias("start"),
                     "best.n_windows", "best.n_slots", "best.n_changed"))
 
 
