@@ -186,6 +186,17 @@ def test_html_blocks():
     assert html_text.blocks("<div>" * 3000 + "deep") == [(1, "deep")]
 
 
+def test_html_chrome_is_named_by_whole_attributes():
+    for tag in ('<p style="overflow: hidden">', '<p><a href="/hidden-gems">', '<p><a href="/p?id=search">', '<h2 id="discussion">',
+                '<section id="related-work">', '<p data-class="menu">', "<p title='x class=menu'>"):
+        assert html_text.blocks(f"<article>{tag}text") == [(0, "text")], tag
+    page = '<div class="layout {}"><nav>n</nav><p>before</p><article>text<div class="comments"><article>c</article></div></article></div>x'
+    for name in ("with-sidebar", "sidebar", "menu-page"):
+        assert html_text.blocks(page.format(name)) == [(2, "n"), (1, "before"), (0, "text"), (2, "c"), (1, "x")], name
+    for tag in ('class="x top-menu"', "id=comments", "HIDDEN", 'aria-hidden="true"', "role=search", 'class="ad-slot"'):
+        assert html_text.blocks(f"<div {tag}>text</div>") == [(2, "text")], tag
+
+
 def test_host_suffix_array_removes_what_pages_share(spark):
     notice = "Read our weekly newsletter for all the news you need today friends"
     story = "Unique story number {0} about thing {0}{0} and more words here {0}x"
