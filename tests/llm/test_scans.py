@@ -214,6 +214,16 @@ def test_host_suffix_array_removes_what_pages_share(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_host_suffix_array_keeps_phrases_and_near_copies(spark):
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    phrase, notice = "as one of the most important", "Sign up today for all of our very best offers and weekly news"
+    body = {k: f"{words(k, 20)} {phrase if k % 10 < 6 else words(-k, 5)} {words(k + 100, 20)}" for k in range(40)}
+    body[39] = body[38].replace("w38x3 ", "w38x3b ")  # a near copy
+    pages = [(k, "http://h.com/", f"<div><p>{body[k]}</p><p>{notice}</p><p>Home</p></div>") for k in body]
+    rows = html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == body
+
+
 def test_secrets_against_sql_on_made_cases(spark):
     rows = [(k, t) for k, t in enumerate(TEXTS * 3)] + [(None, "see wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY0 here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
