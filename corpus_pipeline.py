@@ -6,7 +6,9 @@ writes each result as Parquet in the shared folder and reads it back as the next
 stage's input, so a lost executor costs at most the stage at hand. All stages
 but the last return the columns of their input, extra ones included.
 
-Defined results: an empty table passes through all stages; rows with a null text
+Defined results: an empty table passes through all stages; if no row can teach a
+language (all labels null, or only on rows kept aside), the first stage keeps
+every text that has a letter; rows with a null text
 are rejected by the first stage (their language is ``und``); see the operators
 for null ids and repeated rows.
 """
@@ -25,8 +27,11 @@ SHINGLE_WORDS = 5
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: texts without a letter and texts whose
-    best language scores under ``MIN_LANGUAGE_SCORE`` go."""
+    best language scores under ``MIN_LANGUAGE_SCORE`` go. Without a language to
+    tell, only texts without a letter go."""
     model = language_id.fit(language_id.training_rows(docs))
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     lang, score = unused(docs, "lang", "score")
     return language_id.identify(docs, model, lang, score).filter(
         (F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).drop(lang, score)

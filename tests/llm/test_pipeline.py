@@ -79,6 +79,13 @@ def test_stages_keep_columns_and_take_odd_rows(spark, folder):
         assert kept == ({3, 4} if data is docs else set())
 
 
+def test_texts_stay_where_no_language_can_be_learnt(spark):
+    texts = [(1, "some text here"), (2, "été"), (3, "12 - 3"), (4, ""), (5, None), (None, "more text")]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in texts], SCHEMA)
+    kept = C.keep_identified(spark, docs, "")
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, None}
+
+
 def test_stage_list():
     assert [n for n, _ in C.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "byte_bpe"]
     assert C.ORACLE_SQL is None
