@@ -96,6 +96,14 @@ def test_quality_corner_cases(spark):
     assert quality.score(rows.limit(0), quality.fit(both)).count() == 0
 
 
+def test_validation_sample_takes_few_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(quality, "VALIDATION_ROWS", 200)
+    text = (spark.range(2000).selectExpr("concat('copied text ', id) as text")
+            .withColumn("u", quality.unit_hash("text")).orderBy("u").first()["text"])
+    rows = quality.features(spark.range(2000).selectExpr("id as doc_id", f"'{text}' as text"))
+    assert 100 < quality._validation_sample(rows.withColumn("label", rows.doc_id % 2), 2000).count() < 300
+
+
 def test_statistics_of_extreme_texts():
     for t in (None, "", " \n", "a", "\U0001F600" * 10, "|" * 50_000, "A " * 20_000):
         x = quality.statistics(t)

@@ -78,19 +78,22 @@ def statistics(text: str | None) -> list[float]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """``doc_id, u, x`` of every row (doc_id, text); ``u`` is a hash in [0, 1)."""
+    """``doc_id, u, s, x`` of every row (doc_id, text); ``u`` and ``s`` are hashes
+    in [0, 1) of the text, and of the id and the text."""
 
     @in_task("quality")
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in chunks(batch.column(2)):
+            for start, texts in chunks(batch.column(3)):
                 x = np.array([statistics(t) for t in texts], "<f8")
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)),
-                     pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "u", "x"])
+                     batch.column(2).slice(start, len(texts)), pa.array([r.tobytes() for r in x], pa.binary())],
+                    names=["doc_id", "u", "s", "x"])
 
-    return docs.select("doc_id", unit_hash(F.col("text")).alias("u"), "text").mapInArrow(
-        make, "doc_id long, u double, x binary")
+    return docs.select("doc_id", unit_hash(F.col("text")).alias("u"),
+                       unit_hash(F.col("doc_id"), F.col("text")).alias("s"), "text").mapInArrow(
+        make, "doc_id long, u double, s double, x binary")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -188,8 +191,18 @@ def _slope_and_offset(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(beta[0], 1e-6) / spread), float(beta[1])
 
 
+def _validation_sample(rows: DataFrame, n_val: float) -> DataFrame:
+    """At most about ``VALIDATION_ROWS`` of the ``n_val`` rows kept aside: ``u``
+    keeps all copies of a text on one side, ``s`` takes each row by itself."""
+    share = min(1.0, VALIDATION_ROWS / n_val)
+    kept = rows.filter(F.col("u") < VALIDATION)
+    if "s" not in rows.columns:
+        return kept.filter(F.col("u") < VALIDATION * share)
+    return kept.filter(F.col("s") < share)
+
+
 def fit(rows: DataFrame) -> Model:
-    """A model from rows (label, u, x). The moments come from all rows; the
+    """A model from rows (label, u, x) and, for the sample, ``s``. The moments come from all rows; the
     shrinkage, slope and offset from at most about ``VALIDATION_ROWS`` rows of
     the fifth that ``u`` keeps for it."""
     moments = _moments(rows)
@@ -228,7 +241,7 @@ def fit(rows: DataFrame) -> Model:
     if not usable:
         return model(totals(True), 0.3, 0.05, 1.0, float(np.log(count[1] / count[0])))
     n_val = sum(moments[True, c][0] for c in (0, 1) if (True, c) in moments)
-    kept = rows.filter(F.col("u") < VALIDATION * min(1.0, VALIDATION_ROWS / n_val)).select("label", "x").toArrow()
+    kept = _validation_sample(rows, n_val).select("label", "x").toArrow()
     x, y = _matrix(kept.column("x")), kept.column("label").to_numpy()
     if not len(y):
         return model(totals(True), 0.3, 0.05, 1.0, float(np.log(count[1] / count[0])))
@@ -263,7 +276,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(features(docs), "quality-features")
     marked = (labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
               .select("doc_id", F.col("quality").cast("int").alias("label")))
-    model = fit(rows.filter(~held_out(F.col("doc_id"))).join(marked, "doc_id").select("label", "u", "x"))
+    model = fit(rows.filter(~held_out(F.col("doc_id"))).join(marked, "doc_id").select("label", "u", "s", "x"))
     return score(rows, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
