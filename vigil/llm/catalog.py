@@ -8,13 +8,16 @@ from vigil.llm import secrets as S
 from vigil.llm.bpe import op8_byte_bpe
 from vigil.llm.decontaminate import ENOUGH, SHARE, SHORTEST, UNITS, WINDOW, op9_decontamination
 from vigil.llm.exact_dedup import exact_groups
+from vigil.llm.hard_negatives import op13_hard_negatives
 from vigil.llm.html_text import op6_html_extraction
 from vigil.llm.language_id import op1_language_id
 from vigil.llm.near_dedup import near_groups
 from vigil.llm.quality import op2_quality
+from vigil.llm.resampling import BUCKETS, MIN_WORDS, PERCENT, SEED, op11_importance_resampling
 from vigil.llm.secrets import op3_secret_scan
 from vigil.llm.sharding import op4_virtual_slot_sharding
 from vigil.llm.toxicity import op7_toxicity
+from vigil.llm.vantage import NEAREST, op12_nearest_neighbours
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +43,12 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontamination": op9_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
+
 def _template_sql(values: bool) -> str:
     """The template of ``text`` in an engine without lookaround: a name after a
     name is found in a second pass over the first one's result."""
@@ -167,6 +174,52 @@ select doc_id, len([y for y in x if y.kind = 0]) as n_assign, len([y for y in x
 from added"""
 
 
+def _resampling_sql() -> str:
+    """The crc32 of a word byte by byte, by a table made from its polynomial."""
+    words = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+             r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+    return rf"""
+with recursive step as (
+  select i as b, i as c, 0 as k from range(256) r(i)
+  union all
+  select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from step where k < 8),
+tab as (select list(c order by b) as t from step where k = 8),
+docs as (select row_number() over () as r, doc_id, {words} as words from documents),
+goal as (select unnest({words}) as w from benchmark),
+dw as (select r, unnest(words) as w from docs),
+bucket as (
+  select w, xor(list_reduce([4294967295::bigint] || [('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::bigint
+                            for i in range(1, octet_length(encode(w)) + 1)],
+                            lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % {BUCKETS} as b
+  from (select distinct w from (select w from dw union all select w from goal)), tab),
+s as (select b, count(*) as n from dw join bucket using (w) group by b),
+t as (select b, count(*) as n from goal join bucket using (w) group by b),
+total as (select (select coalesce(sum(n), 0) from s)::double as s, (select coalesce(sum(n), 0) from t)::double as t),
+gain as (
+  select s.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * (total.s + {BUCKETS})
+                              / ((s.n + 1)::double * (total.t + {BUCKETS}))))::bigint as g
+  from s left join t using (b), total),
+mean as (
+  select r, floor(sum(g)::double / count(*))::bigint as weight
+  from dw join bucket using (w) join gain using (b) group by r),
+scored as (
+  select doc_id, len(words)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint
+                                              + 0.5::double) / 4294967296::double))))::bigint as score
+  from docs left join mean using (r)),
+placed as (
+  select *, row_number() over (partition by n_features >= {MIN_WORDS} order by score desc, doc_id nulls last) as place,
+    {PERCENT} * count(*) filter (n_features >= {MIN_WORDS}) over () // 100 as drawn
+  from scored)
+select doc_id, n_features, weight, score,
+  case when n_features >= {MIN_WORDS} and place <= drawn then place end as rank
+from placed"""
+
+
+# Rows whose vector is there and of finite numbers only.
+_FINITE = ("embedding is not null and len(embedding) > 0 "
+           "and len([x for x in embedding if x is null or not isfinite(x)]) = 0")
+
 SQL = {
     "op3_secret_scan": _secret_sql(),
     "op5_exact_dedup": r"""
@@ -204,4 +257,35 @@ select d.doc_id, coalesce(size.n, 0)::bigint as n_shingles, min(r.r) as componen
        d.doc_id = min(r.r) as kept
 from documents d left join size using (doc_id) join reach r on r.doc_id = d.doc_id
 group by d.doc_id, size.n""",
+    "op11_importance_resampling": _resampling_sql(),
+    # Every query against every row, so for small tables only.
+    "op12_nearest_neighbours": rf"""
+with v as (
+  select distinct vec_id, embedding::double[] as e from embeddings
+  where vec_id is not null and {_FINITE} and len([x for x in embedding if x <> 0]) > 0),
+near as (
+  select q.vec_id as query_id, q.e as qe, c.vec_id, list_distance(q.e, c.e) as score
+  from v q join v c on len(q.e) = len(c.e) and (q.vec_id, q.e) <> (c.vec_id, c.e)
+  where q.vec_id % 100 = 0)
+select query_id, (row_number() over (partition by query_id, qe order by score, vec_id))::int as rank, vec_id, score
+from near qualify rank <= {NEAREST}""",
+    "op13_hard_negatives": rf"""
+with v as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [floor(256 * x::double)::bigint for x in embedding] as q
+  from embeddings where vec_id is not null and label is not null and {_FINITE}),
+scored as (
+  select a.vec_id as anchor_id, a.q as aq, r.vec_id, r.label = a.label as same,
+    list_sum([p[1] * p[2] for p in list_zip(a.q, r.q)])::bigint as score
+  from v a join v r on len(a.q) = len(r.q) and (a.vec_id, a.label, a.q) <> (r.vec_id, r.label, r.q)
+  where a.vec_id % 50 = 0),
+positive as (
+  select anchor_id, aq, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id, aq order by score desc, vec_id) <= 5)
+select anchor_id, positive_id,
+  (row_number() over (partition by anchor_id, aq, positive_id, positive_score order by score desc, vec_id))::int as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positive join scored using (anchor_id, aq)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3""",
 }
