@@ -24,7 +24,62 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+_SCOPES: list[Scratch] = []
+
+
+def is_written(df: DataFrame) -> bool:
+    """Whether ``df`` is a table as :func:`materialise` returned it."""
+    return hasattr(df, "_scratch")
+
+
+class Scratch:
+    """The tables written while a block ran; see :func:`scratch`."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leaves the table that ``materialise`` returned as ``df``."""
+        self.kept.append(df._scratch)
+        return df
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Inner tables of an operator: those that :func:`materialise` writes inside
+    the block are deleted when it ends, but for those kept. What the block returns
+    must therefore be written, and kept, inside it. Tables kept by an inner block
+    belong to the block around it."""
+    scope = Scratch()
+    _SCOPES.append(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPES.remove(scope)
+        if _SCOPES:
+            _SCOPES[-1].paths += scope.kept
+        for path in set(scope.paths) - set(scope.kept):
+            drop_folder(spark, path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if it has no more
+    than ``rows`` rows (counted from the files' footers); else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def held_out(doc_id: Column) -> Column:

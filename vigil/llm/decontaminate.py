@@ -28,10 +28,15 @@ A name is a capitalised word after a letter, digit or comma, that is, inside a
 sentence; words in capitals are words like others. A unit is one of
 :data:`UNITS` after a number.
 
-Every window of every document is looked at. The benchmark's windows are joined
-without a hint: Spark broadcasts them when their written size is small and
-shuffles otherwise. Only the ids and texts of documents that already match in
-enough windows are read a second time.
+Every window of every document is looked at, in one pass: the words are hashed,
+eight shifted copies of the array are zipped, and a window is hashed when it is
+exploded. Words as they stand and runs of names are looked at only in texts that
+have placeholders, or runs; elsewhere they are the template's.
+
+The benchmark's windows, and later the documents found, are counted and broadcast
+up to :data:`BROADCAST_ROWS` narrow rows; beyond that Spark shuffles. The texts
+are read a second time once, for the documents that already match in enough
+windows, and cut to the matched places before anything else is done with them.
 
 Defined results: null and empty texts match nothing; an item of fewer than
 :data:`SHORTEST` words is never looked for, one of fewer than ``WINDOW`` words
@@ -48,7 +53,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import materialise, unused
+from vigil.llm.common import materialise, scratch, small, unused
 
 WINDOW = 8
 SHORTEST = 4
@@ -59,6 +64,10 @@ SHIFT = 2         # diagonals beside the first that count with it in the loose f
 
 TEMPLATE, PLAIN, LOOSE = 0, 1, 2  # forms of a window
 
+PLACES = 2 ** 28           # more than the words of any text, which has less than 2 GB
+
+BROADCAST_ROWS = 300_000  # narrow rows; a document's or an item's windows and places
+
 # Fixed value: words that count as units after a number.
 UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards",
          "mi", "mile", "miles", "mg", "g", "gram", "grams", "kg", "t", "ton", "tons", "oz", "lb", "lbs",
@@ -72,11 +81,24 @@ _NAME, _NUMBER, _UNIT = "\ue000", "\ue001", "\ue002"  # private use: cut from th
 _ANY = f"[{_NAME}-{_UNIT}]"
 
 
+def _has_any(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(c) for c in (_NAME, _NUMBER, _UNIT)])
+
+
+def _cleared(text: Column) -> Column:
+    """Without the characters that stand for placeholders; hardly a text has any."""
+    return F.when(_has_any(text), F.regexp_replace(text, _ANY, " ")).otherwise(F.coalesce(text, F.lit("")))
+
+
 def _template(text: Column, values: bool) -> Column:
     """Words of the template; with ``values`` a placeholder is followed by what
     it stands for. Both forms have the same words in the same places."""
+    return F.split(_template_text(text, values), " ")
+
+
+def _template_text(text: Column, values: bool) -> Column:
     keep = (lambda group: f"${group}") if values else (lambda group: "")
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), _ANY, " ")
+    t = _cleared(text)
     # White space first, then what is before it: cheap where no word starts.
     t = F.regexp_replace(t, rf"({_WS})(?<=[\p{{L}}\p{{N}},;]{_WS})(\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*)",
                          f"$1{_NAME}{keep(2)}")
@@ -86,12 +108,12 @@ def _template(text: Column, values: bool) -> Column:
     t = F.regexp_replace(t, rf"{number}({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{N}}])",
                          f"$1{_UNIT}{keep(2)}")
     t = F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{_NAME}-{_UNIT}\x20\x09-\x0D]+", "")
-    return F.split(F.btrim(F.regexp_replace(t, f"{_WS}+", " ")), " ")
+    return F.btrim(F.regexp_replace(t, f"{_WS}+", " "))
 
 
 def _plain(text: Column) -> Column:
     """The words as they stand, in the same places as those of the template."""
-    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _ANY, " "))
+    t = F.lower(_cleared(text))
     t = F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+", "")
     return F.split(F.btrim(F.regexp_replace(t, f"{_WS}+", " ")), " ")
 
@@ -100,18 +122,28 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-_PLACES = "array<struct<pos:int,hash:bigint,form:int>>"
+def _row(words: Column, form: int, wanted: Column) -> tuple[Column, Column]:
+    """Hashed words and their codes (place, and form above it), both followed by a gap
+    as long as what a window may reach beyond the last word; empty if not wanted."""
+    low, gap = form * PLACES, F.array_repeat(F.lit(None).cast("bigint"), WINDOW - 1)
+    return (F.when(wanted, F.concat(words, gap)).otherwise(F.array().cast("array<bigint>")),
+            F.when(wanted, F.sequence(F.lit(low), F.size(words) + (low + WINDOW - 2))).otherwise(F.array().cast("array<int>")))
 
 
-def _windows(words: Column, width: int, form: int, unlike: Column | None = None) -> Column:
-    """(pos, hash, form) of all windows of ``width`` hashed words, none if too
-    short; with ``unlike`` only of those that differ from its windows."""
-    starts = F.sequence(F.lit(1), F.size(words) - (width - 1))
-    if unlike is not None:
-        starts = F.filter(starts, lambda i: F.slice(words, i, width) != F.slice(unlike, i, width))
-    return F.when(F.size(words) >= width, F.transform(starts, lambda i: F.struct(
-        (i - 1).alias("pos"), F.xxhash64(F.slice(words, i, width)).alias("hash"), F.lit(form).alias("form")))
-        ).otherwise(F.array()).cast(_PLACES)
+def _exploded(rows: DataFrame, widths: list[int], *keep: str) -> DataFrame:
+    """``rows`` (``hashes`` and ``codes``) as (*keep, place, form, width, hash), one per
+    window: eight shifted copies of the hashes are zipped. The code is small, and all
+    that is read later is in the zip or in ``keep``, as Spark copies to every window
+    what is read beside it."""
+    n = F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(0))
+    at = F.arrays_zip(*[F.slice("hashes", k + 1, n).alias(f"w{k}") for k in range(WINDOW)],
+                      F.slice("codes", 1, n).alias("code"))
+    rows = rows.select(*keep, F.explode(at).alias("at")).filter(F.col("at.w0").isNotNull())
+    found = [F.struct(F.lit(w).alias("width"), F.when(
+        F.col(f"at.w{w - 1}").isNotNull(), F.xxhash64(*[F.col(f"at.w{k}") for k in range(w)])).alias("hash")) for w in widths]
+    place, form = (F.col("at.code") % PLACES).alias("place"), F.floor(F.col("at.code") / PLACES).cast("int").alias("form")
+    rows = rows.select(*keep, place, form, (found[0] if len(found) == 1 else F.explode(F.array(*found))).alias("of"))
+    return rows.select(*keep, "place", "form", "of.*").filter(F.col("hash").isNotNull())
 
 
 def _literal(word: Column) -> Column:
@@ -170,39 +202,41 @@ def _telling(start: Column) -> Column:
 
 
 def _item_windows(items: DataFrame, widths: list[int]) -> DataFrame:
-    """(hash, iform, item_id, ikey, variant, ipos, need, need_plain): the windows kept of
-    the template if those are enough to look for, and all windows of the words."""
+    """(hash, iform, item_id, ikey, variant, width, ipos, need, need_plain): the
+    windows kept of the template if those are enough to look for, and all windows
+    of the words."""
+    keys = ["item_id", "ikey", "variant", "need", "need_plain"]
+    template = _row(_hashed(F.col("words")), TEMPLATE, F.col("need").isNotNull())
+    plain = _row(_hashed(F.col("plain")), PLAIN, F.col("variant") == 0)
     parts = []
     for w in widths:
-        parts.append(
-            items.filter(F.col("width") == w)
-            .withColumn("at", F.explode(F.concat(
-                _windows(_hashed(F.col("words")), w, TEMPLATE),
-                F.when(F.col("variant") == 0, _windows(_hashed(F.col("plain")), w, PLAIN))
-                .otherwise(F.array().cast(_PLACES)))))
-            .filter((F.col("at.form") == PLAIN) | (F.col("need").isNotNull() & _telling(F.col("at.pos") + 1)))
-            .select(F.col("at.hash").alias("hash"),
-                    F.when(F.col("variant") > 0, LOOSE).otherwise(F.col("at.form")).alias("iform"),
-                    "item_id", "ikey", "variant", F.col("at.pos").alias("ipos"), "need", "need_plain"))
-    return reduce(DataFrame.unionByName, parts)
+        own = items.filter(F.col("width") == w)
+        rows = own.select(*keys, "words", "width", F.concat(template[0], plain[0]).alias("hashes"),
+                          F.concat(template[1], plain[1]).alias("codes"))
+        parts.append(_exploded(rows.withColumnRenamed("width", "w"), [w], *keys, "words", "w"))
+    windows = reduce(DataFrame.unionByName, parts)
+    return (windows.filter((F.col("form") == PLAIN) | _telling(F.col("place") + 1))
+            .select(*keys, "width", F.col("place").alias("ipos"), "hash",
+                    F.when(F.col("variant") > 0, LOOSE).otherwise(F.col("form")).alias("iform")))
 
 
 def _document_windows(docs: DataFrame, widths: list[int]) -> DataFrame:
     """(doc_id, dkey, dpos, hash, dform, runs): the windows of the template, those
-    of the words that differ from them, and those of the loose form of a document
-    with runs of names; without runs it is the template."""
-    words = (docs.select("doc_id", F.xxhash64("text").alias("dkey"), _template(F.col("text"), False).alias("words"),
-                         _plain(F.col("text")).alias("plain"))
-             .withColumn("runs", F.array_join("words", " ").contains(f"{_NAME} {_NAME}"))
-             .select("doc_id", "dkey", "runs", _hashed(F.col("words")).alias("t"), _hashed(F.col("plain")).alias("p"),
-                     F.when(F.col("runs"), _hashed(_at(F.col("words"), _ends(F.col("words")))))
-                     .otherwise(F.array().cast("array<bigint>")).alias("l")))
-    parts = [c for w in widths for c in (_windows(F.col("t"), w, TEMPLATE),
-                                         _windows(F.col("p"), w, PLAIN, F.col("t")),
-                                         _windows(F.col("l"), w, LOOSE))]
-    return (words.select("doc_id", "dkey", "runs", F.explode(F.concat(*parts)).alias("at"))
-            .select("doc_id", "dkey", F.col("at.pos").alias("dpos"), F.col("at.hash").alias("hash"),
-                    F.col("at.form").alias("dform"), "runs"))
+    of the words where a text has placeholders, and those of the loose form where
+    it has runs of names; elsewhere these are the template's."""
+    words = (docs.select("doc_id", F.xxhash64("text").alias("dkey"), "text", _template_text(F.col("text"), False).alias("t"))
+             .withColumn("runs", F.col("t").contains(f"{_NAME} {_NAME}"))
+             .withColumn("words", F.split("t", " ")))
+    marked = _has_any(F.col("t"))
+    forms = [_row(F.col("h"), TEMPLATE, F.lit(True)), _row(F.col("p"), PLAIN, F.col("p").isNotNull()),
+             _row(F.col("l"), LOOSE, F.col("l").isNotNull())]
+    rows = words.select("doc_id", "dkey", "runs", _hashed(F.col("words")).alias("h"),
+                        F.when(marked, _hashed(_plain(F.col("text")))).alias("p"),
+                        F.when(F.col("runs"), _hashed(_at(F.col("words"), _ends(F.col("words"))))).alias("l"))
+    rows = rows.select("doc_id", "dkey", "runs", F.concat(*[f[0] for f in forms]).alias("hashes"),
+                       F.concat(*[f[1] for f in forms]).alias("codes"))
+    return (_exploded(rows, widths, "doc_id", "dkey", "runs").drop("width")
+            .withColumnsRenamed({"place": "dpos", "form": "dform"}))
 
 
 def _mapped(pairs: Column) -> Column:
@@ -219,111 +253,107 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item found in it: the place of the item's first word, the windows that
     agree, the placeholders compared and those with another value."""
     spark = docs.sparkSession
-    items = materialise(items_of(benchmark), "decon-items")
-    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # WINDOW numbers at most
-    if not widths:
-        return spark.createDataFrame([], MATCH)
-    item_windows = materialise(_item_windows(items, widths), "decon-item-windows")
-    hits = materialise(
-        _document_windows(docs, widths).join(item_windows, "hash")
-        .filter(F.when(F.col("iform") == PLAIN, F.col("dform") != LOOSE)
-                .when(F.col("iform") == TEMPLATE, F.col("dform") == TEMPLATE)
-                .otherwise((F.col("dform") == LOOSE) | (F.col("dform") == TEMPLATE) & ~F.col("runs")))
-        .select("doc_id", "dkey", "item_id", "ikey", "variant", "need", "need_plain", "ipos", "iform",
-                (F.col("dpos") - F.col("ipos")).alias("diagonal")).distinct(), "decon-hits")
-    # The words decide only where the templates do not.
+    with scratch(spark) as inner:
+        items = materialise(items_of(benchmark), "decon-items")
+        widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # WINDOW numbers at most
+        if not widths:
+            return spark.createDataFrame([], MATCH)
+        item_windows = materialise(_item_windows(items, widths), "decon-item-windows")
+        hits = materialise(
+            _document_windows(docs, widths).join(small(item_windows, BROADCAST_ROWS), "hash")
+            .filter(F.when(F.col("iform") == PLAIN, F.col("dform") != LOOSE)
+                    .when(F.col("iform") == TEMPLATE, F.col("dform") == TEMPLATE)
+                    .otherwise((F.col("dform") == LOOSE) | (F.col("dform") == TEMPLATE) & ~F.col("runs")))
+            .select("doc_id", "dkey", "item_id", "ikey", "variant", "width", "need", "need_plain", "ipos", "iform",
+                    (F.col("dpos") - F.col("ipos")).alias("diagonal")).distinct(), "decon-hits")
+        found = materialise(_matches(hits).unionByName(_bands(hits)), "decon-matches")
+        judged = materialise(_judged(_slots(_cut(docs, found), items)), "decon-judged")
+        return inner.keep(materialise(_chosen(judged), "decon-result"))
+
+
+_PAIR = ["doc_id", "dkey", "item_id", "ikey"]
+
+
+def _matches(hits: DataFrame) -> DataFrame:
+    """Diagonals with enough windows; the words decide only where the templates do not."""
     by_form = [F.struct(F.count_if(own).alias("n_windows"), F.min(F.when(own, F.col("ipos"))).alias("first"),
                         F.max(F.when(own, F.col("ipos"))).alias("last")).alias(name)
                for name, own in (("t", F.col("iform") == TEMPLATE), ("p", F.col("iform") == PLAIN))]
-    matches = materialise(
-        hits.filter(F.col("iform") != LOOSE).groupBy("doc_id", "dkey", "item_id", "ikey", "diagonal")
-        .agg(*by_form, F.first("need").alias("need"), F.first("need_plain").alias("need_plain"))
-        .withColumn("by", F.when(F.col("t.n_windows") >= F.col("need"), TEMPLATE)
-                    .when(F.col("p.n_windows") >= F.col("need_plain"), PLAIN))
-        .filter(F.col("by").isNotNull())
-        .withColumn("of", F.when(F.col("by") == TEMPLATE, F.col("t")).otherwise(F.col("p")))
-        .select("doc_id", "dkey", "item_id", "ikey", "diagonal", "by", "of.n_windows", "of.first", "of.last"),
-        "decon-matches")
-    bands = materialise(
-        hits.filter(F.col("iform") == LOOSE)
-        .withColumn("band", F.explode(F.sequence(F.col("diagonal") - SHIFT, F.col("diagonal"))))
-        .groupBy("doc_id", "dkey", "item_id", "ikey", "variant", "band")
-        .agg(F.collect_set(F.struct("ipos", "diagonal")).alias("at"), F.first("need").alias("need"))
-        .withColumn("n_windows", F.size(F.array_distinct("at.ipos")).cast("long"))
-        .filter(F.col("n_windows") >= F.col("need")), "decon-bands")
-    found = materialise(_consistent(docs, items.filter(F.col("variant") == 0), matches), "decon-found")
-    more = _loose(docs, items, bands).join(found.select(
-        F.col("doc_id").alias("fid"), F.col("dkey").alias("fkey"), F.col("item_id").alias("fitem"),
-        F.col("ikey").alias("fikey")),
-        F.col("doc_id").eqNullSafe(F.col("fid")) & (F.col("dkey") == F.col("fkey"))
-        & F.col("item_id").eqNullSafe(F.col("fitem")) & (F.col("ikey") == F.col("fikey")), "left_anti")
-    return materialise(found.unionByName(more).drop("ikey"), "decon-result")
-
-
-def _texts(docs: DataFrame, matches: DataFrame) -> DataFrame:
-    """``tid, tkey, doc_values, doc_words`` of the documents in ``matches``."""
-    ids = matches.select(F.col("doc_id").alias("mid"), F.col("dkey").alias("mkey")).distinct()
-    return (docs.select("doc_id", F.xxhash64("text").alias("dkey"), "text")
-            .join(ids, F.col("doc_id").eqNullSafe(F.col("mid")) & (F.col("dkey") == F.col("mkey")), "left_semi")
-            .dropDuplicates(["doc_id", "dkey"])
-            .select(F.col("doc_id").alias("tid"), F.col("dkey").alias("tkey"),
-                    _template(F.col("text"), True).alias("doc_values"),
-                    _template(F.col("text"), False).alias("doc_words")))
+    return (hits.filter(F.col("iform") != LOOSE).groupBy(*_PAIR, "width", "diagonal")
+            .agg(*by_form, F.first("need").alias("need"), F.first("need_plain").alias("need_plain"))
+            .withColumn("by", F.when(F.col("t.n_windows") >= F.col("need"), TEMPLATE)
+                        .when(F.col("p.n_windows") >= F.col("need_plain"), PLAIN))
+            .filter(F.col("by").isNotNull())
+            .withColumn("of", F.when(F.col("by") == TEMPLATE, F.col("t")).otherwise(F.col("p")))
+            .select(*_PAIR, F.lit(0).alias("variant"), "width", "by", "diagonal", "of.n_windows", "of.first", "of.last",
+                    F.lit(None).cast("array<struct<ipos:int,diagonal:int>>").alias("at")))
+
+
+def _bands(hits: DataFrame) -> DataFrame:
+    """Bands of diagonals with enough windows of the loose form."""
+    return (hits.filter(F.col("iform") == LOOSE)
+            .withColumn("band", F.explode(F.sequence(F.col("diagonal") - SHIFT, F.col("diagonal"))))
+            .groupBy(*_PAIR, "variant", "width", "band")
+            .agg(F.collect_set(F.struct("ipos", "diagonal")).alias("at"), F.first("need").alias("need"))
+            .withColumn("n_windows", F.size(F.array_distinct("at.ipos")).cast("long"))
+            .filter(F.col("n_windows") >= F.col("need"))
+            .select(*_PAIR, "variant", "width", F.lit(LOOSE).alias("by"), F.array_min("at")["diagonal"].alias("diagonal"),
+                    "n_windows", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), "at"))
+
+
+def _cut(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with ``start`` and ``places``, the document's values at the places of
+    the item that are compared (i, b). Repeated document rows give equal rows."""
+    same = F.col("tid").eqNullSafe(F.col("doc_id")) & (F.col("tkey") == F.col("dkey"))
+    ids = materialise(found.select("doc_id", "dkey").distinct(), "decon-ids")
+    texts = (docs.select(F.col("doc_id").alias("tid"), F.xxhash64("text").alias("tkey"), "text")
+             .join(small(ids, BROADCAST_ROWS), same, "left_semi")
+             .select("tid", "tkey", _template(F.col("text"), True).alias("values"),
+                     _template(F.col("text"), False).alias("words"))
+             .withColumn("ends", F.when(F.array_contains("words", _NAME), _ends(F.col("words"))))
+             .withColumn("starts", _starts(F.col("ends"))).drop("words", "ends"))
+    rows = texts.join(small(found, BROADCAST_ROWS), same)
+    # Where the loose form's word j stands; without runs it is word j.
+    place = lambda j: F.when(F.col("starts").isNotNull(), F.get("starts", j)).otherwise(j)
+    own = F.transform(F.sequence(F.col("first"), F.col("last") + F.col("width") - 1), lambda i: F.struct(
+        i.alias("i"), F.get("values", (i + F.col("diagonal")).cast("int")).alias("b")))
+    loose = F.array_distinct(F.flatten(F.transform("at", lambda h: F.transform(
+        F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct(
+            (h["ipos"] + k).alias("i"), F.get("values", place((h["ipos"] + h["diagonal"] + k).cast("int"))).alias("b"))))))
+    first = F.col("diagonal").cast("int")
+    start = F.when(F.col("at").isNotNull() & (first >= 0), F.coalesce(place(first), first)).otherwise(first)
+    return rows.select(*_PAIR, "variant", "by", "n_windows", start.cast("long").alias("start"),
+                       F.when(F.col("at").isNull(), own).otherwise(loose).alias("places"))
+
+
+def _slots(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """``slots``: (item value, document value) of the places where both have
+    placeholders; inside the matched stretch a window that failed may hold others."""
+    values = items.select(F.col("item_id").alias("iid"), F.col("ikey").alias("tikey"),
+                          F.col("variant").alias("tvariant"), F.col("values"))
+    pairs = F.transform("places", lambda p: F.struct(F.get("values", p["i"]).alias("a"), p["b"].alias("b")))
+    slots = F.filter(pairs, lambda p: ~_literal(p["a"]) & ~_literal(p["b"]))
+    # A generator of one row: what follows reads the slots and does not make them anew.
+    return rows.join(values, F.col("item_id").eqNullSafe(F.col("iid")) & (F.col("ikey") == F.col("tikey"))
+                     & (F.col("variant") == F.col("tvariant"))).select(
+        *_PAIR, "by", "n_windows", "start", F.explode(F.array(slots)).alias("slots"))
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """The rows whose ``slots`` map consistently, with ``n_changed``."""
-    named = F.filter(F.col("slots"), lambda p: p["a"].rlike(f"[{_NAME}{_UNIT}]"))
-    numbers = F.filter(F.col("slots"), lambda p: ~p["a"].rlike(f"[{_NAME}{_UNIT}]"))
+    """The rows whose ``slots`` map consistently, counted."""
+    named = F.filter("slots", lambda p: p["a"].rlike(f"[{_NAME}{_UNIT}]"))
+    numbers = F.filter("slots", lambda p: ~p["a"].rlike(f"[{_NAME}{_UNIT}]"))
     return (rows.filter((_mapped(named) == 0) & (2 * _mapped(numbers) <= F.size(numbers)))
-            .withColumn("n_changed", F.size(F.filter("slots", lambda p: p["a"] != p["b"]))))
-
-
-def _loose(docs: DataFrame, items: DataFrame, bands: DataFrame) -> DataFrame:
-    texts = (_texts(docs, bands).withColumn("ends", _ends(F.col("doc_words")))
-             .withColumn("starts", _starts(F.col("ends")))
-             .select("tid", "tkey", "starts", _at(F.col("doc_values"), F.col("starts")).alias("doc_values")))
-    item_values = items.filter(F.col("variant") > 0).select(
-        F.col("item_id").alias("iid"), F.col("ikey").alias("tikey"), F.col("variant").alias("tvariant"),
-        "values", "width")
-    rows = (bands
-            .join(texts, F.col("doc_id").eqNullSafe(F.col("tid")) & (F.col("dkey") == F.col("tkey")))
-            .join(item_values, F.col("item_id").eqNullSafe(F.col("iid")) & (F.col("ikey") == F.col("tikey"))
-                  & (F.col("variant") == F.col("tvariant"))))
-    places = F.array_distinct(F.flatten(F.transform("at", lambda h: F.transform(
-        F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct(
-            (h["ipos"] + k).alias("i"), F.get("values", h["ipos"] + k).alias("a"),
-            F.get("doc_values", (h["ipos"] + h["diagonal"] + k).cast("int")).alias("b"))))))
-    slots = F.transform(F.filter(places, lambda p: ~_literal(p["a"]) & ~_literal(p["b"])),
-                        lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
-    first = F.array_min("at")["diagonal"].cast("int")
-    return (_judged(rows.withColumn("slots", slots))
-            .withColumn("start", F.coalesce(F.when(first >= 0, F.get("starts", first)), first).cast("long"))
-            .groupBy("doc_id", "dkey", "item_id", "ikey")
-            .agg(F.max(F.struct("n_windows", -F.col("start"), F.size("slots").alias("n_slots"),
-                                "n_changed")).alias("best"))
-            .select("doc_id", "dkey", "item_id", "ikey", (-F.col("best.col2")).alias("start"),
-                    "best.n_windows", "best.n_slots", "best.n_changed"))
+            .select(*_PAIR, "by", "n_windows", "start", F.size("slots").alias("n_slots"),
+                    F.size(F.filter("slots", lambda p: p["a"] != p["b"])).alias("n_changed")))
 
 
-def _consistent(docs: DataFrame, items: DataFrame, matches: DataFrame) -> DataFrame:
-    texts = _texts(docs, matches)
-    item_values = items.select(F.col("item_id").alias("iid"), F.col("ikey").alias("tikey"), "values", "width", "words")
-    rows = (matches
-            .join(texts, F.col("doc_id").eqNullSafe(F.col("tid")) & (F.col("dkey") == F.col("tkey")))
-            .join(item_values, F.col("item_id").eqNullSafe(F.col("iid")) & (F.col("ikey") == F.col("tikey"))))
-    size = F.col("last") - F.col("first") + F.col("width")
-    pairs = F.zip_with(F.slice("values", F.col("first") + 1, size),
-                       F.slice("doc_values", F.col("first") + F.col("diagonal") + 1, size),
-                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    # Inside the matched stretch a window that failed may hold other words;
-    # only places where both sides have placeholders are compared.
-    slots = F.filter(pairs, lambda p: ~_literal(p["a"]) & ~_literal(p["b"]))
-    return (_judged(rows.withColumn("slots", slots))
-            .groupBy("doc_id", "dkey", "item_id", "ikey")
-            .agg(F.max(F.struct(-F.col("by"), "n_windows", -F.col("diagonal"), F.size("slots").alias("n_slots"),
-                                "n_changed")).alias("best"))
-            .select("doc_id", "dkey", "item_id", "ikey", (-F.col("best.col3")).cast("long").alias("start"),
+def _chosen(rows: DataFrame) -> DataFrame:
+    """The best match of a document and an item: by the templates, else by the words,
+    else in the loose form; then most windows, then the first place."""
+    best = F.max(F.struct(-F.col("by"), "n_windows", -F.col("start"), "n_slots", "n_changed")).alias("best")
+    return (rows.groupBy(*_PAIR).agg(best)
+            .select("doc_id", "dkey", "item_id", (-F.col("best.col3")).cast("long").alias("start"),
                     "best.n_windows", "best.n_slots", "best.n_changed"))
 
 
@@ -333,8 +363,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bad = contaminated(docs, benchmark).select(
         F.col("doc_id").alias(gone), F.col("dkey").alias(gone_key)).distinct()
     own = [F.col(f"`{c}`") for c in docs.columns]
+    bad = materialise(bad, "decon-bad")
     return (docs.withColumn(key, F.xxhash64("text"))
-            .join(bad, F.col("doc_id").eqNullSafe(F.col(gone)) & (F.col(key) == F.col(gone_key)), "left_anti")
+            .join(small(bad, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col(gone)) & (F.col(key) == F.col(gone_key)), "left_anti")
             .select(*own))
 
 

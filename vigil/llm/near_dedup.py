@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import chunks, in_task, materialise, small_batches, unused
+from vigil.llm.common import chunks, in_task, materialise, scratch, small_batches, unused
 from vigil.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -493,9 +493,10 @@ def drop_near(docs: DataFrame, n: int = 5) -> DataFrame:
     """``docs`` without the rows of a group whose smallest ``doc_id`` another
     row has; all columns stay. Rows that share a ``doc_id`` stay or go as the
     groups of their texts say: an id goes only where none of its texts is kept."""
-    groups = near_groups(docs, n)
     (gone,) = unused(docs, "gone")
-    dropped = materialise(
-        groups.groupBy("doc_id").agg(F.max("kept").alias("any_kept"))
-        .filter(~F.col("any_kept")).select(F.col("doc_id").alias(gone)), "near-gone")
+    with scratch(docs.sparkSession) as inner:
+        groups = near_groups(docs, n)
+        dropped = inner.keep(materialise(
+            groups.groupBy("doc_id").agg(F.max("kept").alias("any_kept"))
+            .filter(~F.col("any_kept")).select(F.col("doc_id").alias(gone)), "near-gone"))
     return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
