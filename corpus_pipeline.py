@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup
-from vigil.llm.common import materialise, small_batches, unused
+from vigil.llm.common import is_written, materialise, scratch, small_batches, unused
 
 MIN_LANGUAGE_SCORE = 0.3
 SHINGLE_WORDS = 5
@@ -74,9 +74,13 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    with scratch(spark) as results:
+        for name, stage in STAGES:
+            # The stage's own tables go as soon as its result is written.
+            with scratch(spark) as inner:
+                out = stage(spark, docs, sf_dir)
+                docs = inner.keep(out if is_written(out) else materialise(out, f"pipeline-{name}"))
+        return results.keep(docs)
 
 
 # A trained model decides in the first stage, so SQL cannot express the rows;
