@@ -66,7 +66,8 @@ TEMPLATE, PLAIN, LOOSE = 0, 1, 2  # forms of a window
 
 PLACES = 2 ** 28           # more than the words of any text, which has less than 2 GB
 
-BROADCAST_ROWS = 300_000  # narrow rows; a document's or an item's windows and places
+BROADCAST_ROWS = 300_000  # of ids or windows, tens of bytes each
+BROADCAST_MATCHES = 50_000  # of matches with their windows, about a kilobyte each
 
 # Fixed value: words that count as units after a number.
 UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards",
@@ -312,7 +313,7 @@ def _cut(docs: DataFrame, found: DataFrame) -> DataFrame:
                      _template(F.col("text"), False).alias("words"))
              .withColumn("ends", F.when(F.array_contains("words", _NAME), _ends(F.col("words"))))
              .withColumn("starts", _starts(F.col("ends"))).drop("words", "ends"))
-    rows = texts.join(small(found, BROADCAST_ROWS), same)
+    rows = texts.join(small(found, BROADCAST_MATCHES), same)
     # Where the loose form's word j stands; without runs it is word j.
     place = lambda j: F.when(F.col("starts").isNotNull(), F.get("starts", j)).otherwise(j)
     own = F.transform(F.sequence(F.col("first"), F.col("last") + F.col("width") - 1), lambda i: F.struct(
