@@ -17,7 +17,9 @@ from vigil.operators import mute as M
 from vigil.operators import registry as REG
 from vigil.operators import results as R
 from vigil.operators import schedule as S
+from vigil.schemas import CHECK_RESULT
 from vigil.session import scratch_path
+from vigil.sinks import stored as ST
 from vigil.sinks import tables as TB
 from vigil.sources import fixtures as fx
 from vigil.sources.tables import read_payloads
@@ -467,6 +469,24 @@ def ingest_stream(spark, d):
         "check_name", "timestamp", F.col("status").cast("int").alias("status"), "output")
 
 
+@query("compacted_stored")
+def compacted_stored(spark, d):
+    """K1 + K10: half of the messages ingested, compacted and vacuumed, the other half
+    ingested on the same checkpoint, compacted again; the stored table read by its
+    manifest."""
+    base = scratch_path(spark, "compacting")
+    payloads = fx.redelivered_payloads(spark, d)
+    path = f"{base}/tables/check_result"
+    for half in (0, 1):
+        _as_files(payloads.filter(F.pmod("msg_id", F.lit(2)) == half), f"{base}/source/half={half}")
+        ING.start_ingest(spark, f"{base}/source/*", f"{base}/tables", f"{base}/checkpoint",
+                         as_of=AS_OF, max_files_per_trigger=2).awaitTermination()
+        ST.compact_stored(spark, path, CHECK_RESULT, ST.last_done(spark, f"{base}/tables"))
+        ST.vacuum(spark, path)
+    return ST.read_stored(spark, path, CHECK_RESULT).select(
+        "check_name", "timestamp", F.col("status").cast("int").alias("status"), "output")
+
+
 @query("ingest_metrics")
 def ingest_metrics(spark, d):
     return _ingested(spark, d, "check_result_perf_data").select(
