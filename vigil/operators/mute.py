@@ -19,15 +19,27 @@ from vigil.functions.validate import parse_rfc3339
 _INIT_SEQ = -(2 ** 63)
 
 
+def parsed_commands(commands: DataFrame) -> DataFrame:
+    """``commands`` with ``until_ts`` and ``bad_until``, row by row."""
+    parsed = commands.withColumn("until_ts", F.when(F.col("op") == "mute", parse_rfc3339(F.col("until"))))
+    # A generator of one row, so that the time is parsed once and not for each use.
+    rows = parsed.select(*commands.columns, F.explode(F.array("until_ts")).alias("until_ts"))
+    return rows.withColumn("bad_until", (F.col("op") == "mute") & F.col("until").isNotNull() & F.col("until_ts").isNull())
+
+
+def well_formed(commands: DataFrame) -> DataFrame:
+    """The commands whose ``until`` can be read, for :func:`mute_state`; that leaves
+    out commands on unknown checks itself, so they need no join before it."""
+    return parsed_commands(commands).filter(~F.col("bad_until"))
+
+
 def split_commands(registry: DataFrame, commands: DataFrame):
     """(accepted commands with ``until_ts``, rejects(seq, check_name, reason))."""
     names = registry.select("check_name")
-    parsed = commands.withColumn(
-        "until_ts", F.when(F.col("op") == "mute", parse_rfc3339(F.col("until"))))
-    bad_until = (F.col("op") == "mute") & F.col("until").isNotNull() & F.col("until_ts").isNull()
+    parsed, bad_until = parsed_commands(commands), F.col("bad_until")
     known = parsed.join(names, "check_name", "left_semi")
     unknown = parsed.join(names, "check_name", "left_anti")
-    accepted = known.filter(~bad_until)
+    accepted = known.filter(~bad_until).drop("bad_until")
     rejects = reduce(DataFrame.unionByName, [
         unknown.select("seq", "check_name", F.lit("unknown_check").alias("reason")),
         known.filter(bad_until).select("seq", "check_name", F.lit("bad_until").alias("reason")),
@@ -36,7 +48,8 @@ def split_commands(registry: DataFrame, commands: DataFrame):
 
 
 def mute_state(registry: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Final (muted, muted_until) of every registered check.
+    """Final (muted, muted_until) of every registered check; commands on others
+    play no part.
 
     One partial hash aggregation per check over (registry state + commands): the
     flag is the last command's op; the until is the value of the last row that

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.sinks.stored import publish_batch
+
 
 def schedulable(checks: DataFrame) -> DataFrame:
     """active checks with a positive interval."""
@@ -72,7 +74,7 @@ def task_payloads(due_runs: DataFrame) -> DataFrame:
     return due_runs.select("check_name", "run_at", F.to_json(task).alias("payload"))
 
 
-def publish(messages: DataFrame, path: str) -> None:
+def publish(messages: DataFrame, path: str, batch: int | str = 0) -> bool:
     """J4/K4 sink: messages (msg_id, payload) as JSON lines, the layout that the
-    stream readers take."""
-    messages.select("msg_id", "payload").write.mode("append").json(path)
+    stream readers take; publishing a batch again adds nothing."""
+    return publish_batch(messages, path, batch)

@@ -24,6 +24,7 @@ from vigil.sinks import tables as TB
 from vigil.sources import fixtures as fx
 from vigil.sources.tables import read_payloads
 from vigil.streaming import ingest as ING
+from vigil.streaming import runner as RUN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -270,9 +271,7 @@ def impact_channel(spark, d):
 
 @query("mute_state")
 def mute_state(spark, d):
-    reg = resolved(spark, d)
-    accepted, _ = M.split_commands(reg, fx.mute_commands(spark, d))
-    return M.mute_state(reg, accepted)
+    return M.mute_state(resolved(spark, d), M.well_formed(fx.mute_commands(spark, d)))
 
 
 @query("mute_rejects")
@@ -750,3 +749,30 @@ def checks_by_script(spark, d):
 def checks_failures(spark, d):
     _, failed = CK.outcomes(CK.script_checks(_script_rows(spark, d), FUNCTIONS))
     return failed.select("check_name", "error")
+
+
+def _by_text(script: str):
+    """The function of a script's text: a third kind of user check is unreliable."""
+    return _unreliable if len(script) % 7 == 0 else _returned_lines if len(script) % 2 == 0 else _many_lines
+
+
+@query("runner_stream")
+def runner_stream(spark, d):
+    """J4 + A5 + L1 + K4: due tasks published, run as a stream, and the results read
+    back from the sink through the strict decoder. The publication and the last
+    batch are repeated, which adds nothing."""
+    base = scratch_path(spark, "runner")
+    tasks = _tasks(spark, d).withColumn(
+        "msg_id", F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), "run_at"))
+    inputs = (fx.table(spark, d, "lineitem").groupBy("l_suppkey").agg(*_returns_aggs())
+              .withColumn("check_name", F.concat(F.lit("check-"), F.col("l_suppkey").cast("string"))))
+    secrets = fx.secrets(spark, d)
+    for _ in range(2):
+        S.publish(tasks, f"{base}/tasks", "due")
+        RUN.start_runner(spark, f"{base}/tasks", base, f"{base}/checkpoint", inputs, secrets, _by_text, AS_OF,
+                         max_files_per_trigger=2).awaitTermination()
+    RUN.run_batch(read_payloads(spark, f"{base}/tasks"), 0, base, inputs, secrets, _by_text, AS_OF)
+    good, _ = DEC.decode_results(read_payloads(spark, f"{base}/results"))
+    return good.select("msg_id", "check_name", "status", "output", "timestamp",
+                       F.size("telegram_channels").cast("bigint").alias("n_channels"),
+                       F.col("mute_notifications").alias("mute"))

@@ -378,3 +378,20 @@ oracle("checks_failures", f"""
 select check_name, case when k is null or k >= 24 then 'no_script' when r % 5 = 0 then 'ValueError' when r % 5 = 1 then 'no_exit_code'
   else 'not_utf8' end error
 from ({_SCRIPTED}) where k is null or k >= 24 or (k >= 20 and r % 5 <= 2)""", "resolved", "merged_secrets")
+
+_TASKS = f"""
+select p.check_name, p.run_at, s.script_content, cast(len(g.channel_refs) as bigint) n_channels, g.mute
+from {_PLAN} p join {_RESOLVED} g using (check_name) left join res_scripts s using (check_name)
+where p.run_at <= timestamp '2024-01-01 00:30:00'"""
+
+oracle("runner_stream", f"""
+select cast(epoch(run_at) as bigint) msg_id, check_name,
+  case when k % 7 = 0 then 'Ok' when k % 2 = 0 then ret_status when n >= 600 then 'Warning' else 'Ok' end status,
+  case when k % 7 = 0 then 'fine'
+    when k % 2 = 0 then concat('returns ', r, '/', n, '|returned=', r, ',total=', n, ',secrets=', n_secrets)
+    else concat('lines ', n) end output,
+  timestamp '2024-01-31 00:00:00' as timestamp, n_channels, mute
+from (select t.*, length(t.script_content) k, c.n, c.r, c.ret_status, c.n_secrets
+      from ({_TASKS}) t join ({_SCRIPTED}) c using (check_name) where t.script_content is not null)
+where k % 7 <> 0 or r % 5 > 2""", "registry", "unresolved", "res_scripts", "valid_scripts", "resolved", "merged_secrets")
+

@@ -74,6 +74,15 @@ class _Store:
         finally:
             stream.close()
 
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self.path(path))
+
+    def move(self, folder: str, to: str) -> bool:
+        """Renames a folder; false where the name is taken."""
+        target = self.path(to)
+        self._fs.mkdirs(target.getParent())
+        return not self._fs.exists(target) and self._fs.rename(self.path(folder), target)
+
     def delete(self, path: str) -> None:
         self._fs.delete(self.path(path), True)
 
@@ -102,6 +111,22 @@ def last_done(spark: SparkSession, base: str) -> int:
     return max((int(n) for n in _Store(spark, base).names(f"{base}/_done") if n.isdigit()), default=-1)
 
 
+def publish_batch(messages: DataFrame, path: str, batch: int | str) -> bool:
+    """Messages (msg_id, payload) as JSON lines in the sink's folder of this
+    batch. They are written aside and appear by one rename; a batch that has been
+    published is left alone, so repeating a publication adds no message, for
+    streams that follow the sink as well. Returns whether it was published now."""
+    spark, target = messages.sparkSession, f"{path}/batch_id={batch}"
+    store, aside = _Store(spark, path), f"{path}/_aside/{uuid.uuid4().hex}"
+    if store.exists(target):
+        return False
+    messages.select("msg_id", "payload").write.json(aside)
+    if store.move(aside, target):
+        return True
+    store.delete(aside)
+    return False
+
+
 def _batches(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(m[1]) for n in _Store(spark, path).names(path) if (m := re.fullmatch(r"batch_id=(\d+)", n)))
 
