@@ -58,8 +58,9 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = rows.select(
         "doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
         (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("round_trip"))
-    # Written here, so that the batches are small while workers and caches are large.
-    with small_batches(spark):
+    # Written here, so that the batches are small while workers and caches are large:
+    # a row holds its text three times over (text, ids, decoded bytes).
+    with small_batches(spark, 500):
         return materialise(rows, "tokens")
 
 
