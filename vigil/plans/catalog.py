@@ -22,7 +22,7 @@ from vigil.session import scratch_path
 from vigil.sinks import stored as ST
 from vigil.sinks import tables as TB
 from vigil.sources import fixtures as fx
-from vigil.sources.tables import read_payloads
+from vigil.sources.tables import read_check_specs, read_mute_commands, read_payloads, read_submissions
 from vigil.streaming import ingest as ING
 from vigil.streaming import runner as RUN
 
@@ -776,3 +776,36 @@ def runner_stream(spark, d):
     return good.select("msg_id", "check_name", "status", "output", "timestamp",
                        F.size("telegram_channels").cast("bigint").alias("n_channels"),
                        F.col("mute_notifications").alias("mute"))
+
+
+# -- record files through their readers (A1, A6, A7) ------------------------------------
+
+
+def _written(spark, df, name):
+    """Records as JSON lines, the form in which they arrive."""
+    path = scratch_path(spark, name)
+    df.write.json(path)
+    return path
+
+
+@query("check_list_read")
+def check_list_read(spark, d):
+    """A1: the full scan of check definitions, validated, resolved and listed."""
+    specs = read_check_specs(spark, _written(spark, fx.registry_spec(spark, d), "specs"))
+    valid, _ = REG.validate_specs(specs)
+    return R.check_list(resolved(spark, d, valid))
+
+
+@query("mute_state_read")
+def mute_state_read(spark, d):
+    """Mute and unmute commands from their files, folded."""
+    commands = read_mute_commands(spark, _written(spark, fx.mute_commands(spark, d), "commands"))
+    return M.mute_state(resolved(spark, d), M.well_formed(commands))
+
+
+@query("submission_rejects_read")
+def submission_rejects_read(spark, d):
+    """Submitted results from their files; those on unknown checks."""
+    subs = read_submissions(spark, _written(spark, fx.submissions(spark, d), "submitted"))
+    _, rejected = A.enrich(A.with_status_name(subs, "status"), resolved(spark, d))
+    return rejected.select("submission_id", "check_name")
