@@ -54,6 +54,7 @@ def outbox(routed: DataFrame, ts: str, image: str | None = None) -> DataFrame:
         F.col("channel.chat_id").alias("chat_id"),
         text.message_kind(has_image).alias("kind"),
         F.when(has_image, text.attachment_name(F.col("check_name"))).alias("attachment"),
+        decoded.alias("image"),
         F.length(decoded).cast("bigint").alias("image_size"),
         (img.isNotNull() & ~has_image).alias("image_error"),
         text.alert_message(F.col(ts), F.col("check_name"), F.col("status_name"),

@@ -451,13 +451,13 @@ def _as_files(df, path):
     df.repartition(n).write.json(path)
 
 
-def _ingested(spark, d, output):
+def _ingested(spark, d, output, window=None):
     """K1: the result stream, redelivered messages included, ingested
     micro-batch by micro-batch; one stored output read back."""
     base = scratch_path(spark, "ingest")
     _as_files(fx.redelivered_payloads(spark, d), f"{base}/source")
     q = ING.start_ingest(spark, f"{base}/source", f"{base}/tables", f"{base}/checkpoint",
-                         as_of=AS_OF, max_files_per_trigger=2)
+                         as_of=AS_OF, max_files_per_trigger=2, window=window)
     q.awaitTermination()
     return spark.read.parquet(f"{base}/tables/{output}")
 
@@ -468,6 +468,14 @@ def ingest_stream(spark, d):
         "check_name", "timestamp", F.col("status").cast("int").alias("status"), "output")
 
 
+@query("result_dedup_stream")
+def result_dedup_stream(spark, d):
+    """H5 in a stream: the same results, told apart by the keys of two hours in the
+    stream's state and by the store for what is older."""
+    return _ingested(spark, d, "check_result", "2 hours").select(
+        "check_name", "timestamp", F.col("status").cast("int").alias("status"), "output")
+
+
 @query("compacted_stored")
 def compacted_stored(spark, d):
     """K1 + K10: half of the messages ingested, compacted and vacuumed, the other half
@@ -530,6 +538,19 @@ def submission_stored(spark, d):
         "check_name", "timestamp", F.col("status").cast("int").alias("status"), "output")
 
 
+@query("submission_stream")
+def submission_stream(spark, d):
+    """A6 + D6 + Q6 + K6: submissions as a stream; the stored outbox read back, with
+    kind, attachment and image."""
+    base = scratch_path(spark, "submitting")
+    _as_files(fx.submissions(spark, d), f"{base}/source")
+    ING.start_submissions(spark, f"{base}/source", f"{base}/tables", f"{base}/checkpoint",
+                          lambda: resolved(spark, d), max_files_per_trigger=2).awaitTermination()
+    return spark.read.parquet(f"{base}/tables/outbox").select(
+        F.col("msg_id").alias("submission_id"), "check_name", "pos", "chat_id", "kind", "attachment", "image_size",
+        "image_error", "message")
+
+
 def _stored_tables(spark, d):
     """K7: catalog tables over results and metrics stored by K2/K3."""
     base = scratch_path(spark, "stored")

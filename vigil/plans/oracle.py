@@ -290,7 +290,8 @@ select check_name, ts timestamp, case when status_code in (0, 1, 2, 4) then stat
   split_part(output, '|', 1) output
 from results where not {_BROKEN}""", "results")
 
-SQL["compacted_stored"] = SQL["ingest_stream"]
+SQL["compacted_stored"] = SQL["result_dedup_stream"] = SQL["ingest_stream"]
+SQL["submission_stream"] = SQL["alert_outbox"]
 
 oracle("ingest_metrics", f"""
 select check_name, timestamp, perf_key, perf_value from (
