@@ -82,3 +82,39 @@ def mute_state(registry: DataFrame, accepted: DataFrame) -> DataFrame:
         .otherwise(F.col("last_op") == 1).alias("muted"),
         F.col("until").alias("muted_until"),
         F.col("n_commands").cast("bigint").alias("n_commands"))
+
+
+# What commands do to a check's state, as a row that can be merged with others.
+EFFECT = ("check_name string, last_seq bigint, muted boolean, until_seq bigint, muted_until timestamp_ntz, "
+          "n_commands bigint")
+
+
+def effects(accepted: DataFrame) -> DataFrame:
+    """One row of :data:`EFFECT` per accepted command: its flag counts at its number;
+    its until too if it sets one, or clears it as an unmute does."""
+    unmute = F.col("op") == "unmute"
+    seq = F.col("seq").cast("bigint")
+    return accepted.select(
+        "check_name", seq.alias("last_seq"), (~unmute).alias("muted"),
+        F.when(unmute | F.col("until_ts").isNotNull(), seq).alias("until_seq"),
+        F.when(~unmute, F.col("until_ts")).alias("muted_until"), F.lit(1).cast("bigint").alias("n_commands"))
+
+
+def merge_effects(rows: DataFrame) -> DataFrame:
+    """One row of :data:`EFFECT` per check, whatever order or grouping rows come in;
+    a hash aggregate over fixed-width values with partial sums per task."""
+    return rows.groupBy("check_name").agg(
+        F.max("last_seq").alias("last_seq"), F.max_by("muted", "last_seq").alias("muted"),
+        F.max("until_seq").alias("until_seq"), F.max_by("muted_until", "until_seq").alias("muted_until"),
+        F.sum("n_commands").alias("n_commands"))
+
+
+def applied(registry: DataFrame, merged: DataFrame) -> DataFrame:
+    """Mute state of every registered check: the declared one, and over it what
+    merged commands did. Equals :func:`mute_state` over the same commands."""
+    names = merged.select("check_name", "muted", "until_seq", F.col("muted_until").alias("set_until"), "n_commands")
+    return registry.select("check_name", "mute", "mute_until").join(names, "check_name", "left").select(
+        "check_name",
+        F.when(F.col("n_commands").isNull(), F.col("mute")).otherwise(F.col("muted")).alias("muted"),
+        F.when(F.col("until_seq").isNull(), F.col("mute_until")).otherwise(F.col("set_until")).alias("muted_until"),
+        F.coalesce("n_commands", F.lit(0).cast("bigint")).alias("n_commands"))

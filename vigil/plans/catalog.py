@@ -19,10 +19,12 @@ from vigil.operators import results as R
 from vigil.operators import schedule as S
 from vigil.schemas import CHECK_RESULT
 from vigil.session import scratch_path
+from vigil.sinks import merged as MG
 from vigil.sinks import stored as ST
 from vigil.sinks import tables as TB
 from vigil.sources import fixtures as fx
 from vigil.sources.tables import read_check_specs, read_mute_commands, read_payloads, read_submissions
+from vigil.streaming import current as CUR
 from vigil.streaming import ingest as ING
 from vigil.streaming import runner as RUN
 
@@ -551,6 +553,43 @@ def submission_stream(spark, d):
         "image_error", "message")
 
 
+@query("status_stream")
+def status_stream(spark, d):
+    """G2 + D7 kept by a stream: half of the messages, a fold of the table, the other
+    half; the status of every registered check without reading the history."""
+    base = scratch_path(spark, "latest")
+    payloads = fx.redelivered_payloads(spark, d)
+    for half in (0, 1):
+        _as_files(payloads.filter(F.pmod("msg_id", F.lit(2)) == half), f"{base}/source/half={half}")
+        CUR.start_latest(spark, f"{base}/source/*", base, f"{base}/checkpoint", AS_OF,
+                         max_files_per_trigger=2).awaitTermination()
+        if half == 0:
+            MG.fold(spark, f"{base}/latest", CUR.LATEST, R.latest_all, ST.last_done(spark, base))
+            ST.vacuum(spark, f"{base}/latest")
+    return R.status_all(resolved(spark, d), CUR.latest_results(spark, base))
+
+
+def _mutes(spark, d):
+    """Commands as a stream, in files that do not keep their order."""
+    base = scratch_path(spark, "mutes")
+    _as_files(fx.mute_commands(spark, d), f"{base}/source")
+    CUR.start_mutes(spark, f"{base}/source", base, f"{base}/checkpoint", lambda: resolved(spark, d),
+                    max_files_per_trigger=2).awaitTermination()
+    return base
+
+
+@query("mute_stream")
+def mute_stream(spark, d):
+    """A7 + H2 + H4 in a stream; the kept state applied to the registry."""
+    return CUR.muted_now(spark, _mutes(spark, d), resolved(spark, d))
+
+
+@query("mute_stream_rejects")
+def mute_stream_rejects(spark, d):
+    """H3 in a stream: the side output of rejected commands."""
+    return spark.read.parquet(f"{_mutes(spark, d)}/rejects").select("seq", "check_name", "reason")
+
+
 def _stored_tables(spark, d):
     """K7: catalog tables over results and metrics stored by K2/K3."""
     base = scratch_path(spark, "stored")

@@ -293,6 +293,19 @@ from results where not {_BROKEN}""", "results")
 SQL["compacted_stored"] = SQL["result_dedup_stream"] = SQL["ingest_stream"]
 SQL["submission_stream"] = SQL["alert_outbox"]
 
+oracle("status_stream", f"""
+select g.check_name, g.passive,
+  case when l.status is null then 'Check still needs to be executed' else l.output end output,
+  case when l.status is null then 'Pending' else {STATUS_NAME.format(c='l.status')} end status,
+  l.timestamp, g.mute notifications_muted, g.mute_until notifications_muted_until
+from resolved g left join (
+  select * from (select *, row_number() over (partition by check_name
+                 order by timestamp desc, status desc, output desc) rn from ({SQL["ingest_stream"]})) where rn = 1
+) l using (check_name)""", "resolved", "results")
+
+SQL["mute_stream"] = SQL["mute_state"]
+SQL["mute_stream_rejects"] = SQL["mute_rejects"]
+
 oracle("ingest_metrics", f"""
 select check_name, timestamp, perf_key, perf_value from (
   select *, row_number() over (partition by check_name, timestamp, perf_key order by pos) rn

@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -155,10 +156,12 @@ def read_stored(spark: SparkSession, path: str, schema: StructType | str, before
     return out if before is None else out.filter(F.col("batch_id") < before)
 
 
-def compact_stored(spark: SparkSession, path: str, schema: StructType | str, upto: int, whole: bool = False) -> Manifest:
+def compact_stored(spark: SparkSession, path: str, schema: StructType | str, upto: int, whole: bool = False,
+                   write: Callable[[DataFrame, str], None] = compact) -> Manifest:
     """K10 on a table in use: rewrites the batches after the last compaction up to
-    ``upto`` (all done, see :func:`last_done`) into one sorted folder and commits it;
-    with ``whole`` together with the earlier compacted folders. Returns the version
+    ``upto`` (all done, see :func:`last_done`) into one folder, by ``write`` a sorted
+    one, and commits it; with ``whole`` together with the earlier compacted folders.
+    Returns the version
     that holds; running it again without new batches changes nothing."""
     now = manifest(spark, path)
     fresh = [n for n in _batches(spark, path) if now.upto < n <= upto]
@@ -168,7 +171,7 @@ def compact_stored(spark: SparkSession, path: str, schema: StructType | str, upt
     if not whole:
         rows = rows.filter(F.col("batch_id") > now.upto)
     folder = f"{path}.compacted/{uuid.uuid4().hex}"
-    compact(rows, folder)
+    write(rows, folder)
     folders = (folder,) if whole else (*now.folders, folder)
     new = Manifest(now.version + 1, max(upto, now.upto), folders)
     _Store(spark, path).create(f"{path}.manifest/{new.version:020d}", json.dumps({"upto": new.upto, "folders": list(folders)}))
