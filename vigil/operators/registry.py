@@ -85,6 +85,21 @@ def fold_changes(feed: DataFrame, keep_tombstones: bool = False) -> DataFrame:
             .select("check_name", "l.seq", *[f"l.{c}" for c in cols]))
 
 
+def after_scan(scan: DataFrame, fence: int, feed: DataFrame) -> DataFrame:
+    """A1 + A2: the events that a registry starts from: a full ``scan`` taken when the
+    feed stood at number ``fence``, and the ``feed`` from anywhere before that on.
+
+    The scan holds what events up to the fence did, also that checks were removed, so
+    these events are left out however far the feed overlaps it: an old event can
+    neither undo a newer one nor bring back a removed check. Scanned rows count as
+    events with the number of their last change, or the fence where it is not known.
+    """
+    seq = F.coalesce("seq", F.lit(fence)) if "seq" in scan.columns else F.lit(fence)
+    rows = scan.withColumn("seq", seq.cast("bigint")).withColumn("op", F.lit("AddOrUpdate"))
+    return feed.filter(F.col("seq") > fence).unionByName(rows.select(
+        *[c if c in rows.columns else F.lit(None).cast(feed.schema[c].dataType).alias(c) for c in feed.columns]))
+
+
 def resolve_scripts(registry: DataFrame, scripts: DataFrame) -> DataFrame:
     """Check -> script. A null ref is fine; a dangling ref is unresolved."""
     dim = scripts.select(F.col("script_name").alias("script_ref"),

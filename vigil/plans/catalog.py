@@ -24,6 +24,7 @@ from vigil.sinks import stored as ST
 from vigil.sinks import tables as TB
 from vigil.sources import fixtures as fx
 from vigil.sources.tables import read_check_specs, read_mute_commands, read_payloads, read_submissions
+from vigil.streaming import asof as ASOF
 from vigil.streaming import current as CUR
 from vigil.streaming import ingest as ING
 from vigil.streaming import runner as RUN
@@ -336,6 +337,10 @@ def mute_asof(spark, d):
     v = fx.versions(spark, d)
     j = A.asof_join(r, v, "check_name", "ts", "valid_from", "version_seq",
                     ["version_seq", "mute", "mute_until"])
+    return _with_send(j)
+
+
+def _with_send(j):
     return j.select("event_id", "check_name", F.col("ts").alias("timestamp"), "version_seq",
                     F.col("mute").alias("muted"), F.col("mute_until").alias("muted_until"),
                     A.should_send(F.col("status_name"), F.col("mute"), F.col("mute_until"),
@@ -522,6 +527,68 @@ def registry_stream(spark, d):
     return _spec_columns(ING.registry_state(spark, f"{base}/state"))
 
 
+@query("registry_bootstrap")
+def registry_bootstrap(spark, d):
+    """A1 + A2: a scan of the registry as the feed's first half left it, then the feed
+    from its first quarter on; the folded registry."""
+    base = scratch_path(spark, "bootstrap")
+    feed = fx.spec_feed(spark, d)
+    fence = feed.agg(F.max("seq")).first()[0] // 2
+    ING.seed_registry(REG.fold_changes(feed.filter(F.col("seq") <= fence)), fence, f"{base}/state")
+    _as_files(feed.filter(F.col("seq") > fence // 2), f"{base}/source")
+    ING.start_registry_stream(spark, f"{base}/source", f"{base}/state", f"{base}/checkpoint",
+                              max_files_per_trigger=1).awaitTermination()
+    return _spec_columns(ING.registry_state(spark, f"{base}/state"))
+
+
+@query("chunks_dropped")
+def chunks_dropped(spark, d):
+    """K8 + K9 + K10 on a stored table: results of even and odd numbers as two batches,
+    the first compacted, then expired chunks dropped as wholes; rows left per chunk."""
+    base = scratch_path(spark, "chunks")
+    path = f"{base}/check_result"
+    rows = R.stored_results(fx.results(spark, d), keep=("event_id",))
+    for k in (0, 1):
+        TB.write_batch(rows.filter(F.pmod("event_id", F.lit(2)) == k).drop("event_id"), path, k)
+        if k == 0:
+            ST.compact_stored(spark, path, CHECK_RESULT, 0)
+            ST.vacuum(spark, path)
+    ST.drop_chunks(spark, path, AS_OF)
+    return (TB.with_chunk(ST.read_stored(spark, path, CHECK_RESULT)).groupBy("chunk_id")
+            .agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+SLOT_DAYS = 8                   # of the two feeds of the as-of stream
+ASOF_WINDOW = 2 * 24 * 3600
+
+
+@query("mute_asof_stream")
+def mute_asof_stream(spark, d):
+    """D12 in a stream: results and versions arrive slot by slot; a tenth of the
+    versions up to a day late, within the window, a seventh of the results a whole slot
+    late, after their time has been settled."""
+    base = scratch_path(spark, "asof")
+    r = A.with_status_name(fx.results(spark, d), "status_code").select("event_id", "check_name", "ts", "status_name")
+    v = fx.versions(spark, d)
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+
+    def slot(ts, late_days, late):
+        days = F.timestamp_diff("DAY", start, F.col(ts)) + F.when(late, late_days).otherwise(0)
+        return F.floor(days / SLOT_DAYS)
+
+    feeds = {"results": r.withColumn("slot", slot("ts", SLOT_DAYS, F.pmod("event_id", F.lit(7)) == 0)),
+             "versions": v.withColumn("slot", slot("valid_from", 1, F.pmod("version_seq", F.lit(10)) == 0))}
+    slots = [s[0] for s in feeds["results"].select("slot").union(feeds["versions"].select("slot")).distinct().collect()]
+    for k in sorted(slots):
+        for name, df in feeds.items():
+            (df.filter(F.col("slot") == k).drop("slot").write
+             .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{base}/{name}/slot={k}"))
+        streams = [spark.readStream.schema(schema).json(f"{base}/{name}/*")
+                   for name, schema in (("results", ASOF.RESULT), ("versions", ASOF.VERSION))]
+        ASOF.start_asof(*streams, f"{base}/out", f"{base}/checkpoint", ASOF_WINDOW).awaitTermination()
+    return _with_send(ASOF.asof_so_far(spark, f"{base}/out"))
+
+
 @query("submission_stored")
 def submission_stored(spark, d):
     """A6 + Q6: accepted submissions take the same way to the tables as streamed

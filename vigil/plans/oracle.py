@@ -303,6 +303,8 @@ from resolved g left join (
                  order by timestamp desc, status desc, output desc) rn from ({SQL["ingest_stream"]})) where rn = 1
 ) l using (check_name)""", "resolved", "results")
 
+SQL["mute_asof_stream"] = SQL["mute_asof"]
+SQL["registry_bootstrap"] = SQL["registry_fold"]
 SQL["mute_stream"] = SQL["mute_state"]
 SQL["mute_stream_rejects"] = SQL["mute_rejects"]
 
@@ -341,6 +343,13 @@ select cast(timestamp as date) event_date, count(*) n_rows from stored
 where cast(timestamp as date) + interval 1 day > timestamp '2024-01-31 00:00:00' - interval 7 day
 group by 1""", "stored")
 
+oracle("chunks_dropped", """
+select chunk_id, count(*) n_rows
+from (select cast(floor(epoch(timestamp) / 604800) as bigint) chunk_id from stored)
+where timestamp '1970-01-01 00:00:00' + to_seconds((chunk_id + 1) * 604800)
+    > timestamp '2024-01-31 00:00:00' - interval 7 day
+group by chunk_id""", "stored")
+
 oracle("registry_stream", """
 select check_name, seq, changed_at, passive, check_interval, script_ref,
   array_to_string(channel_refs, ',') channel_refs, array_to_string(secret_refs, ',') secret_refs, mute, mute_until from (

@@ -16,6 +16,7 @@ covered and stays unread. Folders that no version needs go with :func:`vacuum`.
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import re
 import uuid
@@ -26,8 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, IntegerType, StructType
 
+from vigil.schemas import CHUNK_SECONDS, RETENTION_SECONDS
 from vigil.sinks.tables import compact
 
+DAY = 24 * 3600
+
 
 @dataclass(frozen=True)
 class Manifest:
@@ -88,6 +92,11 @@ class _Store:
         self._fs.delete(self.path(path), True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name."""
+    return _Store(spark, path).exists(path)
+
+
 def manifest(spark: SparkSession, path: str) -> Manifest:
     """The table's newest version; without one, nothing is compacted yet."""
     store, folder = _Store(spark, path), f"{path}.manifest"
@@ -190,6 +199,26 @@ def vacuum(spark: SparkSession, path: str) -> int:
     return len(gone)
 
 
+def drop_chunks(spark: SparkSession, path: str, as_of: str, chunk_days: int = CHUNK_SECONDS // DAY,
+                keep_seconds: int = RETENTION_SECONDS) -> list[int]:
+    """K8 + K9 on a table in use: drops whole time chunks, each once its end is at or
+    before ``as_of`` less the retention. A chunk is a whole number of days, counted
+    from 1970, so it is the day folders within its bounds, in batches and compacted
+    folders alike; only folder names are read. A chunk that has begun to expire stays
+    whole until it has ended. Returns the chunks that went; again, none do."""
+    now, store = manifest(spark, path), _Store(spark, path)
+    cutoff = (dt.datetime.fromisoformat(as_of) - dt.datetime(1970, 1, 1)) // dt.timedelta(seconds=1) - keep_seconds
+    gone = set()
+    for folder in [*(f"{path}/batch_id={n}" for n in _batches(spark, path)), *now.folders]:
+        for name in store.names(folder):
+            if m := re.fullmatch(r"event_date=(\d{4}-\d\d-\d\d)", name):
+                chunk = (dt.date.fromisoformat(m[1]) - dt.date(1970, 1, 1)).days // chunk_days
+                if (chunk + 1) * chunk_days * DAY <= cutoff:
+                    store.delete(f"{folder}/{name}")
+                    gone.add(chunk)
+    return sorted(gone)
+
+
 def register_stored(spark: SparkSession, table: str, path: str) -> None:
     """Makes a catalog table over ``path`` (partitioned by batch_id, event_date) show
     the manifest's version: the dates of compacted folders as partitions with the
