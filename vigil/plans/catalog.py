@@ -27,6 +27,7 @@ from vigil.sources.tables import read_check_specs, read_mute_commands, read_payl
 from vigil.streaming import asof as ASOF
 from vigil.streaming import current as CUR
 from vigil.streaming import ingest as ING
+from vigil.streaming import resolution as RES
 from vigil.streaming import runner as RUN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -558,6 +559,38 @@ def chunks_dropped(spark, d):
             .agg(F.count(F.lit(1)).alias("n_rows")))
 
 
+@query("resolution_stream")
+def resolution_stream(spark, d):
+    """D5 + D9-D11 by changes: the checks come while a third of the scripts, half of the
+    channels and some secrets are still missing, these follow kind by kind; the stored
+    resolved checks read back, after a fold in between."""
+    base = scratch_path(spark, "resolution")
+    scr, _ = REG.validate_scripts(fx.scripts(spark, d))
+    chans, _ = REG.validate_channels(fx.channels(spark, d))
+    whole = RES.Definitions(registry(spark, d), scr, chans, fx.secrets(spark, d))
+    number = lambda c: F.regexp_extract(c, r"-(\d+)$", 1).cast("bigint")
+    missing = {"scripts": number("script_name") % 3 == 0, "channels": number("channel_name") % 2 == 0,
+               "secrets": number("secret_name") % 3 == 1}
+    now = whole._replace(**{k: getattr(whole, k).filter(~F.coalesce(absent, F.lit(False))) for k, absent in missing.items()})
+    steps = [("check", now, whole.checks.select(F.col("check_name").alias("name")))]
+    for kind in ("script", "channel", "secret"):
+        now = now._replace(**{f"{kind}s": getattr(whole, f"{kind}s")})
+        steps.append((kind, now, getattr(whole, f"{kind}s").filter(missing[f"{kind}s"])
+                      .select(F.col(f"{kind}_name").alias("name")).distinct()))
+    for kind, state, names in steps:
+        names.select(F.lit(kind).alias("kind"), "name").write.json(f"{base}/source/{kind}")
+        RES.start_resolution(spark, f"{base}/source/*", base, f"{base}/checkpoint", lambda s=state: s).awaitTermination()
+        if kind == "script":
+            RES.fold_resolved(spark, base)
+            ST.vacuum(spark, f"{base}/resolved")
+    return RES.resolved_now(spark, base).select(
+        "check_name", "passive", "check_interval", F.col("script.content").alias("script_content"),
+        F.when(F.col("secret_keys").isNotNull(), F.size("secret_keys").cast("bigint")).alias("n_secrets"),
+        F.array_join("secret_keys", ",").alias("secret_keys"),
+        F.size("channels").cast("bigint").alias("n_channels"),
+        F.array_join(F.transform("channels", lambda x: x["chat_id"]), ",").alias("chat_ids"), "mute", "mute_until")
+
+
 SLOT_DAYS = 8                   # of the two feeds of the as-of stream
 ASOF_WINDOW = 2 * 24 * 3600
 

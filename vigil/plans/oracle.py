@@ -304,6 +304,7 @@ from resolved g left join (
 ) l using (check_name)""", "resolved", "results")
 
 SQL["mute_asof_stream"] = SQL["mute_asof"]
+SQL["resolution_stream"] = SQL["resolved_checks"]
 SQL["registry_bootstrap"] = SQL["registry_fold"]
 SQL["mute_stream"] = SQL["mute_state"]
 SQL["mute_stream_rejects"] = SQL["mute_rejects"]
