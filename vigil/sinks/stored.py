@@ -166,10 +166,10 @@ def read_stored(spark: SparkSession, path: str, schema: StructType | str, before
 
 
 def compact_stored(spark: SparkSession, path: str, schema: StructType | str, upto: int, whole: bool = False,
-                   write: Callable[[DataFrame, str], None] = compact) -> Manifest:
+                   write: Callable[[DataFrame, str], None] | None = None) -> Manifest:
     """K10 on a table in use: rewrites the batches after the last compaction up to
-    ``upto`` (all done, see :func:`last_done`) into one folder, by ``write`` a sorted
-    one, and commits it; with ``whole`` together with the earlier compacted folders.
+    ``upto`` (all done, see :func:`last_done`) into one sorted folder,
+    or one that ``write`` makes, and commits it; with ``whole`` together with the earlier compacted folders.
     Returns the version
     that holds; running it again without new batches changes nothing."""
     now = manifest(spark, path)
@@ -180,7 +180,7 @@ def compact_stored(spark: SparkSession, path: str, schema: StructType | str, upt
     if not whole:
         rows = rows.filter(F.col("batch_id") > now.upto)
     folder = f"{path}.compacted/{uuid.uuid4().hex}"
-    write(rows, folder)
+    (write or compact)(rows, folder)
     folders = (folder,) if whole else (*now.folders, folder)
     new = Manifest(now.version + 1, max(upto, now.upto), folders)
     _Store(spark, path).create(f"{path}.manifest/{new.version:020d}", json.dumps({"upto": new.upto, "folders": list(folders)}))
