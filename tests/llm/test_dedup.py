@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 
 from conftest import SF001
+from pyspark.sql import functions as F
 from tools.compare import TABLES, digest
+from vigil.llm import near_dedup
 from vigil.llm.catalog import QUERIES, SQL
 from vigil.llm.components import components
 from vigil.llm.exact_dedup import drop_exact, exact_groups
@@ -113,6 +115,46 @@ def test_near_groups_against_brute_force(spark, n):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def template(size, seed=11):
+    """Texts that share six words in ten: unlinked members of large buckets, but for
+    a few near copies of each tenth text."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    shared, texts = [word() for _ in range(60)], []
+    for k in range(size):
+        own = [word() for _ in range(40)]
+        texts.append(shared + own)
+        if k % 10 == 0:
+            own = list(own)
+            own[k % 40] = word()
+            texts.append(shared + own)
+    rnd.shuffle(texts)
+    return [(k, " ".join(t)) for k, t in enumerate(texts)]
+
+
+def test_blocks_of_unlinked_members_against_brute_force(spark, monkeypatch):
+    rows = template(400)
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    expect = brute(rows, 2)
+    assert 300 < len({low for _, low in expect.values()}) < len(rows)
+    # Few rows in a block, then more than one portion of heads in each block.
+    for name, value in (("BLOCK", 16), ("REST", 32), ("MOST_HEADS", 64), ("MOST_REST", 128)):
+        monkeypatch.setattr(near_dedup, name, value)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_groups(docs, 2).collect()}
+    assert got == expect
+
+
+def test_rows_of_a_large_bucket_grow_with_its_members(spark):
+    """Copies of a member that blocks get, from a table of one bucket alone."""
+    for n in (5_000, 40_000):
+        named = spark.range(n).select(F.lit(7).cast("long").alias("bucket"), F.col("id").alias("rep"),
+                                      F.col("id").alias("label"), F.lit(0).alias("band"))
+        rows = near_dedup.bucket_blocks(named)
+        assert rows.count() <= 2 * near_dedup.PARTS * n
+        most = rows.groupBy("block").agg(F.sum(1 - F.col("role")).alias("heads")).agg(F.max("heads")).first()[0]
+        assert most < near_dedup.PORTIONS * near_dedup.BLOCK
+
+
 def test_drop_near_keeps_one_of_each_group_and_all_columns(spark):
     rows = corpus(6)
     docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], DOCS + ", fp int")

@@ -19,10 +19,15 @@ pseudo-random member), first in ``FIRST`` bands and then, where member and
 leader are not yet in one component, in all of them. What is still apart inside
 a bucket is then compared in full: members outside the bucket's largest
 component against all members of other components, in blocks, each pair in the
-first band that it shares. A block first finds which of its rows are in any
-likely pair, then gets the sets of those rows and reports the links that join
-components it still sees apart. So what is written grows with the rows of the
-blocks, not with their pairs. A pair inside one component changes no component.
+first band that it shares. A bucket is cut into at most ``PARTS`` parts on either
+side, until parts would outgrow a task: so up to ``PARTS * MOST_HEADS`` members a
+member is written at most ``2 * PARTS`` times, whatever the bucket's size, and
+beyond that n / ``MOST_HEADS`` + n / ``MOST_REST`` times. A block holds the sketches
+of its heads and streams the others past them; it first finds which rows are in any
+likely pair, in portions of ``BLOCK`` heads; then those rows alone get their sets,
+and a portion reports the links that join components it still sees apart. So what
+is written grows with the rows of the blocks, not with their pairs. A pair inside
+one component changes no component.
 
 Confirming. Members get a second, finer sketch of ``FINE`` one-byte
 coordinates; pairs whose estimate lies almost five standard deviations below
@@ -57,8 +62,15 @@ FINE = 512      # coordinates of the members' second sketch
 THRESHOLD = 80  # per cent
 # Agreeing coordinates, two of 256 values also by chance, less 4.8 deviations.
 SIEVE = int(FINE * (0.8 + 0.2 / 256) - 4.8 * (FINE * 0.8 * 0.2) ** 0.5)
-BLOCK = 256     # members of a leader, or heads of a bucket, that one block holds
-REST = 1024     # members of a bucket that a block compares with its heads
+# The same over the first coordinates alone, with over five deviations: one in 10^7
+# of the pairs at 0.8 agrees less.
+FRONT = 128
+FRONT_SIEVE = 73
+BLOCK = 256     # members of a leader, or heads of a bucket with their sets, that one block holds
+REST = 1024     # members of a small bucket that a block compares with its heads
+PARTS = 8       # parts of a bucket's heads, and of its members, until they outgrow these sizes:
+MOST_HEADS, MOST_REST = 8192, 65536
+PORTIONS = 64   # portions of a block's heads: MOST_HEADS / BLOCK, and as many to spare
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -233,7 +245,7 @@ def _fixed(column: pa.Array, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-BLOCK_ROW = "grp long, block int, role int, id long, label long, band int"
+BLOCK_ROW = "grp long, block long, role int, id long, label long, band int"
 
 
 class _Blocks:
@@ -260,6 +272,7 @@ class _Rows:
         self.grp, self.block, self.role, self.id, self.label, self.size, self.band = _columns(
             batch, "grp", "block", "role", "id", "label", "size", "band")
         self.fine = _fixed(batch.column("fine"), "u1", FINE)
+        self.front = np.ascontiguousarray(self.fine[:, :FRONT])
         self.keys = np.asarray(batch.column("keys").flatten()).reshape(-1, BANDS)
         self.size = self.size.astype(np.int64)
 
@@ -274,6 +287,7 @@ class _Rows:
         keep = (self.label[lo:hi] != label) & (self.id[lo:hi] != ident)
         keep &= 100 * np.minimum(self.size[lo:hi], size) >= THRESHOLD * np.maximum(self.size[lo:hi], size)
         some = lo + np.flatnonzero(keep)
+        some = some[(self.front[some] == fine[:FRONT]).sum(axis=1) >= FRONT_SIEVE]
         some = some[(self.fine[some] == fine).sum(axis=1) >= SIEVE]
         if self.band[lo] >= 0:
             some = some[(self.keys[some] == keys).argmax(axis=1) == self.band[lo]]
@@ -318,11 +332,16 @@ def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @in_task("near")
 def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of bucket blocks that are in a likely pair, once each."""
+    """The rows of bucket blocks that are in a likely pair, once in each portion
+    of the block's heads; the portion becomes part of the block's number."""
     out: list[tuple] = []
 
+    def portion(head: int) -> int:
+        return min(head // BLOCK, PORTIONS - 1)
+
     def done(at: tuple, heads: list) -> None:
-        out.extend((*at, 0, h[0], h[2], h[5]) for h in heads if h[0] in used)
+        grp, block = at
+        out.extend((grp, block * PORTIONS + portion(k), 0, heads[k][0], heads[k][2], heads[k][5]) for k in sorted(used))
         used.clear()
 
     used: set = set()
@@ -331,7 +350,7 @@ def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         columns = list(zip(*out)) or [()] * 6
         out.clear()
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                           names=["grp", "block", "role", "id", "label", "band"])
 
@@ -342,13 +361,15 @@ def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rows.role[lo] == 0:
                 blocks.heads += [(*rows.head(k), rows.band[k]) for k in range(lo, hi)]
                 continue
-            hit = np.zeros(hi - lo, bool)
-            for head in blocks.heads:
+            grp, block = blocks.at
+            hits: dict[int, set] = {}
+            for at, head in enumerate(blocks.heads):
                 some = rows.likely(lo, hi, head)
                 if len(some):
-                    hit[some - lo] = True
-                    used.add(head[0])
-            out.extend((*blocks.at, 1, rows.id[k], rows.label[k], rows.band[k]) for k in lo + np.flatnonzero(hit))
+                    hits.setdefault(portion(at), set()).update(some.tolist())
+                    used.add(at)
+            out.extend((grp, block * PORTIONS + part, 1, rows.id[k], rows.label[k], rows.band[k])
+                       for part, found in hits.items() for k in sorted(found))
         yield flush()
     blocks.close()
     yield flush()
@@ -423,11 +444,17 @@ def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
         "label", F.coalesce("label", "rep"))
 
 
-def _other_links(named: DataFrame, sets: DataFrame) -> DataFrame:
-    """In buckets where several components meet, the members outside the largest
-    one, in blocks, against all members of other components."""
+def bucket_blocks(named: DataFrame) -> DataFrame:
+    """Rows (grp, block, role, id, label, band) of the buckets where several
+    components meet: the members outside the largest one are heads (role 0), all
+    members the rest (role 1); each head meets each member in one block."""
     per_label = materialise(named.groupBy("bucket", "label").agg(F.count("*").alias("n")), "near-per-label")
-    heads, rest = F.ceil((F.col("n") - F.col("most")) / BLOCK), F.ceil(F.col("n") / REST)
+
+    def parts(n, few: int, most: int):
+        return F.greatest(F.least(F.ceil(n / few), F.lit(PARTS)), F.ceil(n / most))
+
+    heads = parts(F.col("n") - F.col("most"), BLOCK, MOST_HEADS)
+    rest = parts(F.col("n"), REST, MOST_REST)
     mixed = materialise(
         per_label.groupBy("bucket")
         .agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels"),
@@ -444,10 +471,15 @@ def _other_links(named: DataFrame, sets: DataFrame) -> DataFrame:
                               F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"))
         head, tail = ("mine", "other") if role == 0 else ("other", "mine")
         return spread.filter((F.col("label") != F.col("top")) | F.lit(role == 1)).select(
-            F.col("bucket").alias("grp"), (F.col(head) * F.col("n_rest") + F.col(tail)).alias("block"),
+            F.col("bucket").alias("grp"), (F.col(head).cast("long") * F.col("n_rest") + F.col(tail)).alias("block"),
             F.lit(role).alias("role"), F.col("rep").alias("id"), "label", "band")
 
-    rows = block(0, "n_heads", "n_rest").unionByName(block(1, "n_rest", "n_heads"))
+    return block(0, "n_heads", "n_rest").unionByName(block(1, "n_rest", "n_heads"))
+
+
+def _other_links(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links in buckets where several components meet."""
+    rows = bucket_blocks(named)
     likely = materialise(_streamed(rows, _sketch_payload(sets), _likely_rows, BLOCK_ROW), "near-likely")
     return materialise(_streamed(likely, sets, _block_links), "near-links")
 
