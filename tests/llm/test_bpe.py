@@ -97,3 +97,14 @@ def test_operator_keeps_columns_and_handles_nulls(spark):
     chained = bpe.decode(bpe.encode(docs, tok), tok).withColumn("t", tok.decode_text_udf()("token_ids")).collect()
     assert [(bytes(r.decoded), r.t) for r in chained] == [(b"", ""), (b"", ""), (b"a  b", "a  b"), (b"a  b", "a  b")]
     assert bpe.round_trip(docs.limit(0), tok).count() == 0
+
+
+def test_checked_keeps_columns_and_compares_in_the_worker(spark):
+    texts = ["some text", None, "", "Ünïcode \U0001F600 x", "w " * 50_000]
+    docs = spark.createDataFrame([(k, t, "e", False) for k, t in enumerate(texts)],
+                                 "doc_id long, text string, extra string, round_trip boolean")
+    out = bpe.checked(docs, bpe.default_tokenizer(spark))
+    assert out.columns == ["doc_id", "extra", "token_ids", "round_trip"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(got[k].token_ids == TIK.encode_ordinary(t or "") and got[k].round_trip for k, t in enumerate(texts))
+    assert bpe.checked(docs.limit(0), bpe.default_tokenizer(spark)).count() == 0

@@ -387,6 +387,21 @@ class Tokenizer:
 
         return encode_and_decode
 
+    def checked_batches(self, columns: list[str]):
+        """As :meth:`round_trip_batches`, but the texts and the decoded bytes stay
+        in the worker, where they are compared: only ids and the outcome go back."""
+        both, own = self.round_trip_batches([*columns, "text"]), len(columns)
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in both(batches):
+                same = [(t.as_py() or "").encode("utf-8", "surrogatepass") == d.as_py()
+                        for t, d in zip(batch.column("text"), batch.column("decoded"))]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:own], batch.column("token_ids"), pa.array(same, pa.bool_())],
+                    names=[*columns, "token_ids", "round_trip"])
+
+        return compare
+
     def decode_bytes_udf(self):
         data, key = self.data, self.key
 
@@ -433,6 +448,16 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return docs.mapInArrow(tokenizer.round_trip_batches(docs.columns), schema)
 
 
+def checked(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """``docs`` without ``text``, with its ids in ``token_ids`` and in
+    ``round_trip`` whether they decode to the bytes of the text (columns of these
+    names are replaced)."""
+    own = docs.drop("text", "token_ids", "round_trip")
+    schema = T.StructType([*own.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("round_trip", T.BooleanType())])
+    return docs.select(*own.columns, "text").mapInArrow(tokenizer.checked_batches(own.columns), schema)
+
+
 def ids_text(ids: str):
     """Decimal ids joined by one space."""
     return F.array_join(F.col(ids).cast("array<string>"), " ")

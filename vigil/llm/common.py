@@ -122,18 +122,27 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, list
 
 
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000):
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 0):
     """While eager jobs with wide rows run: no more rows in an Arrow batch than
-    this, as a batch is held by Spark and by the worker, several times over."""
+    this (and no more bytes than ``size``, if given, but for a longer row), as a
+    batch is held by Spark and by the worker, several times over."""
     was = int(spark.conf.get(BATCH_CONF))
+    was_bytes = spark.conf.get(BYTES_CONF, None)
     spark.conf.set(BATCH_CONF, min(was, rows) if was > 0 else rows)
+    if size:
+        spark.conf.set(BYTES_CONF, size)
     try:
         yield
     finally:
         spark.conf.set(BATCH_CONF, was)
+        if size and was_bytes is None:
+            spark.conf.unset(BYTES_CONF)
+        elif size:
+            spark.conf.set(BYTES_CONF, was_bytes)
 
 
 #: What frees the caches that an operator keeps in a Python worker between tasks.
