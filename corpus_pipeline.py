@@ -54,13 +54,12 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether decoding them gives the text back."""
-    rows = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), bpe.default_tokenizer(spark))
-    rows = rows.select(
-        "doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
-        (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("round_trip"))
-    # Written here, so that the batches are small while workers and caches are large:
-    # a row holds its text three times over (text, ids, decoded bytes).
-    with small_batches(spark, 500):
+    rows = bpe.checked(docs.select("doc_id", "lang", "source", "text"), bpe.default_tokenizer(spark))
+    rows = rows.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"),
+                       "token_ids", "round_trip")
+    # Written here, so that the batches are small while workers and caches are large;
+    # texts and decoded bytes never come back from the workers.
+    with small_batches(spark, 500, 4_000_000):
         return materialise(rows, "tokens")
 
 
