@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators.alerts import asof_join
+from vigil.session import each_batch
 from vigil.sinks.stored import last_done, mark_done, read_stored
 from vigil.sinks.tables import write_folder
 
@@ -93,7 +94,7 @@ def start_asof(results: DataFrame, versions: DataFrame, base: str, checkpoint: s
     both = (results.select(*_RESULT, F.lit("result").alias("_kind"))
             .unionByName(versions.select(*_VERSION, F.lit("version").alias("_kind")), allowMissingColumns=True))
     return (both.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, n: asof_batch(df, n, base, window_seconds))
+            .foreachBatch(each_batch(lambda df, n: asof_batch(df, n, base, window_seconds)))
             .trigger(availableNow=True).start())
 
 

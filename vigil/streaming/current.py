@@ -13,6 +13,7 @@ from vigil.functions import perf
 from vigil.operators import mute as M
 from vigil.operators import results as R
 from vigil.operators.decode import tag_results
+from vigil.session import each_batch
 from vigil.sinks.merged import add_rows, read_merged
 from vigil.sinks.stored import mark_done
 from vigil.sinks.tables import write_folder
@@ -45,7 +46,7 @@ def start_latest(spark: SparkSession, source: str, base: str, checkpoint: str, a
     """Follows the result stream and keeps ``base``/latest."""
     return (read_payloads(spark, source, stream=True, max_files_per_trigger=max_files_per_trigger)
             .writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, n: latest_batch(df, n, base, as_of))
+            .foreachBatch(each_batch(lambda df, n: latest_batch(df, n, base, as_of)))
             .trigger(availableNow=True).start())
 
 
@@ -74,5 +75,5 @@ def start_mutes(spark: SparkSession, source: str, base: str, checkpoint: str, re
     """Follows mute and unmute commands and keeps ``base``/mutes and ``base``/rejects."""
     return (read_mute_commands(spark, source, stream=True, max_files_per_trigger=max_files_per_trigger)
             .writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, n: mute_batch(df, n, base, registry))
+            .foreachBatch(each_batch(lambda df, n: mute_batch(df, n, base, registry)))
             .trigger(availableNow=True).start())

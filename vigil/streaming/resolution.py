@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import registry as REG
+from vigil.session import each_batch
 from vigil.sinks.merged import add_rows, fold, read_merged
 from vigil.sinks.stored import Manifest, last_done, mark_done
 
@@ -100,5 +101,5 @@ def start_resolution(spark: SparkSession, source: str, base: str, checkpoint: st
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return (reader.json(source).writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, n: resolve_batch(df, n, base, definitions))
+            .foreachBatch(each_batch(lambda df, n: resolve_batch(df, n, base, definitions)))
             .trigger(availableNow=True).start())

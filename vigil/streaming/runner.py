@@ -25,6 +25,7 @@ from vigil.functions import status
 from vigil.operators import checks as CK
 from vigil.operators.decode import decode_tasks, encode_result
 from vigil.operators.registry import merge_secrets
+from vigil.session import each_batch
 from vigil.sinks.stored import publish_batch
 from vigil.sinks.tables import write_folder
 from vigil.sources.tables import read_payloads
@@ -93,6 +94,6 @@ def start_runner(spark: SparkSession, source: str, base: str, checkpoint: str, i
     """Starts the worker on a task sink; results appear under ``base``/results."""
     stream = read_payloads(spark, source, stream=True, max_files_per_trigger=max_files_per_trigger)
     writer = (stream.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, n: run_batch(df, n, base, inputs, secrets, find, as_of)))
+              .foreachBatch(each_batch(lambda df, n: run_batch(df, n, base, inputs, secrets, find, as_of))))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")
     return writer.start()
