@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from vigil.operators import mute as M
 from vigil.session import ADAPTIVE, each_batch, scratch_path
 from vigil.streaming import ingest as ING
 
@@ -62,3 +63,15 @@ def test_jobs_of_a_batch_are_adaptive_and_the_stream_keeps_its_settings(spark, s
      .trigger(availableNow=True).start().awaitTermination())
     assert len(seen) >= 2 and all(parts < int(spark.conf.get("spark.sql.shuffle.partitions")) for parts in seen)
     assert all(before == after for before, after in held)
+
+
+def test_commands_meet_the_registry_once_and_without_the_driver(spark):
+    names = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "check_name string")
+    rows = [(1, "a", "mute", None), (2, "zz", "mute", "no-date"), (3, "b", "mute", "no-date"), (4, None, "unmute", None)]
+    commands = spark.createDataFrame(rows, "seq long, check_name string, op string, until string")
+    accepted, rejects = M.split_commands(names, commands)
+    assert [r.seq for r in accepted.collect()] == [1]
+    assert sorted((r.seq, r.reason) for r in rejects.collect()) == [(2, "unknown_check"), (3, "bad_until"), (4, "unknown_check")]
+    plan = rejects._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert "Broadcast" not in rejects._jdf.queryExecution().executedPlan().toString()

@@ -9,8 +9,6 @@ declared state.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +31,25 @@ def well_formed(commands: DataFrame) -> DataFrame:
     return parsed_commands(commands).filter(~F.col("bad_until"))
 
 
+def tagged_commands(registry: DataFrame, commands: DataFrame) -> DataFrame:
+    """``commands`` with ``until_ts`` and ``reason``: null where a command is accepted,
+    ``unknown_check`` or ``bad_until`` where it is rejected. The names meet in one
+    shuffle join: a registry's names grow with it and are not sent to the driver."""
+    names = registry.select("check_name", F.lit(True).alias("_known")).distinct().hint("merge")
+    reason = F.when(F.col("_known").isNull(), F.lit("unknown_check")).when(F.col("bad_until"), F.lit("bad_until"))
+    return (parsed_commands(commands).join(names, "check_name", "left")
+            .withColumn("reason", reason).drop("_known", "bad_until"))
+
+
 def split_commands(registry: DataFrame, commands: DataFrame):
     """(accepted commands with ``until_ts``, rejects(seq, check_name, reason))."""
-    names = registry.select("check_name")
-    parsed, bad_until = parsed_commands(commands), F.col("bad_until")
-    known = parsed.join(names, "check_name", "left_semi")
-    unknown = parsed.join(names, "check_name", "left_anti")
-    accepted = known.filter(~bad_until).drop("bad_until")
-    rejects = reduce(DataFrame.unionByName, [
-        unknown.select("seq", "check_name", F.lit("unknown_check").alias("reason")),
-        known.filter(bad_until).select("seq", "check_name", F.lit("bad_until").alias("reason")),
-    ])
-    return accepted, rejects
+    return split_tagged(tagged_commands(registry, commands))
+
+
+def split_tagged(tagged: DataFrame):
+    """:func:`split_commands` of commands that are tagged already."""
+    return (tagged.filter(F.col("reason").isNull()).drop("reason"),
+            tagged.filter(F.col("reason").isNotNull()).select("seq", "check_name", "reason"))
 
 
 def mute_state(registry: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -55,13 +55,14 @@ def mute_batch(batch: DataFrame, batch_id: int, base: str, registry: Callable[[]
     arrive in any order: what counts is their number. Those on checks that the
     registry does not know when the batch runs, or with an ``until`` that cannot be
     read, go to ``base``/rejects and change nothing."""
-    commands = batch.persist()
+    # One look at the registry, one reading of the batch.
+    tagged = M.tagged_commands(registry(), batch).persist()
     try:
-        accepted, rejects = M.split_commands(registry(), commands)
+        accepted, rejects = M.split_tagged(tagged)
         add_rows(M.effects(accepted), f"{base}/mutes", batch_id, M.merge_effects)
         write_folder(rejects, f"{base}/rejects/batch_id={batch_id}")
     finally:
-        commands.unpersist()
+        tagged.unpersist()
     mark_done(batch.sparkSession, base, batch_id)
 
 
