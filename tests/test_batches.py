@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vigil.operators import mute as M
 from vigil.session import ADAPTIVE, each_batch, scratch_path
 from vigil.streaming import ingest as ING
+from vigil.streaming import runner as RUN
 
 DATES = 3
 
@@ -75,3 +76,20 @@ def test_commands_meet_the_registry_once_and_without_the_driver(spark):
     plan = rejects._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
     assert "Broadcast" not in rejects._jdf.queryExecution().executedPlan().toString()
+
+
+def test_functions_of_a_batch_run_once(spark):
+    base, calls = scratch_path(spark, "once"), spark.sparkContext.accumulator(0)
+
+    def count(pdf):
+        calls.add(len(pdf))
+        return pdf.assign(exit_code=0, output="fine")[["exit_code", "output"]]
+
+    task = {"passive": False, "check_name": "a", "script": {"content": "s"}, "interval": 60, "secret_refs": None,
+            "telegram_channels": [], "mute_notifications": False, "mute_notifications_until": None}
+    batch = spark.createDataFrame([(1, json.dumps(task))], "msg_id long, payload string")
+    inputs = spark.createDataFrame([("a", 4)], "check_name string, n long")
+    secrets = spark.createDataFrame([], "secret_name string, key string, value binary")
+    RUN.run_batch(batch, 0, base, inputs, secrets, {"s": count}.get)
+    assert calls.value == 1
+    assert spark.read.json(f"{base}/results").count() == 1 and spark.read.parquet(f"{base}/failures").count() == 0

@@ -51,11 +51,11 @@ def with_secrets(tasks: DataFrame, secrets: DataFrame) -> DataFrame:
     return tasks.join(merged.withColumnRenamed("check_name", "key"), "key", "left")
 
 
-def run_tasks(tasks: DataFrame, inputs: DataFrame, secrets: DataFrame, find: Callable[[str], Function | None],
-              as_of: str | None = None):
-    """(messages (msg_id, payload), failures (msg_id, check_name, error, message)) of
-    decoded tasks. ``inputs`` has one row per check: check_name and the columns
-    that functions read; ``find`` gives the function of a script's text."""
+def run_tasks(tasks: DataFrame, inputs: DataFrame, secrets: DataFrame,
+              find: Callable[[str], Function | None]) -> DataFrame:
+    """Decoded tasks with what their functions gave: exit_code, output, error.
+    ``inputs`` has one row per check: check_name and the columns that functions read;
+    ``find`` gives the function of a script's text."""
     tasks = tasks.withColumn("key", F.concat_ws("\u0001", F.col("msg_id").cast("string"), "check_name"))
     read = with_secrets(tasks, secrets).join(inputs.withColumn("_read", F.lit(True)), "check_name", "left")
     # The checks are told apart by task: a check may be due several times in a batch.
@@ -63,8 +63,13 @@ def run_tasks(tasks: DataFrame, inputs: DataFrame, secrets: DataFrame, find: Cal
             .select("check_name", F.col("script_content").alias("script_ref"), "secrets",
                     *[c for c in inputs.columns if c != "check_name"]))
     done = CK.script_checks(rows, _Lookup(find)).withColumnRenamed("check_name", "key")
-    out = tasks.join(done, "key", "left").withColumn(
+    return tasks.join(done, "key", "left").withColumn(
         "error", F.when(F.col("error").isNull() & F.col("exit_code").isNull(), "no_input").otherwise(F.col("error")))
+
+
+def outcomes(out: DataFrame, as_of: str | None = None):
+    """(messages (msg_id, payload), failures (msg_id, check_name, error, message)) of
+    tasks that have been run."""
     channels = F.transform("telegram_channels", lambda c: F.struct(
         c["chat_id"].alias("chat_id"), c["channel_name"].alias("bot_token")))
     stamp = F.lit(as_of).cast("timestamp_ntz") if as_of else F.localtimestamp()
@@ -79,12 +84,15 @@ def run_batch(batch: DataFrame, batch_id: int, base: str, inputs: DataFrame, sec
     """Runs one micro-batch of task messages (msg_id, payload)."""
     good, rejects = decode_tasks(batch)
     good = good.persist()
+    # Functions run once, for the messages and the failures alike.
+    done = run_tasks(good, inputs, secrets, find).persist()
     try:
-        messages, failures = run_tasks(good, inputs, secrets, find, as_of)
+        messages, failures = outcomes(done, as_of)
         publish_batch(messages, f"{base}/results", batch_id)
         write_folder(failures, f"{base}/failures/batch_id={batch_id}")
         write_folder(rejects.select("msg_id", "payload", "reason"), f"{base}/rejects/batch_id={batch_id}")
     finally:
+        done.unpersist()
         good.unpersist()
 
 
