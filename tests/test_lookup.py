@@ -40,3 +40,19 @@ def test_a_batch_shuffles_its_own_keys_and_not_the_store(spark):
     ING.process_batch(batch, 1, base)
     assert spark.read.parquet(f"{base}/check_result").count() == 3003
     assert [r.msg_id for r in spark.read.parquet(f"{base}/quarantine").orderBy("msg_id").collect()] == [0, 1, 2]
+
+
+def test_submissions_meet_the_registry_without_the_driver(spark, monkeypatch):
+    path = scratch_path(spark, "registry")
+    spark.createDataFrame([("a",), ("b",)], "check_name string").selectExpr(
+        "check_name", "array(named_struct('chat_id', '1', 'bot_token', 't')) channels", "false mute",
+        "cast(null as timestamp_ntz) mute_until").write.parquet(path)
+    checks = spark.read.parquet(path)
+    batch = spark.createDataFrame([(1, "a", 2), (2, "zz", 0), (3, None, 0)], "submission_id long, check_name string, status int").select(
+        "submission_id", F.expr("timestamp_ntz'2024-01-01'").alias("received_at"), "check_name", F.lit("x").alias("output"),
+        "status", F.lit(None).cast("string").alias("image_jpg_base64"))
+    seen = []
+    monkeypatch.setattr(ING, "_store_rows", lambda rows, *_: seen.append(rows))
+    ING.process_submissions(batch, 0, "unused", lambda: checks)
+    assert "Broadcast" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.msg_id, r._reason) for r in seen[0].collect()) == [(1, None), (2, "unknown_check"), (3, "unknown_check")]
