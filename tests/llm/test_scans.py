@@ -197,6 +197,40 @@ def test_html_chrome_is_named_by_whole_attributes():
         assert html_text.blocks(f"<div {tag}>text</div>") == [(2, "text")], tag
 
 
+def test_html_blocks_leave_no_text_out():
+    whole = {
+        "<html><head><title>t</title><meta charset=utf-8><body><article>text": [(2, "t"), (0, "text")],   # no </head>
+        "<head><title>t</title><p>text": [(2, "t"), (1, "text")],
+        "<head>text<link rel=x></head>more": [(1, "textmore")],
+        "<head><noscript><img src=x></noscript><style>p{}</style></head><p>text": [(1, "text")],
+        "<article>a<!-->b<!--->c<!-- x --!>d": [(0, "abcd")],
+        '<article><a href="x"">link</a> <p title=Joe\'s>it\'s</p><p x="y"z\'>one': [(0, "link"), (0, "it's"), (0, "one")],
+        '<article><p data-x = "a > b" class=\'ad\'>gone</p><p =">text': [(2, "gone"), (0, "text")],
+        "<article>a<svg><title/><style/><path d=x /></svg>b": [(0, "a"), (0, "b")],
+        "<article>a<iframe src='x'/>b<script src='x' />c<script>var x</script>d": [(0, "abc"), (0, "d")],
+        "<article>a<script src=/js/>var x</script>b": [(0, "a"), (0, "b")],
+        "<article>a<a class=share href=/x/>s</a>b": [(0, "a"), (2, "s"), (0, "b")],
+        "<form id=page><p>before<article>text<form>q<input></form></article></form>": [(1, "before"), (0, "text"), (2, "q")],
+        "<form><p>q</form><article>text": [(2, "q"), (0, "text")],
+        "<noscript><p>no</p></noscript><noscript><article>text": [(2, "no"), (0, "text")],
+        "<header>h<nav>n<main><p>text</main>x": [(2, "h"), (2, "n"), (0, "text"), (1, "x")],
+        "<article>a<xmp><b>x</b> &amp;</xmp>b<plaintext><p>c": [(0, "a"), (0, "<b>x</b> &amp;"), (0, "b"), (0, "<p>c")],
+        "<article><button>a<button>b</button>text": [(2, "a"), (2, "b"), (0, "text")],
+        "<article>one</p>two</br>three &am<b>p;": [(0, "one"), (0, "two three &amp;")],
+        "<nav>a<textarea>b &lt;</textarea><svg><title>c</title></svg>d": [(2, "a"), (2, "b <"), (2, "c"), (2, "d")],
+    }
+    for page, found in whole.items():
+        assert html_text.blocks(page) == found, page
+
+
+def test_titles_are_in_the_host_suffix_array(spark):
+    line, story = "Acme, the best of all shops of the whole wide world", "A story of page {0} that no other page tells us of {0}"
+    pages = [(k, "http://h.com/", f"<title>{line}</title><article><p>{story.format(k)}</p></article>") for k in range(3)]
+    pages += [(3, "http://h.com/", f"<head><title>Three</title><body><p>{line}</p><p>{story.format(3)}</p>")]
+    rows = html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == {k: story.format(k) for k in range(4)}
+
+
 def test_host_suffix_array_removes_what_pages_share(spark):
     notice = "Read our weekly newsletter for all the news you need today friends"
     story = "Unique story number {0} about thing {0}{0} and more words here {0}x"
